@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\f\r"
-SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]+"
 WINDOW = 8
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Features of a rule: name and SQL over the statistics. All are 0 for an empty text.
@@ -45,8 +44,10 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = docs.drop(*STATS, "_t", "_w", "_n_lines", "_n_upper", "_n_exclaim", "_rep", "_pos")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    a = kept.withColumn("_t", F.btrim(t, F.lit(SPACES))).withColumn("_lines", lines)
-    a = a.withColumn("_w", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", SPACE_CLASS)))
+    flat = t
+    for c in SPACES[1:]:
+        flat = F.replace(flat, F.lit(c), F.lit(" "))  # then one plain character splits, without a regular expression
+    a = kept.withColumn("_t", t).withColumn("_lines", lines).withColumn("_w", F.array_remove(F.split(flat, " "), ""))
     a = a.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
@@ -56,10 +57,12 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
             "_n_exclaim": F.regexp_count("_t", F.lit("!")).cast("long"),
             "_n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_h": _expr(f"CASE WHEN size(_w) > {WINDOW} THEN transform(sequence(1, size(_w) - {WINDOW - 1}), i -> xxhash64(slice(_w, i, {WINDOW}))) END"),
+            "_h": _expr(f"CASE WHEN size(_w) > {WINDOW} THEN transform(_w, x -> xxhash64(x)) END"),
         }
     )
-    # the sort key holds each word behind its length, so joined windows are equal only if all words are
+    for k in (1, 2, 4):  # hashes of 1, 2, 4, then WINDOW = 8 words
+        a = a.withColumn("_h", _expr(f"CASE WHEN _h IS NOT NULL THEN zip_with(slice(_h, 1, size(_h) - {k}), slice(_h, {k + 1}, size(_h) - {k}), (x, y) -> xxhash64(x, y)) END"))
+    # words hold no space, so joined windows are equal only if all words are
     a = a.withColumn(
         "_s",
         _expr(
