@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: White space beside a space, or a space at an end: only there can a cut before a space change the split into words.
 _UNSAFE = re.compile(r"\s | \s|^ | $")
+# Fixed value: the pattern by which a byte-level BPE of this kind splits text before its merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in memory at most, and the longest that is kept.
 MAX_PIECES, MAX_LENGTH = 200_000, 64
 
@@ -29,9 +34,30 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.ranked = self._ranked(path) if array("I").itemsize == 4 and sys.byteorder == "little" else None
         self.known: dict[str, bytes] = {}
 
+    def _ranked(self, path: str):
+        """The same ids from a quicker encoder, where the file is plain byte-level BPE whose ids rise in the order of its merges."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, before = file["model"], file.get("pre_tokenizer") or {}
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not file.get("normalizer")
+        if not plain or any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+            return None
+        # byte-level files write each byte as a printable character: itself, or one from U+0100 on, in order
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        special = {t["content"] for t in file.get("added_tokens", [])}
+        ranks = {bytes(byte[c] for c in token): k for token, k in vocab.items() if token not in special}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.ranked:
+            return [array("I", self.ranked(x)).tobytes() for x in texts]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
