@@ -26,6 +26,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_id", "reject_score")
 
 
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_views import perspectives
+
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_store import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_ecoc import fit_sample, predict
 
@@ -68,10 +80,37 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_chat_perspectives": op3_chat_perspectives,
+    "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # pieces are split by a hash of Spark's own where a part has over 512 different turns; no table here has such a part
+    "op3_chat_perspectives": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS name,
+                          replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
+             s AS (SELECT DISTINCT conv_id, name AS speaker FROM t WHERE name <> 'system'),
+             v AS (SELECT t.conv_id, speaker, CAST(floor(turn / 64.0) AS BIGINT) AS part, turn, name, content, name = speaker AS mine,
+                          CASE WHEN name = speaker THEN '<|assistant|>' WHEN name = 'system' THEN '<|system|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS opening
+                   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+             o AS (SELECT *, length(opening) + length(content) + 8 AS size,
+                          coalesce(sum(length(opening) + length(content) + 8) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS LAST, name, content
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM v)
+        SELECT conv_id, speaker, part, CAST(0 AS INTEGER) AS piece,
+               string_agg(opening || content || '<|end|>' || chr(10), '' ORDER BY turn NULLS LAST, name, content) AS text,
+               coalesce(string_agg(CAST(begun + length(opening) AS BIGINT) || '-' || CAST(begun + size AS BIGINT), ',' ORDER BY turn NULLS LAST, name, content) FILTER (mine), '') AS mask,
+               count(*) AS n_turns, count(*) FILTER (mine) AS n_trained
+        FROM o GROUP BY conv_id, speaker, part""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+             f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id IS NOT NULL AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id IS NOT NULL AND page_id <> first_id THEN first_id END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)""",
+}
