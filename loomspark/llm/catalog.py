@@ -77,6 +77,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_clauses")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .separator_scan import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
     # pieces are split by a hash of Spark's own where a part has over 512 different turns; no table here has such a part
