@@ -1,0 +1,78 @@
+"""Reproducible sampling and splitting. Order comes from md5(seed || ':' || key), so any engine with md5 draws the same rows.
+
+Ranks within a group that may hold most rows are not windows over the group: the group is cut into slices by the leading hex digits of
+the hash, slices are counted, and a row's rank is its rank within its slice plus the sizes of the slices before it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Leading hex digits of the hash that make a slice: 3 digits are 4,096 slices of a group.
+SLICE_DIGITS = 3
+
+
+def draw(seed: str, key: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def ranked(df: DataFrame, by: list[str], seed: str, key: str) -> DataFrame:
+    """Add `_rank` (from 1, in the order of the hash, then key) and `_n`, the group's rows."""
+    df = df.withColumn("_h", draw(seed, F.col(key))).withColumn("_s", F.substring("_h", 1, SLICE_DIGITS))
+    sizes = df.groupBy(*by, "_s").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_n": F.sum("_c").over(group)})
+    own = F.row_number().over(Window.partitionBy(*by, "_s").orderBy("_h", key))
+    on = [*by, "_s"]
+    return df.withColumn("_own", own).join(sizes, on).withColumn("_rank", F.col("_own") + F.col("_before")).drop("_h", "_s", "_own", "_c", "_before")
+
+
+def split_parts(df: DataFrame, by: list[str], seed: str, key: str, variant: str = "a") -> DataFrame:
+    """Add `part`: train, val or test by 8:1:1 in each group. a: train 8n div 10, val half of the rest. b: train 8n div 10, val n div 10."""
+    n, k = F.col("_n"), F.col("_rank")
+    train = F.floor(n * 8 / 10)
+    val = F.floor((n - train) / 2) if variant == "a" else F.floor(n / 10)
+    part = F.when(k <= train, "train").when(k <= train + val, "val").otherwise("test")
+    return ranked(df, by, seed, key).withColumn("part", part).drop("_rank", "_n")
+
+
+def group_fraction(df: DataFrame, by: list[str], seed: str, key: str, fraction: float) -> DataFrame:
+    """In each group the first max(1, floor(n * fraction)) rows; all of them from a fraction of 1 on."""
+    if fraction >= 1:
+        return df
+    return ranked(df, by, seed, key).where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).drop("_rank", "_n")
+
+
+def quota(df: DataFrame, by: list[str], seed: str, key: str, fraction: float) -> DataFrame:
+    """In each group round-half-even(n * fraction) rows."""
+    return ranked(df, by, seed, key).where(F.col("_rank") <= F.bround(F.col("_n") * fraction)).drop("_rank", "_n")
+
+
+def reservoir(df: DataFrame, seed: str, key: str, k: int) -> DataFrame:
+    """k rows by the order of their hash: a bounded top-k on every task."""
+    return df.orderBy(draw(seed, F.col(key)), key).limit(k)
+
+
+def spread(df: DataFrame, order: str, k: int) -> DataFrame:
+    """k rows at evenly spread places of an order: place floor(i * n / k), i from 0. Places are found by splitters, not by one sorted task."""
+    n = df.count()
+    if n <= k:
+        return df
+    places = df.sparkSession.createDataFrame([(i * n // k,) for i in range(k)], "_place bigint")
+    return placed(df, order).join(F.broadcast(places), "_place", "left_semi").drop("_place")
+
+
+def placed(df: DataFrame, order: str) -> DataFrame:
+    """Add `_place`, a row's place (from 0) in a total order, from a range partitioning and the sizes of the partitions before."""
+    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    ranged = ranged.withColumn("_own", own)
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"), F.min(order).alias("_low"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    return ranged.join(F.broadcast(sizes.withColumn("_before", before)), "_p").withColumn("_place", F.col("_own") + F.col("_before")).drop("_p", "_own", "_c", "_low", "_before")
+
+
+def largest(df: DataFrame, by: list[Column], k: int) -> DataFrame:
+    return df.orderBy(*by).limit(k)

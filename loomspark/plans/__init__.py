@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["curation"]
+MODULES = ["curation", "sampling"]
 
 
 def _all(name: str) -> dict:
