@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["curation", "sampling"]
+MODULES = ["curation", "sampling", "joining"]
 
 
 def _all(name: str) -> dict:
