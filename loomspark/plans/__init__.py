@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["curation", "sampling", "joining"]
+MODULES = ["curation", "sampling", "joining", "graphs"]
 
 
 def _all(name: str) -> dict:
