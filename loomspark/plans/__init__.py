@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["curation", "sampling", "joining", "graphs", "ranking", "records"]
+MODULES = ["curation", "sampling", "joining", "graphs", "ranking", "records", "labelling"]
 
 
 def _all(name: str) -> dict:
