@@ -94,3 +94,24 @@ def first_rule(c: Column, rules: list[tuple[str, str]], otherwise: str) -> Colum
     for needle, name in reversed(rules):
         out = F.when(F.contains(F.lower(c), F.lit(needle)), F.lit(name)).otherwise(out)
     return out
+
+
+# Other names of slot types, by type.
+SLOT_TYPES = {
+    "COND": "FILL_COND COND_SLOT CONDITION SWITCH_DISPATCH",
+    "STMT": "FILL_STMT STATEMENT",
+    "BLOCK": "FILL_BLOCK BLOCK_SLOT UNSTRUCTURED_REGION",
+    "CASE_LABEL": "FILL_CASE CASE_SLOT CASE",
+    "EXIT": "FILL_GOTO GOTO_SLOT GOTO FILL_CLEANUP_EXIT CLEANUP_EXIT_SLOT CLEANUP_EXIT",
+    "LOOP_EXIT": "FILL_BREAK BREAK_SLOT BREAK FILL_CONTINUE CONTINUE_SLOT CONTINUE LOOP_CONTINUE",
+    "RETURN": "FILL_EARLY_EXIT EARLY_EXIT_SLOT EARLY_EXIT",
+}
+
+
+def slot_type(c: Column) -> Column:
+    """The type behind a name in any case; unknown names stay, in capitals."""
+    raw = F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    out = raw
+    for kind, names in SLOT_TYPES.items():
+        out = F.when(raw.isin(names.split()), kind).otherwise(out)
+    return out

@@ -57,6 +57,18 @@ def overlap_violations(cells: DataFrame, lines: DataFrame, statements: DataFrame
     return bad_peak.join(strong, sample, "left").na.fill(0, ["bad_cells"])
 
 
+def column_statements(cells: DataFrame, lines: DataFrame, statements: DataFrame, sample: str = "sample", least: float = 0.005) -> DataFrame:
+    """Each column's statement: of those that hold lines of blocks with mass in it, no compound if another is there, the one with the most such lines, then the deepest, shortest, first.
+
+    statements: sample, id, compound, depth, start_line, end_line. Columns without support have no row.
+    """
+    support = cells.where(F.col("m") > least).select(sample, "b", "s").join(lines.select(sample, "b", "line"), [sample, "b"]).select(sample, "s", "line").distinct()
+    on_line = statements.withColumn("line", F.explode(F.sequence("start_line", "end_line")))
+    hit = support.join(on_line, [sample, "line"]).groupBy(sample, "s", "id", "compound", "depth", (F.col("end_line") - F.col("start_line")).alias("span")).agg(F.count("*").alias("support"))
+    best = F.struct((~F.col("compound")).alias("p"), "support", "depth", (-F.col("span")).alias("w"), (-F.col("id")).alias("i"))
+    return hit.groupBy(sample, "s").agg(F.max_by(F.struct("id", "support"), best).alias("_x")).select(sample, "s", "_x.id", "_x.support")
+
+
 def region_mask(cells: DataFrame, regions: DataFrame, sample: str = "sample", least: float = 0.01) -> DataFrame:
     """Region pairs (region, s_region) whose blocks and statements share mass over `least`. regions: sample, side ('b' or 's'), node, region."""
     b = regions.where("side = 'b'").select(sample, F.col("node").alias("b"), "region")

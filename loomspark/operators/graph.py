@@ -234,6 +234,42 @@ def loop_then_label_regions(entry: int, nodes: list[int], edges: Edges, label: d
     return found + sorted((r, sorted(ns)) for r, ns in by.items())
 
 
+def until(start: list[int], stop: int | None, out: dict[int, list[int]]) -> set[int]:
+    """What start reaches without going through stop; stop itself stays out."""
+    return reachable([n for n in start if n != stop], out, without=stop)
+
+
+def structural_regions(entry: int, nodes: list[int], edges: Edges, role: dict[int, int], loop_role: int = 4, if_role: int = 1, switch_role: int = 7) -> list[tuple[int, int, list[int]]]:
+    """(role, header, nodes) by first node: natural loops at loop headers; heads of ifs with what lies before their merge node; heads of switches likewise
+    (all they reach, without a merge node); label regions of the rest. A head inside an earlier region opens none."""
+    out, into = adjacency(nodes, edges)
+    post = post_dominators(nodes, out, into, "first")
+    found = [(loop_role, h, sorted(b)) for h, b in sorted(loops(entry, nodes, [e for e in edges if e[0] != e[1]]).items()) if role[h] == loop_role]
+    taken = {n for _, _, b in found for n in b}
+    for kind in (if_role, switch_role):
+        for h in nodes:
+            merge = post.get(h)
+            if role[h] != kind or h in taken or not out[h] or (merge is None and kind == if_role):
+                continue
+            body = sorted({h} | until(out[h], merge, out))
+            found.append((kind, h, body))
+            taken.update(body)
+    rest = [n for n in nodes if n not in taken]
+    groups: dict[int, list[int]] = {}
+    for n, r in label_regions(rest, [(a, b) for a, b in edges if a not in taken and b not in taken], role).items():
+        groups.setdefault(r, []).append(n)
+    return sorted(found + [(role[r], r, sorted(ns)) for r, ns in groups.items()], key=lambda x: (x[2][0], x[1]))
+
+
+def compound_regions(nodes: list[int], edges: Edges, compound: dict[int, int], kind: dict[int, int]) -> list[tuple[int, int, list[int]]]:
+    """(kind, header, nodes): connected statements of one compound; those without a compound (-1) by equal kind."""
+    label = {n: (0, compound[n]) if compound[n] >= 0 else (1, kind[n]) for n in nodes}
+    groups: dict[int, list[int]] = {}
+    for n, r in label_regions(nodes, edges, label).items():
+        groups.setdefault(r, []).append(n)
+    return sorted(((kind[r], r, sorted(ns)) for r, ns in groups.items()), key=lambda x: x[1])
+
+
 #: Names of a block's features, in order.
 FEATURES = ["out_degree", "in_degree", "is_entry", "is_exit", "is_branch", "is_join", "loop_depth", "is_header", "dom_depth", "dfs_place", "bfs_place", "bfs_depth"]
 

@@ -100,6 +100,26 @@ def validator_score(ok: Column, controls: Column, structured: Column, locality:
     return out - 12.0 * empty - 30.0 * empty_context - 3.0 * outside - 100.0 * fatal
 
 
+# Weights of what can be seen in the binary alone, by feature.
+BINARY_WEIGHTS = {
+    "structured_bb_ratio": 28.0, "edge_semantic_ratio": 8.0, "edge_explicit_ratio": 4.0, "edge_interval_ratio": 3.0, "slot_pointer_acc": 10.0, "condition_slot_grounded_rate": 7.0,
+    "branch_provenance_coverage": 4.0, "condition_polarity_available_rate": 1.5, "edge_cleanup_exit_ratio": 1.0, "switch_semantic_ratio": 3.0, "fallback_bb_ratio": -24.0, "fallback_region_count": -2.5,
+    "goto_count": -1.25, "break_count": -0.35, "continue_count": -0.25, "early_exit_count": -0.55, "cleanup_exit_count": -0.35,
+}
+
+
+def binary_score(features: dict[str, Column], valid: Column, n_blocks: Column, slots: Column, branch_coverage: Column, family: Column) -> Column:
+    """A candidate's score out of binary-side features (missing ones: 0): weighted sum, slots per block, uncovered branches, and terms of switch chains."""
+    f = lambda k: F.coalesce(features[k].cast("double"), F.lit(0.0)) if k in features else F.lit(0.0)
+    out = F.when(F.coalesce(valid, F.lit(False)), 1000.0).otherwise(0.0)
+    for k, w in BINARY_WEIGHTS.items():
+        out = out + w * f(k)
+    out = out - 0.35 * slots / F.greatest(F.lit(1.0), n_blocks) - 12.0 * F.greatest(F.lit(0.0), 1 - branch_coverage)
+    fan = 1.25 + 5.0 * f("switch_semantic_ratio") - 0.75 * f("edge_goto_ratio") - f("fallback_bb_ratio")
+    chain = -(0.75 + 1.5 * f("edge_goto_ratio") + f("fallback_bb_ratio"))
+    return out + F.when(family == "switch_fanin", fan).when(family == "switch_chain", chain).otherwise(0.0)
+
+
 def compact_pool(df: DataFrame, sample: str, order: str, core: list[str], caps: dict[str, int], total: int) -> DataFrame:
     """Greedy compaction of each sample's candidates in order: core names stay; others while the caps of their family, their signature and the total hold.
 

@@ -64,6 +64,23 @@ def spread(df: DataFrame, order: str, k: int) -> DataFrame:
     return placed(df, order).join(F.broadcast(places), "_place", "left_semi").drop("_place")
 
 
+def rounded_places(n: int, k: int) -> list[int]:
+    """k of n places, both ends among them: round-half-even(i * (n - 1) / (k - 1)); what falls together is made up from the first free ones."""
+    k = max(0, min(n, k))
+    if k < 2:
+        return list(range(k))
+    out = set(round(i * (n - 1) / (k - 1)) for i in range(k))
+    free = (j for j in range(n) if j not in out)
+    while len(out) < k:
+        out.add(next(free))
+    return sorted(out)
+
+
+def spread_rounded(df: DataFrame, order: str, k: int) -> DataFrame:
+    places = df.sparkSession.createDataFrame([(p,) for p in rounded_places(df.count(), k)], "_place bigint")
+    return placed(df, order).join(F.broadcast(places), "_place", "left_semi").drop("_place")
+
+
 def placed(df: DataFrame, order: str) -> DataFrame:
     """Add `_place`, a row's place (from 0) in a total order, from a range partitioning and the sizes of the partitions before."""
     ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())

@@ -82,6 +82,44 @@ def greedy(score: np.ndarray, least: float = 0.0) -> list[tuple[int, int]]:
     return out
 
 
+def parent_tree(scores: np.ndarray, root: np.ndarray) -> list[int]:
+    """Each node's best parent (n stands for the root); of a cycle the node that scores least as a root is attached to it, until there is none; one node at least is."""
+    n = len(root)
+    if not n:
+        return []
+    s = np.hstack([scores, root[:, None]]).astype(float)
+    s[np.arange(n), np.arange(n)] = -1e9
+    parent = s.argmax(1).tolist()
+    while True:
+        ring: list[int] = []
+        for start in range(n):
+            seen, at = [], start
+            while at != n and at not in seen:
+                seen.append(at)
+                at = parent[at]
+            if at != n:
+                ring = seen[seen.index(at) :]
+                break
+        if not ring:
+            break
+        parent[min(ring, key=lambda k: (root[k], ring.index(k)))] = n
+    if n not in parent:
+        parent[int(root.argmax())] = n
+    return parent
+
+
+def tree_loss(scores: np.ndarray, root: np.ndarray, target: list[int | None]) -> float:
+    """Negative log share of a tree among all rooted trees, by the determinant of a Laplacian; None leaves a node's arc out. scores[child, parent]."""
+    n = len(root)
+    kept = [(c, p) for c, p in enumerate(target) if p is not None and p != c]
+    if not kept:
+        return 0.0
+    w = np.exp(np.clip(scores, -30, 30))
+    np.fill_diagonal(w, 0.0)
+    lap = np.diag(w.sum(1) + np.exp(np.clip(root, -30, 30))) - w.T
+    return float(np.linalg.slogdet(lap)[1] - sum(root[c] if p == n else scores[c, p] for c, p in kept))
+
+
 def cosine_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a, b = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12), b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
     return 1 - a @ b.T

@@ -45,6 +45,13 @@ def overlap_violations(spark: SparkSession, d: str) -> DataFrame:
     return V.overlap_violations(_cells(spark, d), _lines(spark, d).select("sample", "b", "line"), statements, high=0.5)
 
 
+def column_statements(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_partkey") % 20
+    statements = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("id")).agg(
+        (F.max("l_returnflag") == "R").alias("compound"), (F.min("l_suppkey") % 3).alias("depth"), F.min(k).alias("start_line"), (F.min(k) + F.min("l_suppkey") % 5).alias("end_line"))
+    return V.column_statements(_cells(spark, d), _lines(spark, d), statements, least=5.0)
+
+
 def region_mask(spark: SparkSession, d: str) -> DataFrame:
     cells = _cells(spark, d)
     b = cells.select("sample", F.lit("b").alias("side"), F.col("b").alias("node"), (F.col("b") % 2).alias("region")).distinct()
@@ -123,7 +130,7 @@ def test_vectors(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cfg_blocks, cfg_edges, soft_matrix, overlap_violations, region_mask, best_source_index, primary_file, outline_levels, agreement_rates, verdict_packing, evidence_split, structure_grades, pattern_reliability,
+        cfg_blocks, cfg_edges, soft_matrix, overlap_violations, column_statements, region_mask, best_source_index, primary_file, outline_levels, agreement_rates, verdict_packing, evidence_split, structure_grades, pattern_reliability,
         region_infonce, neighbour_loss, plan_error, hard_negative_loss, test_vectors,
     )
 }
@@ -144,6 +151,9 @@ ORACLES = {
         mt AS (SELECT DISTINCT l.sample, l.b, st.s FROM l JOIN st ON st.sample = l.sample AND line BETWEEN a AND z), p AS (SELECT sample, b, s FROM c QUALIFY row_number() OVER (PARTITION BY sample, b ORDER BY m DESC, s) = 1)
         SELECT sample, count(*) AS n_blocks, count(*) FILTER ((sample, b, s) NOT IN (SELECT (sample, b, s) FROM mt)) AS bad_peaks, coalesce(max(k.bad), 0) AS bad_cells
         FROM p LEFT JOIN (SELECT sample, count(*) AS bad FROM c WHERE m > 0.01 AND w >= 0.5 AND (sample, b, s) NOT IN (SELECT (sample, b, s) FROM mt) GROUP BY 1) k USING (sample) GROUP BY 1""",
+    "column_statements": f"""WITH {_CELLS}, {_LINES}, st AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS id, max(l_returnflag) = 'R' AS compound, min(l_suppkey) % 3 AS depth, min(l_partkey % 20) AS a, min(l_partkey % 20) + min(l_suppkey) % 5 AS z FROM lineitem GROUP BY 1, 2),
+        su AS (SELECT DISTINCT c.sample, c.s, line FROM c JOIN l ON l.sample = c.sample AND l.b = c.b WHERE c.m > 5), h AS (SELECT su.sample, su.s, id, compound, depth, z - a AS span, count(*) AS support FROM su JOIN st ON st.sample = su.sample AND line BETWEEN a AND z GROUP BY ALL)
+        SELECT sample, s, id, support FROM h QUALIFY row_number() OVER (PARTITION BY sample, s ORDER BY compound, support DESC, depth DESC, span, id) = 1""",
     "region_mask": f"WITH {_CELLS} SELECT sample, b % 2 AS region, s // 3 AS s_region, round(sum(m), 6) AS mass FROM c GROUP BY 1, 2, 3 HAVING sum(m) > 30",
     "best_source_index": "WITH k AS (SELECT lang AS key, doc_id, source FROM documents UNION ALL SELECT source, doc_id, source FROM documents) SELECT key, arg_max(doc_id, (source > 'src5', doc_id)) AS doc_id FROM k GROUP BY 1",
     "primary_file": "WITH k AS (SELECT l_orderkey, l_returnflag, count(*) AS n, min(l_linenumber) AS f FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, arg_max(l_returnflag, (n, -f, l_returnflag)) AS l_returnflag FROM k GROUP BY 1",

@@ -94,6 +94,15 @@ def binary_regions(spark: SparkSession, d: str) -> DataFrame:
     return G.per_graph(_graphs(spark, d), kernel, "region bigint, header bigint, node bigint")
 
 
+def structural_regions(spark: SparkSession, d: str) -> DataFrame:
+    roles = [4, 1, 7, 0, 1]
+
+    def kernel(e, n, x):
+        return [(k, r, h, m) for k, (r, h, ns) in enumerate(G.structural_regions(e, n, x, {m: roles[m] for m in n})) for m in ns]
+
+    return G.per_graph(_graphs(spark, d), kernel, "region bigint, role bigint, header bigint, node bigint")
+
+
 def block_features(spark: SparkSession, d: str) -> DataFrame:
     def kernel(e, n, x):
         return [(m, *f) for m, f in sorted(G.block_features(e, n, x).items())]
@@ -107,7 +116,7 @@ def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (degrees, reachability, dominators, immediate_dominators, post_dominators, loop_headers, loop_bodies, scc, irreducible_cycles, label_components, bfs_dfs_positions, sese_regions, binary_regions, block_features, shortest_paths)
+    for f in (degrees, reachability, dominators, immediate_dominators, post_dominators, loop_headers, loop_bodies, scc, irreducible_cycles, label_components, bfs_dfs_positions, sese_regions, binary_regions, structural_regions, block_features, shortest_paths)
 }
 
 _T = "t AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS name, unnest(range(5)) AS id)"

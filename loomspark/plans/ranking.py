@@ -73,6 +73,13 @@ def validator_scores(spark: SparkSession, d: str) -> DataFrame:
     return line.select("l_orderkey", F.round(score, 6).alias("score"))
 
 
+def binary_scores(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part")
+    features = {"structured_bb_ratio": F.col("p_size") / 50, "goto_count": F.col("p_size") % 5, "fallback_bb_ratio": F.col("p_size") / 100, "switch_semantic_ratio": F.lit(0.5), "edge_goto_ratio": F.lit(0.25)}
+    family = F.when(F.col("p_size") > 40, "switch_fanin").when(F.col("p_size") > 30, "switch_chain").otherwise("other")
+    return p.select("p_partkey", F.round(R.binary_score(features, F.col("p_retailprice") > 1200, F.col("p_size"), F.lit(3), F.lit(0.9), family), 6).alias("score"))
+
+
 def compact_pool(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select(F.col("p_brand").alias("sample"), "p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("family"), F.col("p_size").cast("string").alias("signature"))
     return R.compact_pool(p, "sample", "p_partkey", [], {"family": 2, "signature": 1}, 20).select("sample", "p_partkey", "new_id")
@@ -188,7 +195,7 @@ def greedy_pairs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        soft_targets, ranker_pool_select, best_candidate, capped_candidates, hard_negative_cap, oracle_hits, preference_pairs, tier_ladder_bucket, candidate_families, validator_scores, compact_pool, edit_similarity,
+        soft_targets, ranker_pool_select, best_candidate, capped_candidates, hard_negative_cap, oracle_hits, preference_pairs, tier_ladder_bucket, candidate_families, validator_scores, binary_scores, compact_pool, edit_similarity,
         lcs_f1, sequence_edit_distance, js_divergence, token_ids_crc32, value_buckets, text_rules, rewards, hard_negatives_topk, infonce, graph_contrast_mask, sinkhorn_plan, structured_plan, hungarian, greedy_pairs,
     )
 }
@@ -219,6 +226,8 @@ ORACLES = {
     "validator_scores": """
         WITH l AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q, count(*) FILTER (l_returnflag = 'R') AS g, count(*) FILTER (l_linestatus = 'O') AS b FROM lineitem GROUP BY 1)
         SELECT l_orderkey, round(CASE WHEN n > 2 THEN 1000 ELSE 0 END + 20.0 * n + 0.5 * q + 4 - 2 * b - 0.2 * g - 0.08 * b - 3 * g - CASE WHEN n > 6 THEN 100 ELSE 0 END, 6) AS score FROM l""",
+    "binary_scores": """SELECT p_partkey, round(CASE WHEN p_retailprice > 1200 THEN 1000 ELSE 0 END + 28 * p_size / 50 + 1.5 - 24 * p_size / 100 - 1.25 * (p_size % 5) - 0.35 * 3 / greatest(1, p_size) - 12 * 0.1
+        + CASE WHEN p_size > 40 THEN 1.25 + 2.5 - 0.1875 - p_size / 100 WHEN p_size > 30 THEN -(0.75 + 0.375 + p_size / 100) ELSE 0 END, 6) AS score FROM part""",
     "edit_similarity": "SELECT p_partkey, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type), 1), 6) AS similarity FROM part",
     "js_divergence": """
         WITH t AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS name), u AS (SELECT user_id, count(*) FILTER (value > 50) AS a, count(*) FILTER (value <= 50) AS b FROM events GROUP BY 1),

@@ -103,3 +103,42 @@ def test_post_dominators_of_several_exits():
     nodes, edges = [0, 1, 2], [(0, 1), (0, 2)]
     assert G.post_dominators(nodes, *G.adjacency(nodes, edges), "all") == {}
     assert G.post_dominators(nodes, *G.adjacency(nodes, edges), "first") == {0: 1}  # the exit with the smallest number alone counts
+
+
+def test_trees():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3):
+        for _ in range(20):
+            s, r = rng.normal(size=(n, n)), rng.normal(size=n)
+            trees = [t for t in itertools.product(range(n + 1), repeat=n) if all(p != c for c, p in enumerate(t)) and not _cyclic(t, n)]
+            total = sum(np.exp(sum(r[c] if p == n else s[c, p] for c, p in enumerate(t))) for t in trees)
+            t = O.parent_tree(s, r)
+            assert tuple(t) in trees
+            share = np.exp(sum(r[c] if p == n else s[c, p] for c, p in enumerate(t))) / total
+            assert abs(O.tree_loss(s, r, t) + np.log(share)) < 1e-6
+    assert O.parent_tree(np.zeros((0, 0)), np.zeros(0)) == []
+
+
+def _cyclic(tree, n):
+    for c in range(n):
+        seen = set()
+        while c != n and c not in seen:
+            seen.add(c)
+            c = tree[c]
+        if c != n:
+            return True
+    return False
+
+
+def test_structural_regions():
+    nodes, edges = list(range(8)), [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 4), (4, 6), (6, 7)]
+    found = G.structural_regions(0, nodes, edges, {0: 1, 1: 2, 2: 3, 3: 0, 4: 4, 5: 5, 6: 0, 7: 0})
+    assert found == [(1, 0, [0, 1, 2]), (0, 3, [3]), (4, 4, [4, 5]), (0, 6, [6, 7])]
+    assert G.compound_regions([0, 1, 2, 3], [(0, 1), (2, 3)], {0: 5, 1: 5, 2: -1, 3: -1}, {0: 12, 1: 0, 2: 1, 3: 1}) == [(12, 0, [0, 1]), (1, 2, [2, 3])]
+
+
+def test_rounded_places():
+    from loomspark.operators.sampling import rounded_places
+
+    assert rounded_places(10, 4) == [0, 3, 6, 9] and rounded_places(3, 9) == [0, 1, 2] and rounded_places(9, 1) == [0] and rounded_places(0, 3) == []
+    assert all(len(rounded_places(n, k)) == min(n, k) for n in range(12) for k in range(15))
