@@ -95,7 +95,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 ORACLES: dict[str, str] = {
+    "op7_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents), i AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+             iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)),
+             dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+             h AS (SELECT doc_id, k, n, item_id FROM dw JOIN iw USING (g, n)),
+             p AS (SELECT doc_id, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) FROM h) GROUP BY 1),
+             s AS (SELECT doc_id, count(*) AS c, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.c, 0) AS n_hit, coalesce(s.c, 0) AS n_items, sha256(coalesce(s.x, '')) AS items_sha256, p.c IS NOT NULL AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op8_near_duplicates": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+             sh AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+             r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other), c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
     # pieces are split by a hash of Spark's own where a part has over 512 different turns; no table here has such a part
     "op3_chat_perspectives": """
         WITH t AS (SELECT DISTINCT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS name,
