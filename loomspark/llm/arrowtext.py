@@ -16,12 +16,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts have about `most` bytes; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most `rows` rows whose texts have about `most` bytes; a longer text is a part of its own."""
     n = np.cumsum(np.nan_to_num(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False).astype(float)))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(n, (n[start - 1] if start else 0) + most, "right")))
+        end = min(end, start + rows)
         yield batch.slice(start, end - start)
         start = end
 
@@ -47,12 +48,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(np.full(n - 1, _BASE, np.uint64), out=out[1:])
-    return out
+#: Bytes that are hashed at a time: working arrays have 8 bytes for each.
+_PART = 1 << 20
+_tables: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """_BASE to the power of 0, 1, ... and its inverse likewise, for one part; made once per worker."""
+    if not _tables:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(_PART + 1, base, np.uint64)
+            x[0] = 1
+            _tables.append(np.multiply.accumulate(x))
+    return _tables
+
+
+def _hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words [start, end) of a part of _PART bytes at most."""
+    power, back = _powers()
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
+    return mix((total[ends] - total[starts]) * back[starts])
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,14 +84,21 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge[at] = True  # a text's end is a word's end
     starts = np.flatnonzero(inner & (edge[:-1] | np.concatenate([[True], ~inner[:-1]])))
     ends = np.flatnonzero(inner & (edge[1:] | np.concatenate([~inner[1:], [True]]))) + 1
-    power = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    inverse = pow(_BASE, -1, 1 << 64)
-    back = np.empty(n + 1, np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(np.full(n, inverse, np.uint64), out=back[1:])
-    return mix((total[ends] - total[starts]) * back[starts]), np.searchsorted(starts, at).astype(np.int64)
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        to = max(k + 1, int(np.searchsorted(ends, starts[k] + _PART, "right")))
+        a, b = int(starts[k]), int(ends[to - 1])
+        if b - a <= _PART:
+            out[k:to] = _hashes(raw[a:b], starts[k:to] - a, ends[k:to] - a)
+        else:  # one word longer than a part: its parts' hashes are chained
+            h = np.zeros(1, np.uint64)
+            for p in range(a, b, _PART):
+                q = min(b, p + _PART)
+                h = mix(h * np.uint64(_BASE) + _hashes(raw[p:q], np.array([0]), np.array([q - p])))
+            out[k] = h[0]
+        k = to
+    return out, np.searchsorted(starts, at).astype(np.int64)
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
