@@ -120,7 +120,8 @@ def learn(rows: list[dict], target: str = "bad", least_support: int = 5, least_p
             best = (0.0, None)
             for f in FEATURES if p else ():
                 values = sorted({r[f] for r in inside})
-                cuts = {values[len(values) * k // bins] for k in range(bins)}
+                # half-way between neighbouring values, so a rule keeps its distance from what it must not cover
+                cuts = {(values[k] + values[k + 1]) / 2 for k in {(len(values) - 1) * k // bins for k in range(bins)} if k + 1 < len(values)}
                 for t in sorted(cuts):
                     above = [r[target] for r in inside if r[f] > t]
                     for op, k, hit in ((">", len(above), sum(above)), ("<=", n - len(above), p - sum(above))):
