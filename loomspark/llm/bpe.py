@@ -15,7 +15,7 @@ _UNSAFE = re.compile(r"\s | \s|^ | $")
 # Fixed value: the pattern by which a byte-level BPE of this kind splits text before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in memory at most, and the longest that is kept.
-MAX_PIECES, MAX_LENGTH = 200_000, 64
+MAX_PIECES, MAX_LENGTH = 100_000, 64
 
 
 def default_path() -> str:
@@ -28,14 +28,21 @@ class Encoder:
     """Ids as little-endian uint32 bytes. A byte-level BPE file splits text by a pattern in which a single space between other characters
     always begins a new word, so a text is the sequence of its pieces there and each different piece is encoded once."""
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, by_rank: bool = True):
+        self.path, self.known, self.ranked, self._tokenizer = path, {}, None, None
+        if by_rank and array("I").itemsize == 4 and sys.byteorder == "little":
+            self.ranked = self._ranked(path)
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ranked = self._ranked(path) if array("I").itemsize == 4 and sys.byteorder == "little" else None
-        self.known: dict[str, bytes] = {}
+    @property
+    def tokenizer(self):
+        """The library's own encoder, loaded where the quicker one does not serve."""
+        if self._tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        return self._tokenizer
 
     def _ranked(self, path: str):
         """The same ids from a quicker encoder, where the file is plain byte-level BPE whose ids rise in the order of its merges."""
@@ -81,8 +88,11 @@ class Encoder:
 
     def ends_sentence(self) -> np.ndarray:
         """By id, whether its string ends a sentence or a line."""
-        out = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
-        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        with open(self.path, encoding="utf-8") as f:
+            file = json.load(f)
+        vocab = {**file["model"]["vocab"], **{t["content"]: t["id"] for t in file.get("added_tokens", [])}}
+        out = np.zeros(max(vocab.values()) + 2, bool)
+        for token, k in vocab.items():
             out[k] = token.endswith((".", "!", "?", "Ċ"))  # U+010A stands for a line feed
         return out
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import slices
-from .shared import written
+from .shared import small_batches, written
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -117,6 +117,7 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
 
 def contained_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of docs (text must be one) with n_words, spans (hit words as start, end, ...) and items (found item ids, as strings)."""
+    small_batches(docs.sparkSession)
     own = ["n_words", "spans", "items"]
     rest = [c for c in docs.columns if c not in own]
     out = docs.select(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"), *[docs[f"`{c}`"] for c in rest])

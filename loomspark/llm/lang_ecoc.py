@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import slices, text_bytes
+from .shared import small_batches
 
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 13
 GRAMS = 4
 #: Rows per language that the classifiers are fitted on, at most; the ones with the smallest hash of id and text. Bytes of each that count.
-MAX_FIT_ROWS, MAX_FIT_BYTES = 600, 20_000
+MAX_FIT_ROWS, MAX_FIT_BYTES = 500, 10_000
 #: Bytes that are hashed at a time; longer texts add up over parts.
 PART = 4 << 20
 AMBIGUOUS = 0.6
@@ -55,7 +56,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
                 h = h[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1 :] + np.uint32(n)
                 out[k] += np.bincount((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13), minlength=BUCKETS)
     np.sqrt(out, out=out)
-    out /= np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-9)[:, None]
     return out
 
 
@@ -103,17 +104,22 @@ def fit(rows: list[tuple[bytes, str]], ridge: float = 0.3) -> Model | None:
     if not languages:
         return None
     code = codewords(len(languages))
-    x = np.concatenate([features(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t, _ in rows])
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    for k, (t, _) in enumerate(rows):
+        x[k] = features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
     number = np.array([languages.index(lang) for _, lang in rows])
     y = code[number].astype(np.float64)
     balance = np.sqrt(len(rows) / (len(languages) * np.bincount(number, minlength=len(languages))))[number]
+    # products of all rows, with a constant feature beside the n-grams; nothing else of the size of x is made
+    gram = (x @ x.T + 1).astype(np.float64) * balance[:, None] * balance[None, :]
 
     def solve(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b = balance[some][:, None]
-        a = np.hstack([x[some], np.ones((len(some), 1), np.float32)]).astype(np.float64) * b
-        alpha = np.linalg.solve(a @ a.T + ridge * np.eye(len(some)), y[some] * b)
-        w = a.T @ alpha
-        return w[:-1], w[-1]
+        own = gram[np.ix_(some, some)]
+        own[np.diag_indices(len(some))] += ridge
+        alpha = np.linalg.solve(own, y[some] * balance[some][:, None]) * balance[some][:, None]
+        full = np.zeros((len(rows), code.shape[1]), np.float32)
+        full[some] = alpha
+        return x.T @ full, alpha.sum(0)
 
     folds = [np.arange(len(rows))[k::2] for k in range(2)]
     right = np.zeros(code.shape[1])
@@ -129,7 +135,7 @@ def fit(rows: list[tuple[bytes, str]], ridge: float = 0.3) -> Model | None:
 def _predicting(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", rows=128):
                 raw, at = text_bytes(part["text"])
                 n = len(at) - 1
                 lang, score, unsure = [UNDETERMINED] * n, np.zeros(n), np.ones(n, bool)
@@ -150,16 +156,16 @@ def _predicting(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def fit_sample(docs: DataFrame, per_language: int = MAX_FIT_ROWS, most_languages: int = 64) -> Model | None:
     """Fit on rows with a text and a lang: of each language the rows with the smallest hashes, `per_language` at most.
 
-    Hashes cut the candidates to about twice that number on the executors before any text is sorted or sent.
+    Hashes cut the candidates to about 1.2 times that number on the executors before any text is sorted or sent.
     """
     rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.length("text"), F.substring("text", 1, 200)), F.lit(1 << 30))
-    share = F.lit(float(1 << 30)) * (2.0 * per_language + 50) / F.col("count")
+    share = F.lit(float(1 << 30)) * (1.2 * per_language + 100) / F.col("count")
     near = rows.join(F.broadcast(counts), "lang").withColumn("_h", h).where(F.col("_h") <= share)
     near = near.select("lang", "_h", F.expr(f"substring(encode(text, 'UTF-8'), 1, {MAX_FIT_BYTES})").alias("text"))
     # a few hundred rows per language by construction; the limit below holds even if many rows share a hash
-    found = near.orderBy("_h", "lang", "text").limit(2 * most_languages * per_language).toLocalIterator()
+    found = near.orderBy("_h", "lang", "text").limit(2 * most_languages * (per_language + 100)).toLocalIterator()
     taken: dict[str, list[bytes]] = {}
     for r in found:
         if len(taken.setdefault(r["lang"], [])) < per_language:
@@ -169,6 +175,7 @@ def fit_sample(docs: DataFrame, per_language: int = MAX_FIT_ROWS, most_languages
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and ambiguous."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score", "ambiguous").withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     return kept.mapInArrow(_predicting(model), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import mix, shingle_hashes, slices, text_bytes, word_hashes
-from .shared import written
+from .shared import small_batches, written
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 BANDS = BINS // ROWS
@@ -191,6 +191,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFram
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, and group_key (equal for all rows of a component; null without a set)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(docs.mapInArrow(_sketched, "doc_id bigint, n bigint, key binary, bands array<bigint>"), "sketches")
     reps = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")

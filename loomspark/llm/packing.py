@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import slices
 from .bpe import default_path, encoder
+from .shared import small_batches
 
 LENGTH, END_ID = 2048, 1
 SENTENCE_CUT, HARD_CUT, SEQUENCE_COST = 8, 64, 2
@@ -151,5 +152,6 @@ def _packing(path: str, length: int, end_id: int, stretch: int) -> Callable[[Ite
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, stretch: int = STRETCH) -> DataFrame:
     """A row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_packing(tokenizer or default_path(), length, end_id, stretch), SCHEMA)

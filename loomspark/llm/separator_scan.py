@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import slices
 from .bpe import default_path, encoder
-from .shared import shared_path
+from .shared import shared_path, small_batches
 
 SEPARATOR = 50256
 #: Ids in a block.
@@ -56,6 +56,7 @@ def _flattening(path: str, separator: int, block: int) -> Callable[[Iterator[pa.
 
 def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, separator: int = SEPARATOR, block: int = BLOCK) -> None:
     """Each partition's documents, in order, as one flat file, stored as rows (file, block, data) that only cut it at equal lengths."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     texts.mapInArrow(_flattening(tokenizer or default_path(), separator, block), "file bigint, block bigint, data binary").write.parquet(path)
 

@@ -31,3 +31,11 @@ def written(df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches between the JVM and Python hold fewer rows than the session's default: whole texts are long, and both sides hold a batch in memory.
+    A session that asks for fewer keeps its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import mix, shingle_hashes, slices, text_bytes, word_hashes
-from .shared import written
+from .shared import small_batches, written
 
 #: Labelled rows that are learnt from, at most (those with the smallest hash of their id), and lexicon entries kept.
 MAX_FIT_ROWS, MAX_ENTRIES = 12_000, 3000
@@ -200,6 +200,7 @@ def _featured(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
     """Learn from labels (doc_id, toxic) of docs; of repeated ids the largest label counts."""
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -237,6 +238,7 @@ def _scoring(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and n_clauses, the clauses that matched."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("score", "n_clauses").withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_clauses", T.LongType())])
     return kept.mapInArrow(_scoring(model), schema)

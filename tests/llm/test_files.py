@@ -23,8 +23,7 @@ def ids(corpus):
 def test_encoder_equals_whole_texts(corpus, ids):
     e = bpe.Encoder(bpe.default_path())
     assert e.ranked
-    slow = bpe.Encoder(bpe.default_path())
-    slow.ranked = None
+    slow = bpe.Encoder(bpe.default_path(), by_rank=False)
     for r, x in zip(corpus, ids, strict=True):
         assert np.frombuffer(e.encode(r[1] or ""), "<u4").tolist() == x == np.frombuffer(slow.encode(r[1] or ""), "<u4").tolist()
 
