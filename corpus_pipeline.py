@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from loomspark.llm import decontam, lang_ecoc, near_dedup, packing, quality_rules
 from loomspark.llm.shared import written
 
-#: Hit spans of fewer words than this (items that are a few common words) don't reject a document.
-LEAST_HIT = 8
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those whose two best languages are nearly as likely."""
@@ -39,11 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which a window of a benchmark item stands."""
+    """Rejects documents in which a window of a benchmark item stands; an item of fewer words than a window is one whole window."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.decontamination(docs, benchmark)
-    clean = F.expr(f"NOT exists(sequence(1, greatest(size(spans), 1)), i -> i % 2 = 0 AND get(spans, i - 1) - get(spans, i - 2) >= {LEAST_HIT})")
-    return found.where(clean).select(docs.columns)
+    return decontam.decontamination(docs, benchmark).where("NOT contaminated").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +52,7 @@ STAGES = [
     ("benchmark decontamination", decontamination),
     ("packing", pack),
 ]
-#: Learned rules, hashed components and tokenizers are beyond SQL; tests/llm compares the stages with brute force.
+#: Learned rules, hashed components and tokenizers are beyond SQL; tests/llm compares decontamination with brute force, the other stages' operators each for itself.
 ORACLE_SQL = None
 
 

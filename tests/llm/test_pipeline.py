@@ -1,3 +1,4 @@
+import brute
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -27,3 +28,16 @@ def test_empty_table_passes(spark):
     for _, stage in pipeline.STAGES:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.count() == 0
+
+
+def test_decontamination_by_items_of_every_length(spark, tmp_path):
+    """A verbatim item rejects a document, also one of fewer words than a window."""
+    words = [f"w{k}" for k in range(12)]
+    for n in range(1, 13):
+        items = [(n, " ".join(words[:n])), (99, None)]
+        spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+        rows = [(k, f"before {' '.join(words[:k]).upper()}, after") for k in range(14)] + [(50, None), (51, ""), (None, "w0 w1"), (52, "w1 w0 w1")]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        out = pipeline.decontamination(spark, docs, f"{tmp_path}/{n}").collect()
+        clean = [r for r in rows if not brute.contamination(r[1], items)[1]]
+        assert sorted(map(str, map(tuple, out))) == sorted(map(str, clean)) and 0 < len(clean) < len(rows)
