@@ -201,26 +201,56 @@ def traversal(entry: int, out: dict[int, list[int]]) -> tuple[dict[int, int], di
     return depth_first, wide, depth
 
 
+def _first_reached(start: int, without: int | None, most: int, out: dict[int, list[int]]) -> set[int]:
+    """What start reaches without going through a node; no more than `most` + 1 nodes are looked at."""
+    seen, todo = {start}, [start]
+    while todo and len(seen) <= most:
+        for m in out[todo.pop()]:
+            if m != without and m not in seen and len(seen) <= most:
+                seen.add(m)
+                todo.append(m)
+    return seen
+
+
 def single_entry_exit(entry: int, nodes: list[int], edges: Edges, most: int = 96) -> list[list[int]]:
-    """Regions between a node and the node that post-dominates it while dominated by it, that no loop crosses; smallest first. Graphs over `most` nodes: none."""
-    if len(nodes) > most:
-        return []
+    """Regions of 2 to `most` nodes that are entered at a node a alone and left to a node b alone, which post-dominates a; no edge leads back to a, and no loop
+    is partly inside. Larger ones first, then by a and b. A node from which no exit is reached is post-dominated by all; a graph without exits has no region.
+
+    The nodes are those that a dominates and b post-dominates. If there is a region, they are what a reaches without going through b, which grows with b
+    along a's post-dominators; so the walk ends once it has more than `most` nodes. What a dominates and b post-dominates beyond b lies on b's cycles or
+    reaches no exit.
+    """
     out, into = adjacency(nodes, edges)
-    idom, live = immediate_dominators(entry, out, into), reachable([entry], out)
-    post = post_dominators(nodes, out, into)
-    bodies = list(loops(entry, nodes, edges).values())
-    found = set()
-    for a in sorted(live):
-        b = post.get(a)
-        while b is not None:
-            if dominates(idom, a, b):
-                inner = frozenset(n for n in live if dominates(idom, a, n) and n != b and b in reachable([n], out) and (n == a or not dominates(idom, b, n)))
-                doors = [(x, y) for x, y in edges if y in inner and x not in inner and y != a]
-                leaks = [(x, y) for x, y in edges if x in inner and y not in inner and y != b]
-                if len(inner) > 1 and not doors and not leaks and all(inner >= body or not (inner & body) or inner <= body for body in bodies):
-                    found.add(inner)
-            b = post.get(b)
-    return sorted((sorted(r) for r in found), key=lambda r: (len(r), r))
+    ends = [n for n in nodes if not out[n]]
+    live, post, idom = reachable([entry], out), post_dominators(nodes, out, into), immediate_dominators(entry, out, into)
+    leaving = reachable(ends, into)
+    stuck = live - leaving
+    cycle = {n: part for part in strong_components(nodes, out) for n in part}
+    bodies = list(loops(entry, nodes, edges).values()) if ends else []
+    found: dict[frozenset[int], tuple[int, int]] = {}
+    for a in sorted(live) if ends else []:
+        exits = []
+        if a in leaving:
+            b = post.get(a)
+            while b is not None:
+                exits.append(b)
+                b = post.get(b)
+        else:
+            exits = sorted(_first_reached(a, None, most + 1, out) - {a})  # the exit of a region of `most` nodes is among the first most + 2
+        for b in exits:
+            inner = frozenset(_first_reached(a, b, most, out))
+            if len(inner) > most:
+                if a in leaving:
+                    break
+                continue
+            if len(inner) < 2 or any(a in out[n] for n in inner) or not any(b in out[n] for n in inner):
+                continue
+            if any(n != a and (n == entry or not inner.issuperset(into[n])) for n in inner) or any(inner & body and not inner >= body for body in bodies):
+                continue
+            if any(m not in inner and m != b and dominates(idom, a, m) and (m in stuck or dominates(post, b, m)) for m in (*cycle[b], *stuck)):
+                continue
+            found.setdefault(inner, (a, b))
+    return [sorted(r) for r, ab in sorted(found.items(), key=lambda x: (-len(x[0]), x[1]))]
 
 
 def loop_then_label_regions(entry: int, nodes: list[int], edges: Edges, label: dict[int, int]) -> list[tuple[int, list[int]]]:

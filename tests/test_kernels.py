@@ -142,3 +142,46 @@ def test_rounded_places():
 
     assert rounded_places(10, 4) == [0, 3, 6, 9] and rounded_places(3, 9) == [0, 1, 2] and rounded_places(9, 1) == [0] and rounded_places(0, 3) == []
     assert all(len(rounded_places(n, k)) == min(n, k) for n in range(12) for k in range(15))
+
+
+def brute_regions(entry, nodes, edges, most):
+    """The definition on sets: every pair of nodes, with dominance by taking nodes out."""
+    out, _ = G.adjacency(nodes, edges)
+    live, ends = G.reachable([entry], out), {n for n in nodes if not out[n]}
+    dom = {n: {a for a in live if a == n or n not in G.reachable([entry], out, without=a)} if n in live else {n} for n in nodes}
+    post = {n: {b for b in nodes if b == n or not G.reachable([n], out, without=b) & ends} if ends else {n} for n in nodes}
+    bodies = [set(x) for x in G.loops(entry, nodes, [e for e in edges if e[0] != e[1]]).values()]
+    found = []
+    for a in nodes:
+        for b in sorted(post[a] - {a}):
+            inner = {n for n in nodes if a in dom[n] and b in post[n] and n != b}
+            into, leaves = {y for x, y in edges if y in inner and x not in inner}, {y for x, y in edges if x in inner and y not in inner}
+            back, crossed = any(x in inner and y == a for x, y in edges), any(inner & body and inner & body != body for body in bodies)
+            if a in inner and 2 <= len(inner) <= most and not back and into <= {a} and leaves == {b} and not crossed:
+                found.append((-len(inner), a, b, sorted(inner)))
+    return [r for k, r in enumerate(x[3] for x in sorted(found)) if r not in [x[3] for x in sorted(found)][:k]]
+
+
+def test_single_entry_exit_finds_every_region():
+    arm = [(0, 1), (0, 4), (1, 2), (2, 3), (4, 3)]
+    assert [1, 2] in G.single_entry_exit(0, list(range(5)), arm)
+    rng, n_found = random.Random(8), 0
+    for _ in range(1500):
+        n = rng.randint(1, 9)
+        nodes = list(range(n))
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, n + 2))}
+        edges = sorted(edges | ({(k, k + 1) for k in range(n - 1) if rng.random() < 0.7} if rng.random() < 0.8 else set()))
+        for most in (96, 3):
+            found = G.single_entry_exit(0, nodes, edges, most)
+            assert found == brute_regions(0, nodes, edges, most)
+            n_found += len(found)
+    assert n_found > 1000
+
+
+def test_single_entry_exit_of_large_graphs():
+    """A chain of 60 diamonds, 181 nodes: the limit is on a region."""
+    edges = sorted(e for k in range(0, 180, 3) for e in ((k, k + 1), (k, k + 2), (k + 1, k + 3), (k + 2, k + 3)))
+    found = G.single_entry_exit(0, list(range(181)), edges)
+    # of each run of 1 to 32 diamonds one region without its last node, and a run's end is the next one's start
+    assert len(found) == sum(60 - k + 1 for k in range(1, 33)) and max(map(len, found)) == 96
+    assert found == brute_regions(0, list(range(181)), edges, 96)
