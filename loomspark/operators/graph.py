@@ -301,37 +301,77 @@ def compound_regions(nodes: list[int], edges: Edges, compound: dict[int, int], k
 
 
 #: Names of a block's features, in order.
-FEATURES = ["out_degree", "in_degree", "is_entry", "is_exit", "is_branch", "is_join", "loop_depth", "is_header", "dom_depth", "dfs_place", "bfs_place", "bfs_depth"]
+FEATURES = ["in_degree", "out_degree", "is_loop_header", "is_loop_exit", "dom_depth", "post_dom_depth", "size", "entropy", "has_call", "has_indirect_jump", "dfs_place", "bfs_place"]
+#: Columns of a block's own facts, as `block_facts` gives them.
+FACTS = ["n_instructions", "entropy", "has_call", "has_indirect_jump", "is_loop_exit"]
 
 
-def block_features(entry: int, nodes: list[int], edges: Edges) -> dict[int, list[float]]:
-    """FEATURES of each node. Depths and places are over n - 1 (loop depth over 8, capped); unreachable nodes have -1 there."""
-    out, into = adjacency(nodes, edges)
-    idom, found = immediate_dominators(entry, out, into), loops(entry, nodes, edges)
-    dfs, bfs, depth = traversal(entry, out)
-    scale = max(1, len(nodes) - 1)
-    dom_depth = {entry: 0}
-    for n in sorted(idom, key=lambda n: bfs[n]):
+def _tree_depths(root: int, nodes: list[int], idom: dict[int, int]) -> dict[int, float]:
+    """Steps to the root of a dominator tree; 1 for nodes outside it."""
+    depth = {root: 0}
+    for n in nodes:
         chain = [n]
-        while chain[-1] not in dom_depth:
+        while chain[-1] not in depth and chain[-1] in idom:
             chain.append(idom[chain[-1]])
-        for m in reversed(chain[:-1]):
-            dom_depth[m] = dom_depth[idom[m]] + 1
-    rows = {}
+        start = depth.setdefault(chain[-1], 1)
+        for k, m in enumerate(reversed(chain[:-1]), start + 1):
+            depth[m] = k
+    return {n: float(depth[n]) for n in nodes}
+
+
+def block_features(entry: int, nodes: list[int], edges: Edges, facts: dict[int, tuple[int, float, bool, bool, bool]] | None = None, back: set[tuple[int, int]] | None = None) -> dict[int, list[float]]:
+    """FEATURES of each node. facts: FACTS by block (a block without any has no instructions); back: edges of the back type, by default by the builder's notion.
+
+    Degrees count edges as given. A loop exit is the source of a back-typed edge to a loop header, or a block that is marked as one. Depths are steps in the
+    trees of the entry and of the first node without successors (the last node, if there is none); nodes that a tree does not hold have 1, and all 0
+    without edges. Sizes are over 64, places over n - 1; successors in the order of the edges, unreachable nodes behind the others by number.
+    """
+    out, into = adjacency(nodes, edges)
+    idom = immediate_dominators(entry, out, into)
+    headers = {b for a, b in edges if dominates(idom, b, a)}
+    leaving = {a for a, b in edges if b in headers and ((a, b) in back if back is not None else b <= a)}
+    last = next((n for n in nodes if not out[n]), nodes[-1])
+    depth, post = (_tree_depths(r, nodes, d) if edges else dict.fromkeys(nodes, 0.0) for r, d in ((entry, idom), (last, immediate_dominators(last, into, out))))
+    deep, todo = {}, [entry]
+    while todo:
+        n = todo.pop()
+        if n not in deep:
+            deep[n] = len(deep)
+            todo += reversed(out[n])
+    wide, line = {entry: 0}, deque([entry])
+    while line:
+        for m in out[line.popleft()]:
+            if m not in wide:
+                wide[m] = len(wide)
+                line.append(m)
+    for place in (deep, wide):
+        for n in nodes:
+            place.setdefault(n, len(place))
+    scale, rows = max(1, len(nodes) - 1), {}
     for n in nodes:
-        place = [dom_depth[n] / scale, dfs[n] / scale, bfs[n] / scale, depth[n] / scale] if n in bfs else [-1.0] * 4
-        inside = min(8, sum(n in b for b in found.values())) / 8
-        rows[n] = [float(len(out[n])), float(len(into[n])), float(n == entry), float(not out[n]), float(len(out[n]) > 1), float(len(into[n]) > 1), inside, float(n in found), *place]
+        size, entropy, call, jump, marked = (facts or {}).get(n, (0, 0.0, False, False, False))
+        flags = float(n in headers), float(n in leaving or bool(edges) and bool(marked))
+        rows[n] = [float(len(into[n])), float(len(out[n])), *flags, depth[n], post[n], size / 64, float(entropy), float(call), float(jump), deep[n] / scale, wide[n] / scale]
     return rows
 
 
+def block_facts(instructions: DataFrame, sample: str = "sample") -> DataFrame:
+    """One row (sample, facts) per graph out of instruction rows (sample, node, opcode, is_call, is_indirect_jump): structs of the node and FACTS, the entropy
+    of its opcodes in bits. No block is marked as a loop exit there."""
+    per = instructions.groupBy(sample, "node", "opcode").agg(F.count("*").alias("k"), F.max("is_call").alias("c"), F.max("is_indirect_jump").alias("j"))
+    # H = log2(n) - sum(k log2 k) / n
+    entropy = F.greatest(F.lit(0.0), F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k"))
+    blocks = per.groupBy(sample, "node").agg(F.sum("k").alias("n_instructions"), entropy.alias("entropy"), F.max("c").alias("has_call"), F.max("j").alias("has_indirect_jump")).withColumn("is_loop_exit", F.lit(False))
+    return blocks.groupBy(sample).agg(F.collect_list(F.struct("node", *FACTS)).alias("facts"))
+
+
 def shortest_paths(nodes: list[int], out: dict[int, list[int]]) -> list[tuple[int, int, int]]:
     """(from, to, steps) of all reachable pairs; for small graphs."""
     return [(n, m, d) for n in nodes for m, d in traversal(n, out)[2].items()]
 
 
-def per_graph(graphs: DataFrame, kernel: Callable[[int, list[int], Edges], list[tuple]], schema: str, sample: str = "sample") -> DataFrame:
-    """Rows (sample, *kernel's tuples); schema names the tuples' columns."""
+def per_graph(graphs: DataFrame, kernel: Callable[..., list[tuple]], schema: str, sample: str = "sample", more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (sample, *kernel's tuples); schema names the tuples' columns. The kernel gets the entry, nodes and edges, then the columns `more` as they are."""
     names = [c.split()[0] for c in schema.split(", ")]
     kind = dict(graphs.dtypes)[sample]
 
@@ -339,12 +379,12 @@ def per_graph(graphs: DataFrame, kernel: Callable[[int, list[int], Edges], list[
         for batch in batches:
             rows = [
                 (s, *r)
-                for s, entry, nodes, edges in zip(batch[sample], batch["entry"], batch["nodes"], batch["edges"], strict=True)
-                for r in kernel(int(entry), [int(n) for n in nodes], [(int(e["src"]), int(e["dst"])) for e in edges])
+                for s, entry, nodes, edges, *own in zip(batch[sample], batch["entry"], batch["nodes"], batch["edges"], *(batch[c] for c in more), strict=True)
+                for r in kernel(int(entry), [int(n) for n in nodes], [(int(e["src"]), int(e["dst"])) for e in edges], *own)
             ]
             yield pd.DataFrame(rows, columns=[sample, *names])
 
-    return graphs.select(sample, "entry", "nodes", "edges").mapInPandas(run, f"{sample} {kind}, {schema}")
+    return graphs.select(sample, "entry", "nodes", "edges", *more).mapInPandas(run, f"{sample} {kind}, {schema}")
 
 
 def back_edges(src: Column, dst: Column) -> Column:

@@ -104,10 +104,15 @@ def structural_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_features(spark: SparkSession, d: str) -> DataFrame:
-    def kernel(e, n, x):
-        return [(m, *f) for m, f in sorted(G.block_features(e, n, x).items())]
-
-    return G.per_graph(_graphs(spark, d), kernel, "node bigint, " + ", ".join(f"{f} double" for f in G.FEATURES))
+    def kernel(e, n, x, facts):
+        own = {int(f["node"]): tuple(f[c] for c in G.FACTS) for f in (facts if facts is not None else ())}
+        return [(m, *f) for m, f in sorted(G.block_features(e, n, x, own).items())]
+
+    # each event stands for an instruction of its type's block
+    opcode = F.col("event_id") % 7
+    instructions = _events(spark, d).select(F.col("user_id").alias("sample"), _number("event_type").alias("node"), opcode.alias("opcode"), (opcode == 0).alias("is_call"), (opcode == 1).alias("is_indirect_jump"))
+    graphs = _graphs(spark, d).join(G.block_facts(instructions), "sample", "left")
+    return G.per_graph(graphs, kernel, "node bigint, " + ", ".join(f"{f} double" for f in G.FEATURES), more=("facts",))
 
 
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
