@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -17,7 +18,7 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 def sinkhorn(cost: np.ndarray, epsilon: float = 0.1, rounds: int = 20, a: np.ndarray | None = None, b: np.ndarray | None = None) -> np.ndarray:
     """Entropic transport plan in the log domain; uniform marginals unless given."""
     n, m = cost.shape
-    la, lb = np.log(a if a is not None else np.full(n, 1 / n)), np.log(b if b is not None else np.full(m, 1 / m))
+    la, lb = np.log(np.maximum(a, 1e-30) if a is not None else np.full(n, 1 / n)), np.log(np.maximum(b, 1e-30) if b is not None else np.full(m, 1 / m))
     f, g, k = np.zeros(n), np.zeros(m), -cost / epsilon
     for _ in range(rounds):
         f = la - _logsumexp(k + g[None, :], 1)
@@ -25,12 +26,21 @@ def sinkhorn(cost: np.ndarray, epsilon: float = 0.1, rounds: int = 20, a: np.nda
     return np.exp(k + f[:, None] + g[None, :])
 
 
-def structured_sinkhorn(cost: np.ndarray, ga: np.ndarray, gb: np.ndarray, weight: float = 0.5, outer: int = 5, epsilon: float = 0.1, rounds: int = 20) -> np.ndarray:
-    """Repeats transport with a cost that pulls neighbours (adjacency ga, gb) to neighbours under the last plan."""
-    plan = sinkhorn(cost, epsilon, rounds)
+def structured_sinkhorn(
+    cost: np.ndarray, ga: np.ndarray, gb: np.ndarray, weight: float = 0.1, outer: int = 5, epsilon: float = 0.05, rounds: int = 20,
+    a: np.ndarray | None = None, b: np.ndarray | None = None, penalty: np.ndarray | None = None, penalty_weight: float = 0.3,
+) -> np.ndarray:
+    """Transport whose cost grows by a penalty of unlike types, and by the gradient of mass that sends neighbours (adjacency ga) to rows of gb that are none.
+
+    Each round adds weight * (ga M far + ga' M far') to the first cost, far being 1 - gb with a zero diagonal: a node is no stranger to itself.
+    """
+    if penalty is not None:
+        cost = cost + penalty_weight * penalty
+    far = 1.0 - gb
+    np.fill_diagonal(far, 0.0)
+    plan = sinkhorn(cost, epsilon, rounds, a, b)
     for _ in range(outer):
-        carried = ga @ (plan / np.maximum(plan.sum(1, keepdims=True), 1e-12)) @ gb.T
-        plan = sinkhorn(cost - weight * carried / max(carried.max(), 1e-12), epsilon, rounds)
+        plan = sinkhorn(cost + weight * (ga @ plan @ far + ga.T @ plan @ far.T), epsilon, rounds, a, b)
     return plan
 
 
@@ -125,18 +135,30 @@ def cosine_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - a @ b.T
 
 
-def per_pair_of_sets(df: DataFrame, group: str, side: str, key: str, vector: str, kernel: Callable[[np.ndarray, np.ndarray], list[tuple[int, int, float]]]) -> DataFrame:
-    """Rows (group, a, b, value): kernel gets the vectors of side 0 and side 1 of a group, in the order of their keys. A group is one function or region pair."""
+def per_pair_of_sets(df: DataFrame, group: str, side: str, key: str, vector: str, kernel: Callable[..., list[tuple[int, int, float]]], mass: str | None = None, penalty: DataFrame | None = None) -> DataFrame:
+    """Rows (group, a, b, value): kernel gets the vectors of side 0 and side 1 of a group, in the order of their keys. A group is one function or region pair.
+
+    With mass (a column) or penalty (rows group, a, b, penalty; pairs without a row have 1) it gets both sides' shares of mass and the matrix, too, None for what is not given."""
     kind = dict(df.dtypes)
+    none = pd.DataFrame({group: [], "a": [], "b": [], "value": []})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, costs: pd.DataFrame | None = None) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         parts = [pdf[pdf[side] == s] for s in (0, 1)]
         if not len(parts[0]) or not len(parts[1]):
-            return pd.DataFrame({group: [], "a": [], "b": [], "value": []})
+            return none
         x, y = (np.stack(p[vector].map(np.asarray).tolist()).astype(float) for p in parts)
-        rows = kernel(x, y)
         ids = [p[key].to_numpy() for p in parts]
+        more = ()
+        if mass is not None or costs is not None:
+            shares = [p[mass].to_numpy(float) / p[mass].sum() for p in parts] if mass is not None else (None, None)
+            more = (*shares, None if costs is None else costs.set_index(["a", "b"])["penalty"].reindex(pd.MultiIndex.from_product(ids), fill_value=1.0).to_numpy(float).reshape(len(x), len(y)))
+        rows = kernel(x, y, *more)
         return pd.DataFrame({group: [pdf[group].iloc[0]] * len(rows), "a": [ids[0][i] for i, _, _ in rows], "b": [ids[1][j] for _, j, _ in rows], "value": [v for _, _, v in rows]})
 
-    return df.select(group, side, key, vector).groupBy(group).applyInPandas(run, f"{group} {kind[group]}, a {kind[key]}, b {kind[key]}, value double")
+    rows = df.select(group, side, key, vector, *([mass] if mass else []))
+    schema = f"{group} {kind[group]}, a {kind[key]}, b {kind[key]}, value double"
+    if penalty is None:
+        return rows.groupBy(group).applyInPandas(lambda pdf: run(pdf), schema)
+    own = penalty.select(F.col(group).alias("_group"), "a", "b", "penalty").groupBy("_group")  # both tables may come from one
+    return rows.groupBy(group).cogroup(own).applyInPandas(lambda pdf, costs: run(pdf, costs), schema)

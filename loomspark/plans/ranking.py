@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import scores as S
 from loomspark.functions import text as T
+from loomspark.operators import labels as L
 from loomspark.operators import ranking as R
 from loomspark.operators import retrieval as E
 from loomspark.operators import transport as O
@@ -168,12 +169,17 @@ def sinkhorn_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structured_plan(spark: SparkSession, d: str) -> DataFrame:
-    def kernel(x, y):
-        chain = lambda n: np.eye(n, k=1) + np.eye(n, k=-1)
-        p = O.structured_sinkhorn(O.cosine_cost(x, y), chain(len(x)), chain(len(y)))
+    def kernel(x, y, a, b, penalty):
+        p = O.structured_sinkhorn(O.cosine_cost(x, y), np.eye(len(x), k=1), np.eye(len(y), k=1), a=a, b=b, penalty=penalty)
         return [(i, j, float(p[i, j])) for i in range(len(x)) for j in range(len(y))]
 
-    return O.per_pair_of_sets(_sides(spark, d), "label", "side", "vec_id", "embedding", kernel)
+    # side 0 are blocks with shares of two roles, side 1 statements with a type; chains in the order of the keys
+    sides = _sides(spark, d).withColumn("mass", 1 + F.col("vec_id") % 3)
+    blocks, v = sides.where("side = 0").select("label", F.col("vec_id").alias("b")), F.col("b")
+    shares = blocks.select("label", "b", (v % 10).cast("int").alias("role"), F.lit(0.75).alias("p")).union(blocks.select("label", "b", ((v + 3) % 10).cast("int"), F.lit(0.25)))
+    statements = sides.where("side = 1").select("label", F.col("vec_id").alias("s"), (F.col("vec_id") % 16).cast("int").alias("ast"))
+    penalty = L.type_penalty(shares, statements, spark, ["label"]).select("label", F.col("b").alias("a"), F.col("s").alias("b"), "penalty")
+    return O.per_pair_of_sets(sides, "label", "side", "vec_id", "embedding", kernel, "mass", penalty)
 
 
 def hungarian(spark: SparkSession, d: str) -> DataFrame:
