@@ -65,6 +65,58 @@ def batch_losses(df: DataFrame, batch: str, key: str, a: str, b: str, uid: str,
     return df.select(batch, key, a, b, uid).groupBy(batch).applyInArrow(run, f"{batch} {kind}, n bigint, infonce double, masked double")
 
 
+def negative_vectors(found: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, negatives): the vectors of the rows that `hard_negatives` found (key, rank, other), by rank."""
+    v = vectors.select(F.col(key).alias("other"), F.col(vector).cast("array<double>").alias("_v"))
+    per = found.select(key, "rank", "other").join(v, "other").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("_v").alias("v")))).alias("_n"))  # k per key
+    return per.select(key, F.col("_n.v").alias("negatives"))
+
+
+def graph_contrast(df: DataFrame, batch: str, key: str, a: str, b: str, uid: str, mode: str = "mask_neg", tau: float = 0.07, negatives_b: str | None = None, negatives_a: str | None = None) -> DataFrame:
+    """Per batch (a bounded number of pairs) the symmetric loss of normed vectors: (batch, n, loss).
+
+    `mask_neg` leaves other pairs of the same uid out of the denominators; in `multi_positive` all of them are positives, over whose number the log shares
+    are averaged. negatives_b and negatives_a are columns of vectors (array<array<double>>, any number in a row): of side b for a row's a, of side a for its
+    b; they are further columns of the denominators and never positive. A batch of one pair has 1 - cosine.
+    """
+    if mode not in ("mask_neg", "multi_positive"):
+        raise ValueError(f"unknown mode: {mode}")
+    extra = [c for c in (negatives_b, negatives_a) if c]
+
+    def normed(v: list) -> np.ndarray:
+        x = np.asarray(v, float)
+        return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+    def columns(anchors: np.ndarray, rows: list) -> np.ndarray:
+        out = np.full((len(rows), max((len(r) for r in rows if r), default=0)), -np.inf)
+        for k, r in enumerate(rows):
+            if r:
+                out[k, : len(r)] = normed(r) @ anchors[k] / tau
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(key)
+        x, y = (normed(table[c].to_pylist()) for c in (a, b))
+        n, u = len(x), np.asarray(table[uid])
+        same = u[:, None] == u[None, :]
+        if n == 1:
+            total = float(1 - (x * y).sum())
+        else:
+            logits, losses = x @ y.T / tau, []
+            if mode == "mask_neg":
+                logits, same = np.where(same & ~np.eye(n, dtype=bool), -np.inf, logits), np.eye(n, dtype=bool)
+            for z, anchors, c in ((logits, x, negatives_b), (logits.T, y, negatives_a)):
+                wide = np.hstack([z, columns(anchors, table[c].to_pylist())]) if c else z
+                m = wide.max(1, keepdims=True)
+                share = z - m - np.log(np.exp(wide - m).sum(1, keepdims=True))
+                losses.append(-(np.where(same, share, 0.0).sum(1) / same.sum(1)).mean())
+            total = float(sum(losses) / 2)
+        return pa.table({batch: table[batch].slice(0, 1), "n": pa.array([n], pa.int64()), "loss": [total]})
+
+    kind = dict(df.dtypes)[batch]
+    return df.select(batch, key, a, b, uid, *extra).groupBy(batch).applyInArrow(run, f"{batch} {kind}, n bigint, loss double")
+
+
 def type_penalty(shares: DataFrame, compatible: DataFrame, by: list[str], kind: str, other: str) -> DataFrame:
     """1 - the mass of kinds compatible with each other kind: joins a bridge table, so only compatible pairs meet. What is compatible with nothing has no row (its penalty is 1)."""
     mass = shares.join(compatible, kind).groupBy(*by, other).agg(F.sum("p").alias("_c"))

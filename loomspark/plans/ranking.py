@@ -156,6 +156,23 @@ def graph_contrast_mask(spark: SparkSession, d: str) -> DataFrame:
     return E.batch_losses(_pairs(spark, d), "batch", "vec_id", "a", "b", "label").select("batch", "n", F.round("masked", 4).alias("masked"))
 
 
+def _with_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with the five nearest rows of other labels, for both sides; a pair's b is the row after its a."""
+    near = E.negative_vectors(hard_negatives_topk(spark, d), read(spark, d, "embeddings"), "vec_id", "embedding")
+    after = near.select((F.col("vec_id") - 1).alias("vec_id"), F.col("negatives").alias("near_b"))
+    return _pairs(spark, d).join(near.withColumnRenamed("negatives", "near_a"), "vec_id", "left").join(after, "vec_id", "left")
+
+
+def graph_contrast_multi_positive(spark: SparkSession, d: str) -> DataFrame:
+    out = E.graph_contrast(_with_negatives(spark, d), "batch", "vec_id", "a", "b", "label", "multi_positive", 0.07, "near_a", "near_b")
+    return out.select("batch", "n", F.round("loss", 4).alias("loss"))
+
+
+def graph_contrast_hard(spark: SparkSession, d: str) -> DataFrame:
+    out = E.graph_contrast(_with_negatives(spark, d), "batch", "vec_id", "a", "b", "label", "mask_neg", 0.07, "near_a", "near_b")
+    return out.select("batch", "n", F.round("loss", 4).alias("loss"))
+
+
 def _sides(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select("label", (F.pmod(F.xxhash64("vec_id"), F.lit(2))).cast("int").alias("side"), "vec_id", "embedding")
 
@@ -202,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         soft_targets, ranker_pool_select, best_candidate, capped_candidates, hard_negative_cap, oracle_hits, preference_pairs, tier_ladder_bucket, candidate_families, validator_scores, binary_scores, compact_pool, edit_similarity,
-        lcs_f1, sequence_edit_distance, js_divergence, token_ids_crc32, value_buckets, text_rules, rewards, hard_negatives_topk, infonce, graph_contrast_mask, sinkhorn_plan, structured_plan, hungarian, greedy_pairs,
+        lcs_f1, sequence_edit_distance, js_divergence, token_ids_crc32, value_buckets, text_rules, rewards, hard_negatives_topk, infonce, graph_contrast_mask, graph_contrast_multi_positive, graph_contrast_hard, sinkhorn_plan, structured_plan, hungarian, greedy_pairs,
     )
 }
 
