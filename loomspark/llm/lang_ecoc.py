@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ BUCKETS = 1 << 13
 GRAMS = 4
 #: Rows per language that the classifiers are fitted on, at most; the ones with the smallest hash of id and text. Bytes of each that count.
 MAX_FIT_ROWS, MAX_FIT_BYTES = 500, 10_000
+#: Rows that are fitted on in all: with more languages each has fewer, one at least. The fit holds matrices of this many rows squared.
+MAX_FIT_TOTAL = 4000
 #: Bytes that are hashed at a time; longer texts add up over parts.
 PART = 4 << 20
 AMBIGUOUS = 0.6
@@ -73,7 +75,9 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     best, far = None, -1
     for _ in range(200):
         code = rng.permuted(np.tile(np.where(np.arange(n) % 2, 1, -1)[:, None], bits), axis=0).astype(np.int8)
-        least = min(int((code[a] != code[b]).sum()) for a, b in itertools.combinations(range(n), 2))
+        alike = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(alike, -bits)
+        least = (bits - int(alike.max())) // 2
         if least > far:
             best, far = code, least
     return best
@@ -90,7 +94,8 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, its share, and whether the result is ambiguous."""
         f = np.clip(x @ self.weights + self.bias, -3, 3)
-        loss = (np.exp(-f[:, None, :] * self.code[None]) * self.trust).sum(2) / max(self.trust.sum(), 1e-9)
+        # exp(-f * code) summed over bits, by the code's sign; nothing of rows x languages x bits is made
+        loss = ((np.exp(-f) * self.trust) @ (self.code > 0).T + (np.exp(f) * self.trust) @ (self.code < 0).T) / max(self.trust.sum(), 1e-9)
         share = np.exp(-6 * (loss - loss.min(1, keepdims=True)))
         share /= share.sum(1, keepdims=True)
         best = loss.argmin(1)
@@ -107,11 +112,16 @@ def fit(rows: list[tuple[bytes, str]], ridge: float = 0.3) -> Model | None:
     x = np.empty((len(rows), BUCKETS), np.float32)
     for k, (t, _) in enumerate(rows):
         x[k] = features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
-    number = np.array([languages.index(lang) for _, lang in rows])
+    place = {lang: k for k, lang in enumerate(languages)}
+    number = np.array([place[lang] for _, lang in rows])
     y = code[number].astype(np.float64)
     balance = np.sqrt(len(rows) / (len(languages) * np.bincount(number, minlength=len(languages))))[number]
     # products of all rows, with a constant feature beside the n-grams; nothing else of the size of x is made
-    gram = (x @ x.T + 1).astype(np.float64) * balance[:, None] * balance[None, :]
+    gram = x @ x.T
+    gram += 1
+    gram = gram.astype(np.float64)
+    gram *= balance[:, None]
+    gram *= balance[None, :]
 
     def solve(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = gram[np.ix_(some, some)]
@@ -153,24 +163,24 @@ def _predicting(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return predict
 
 
-def fit_sample(docs: DataFrame, per_language: int = MAX_FIT_ROWS, most_languages: int = 64) -> Model | None:
-    """Fit on rows with a text and a lang: of each language the rows with the smallest hashes, `per_language` at most.
+def fit_sample(docs: DataFrame, per_language: int = MAX_FIT_ROWS, most_rows: int = MAX_FIT_TOTAL) -> Model | None:
+    """Fit on rows with a text and a lang: of every language the rows with the smallest hashes, `per_language` at most, and fewer of each where the
+    languages are so many that they would be over `most_rows` in all (but one of each at least).
 
-    Hashes cut the candidates to about 1.2 times that number on the executors before any text is sorted or sent.
+    Hashes cut the candidates to little more than that number on the executors before any text is sorted or sent.
     """
-    rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.length("text"), F.substring("text", 1, 200)), F.lit(1 << 30))
-    share = F.lit(float(1 << 30)) * (1.2 * per_language + 100) / F.col("count")
-    near = rows.join(F.broadcast(counts), "lang").withColumn("_h", h).where(F.col("_h") <= share)
+    rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").withColumn("_h", h)
+    # hashes, not rows: a language of a few rows that stand there often would have none below its share
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("count"))
+    each = max(1, min(per_language, most_rows // max(1, counts.count())))
+    share = F.lit(float(1 << 30)) * (each + 6 * each**0.5 + 20) / F.col("count")
+    near = rows.join(F.broadcast(counts), "lang").where(F.col("_h") <= share)
     near = near.select("lang", "_h", F.expr(f"substring(encode(text, 'UTF-8'), 1, {MAX_FIT_BYTES})").alias("text"))
-    # a few hundred rows per language by construction; the limit below holds even if many rows share a hash
-    found = near.orderBy("_h", "lang", "text").limit(2 * most_languages * (per_language + 100)).toLocalIterator()
-    taken: dict[str, list[bytes]] = {}
-    for r in found:
-        if len(taken.setdefault(r["lang"], [])) < per_language:
-            taken[r["lang"]].append(bytes(r["text"]))
-    return fit([(t, lang) for lang in sorted(taken) for t in taken[lang]])
+    # a few hundred rows per language by construction; the window sorts, so many rows of one hash are held nowhere
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
+    found = near.withColumn("_k", first).where(F.col("_k") <= each).select("lang", "_h", "text").collect()
+    return fit([(t, lang) for lang, _, t in sorted((r["lang"], r["_h"], bytes(r["text"])) for r in found)])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
