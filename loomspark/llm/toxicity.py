@@ -34,6 +34,8 @@ from .shared import small_batches, written
 MAX_FIT_ROWS, MAX_ENTRIES = 12_000, 3000
 STEMS = (5, 7)
 LEAST_EVIDENCE = 16.0
+#: Log ratio of a word's shares of toxic and of clean rows that an entry must exceed; it does not depend on the mix of labels.
+LEAST_LOG_ODDS = 0.8
 SPAN = 160
 SCOPE = 3  # words over which a negation reaches
 NEAR = 4  # words between an insult and its target
@@ -217,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Mod
     # log-likelihood ratio of a word's labels against all labels
     rate = F.col("p") / (F.col("p") + F.col("n"))
     g = 2 * (F.col("p") * F.log(rate / share) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - rate) / (1 - share))).otherwise(0.0))
-    best = words.where("p > 0").withColumn("g", g).where((F.col("g") >= LEAST_EVIDENCE) & (rate > 2 * share)).orderBy(F.desc("g"), "word").limit(MAX_ENTRIES)
+    odds = F.log((F.col("p") + 1) / (p + 2)) - F.log((F.col("n") + 1) / (n + 2))  # as Lexicon.weight
+    best = words.where("p > 0").withColumn("g", g).where((F.col("g") >= LEAST_EVIDENCE) & (odds > LEAST_LOG_ODDS)).orderBy(F.desc("g"), "word").limit(MAX_ENTRIES)
     lexicon = Lexicon(p, n, {r["word"]: (r["p"], r["n"]) for r in best.collect()})
     rows = sample.mapInArrow(_featured(lexicon), "toxic int, x array<double>").limit(max_rows).collect()
     x, y = np.array([r["x"] for r in rows]).reshape(len(rows), WIDTH), np.array([r["toxic"] for r in rows], float)
