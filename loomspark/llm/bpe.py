@@ -1,4 +1,8 @@
-"""Token ids of whole texts by a public byte-level BPE file, encoded piece by piece with a bounded memory of pieces."""
+"""Token ids of whole texts by a public byte-level BPE file, encoded piece by piece with a bounded memory of pieces.
+
+An encoder reads the strings of the file's special tokens in a text as these tokens, as the library does by default, or with `special=False`
+as ordinary text. An empty text has no ids; texts of any length are encoded whole.
+"""
 
 from __future__ import annotations
 
@@ -28,8 +32,10 @@ class Encoder:
     """Ids as little-endian uint32 bytes. A byte-level BPE file splits text by a pattern in which a single space between other characters
     always begins a new word, so a text is the sequence of its pieces there and each different piece is encoded once."""
 
-    def __init__(self, path: str, by_rank: bool = True):
-        self.path, self.known, self.ranked, self._tokenizer = path, {}, None, None
+    def __init__(self, path: str, by_rank: bool = True, special: bool = True):
+        self.path, self.known, self.ranked, self._tokenizer, self.special = path, {}, None, None, special
+        with open(path, encoding="utf-8") as f:
+            self.marks = [t["content"] for t in json.load(f).get("added_tokens", [])]
         if by_rank and array("I").itemsize == 4 and sys.byteorder == "little":
             self.ranked = self._ranked(path)
 
@@ -41,7 +47,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_file(self.path)
-            self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+            self._tokenizer.encode_special_tokens = not self.special  # else their strings in a text are ordinary text
         return self._tokenizer
 
     def _ranked(self, path: str):
@@ -70,6 +76,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.special and any(x in text for x in self.marks):  # the library splits there first
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _UNSAFE.search(text):
             return self._encode([text])[0]
         first, *rest = text.split(" ")
@@ -97,11 +105,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special: bool = True) -> Encoder:
+    """One per worker, file and reading of special tokens."""
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special=special)
+    return _encoders[path, special]

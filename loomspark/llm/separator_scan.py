@@ -3,15 +3,17 @@
 A flat file is a run of little-endian uint16 ids in which each document is closed by an end-of-document id; there is no index. It is read
 in blocks of equal size. Each block is searched at once for the separator; what it reports - its ids, its separators and their places, the ids
 behind the last one - is all that stitching needs. A prefix scan over the blocks of a file carries over the open document and numbers the
-documents. The scan has two levels (SUPER blocks each), so a file of any length never meets in one task.
+documents. The scan has two levels (SUPER blocks each), so a file of any length never meets in one task. The ids are read once: what the blocks
+report is written, and the scan's steps read that.
 
 Cases: an empty file or table has no documents; two separators in a row are an empty document; ids behind the last separator are one
-document that isn't closed. A null or empty text is an empty document. Repeated rows are documents of their own. Ids over 65,535 don't fit and fail.
+document that isn't closed. The separator's own string in a text is ordinary text, so only ends of documents are separators. A null or empty text is an empty document. Repeated rows are documents of their own. Ids over 65,535 don't fit and fail.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import slices
 from .bpe import default_path, encoder
-from .shared import shared_path, small_batches
+from .shared import shared_path, small_batches, written
 
 SEPARATOR = 50256
 #: Ids in a block.
@@ -33,7 +35,7 @@ def _flattening(path: str, separator: int, block: int) -> Callable[[Iterator[pa.
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file, number, enc, close, rest = TaskContext.get().partitionId(), 0, encoder(path), np.array([separator], "<u2").tobytes(), b""
+        file, number, enc, close, rest = TaskContext.get().partitionId(), 0, encoder(path, special=False), np.array([separator], "<u2").tobytes(), b""
 
         def out(data: list[bytes]) -> pa.RecordBatch:
             nonlocal number
@@ -65,12 +67,28 @@ def read_flat(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_flat_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks of plain binary files (each fits in a task's memory); `file` numbers them in the order of their hashed names."""
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
-    n = F.ceil(F.octet_length("content") / (2 * block)).cast("int")
-    cut = files.where("octet_length(content) > 0").withColumn("block", F.explode(F.sequence(F.lit(0), n - 1)))
-    return cut.select("file", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, block * {2 * block} + 1, {2 * block})").alias("data"))
+def _reading(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, number, first, count in zip(*(batch[c].to_pylist() for c in ("path", "file", "first", "count")), strict=True):
+                store, name = fs.FileSystem.from_uri(quote(path, safe=":/%") if "://" in path or path.startswith("file:") else f"file://{quote(path)}")
+                with store.open_input_file(name) as f:
+                    for k in range(first, first + count):
+                        data = f.read_at(2 * block, 2 * block * k)
+                        yield pa.record_batch([pa.array([number]), pa.array([k]), pa.array([data], pa.binary())], ["file", "block", "data"])
+
+    return read
+
+
+def read_flat_files(spark: SparkSession, path: str, block: int = BLOCK, run: int = 256) -> DataFrame:
+    """Blocks of plain binary files of any size; `file` is a hash of the name. Spark lists names and lengths only; tasks then read byte ranges of
+    `run` blocks (through Arrow's file systems: local, HDFS and object stores)."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("file"), F.ceil(F.col("length") / (2 * block)).alias("n"))
+    runs = files.where("n > 0").select("path", "file", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(run).cast("long"))).alias("first"))
+    runs = runs.select("path", "file", "first", F.least(F.lit(run).cast("long"), F.col("n") - F.col("first")).alias("count"))
+    return runs.repartition("path", "first").mapInArrow(_reading(block), "file bigint, block bigint, data binary")
 
 
 def _searching(separator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -107,7 +125,7 @@ def _scan(rows: DataFrame, by: list[str], order: str) -> DataFrame:
 
 def documents_of(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """Rows: file, doc (its number in the file), start (ids before it), n_tokens (without the separator), closed."""
-    found = blocks.select("file", "block", "data").mapInArrow(_searching(separator), "file bigint, block bigint, n bigint, k bigint, tail bigint, at array<bigint>")
+    found = written(blocks.select("file", "block", "data").mapInArrow(_searching(separator), "file bigint, block bigint, n bigint, k bigint, tail bigint, at array<bigint>"), "separators")
     inner = _scan(found.withColumn("super", F.floor(F.col("block") / SUPER).cast("long")), ["file", "super"], "block")
     inner = inner.withColumnsRenamed({"ids": "ids_in", "docs": "docs_in", "open": "open_in"})
     # a super block's tail: the tails since its latest block with a separator, that block's own included

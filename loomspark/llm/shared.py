@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (as in local tests) a temporary folder, set for the context."""
+    """spark.checkpoint.dir of the session; only where it is unset and all runs on this machine (as in local tests) a temporary folder, set for the context."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         now = sc._jsc.sc().getCheckpointDir()
         if now.isDefined():
             return now.get()
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomspark-")
         sc.setCheckpointDir(found)
     return found
@@ -30,7 +32,17 @@ def written(df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["shared_path"] = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["shared_path"])
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -3,6 +3,7 @@
 import zlib
 from collections import defaultdict
 
+import brute
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,27 +14,48 @@ from loomspark.llm import bpe, chat_views, packing, separator_scan, warc_store
 from loomspark.llm.shared import shared_path
 
 
+MARKED = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endof text|>", "x <|endoftext|>" * 700, "word " * 60_000 + "<|endoftext|>"]
+
+
+@pytest.fixture(scope="module")
+def marked(corpus):
+    """Texts with the strings of special tokens beside the others; the last is over 300 kB."""
+    return [*corpus, *[(1000 + k, t, "x", None, 1) for k, t in enumerate(MARKED)]]
+
+
 @pytest.fixture(scope="module")
-def ids(corpus):
+def ids(marked):
+    return brute.tokens([r[1] for r in marked])
+
+
+@pytest.fixture(scope="module")
+def plain_ids(marked):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    return [t.encode(r[1] or "", add_special_tokens=False).ids for r in corpus]
+    return [t.encode(r[1] or "", add_special_tokens=False).ids for r in marked]
+
+
+@pytest.fixture(scope="module")
+def marked_docs(spark, marked):
+    return spark.createDataFrame(marked, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).cache()
 
 
-def test_encoder_equals_whole_texts(corpus, ids):
-    e = bpe.Encoder(bpe.default_path())
-    assert e.ranked
-    slow = bpe.Encoder(bpe.default_path(), by_rank=False)
-    for r, x in zip(corpus, ids, strict=True):
-        assert np.frombuffer(e.encode(r[1] or ""), "<u4").tolist() == x == np.frombuffer(slow.encode(r[1] or ""), "<u4").tolist()
+def test_encoders_equal_the_library(marked, ids, plain_ids):
+    assert bpe.Encoder(bpe.default_path()).ranked
+    for special, expected in ((True, ids), (False, plain_ids)):
+        for by_rank in (True, False):
+            e = bpe.Encoder(bpe.default_path(), by_rank, special)
+            for r, x in zip(marked, expected, strict=True):
+                assert np.frombuffer(e.encode(r[1] or ""), "<u4").tolist() == x
+    assert ids[len(ids) - len(MARKED)] == [31373, 220, 50256, 995]
 
 
-def test_packing_covers_every_id_once(docs, corpus, ids, empty):
+def test_packing_covers_every_id_once(marked_docs, marked, ids, empty):
     expected = defaultdict(list)
-    for r, x in zip(corpus, ids, strict=True):
+    for r, x in zip(marked, ids, strict=True):
         expected[r[0]].append(np.array([*x, 1], "<u4"))
     for stretch in (packing.STRETCH, 5000):
-        out = packing.pack(docs, stretch=stretch).collect()
+        out = packing.pack(marked_docs, stretch=stretch).collect()
         seen, sequences = defaultdict(int), defaultdict(list)
         for p in out:
             assert any(len(x) == p.doc_tokens and zlib.crc32(x[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for x in expected[p.doc_id])
@@ -67,16 +89,16 @@ def test_cuts_are_the_cheapest():
         assert total == best[-1]
 
 
-def test_separator_scan(spark, docs, corpus, ids, empty):
+def test_separator_scan(spark, marked_docs, plain_ids, empty):
     for block, size in ((separator_scan.BLOCK, 1024), (64, 3), (5, 2)):
         separator_scan.SUPER, before = size, separator_scan.SUPER
         try:
             path = shared_path(spark, "test-flat")
-            separator_scan.write_flat(docs, path, block=block)
+            separator_scan.write_flat(marked_docs, path, block=block)
             out = separator_scan.documents_of(separator_scan.read_flat(spark, path)).orderBy("file", "doc").collect()
         finally:
             separator_scan.SUPER = before
-        assert sorted(r.n_tokens for r in out) == sorted(map(len, ids)) and all(r.closed for r in out)
+        assert sorted(r.n_tokens for r in out) == sorted(map(len, plain_ids)) and all(r.closed for r in out)
         at = {}
         for r in out:
             doc, start = at.get(r.file, (0, 0))
@@ -98,7 +120,7 @@ def test_separator_scan_of_plain_files(spark, tmp_path):
         expected += [(a + 1, b - a - 1, True) for a, b in zip(ends, ends[1:], strict=False)]
         if ends[-1] < len(x) - 1:
             expected.append((ends[-1] + 1, len(x) - 1 - ends[-1], False))
-    out = separator_scan.documents_of(separator_scan.read_flat_files(spark, str(tmp_path), block=256)).collect()
+    out = separator_scan.documents_of(separator_scan.read_flat_files(spark, str(tmp_path), block=256, run=3)).collect()
     assert sorted((r.start, r.n_tokens, r.closed) for r in out) == sorted(expected)
 
 
