@@ -5,37 +5,46 @@ rounds each shingle is hashed to a bin and a value, in the second BINS rounds al
 2 * BINS rounds at the latest; a value carries its round in its top bits, so a bin keeps the smallest value of its first round.
 BANDS bands of ROWS bins give candidate pairs; at a similarity of 0.75 a pair shares no band with a chance of about 5e-6.
 
-1. Equal sets collapse to one key (a 128-bit digest of the sorted set), so copies cost nothing from here on.
+1. Equal sets collapse to one key (a 128-bit digest of the sorted set behind the smallest id that has it), so copies cost nothing from here on.
 2. In each band's bucket every member is compared with the smallest key (a star, not all pairs), on full sets.
-3. The links give components. Where two members of a bucket other than its smallest key still lie in different components, all pairs
-   over different components in that bucket are compared too, block by block, on full sets; so the star loses no link.
-4. Components by contraction: nodes hook to their smallest neighbour, labels jump, edges between labels are contracted until none is left.
+3. The links give components. A bucket whose members other than its smallest key still lie in different components is open. All links among the
+   members of open buckets are found exactly, by their rare shingles: of n shingles, ordered by how many open members have them, two sets of similarity 0.75 share
+   one of the first n - ceil(0.75 n) + 1 of both. So what members have in common as boilerplate pairs nobody; only members of different components that
+   share a rare shingle are compared, on full sets. A rare shingle of over BLOCK members is dealt to chunks and each pair of chunks is compared once, in a
+   group of at most about 2 * BLOCK members.
+4. Components by contraction: nodes hook to their smallest neighbour, labels jump, edges between labels are contracted until none is left. As keys
+   begin with the smallest id, the label of a component names its component_id.
 
-No bucket or group meets in one task: stars are joins that adaptive execution can split, and step 3 deals a bucket over blocks.
+No bucket or group meets in one task: stars are joins that adaptive execution can split, and the groups of step 3 are bounded. How often a shingle occurs among
+open members is counted in COUNTERS counters (4 MB, whatever the input), so the order is the same for all; its quality only decides how much is compared.
 
 Cases: a null or empty text, or one without words, has no set; its component is its own doc_id. A text of fewer than 5 words has its
 whole sequence as one shingle. Repeated rows keep their rows and share a component; a null doc_id never becomes a component's id
-unless all members have none. Extra columns are ignored.
+unless all members have none. Of ties any order gives the same rows. An empty table gives an empty result. Very long texts are hashed in parts. Extra columns
+are ignored, but for those named in `carry`.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import mix, shingle_hashes, slices, text_bytes, word_hashes
-from .shared import small_batches, written
+from .shared import removed, small_batches, written
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 BANDS = BINS // ROWS
 NUMERATOR, DENOMINATOR = 75, 100
-#: Members of a bucket that are compared with its smaller components in one task.
+#: Members of a chunk; two chunks are compared in one group.
 BLOCK = 256
+#: Counters of shingles: a shingle's frequency is that of its counter.
+COUNTERS = 1 << 20
 #: Candidate ids up to this number are broadcast (8 bytes each) to pick their texts; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -87,14 +96,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = band_keys(sketches(sets))
             full = np.array([len(s) > 0 for s in sets])
             offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
-            yield pa.record_batch(
-                {
-                    "doc_id": part["doc_id"],
-                    "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "key": pa.array([key_of(s) for s in sets], pa.binary()),
-                    "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[full].ravel())),
-                }
-            )
+            names = [c for c in part.schema.names if c != "text"]
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[full].ravel()))]
+            yield pa.record_batch([*(part[c] for c in names), *own], [*names, "n", "digest", "bands"])
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,23 +107,16 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = sets_of(part["text"])
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.record_batch({"key": pa.array([key_of(s) for s in sets], pa.binary()), "s": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))})
+            yield pa.record_batch({"digest": pa.array([key_of(s) for s in sets], pa.binary()), "s": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))})
 
 
-def links_within(keys: list[bytes], sets: list[np.ndarray], comps: list[bytes], minor: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Links between members of different components of which at least one is minor; enough of them to join what they join.
+def links_within(keys: list[bytes], sets: list[np.ndarray], comps: list[bytes], side: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links between members of different components, those of side 0 with those of side 1, or if all are of side 0, among each other; enough of them to
+    join what they join.
 
-    Intersections come from products of incidence rows, a bounded number of minor rows at a time.
+    Intersections come from products of incidence rows over the shingles that two members have at least, a bounded number of rows at a time.
     """
     sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-    shingles, where = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    # a shingle that one member alone has adds to no intersection
-    shared = np.bincount(where, minlength=len(shingles)) > 1
-    take = shared[where]
-    column, owner = (np.cumsum(shared) - 1)[where[take]], owner[take]
-    width = int(shared.sum())
     root = {c: c for c in comps}
 
     def top(c: bytes) -> bytes:
@@ -128,32 +125,104 @@ def links_within(keys: list[bytes], sets: list[np.ndarray], comps: list[bytes],
         return c
 
     out = []
-    step = max(1, min(len(sets), 16_000_000 // max(width, 1)))
-    rows = np.flatnonzero(minor)
-    for a in range(0, len(rows), step):
-        part = rows[a : a + step]
-        for b in range(0, len(sets), step):
-            left, right = np.zeros((len(part), width), np.float32), np.zeros((min(step, len(sets) - b), width), np.float32)
-            at = np.searchsorted(part, owner)
-            ok = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == owner)
-            left[at[ok], column[ok]] = 1
-            ok = (owner >= b) & (owner < b + len(right))
-            right[owner[ok] - b, column[ok]] = 1
-            both = (left @ right.T).round().astype(np.int64)
-            union = sizes[part][:, None] + sizes[None, b : b + len(right)] - both
+
+    def link(i: int, j: int) -> None:
+        p, q = top(comps[i]), top(comps[j])
+        if p != q:
+            root[p] = q
+            out.append((keys[i], keys[j]))
+
+    if len(sets) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        if DENOMINATOR * both >= NUMERATOR * (sizes.sum() - both):
+            link(0, 1)
+        return out
+    shingles, where = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)
+    # a shingle that one member alone has adds to no intersection
+    shared = np.bincount(where, minlength=len(shingles)) > 1
+    column = np.where(shared, np.cumsum(shared) - 1, -1)[where]
+    at, width = np.concatenate([[0], np.cumsum(sizes)]), int(shared.sum())
+    step = max(1, 8_000_000 // max(width, 1))
+
+    def rows(of: np.ndarray) -> np.ndarray:
+        made = np.zeros((len(of), width), np.float32)
+        for k, i in enumerate(of):
+            own = column[at[i] : at[i + 1]]
+            made[k, own[own >= 0]] = 1
+        return made
+
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    right = left if alone else right
+    for a in range(0, len(left), step):
+        one = rows(left[a : a + step])
+        for b in range(a if alone else 0, len(right), step):
+            both = (one @ rows(right[b : b + step]).T).round().astype(np.int64)
+            union = sizes[left[a : a + step], None] + sizes[None, right[b : b + step]] - both
             for x, y in zip(*np.nonzero(DENOMINATOR * both >= NUMERATOR * union), strict=True):
-                i, j = int(part[x]), b + int(y)
-                p, q = top(comps[i]), top(comps[j])
-                if p != q:
-                    root[p] = q
-                    out.append((keys[i], keys[j]))
+                link(int(left[a + x]), int(right[b + y]))
     return out
 
 
-def _block_links(group: pa.Table) -> pa.Table:
-    sets = [np.asarray(s.values) for s in group["s"]]
-    out = links_within(group["key"].to_pylist(), sets, group["comp"].to_pylist(), np.asarray(group["minor"].to_pylist(), bool))
-    return pa.table({"u": pa.array([x for x, _ in out], pa.binary()), "v": pa.array([y for _, y in out], pa.binary())})
+def prefix_length(n: int) -> int:
+    """Of n ordered shingles, how many one must look at to meet one of any set that is similar enough."""
+    return n + 1 - -(-NUMERATOR * n // DENOMINATOR)
+
+
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (mix(s.view(np.uint64)) >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        total += np.bincount(_counter(batch["s"].flatten().to_numpy()), minlength=COUNTERS)
+    used = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(used), pa.array(total[used])], ["counter", "n"])
+
+
+def _prefixed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for s in batch["s"]:
+                s = np.asarray(s.values)
+                often = counts[_counter(s)]
+                first = np.lexsort((s, often))[: prefix_length(len(s))]
+                found.append(s[first[often[first] > 1]])  # what one member alone has meets nobody
+            k = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.record_batch([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), batch["key"].take(k), batch["comp"].take(k)], ["shingle", "key", "comp"])
+
+    return prefixes
+
+
+def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each run of equal (shingle, i, j); rows come sorted by these."""
+    held: list[tuple[bytes, np.ndarray, bytes, int]] = []
+    found: list[tuple[bytes, bytes]] = []
+
+    def close() -> None:
+        if len(held) > 1:
+            keys, sets, comps, side = map(list, zip(*held, strict=True))
+            found.extend(links_within(keys, sets, comps, np.array(side)))
+        held.clear()
+
+    def taken() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+        found.clear()
+        return out
+
+    last = None
+    for batch in batches:
+        own = [batch[c].to_pylist() for c in ("shingle", "i", "j", "key", "comp", "side")]
+        for shingle, i, j, key, comp, side, s in zip(*own, batch["s"], strict=True):
+            if (shingle, i, j) != last:
+                close()
+                last = (shingle, i, j)
+            held.append((key, np.array(s.values), comp, side))
+        yield taken()
+    close()
+    yield taken()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,61 +239,100 @@ def components(links: DataFrame) -> DataFrame:
     label = written(edges.select(F.explode(F.array("u", "v")).alias("key")).distinct().withColumn("comp", F.col("key")), "labels")
     while edges.count():
         both = edges.union(edges.select("v", "u"))
-        parent = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
-        parent = written(parent, "parents")
-        jump = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        parent = written(parent.join(jump, "p", "left").select("u", F.coalesce("pp", "p").alias("p")), "parents")
-        label = written(label.join(parent.withColumnRenamed("u", "comp"), "comp", "left").select("key", F.coalesce("p", "comp").alias("comp")), "labels")
-        edges = edges.join(parent.select("u", F.col("p").alias("pu")), "u").join(parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
-        edges = written(edges.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        hooked = written(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")), "hooked")
+        jump = hooked.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        parent = written(hooked.join(jump, "p", "left").select("u", F.coalesce("pp", "p").alias("p")), "parents")
+        moved = written(label.join(parent.withColumnRenamed("u", "comp"), "comp", "left").select("key", F.coalesce("p", "comp").alias("comp")), "labels")
+        left = edges.join(parent.select("u", F.col("p").alias("pu")), "u").join(parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+        left = written(left.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        removed(hooked, parent, label, edges)
+        label, edges = moved, left
+    removed(edges)
     return label
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, s) for each of keys, from the texts of ids."""
+def candidate_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, s) for each of keys (key, rep, digest), from the texts whose ids are rep."""
+    ids = keys.select(F.col("rep").alias("_id")).distinct()
     n = ids.count()
-    ids = ids.withColumnRenamed("doc_id", "_id")
     texts = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
-    found = texts.mapInArrow(_with_sets, "key binary, s array<bigint>").where("key IS NOT NULL")
-    return written(found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("s").alias("s")), "sets")
+    found = texts.mapInArrow(_with_sets, "digest binary, s array<bigint>").where("digest IS NOT NULL")
+    return found.join(keys.select("digest", "key"), "digest").groupBy("key").agg(F.first("s").alias("s"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, and group_key (equal for all rows of a component; null without a set)."""
+#: A key sorts by the id that it begins with, nulls last, and that id can be read from it.
+_KEY = "concat(unhex(CASE WHEN rep IS NULL THEN '01' ELSE '00' END), unhex(lpad(hex(coalesce(rep, 0L) ^ CAST('-9223372036854775808' AS BIGINT)), 16, '0')), digest)"
+_ID = "CASE WHEN hex(substring({0}, 1, 1)) = '00' THEN CAST(conv(hex(substring({0}, 2, 8)), 16, -10) AS BIGINT) ^ CAST('-9223372036854775808' AS BIGINT) END"
+
+
+def open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, comp) of the members, but for the leaders, of buckets that hold several components."""
+    placed = members.where("key <> leader").select("band", "key").join(comp, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
+    placed = written(placed, "placed")
+    wide = written(placed.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("band"), "wide")
+    found = written(placed.join(wide, "band").select("key", "comp").distinct(), "open")
+    removed(placed, wide)
+    return found
+
+
+def chunk_pairs(shingles: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(shingle, i, j, side, key, comp): groups of two chunks at most, of about `block` members each, in which any two members of different components that share a shingle
+    meet once, on different sides (or both on side 0 where i = j).
+
+    The members of a shingle's largest component need not meet each other: their chunks only meet those of the other members. Of shingles with the
+    same members, as those of a shared passage have, one stays.
+    """
+    per = shingles.groupBy("shingle", "comp").agg(F.count("*").alias("c"), F.expr("sum(CAST(xxhash64(key) AS DECIMAL(20,0)))").alias("sign"))
+    whole = per.groupBy("shingle").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("sign").alias("sign")).where("k > 1")
+    once = whole.groupBy("sign", "m").agg(F.min_by(F.struct("shingle", "main", "most"), "shingle").alias("x"))
+    size = lambda c: F.ceil(c / block).cast("int")
+    once = written(once.select("x.shingle", "x.main", size(F.col("m") - F.col("x.most")).alias("others"), size(F.col("x.most")).alias("mains")), "postings")
+    work = shingles.join(once, "shingle").withColumns({"_main": F.col("comp") == F.col("main"), "_h": F.xxhash64("key")})
+    own = F.when(F.col("_main"), F.col("others") + F.pmod(F.col("_h"), F.col("mains"))).otherwise(F.pmod(F.col("_h"), F.col("others"))).cast("int")
+    work = work.withColumn("own", own).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(F.col("_main"), 0).otherwise(F.col("mains")))))
+    work = work.withColumns({"i": F.least("own", "d"), "j": F.greatest("own", "d")})
+    return work.select("shingle", "i", "j", (F.col("own") != F.col("i")).cast("int").alias("side"), "key", "comp")
+
+
+def rare_links(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) among opened (key, comp) that join different components, by their rare shingles."""
+    whole = written(opened.join(sets, "key"), "open-sets")
+    counted = whole.select("s").mapInArrow(_counted, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # COUNTERS rows at most
+    counts = np.ones(COUNTERS, np.int32)
+    counts[counted["counter"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**31 - 1)
+    shingles = written(whole.mapInArrow(_prefixed(counts), "shingle bigint, key binary, comp binary"), "prefixes")
+    pairs = written(chunk_pairs(shingles), "chunks")
+    work = pairs.join(sets, "key").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    found = written(work.mapInArrow(_group_links, "u binary, v binary"), "more")
+    removed(whole, shingles, pairs)
+    return found
+
+
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: the columns of `carry`, doc_id, n_shingles, component_id, kept, and group_key (equal for all rows of a component; null without a set)."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(docs.mapInArrow(_sketched, "doc_id bigint, n bigint, key binary, bands array<bigint>"), "sketches")
-    reps = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
+    docs = docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"])
+    for name, kind in (("n", T.LongType()), ("digest", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))):
+        schema = schema.add(name, kind)
+    rows = written(docs.mapInArrow(_sketched, schema), "sketches")
+    reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    reps = written(reps.withColumn("key", F.expr(_KEY)), "reps")
     banded = reps.select("key", F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("other")).where("leader <> other").select("band", "leader")
+    crowded = written(crowded, "crowded")
     members = written(banded.join(crowded, "band"), "members")
     stars = written(members.where("key <> leader").select(F.col("leader").alias("u"), F.col("key").alias("v")).distinct(), "stars")
-    keys = written(stars.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "keys")
-    ids = written(reps.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    sets = candidate_sets(docs, ids, keys)
+    keys = written(reps.select("key", "rep", "digest").join(stars.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key", "left_semi"), "keys")
+    sets = written(candidate_sets(docs, keys), "sets")
     links = written(verified(stars, sets), "links")
     comp = components(links)
-    # buckets in which members other than the smallest key lie in different components
-    placed = members.where("key <> leader").select("band", "key").join(comp, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
-    placed = written(placed, "placed")
-    per = placed.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("k")).where("k > 1")
-    # buckets of the same members are compared once
-    signs = placed.groupBy("band").agg(F.expr("sum(CAST(xxhash64(key) AS DECIMAL(20,0)))").alias("sign"))
-    once = open_.join(signs, "band").groupBy("sign", "m").agg(F.min_by(F.struct("band", "main"), "band").alias("x")).select("x.band", "x.main", "m")
-    work = placed.join(once, "band").withColumns({"minor": F.col("comp") != F.col("main"), "nb": F.expr(f"CAST(ceil(m / {BLOCK}) AS INT)")})
-    own = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")
-    work = work.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(own))))
-    work = written(work.select("band", "block", "key", "comp", "minor").join(sets, "key"), "blocks")
-    more = work.groupBy("band", "block").applyInArrow(_block_links, "u binary, v binary")
-    more = written(more, "more")
-    if more.isEmpty():
-        final = comp
-    else:
-        final = components(links.union(more))
-    root = reps.select("key", "rep").join(final, "key", "left").select("key", "rep", F.coalesce("comp", "key").alias("group_key"))
-    smallest = root.groupBy("group_key").agg(F.min("rep").alias("component_id"))
-    named = root.join(smallest, "group_key").select("key", "group_key", "component_id")
-    out = rows.select("doc_id", "n", "key").join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"), "group_key")
+    opened = open_members(members, comp)
+    more = rare_links(opened, sets)
+    final = comp if more.isEmpty() else components(links.union(more))
+    removed(crowded, members, stars, keys, sets, opened)
+    named = reps.select("digest", "key").join(final, "key", "left").select("digest", F.coalesce("comp", "key").alias("group_key"))
+    out = rows.join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.expr(_ID.format("group_key")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull())
+    return out.withColumn("component_id", component).select(*carry, "doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "group_key")

@@ -1,9 +1,11 @@
 """Operators that judge documents: against brute force on odd rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 from collections import Counter
 
 import brute
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomspark.llm import decontam, lang_ecoc, license_scan, near_dedup, quality_rules, toxicity
@@ -74,18 +76,81 @@ def test_near_duplicates_keep_links_that_the_star_misses(spark):
     assert [out[k] for k in range(12)] == expected and set(expected) == {0}
 
 
-def test_links_within_blocks():
-    import numpy as np
+def _joined(keys, found):
+    root = {k: k for k in keys}
+    for a, b in found:
+        root = {k: (root[a] if v == root[b] else v) for k, v in root.items()}
+    return [root[k] for k in keys]
+
 
+def test_links_within_and_across_chunks():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 2**62, 60))
     sets = [np.sort(base[:k]) for k in (60, 50, 48, 30, 45)]
     keys = [bytes([k]) for k in range(5)]
-    found = near_dedup.links_within(keys, sets, keys, np.ones(5, bool))
-    root = {k: k for k in keys}
-    for a, b in found:
-        root = {k: (root[a] if v == root[b] else v) for k, v in root.items()}
-    assert len(set(root.values())) == 2 and root[keys[3]] == keys[3]
+    one = _joined(keys, near_dedup.links_within(keys, sets, keys, np.zeros(5, int)))
+    assert len(set(one)) == 2 and one[3] == keys[3]
+    across = _joined(keys, near_dedup.links_within(keys, sets, keys, np.array([0, 1, 0, 1, 0])))
+    assert len(set(across)) == 2 and across[3] == keys[3]  # 60-50, 48-50 and 45-50 meet; 30 is like none
+    assert near_dedup.links_within(keys[:2], sets[:2], keys[:2], np.array([0, 1])) == [(keys[0], keys[1])]
+
+
+def test_prefixes_meet():
+    for n in range(1, 60):
+        for m in range(n, 60):
+            for both in range(n + 1):
+                if 100 * both >= 75 * (n + m - both):
+                    # the others are ordered before all that both have
+                    assert n - both < near_dedup.prefix_length(n) and m - both < near_dedup.prefix_length(m)
+
+
+def _groups(monkeypatch):
+    seen = {}
+    plain = near_dedup.chunk_pairs
+
+    def spied(shingles):
+        out = plain(shingles)
+        counts = out.groupBy("shingle", "i", "j").count().agg(F.max("count"), F.sum("count")).first()
+        seen.update(most=counts[0] or 0, rows=counts[1] or 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "chunk_pairs", spied)
+    return seen
+
+
+def test_pages_of_one_template_are_not_compared(spark, monkeypatch):
+    """6,000 pages share two thirds of their words, so all share buckets; none is like another, and they have no rare shingle in common."""
+    rng, seen = random.Random(4), _groups(monkeypatch)
+    template = [f"t{k}" for k in range(120)]
+    rows = [(k, " ".join(template + [f"u{rng.randrange(10**9)}" for _ in range(60)])) for k in range(6000)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
+    assert out.where("kept").count() == 6000 and seen["most"] <= 2 * near_dedup.BLOCK and seen["rows"] <= 6000
+
+
+def test_texts_of_shared_passages_alone(spark, monkeypatch):
+    """No shingle is rare, so rare ones are dealt to chunks; all links are found."""
+    rng, seen = random.Random(5), _groups(monkeypatch)
+    passages = [[f"p{i}w{k}" for k in range(25)] for i in range(12)]
+    rows = [(k - 250, " ".join(w for i in rng.sample(range(12), 7) for w in passages[i])) for k in range(500)] + [(None, " ".join(passages[0]))]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in out], [(i, *e) for (i, _), e in zip(rows, brute.components(rows), strict=True)])
+    assert 0 < seen["most"] <= 2 * near_dedup.BLOCK
+
+
+def test_chunk_pairs_meet_once(spark):
+    rows = [(s, bytes([k]), bytes([0 if k < 60 else k])) for s in (1, 2) for k in range(100)] + [(3, bytes([k]), bytes([7])) for k in range(100)]
+    out = near_dedup.chunk_pairs(spark.createDataFrame(rows, "shingle bigint, key binary, comp binary"), 8).collect()
+    met = Counter()
+    groups = {}
+    for r in out:
+        groups.setdefault((r.shingle, r.i, r.j), []).append((r.side, bytes(r.key)))
+    for (_, i, j), members in groups.items():
+        left = [k for side, k in members if not side]
+        right = [k for side, k in members if side]
+        met.update(frozenset((a, b)) for a in left for b in (right if i != j else left) if a < b or i != j)
+    assert {s for s, _, _ in groups} == {1}  # 2 has the same members, 3 one component
+    expected = {frozenset((bytes([a]), bytes([b]))) for a in range(100) for b in range(a) if not (a < 60 and b < 60)}
+    assert set(met) == expected and set(met.values()) == {1}
 
 
 def test_decontamination(spark, docs, corpus, empty):
