@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_views import perspectives_sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -115,22 +117,7 @@ ORACLES: dict[str, str] = {
              l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
              r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other), c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
-    # pieces are split by a hash of Spark's own where a part has over 512 different turns; no table here has such a part
-    "op3_chat_perspectives": """
-        WITH t AS (SELECT DISTINCT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS name,
-                          replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
-             s AS (SELECT DISTINCT conv_id, name AS speaker FROM t WHERE name <> 'system'),
-             v AS (SELECT t.conv_id, speaker, CAST(floor(turn / 64.0) AS BIGINT) AS part, turn, name, content, name = speaker AS mine,
-                          CASE WHEN name = speaker THEN '<|assistant|>' WHEN name = 'system' THEN '<|system|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS opening
-                   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-             o AS (SELECT *, length(opening) + length(content) + 8 AS size,
-                          coalesce(sum(length(opening) + length(content) + 8) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS LAST, name, content
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM v)
-        SELECT conv_id, speaker, part, CAST(0 AS INTEGER) AS piece,
-               string_agg(opening || content || '<|end|>' || chr(10), '' ORDER BY turn NULLS LAST, name, content) AS text,
-               coalesce(string_agg(CAST(begun + length(opening) AS BIGINT) || '-' || CAST(begun + size AS BIGINT), ',' ORDER BY turn NULLS LAST, name, content) FILTER (mine), '') AS mask,
-               count(*) AS n_turns, count(*) FILTER (mine) AS n_trained
-        FROM o GROUP BY conv_id, speaker, part""",
+    "op3_chat_perspectives": perspectives_sql(),
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),

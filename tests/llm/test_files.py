@@ -156,11 +156,14 @@ def test_warc_detects_damage(spark):
         warc_store.read_archive(spark, path).collect()
 
 
+CHATS = "conv_id bigint, turn bigint, role string, text string"
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello <|end|>"), (1, 3, "ann", None), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, 1, None, "x"), (None, None, " ", "last"), (3, 70, "ann", "b"), (3, 1, "ann", "a")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("speaker", F.lit("clash"))
-    out = {(r.conv_id, r.speaker, r.part): r for r in chat_views.perspectives(df).collect()}
-    assert set(out) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (None, "unknown", None), (3, "ann", 0), (3, "ann", 1)}
+    df = spark.createDataFrame(rows, CHATS).withColumn("speaker", F.lit("clash")).withColumn("piece", F.lit("clash"))
+    out = {(r.conv_id, r.speaker, r.piece): r for r in chat_views.perspectives(df).collect()}
+    assert set(out) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "ann", 0)}
     ann = out[1, "ann", 0]
     assert ann.text == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\nhello < |end|><|end|>\n<|assistant|>\n<|end|>\n"
     spans = [tuple(map(int, x.split("-"))) for x in ann.mask.split(",")]
@@ -169,7 +172,20 @@ def test_perspectives(spark):
     assert chat_views.perspectives(df.limit(0)).count() == 0
 
 
-def test_perspectives_split_crowded_parts(spark):
-    rows = [(1, 5, "ann", f"text {k}") for k in range(1500)]
-    out = chat_views.perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
-    assert len(out) > 1 and sum(r.n_turns for r in out) == 1500
+def test_perspectives_equal_sql(spark):
+    """Long dialogues with null and equal turn numbers, uncut and cut; pieces in order are the whole."""
+    import duckdb
+    import pandas as pd
+
+    rows = [(1, None, f"p{k % 3}", f"text {k}") for k in range(1500)] + [(2, k // 40, "ann" if k % 2 else "système", f"é{k} " * (k % 9)) for k in range(1500)] + [(3, 1, "a", "x" * 200_000), (3, 1, "b", "y"), (3, 1, "b", "y")]
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"})  # noqa: F841
+    df = spark.createDataFrame(rows, CHATS).repartition(5)
+    whole = {}
+    for view in (chat_views.VIEW_CHARS, 5000):
+        out = chat_views.perspectives(df, view).collect()
+        assert sorted(map(tuple, out)) == sorted(map(tuple, duckdb.sql(chat_views.perspectives_sql(view)).fetchall()))
+        for r in sorted(out, key=lambda r: (r.speaker, r.piece)):
+            whole.setdefault((view, r.conv_id, r.speaker), []).append(r)
+    for (view, c, s), parts in whole.items():
+        if view == 5000:
+            assert "".join(r.text for r in parts) == whole[chat_views.VIEW_CHARS, c, s][0].text and (len(parts) > 3 or c == 3)
