@@ -1,16 +1,15 @@
 """License scans: ordered signature rules behind a keyword gate, with priorities and interval containment.
 
-A rule is a regular expression over words joined by one space, in which one word is the anchor (`licence`, `license`, `licensed`,
-`copyright`, ...). Texts without any anchor stop at a plain pattern search. Elsewhere each anchor's words to the left and right are cut
-out and the rules whose keyword is in that cut are tried, so a rule has one detection at an anchor at most and its word positions
-follow from the anchor's. A detection inside another of the same or a higher priority is suppressed; of equal intervals the higher
-priority, then the earlier rule stays. An interval has MAX_SPAN words at most, so an anchor is compared with the MAX_SPAN anchors
-on either side: that covers every overlap and stays linear in the length of a text.
+A text's words, lower-cased and joined by one space, are searched for the rules of `license_signatures` whose keyword stands in them; texts without any
+of the GATE stems, one of which every signature holds, are not even joined. A rule marks its matches in the joined text, so word positions follow from the
+marked words in one pass. A detection inside another of the same or a higher priority is suppressed; of equal intervals the higher priority, then the
+earlier rule stays. An interval has MAX_WORDS words at most, so in the order of their starts a detection is compared only with as many neighbours as start
+within MAX_WORDS words anywhere in the text: that covers every overlap and stays linear in the length of a text.
 
 Only DataFrame functions run here; a row is worked on in its own task, without a shuffle.
 
-Cases: a null or empty text has no words and no detections. Repeated rows and null or repeated ids are scanned row by row. Extra
-columns pass through; this operator's own columns replace those of the same name.
+Cases: a null or empty text has no words and no detections. Repeated rows and null or repeated ids are scanned row by row. Texts of any length are searched whole. An empty table
+gives an empty result. Extra columns pass through; this operator's own columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -20,104 +19,36 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_signatures import MAX_WORDS, SIGNATURES
+
 #: Words before lower-casing: letters and digits of ASCII, and all else beyond it.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-MAX_SPAN = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ANCHORS = ["license", "licence", "licensed", "licenced", "licenses", "spdx", "copyright", "copyleft", "warranty", "warranties", "redistribution", "commons"]
-#: Every anchor holds one of these.
-GATE = ["licen", "spdx", "copy", "warrant", "redistribution", "commons"]
-#: Stands before the anchor word in a cut; no word holds it.
-MARK = "@"
-
-# Label, keyword that must be in the cut, words of the name as a regular expression over spaced words, SPDX words.
-FAMILIES = [
-    ("mit", "mit", "mit", "mit"),
-    ("apache", "apache", "apache(?: software)?", "apache"),
-    ("gpl", "general", "(?:gnu )?general public", "gpl"),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public", "lgpl"),
-    ("lgpl", "library", "(?:gnu )?library general public", "lgpl"),
-    ("agpl", "affero", "(?:gnu )?affero general public", "agpl"),
-    ("mpl", "mozilla", "mozilla public", "mpl"),
-    ("epl", "eclipse", "eclipse public", "epl"),
-    ("cddl", "distribution", "common development and distribution", "cddl"),
-    ("cpl", "common", "common public", "cpl"),
-    ("eupl", "european", "european union public", "eupl"),
-    ("bsd", "bsd", "(?:(?:2|3|4|two|three|four|simplified|new|modified|original|revised) (?:clause )?)?bsd", "bsd"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("artistic", "artistic", "(?:perl )?artistic", "artistic"),
-    ("boost", "boost", "boost(?: software)?", "bsl"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "want", "do what the f[^ ]* you want to public", "wtfpl"),
-    ("python", "python", "python(?: software foundation)?", "psf"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("php", "php", "php", "php"),
-    ("openssl", "openssl", "openssl", "openssl"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("ofl", "font", "(?:sil )?open font", "ofl"),
-    ("odbl", "database", "open (?:data commons open )?database", "odbl"),
-    ("upl", "universal", "universal permissive", "upl"),
-    ("ncsa", "illinois", "university of illinois(?: ncsa)? open source", "ncsa"),
-    ("ms-pl", "microsoft", "microsoft (?:public|reciprocal)", "ms pl"),
-    ("afl", "academic", "academic free", "afl"),
-    ("osl", "open", "open software", "osl"),
-    ("vim", "vim", "vim", "vim"),
-    ("x11", "x11", "x11", "x11"),
-    ("curl", "curl", "curl", "curl"),
-    ("json", "json", "json", "json"),
-    ("beerware", "beer", "beer ?ware", "beerware"),
-    ("ecl", "educational", "educational community", "ecl"),
-    ("cecill", "cecill", "cecill(?: free software)?", "cecill"),
-    ("mulan", "mulan", "mulan (?:permissive software|psl)", "mulanpsl"),
-    ("qpl", "q", "q public", "qpl"),
-    ("sspl", "server", "server side public", "sspl"),
-    ("busl", "business", "business source", "busl"),
-    ("elastic", "elastic", "elastic", "elastic"),
-]
-VERSION = "(?: (?:as published by the free software foundation )?(?:version|v) ?[0-9]+(?: [0-9]+)?| [0-9]+(?: [0-9]+)?)?"
-# Wording around a family's name; {n} the name, {s} the SPDX words, {v} an optional version; priority, confidence.
-FORMS = [
-    ("spdx", "@spdx license identifier {s}(?: [0-9]+)*(?: (?:only|or later))?", 4, 1.0),
-    ("grant", "@licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{n} licen[sc]e{v}", 4, 0.98),
-    ("distributed", "(?:distributed|released|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{n} @licen[sc]e{v}", 4, 0.96),
-    ("terms", "terms (?:and conditions )?of the {n} @licen[sc]e{v}", 3, 0.92),
-    ("version", "{n} @licen[sc]e (?:version|v) ?[0-9]+(?: [0-9]+)?", 3, 0.9),
-    ("name", "{n} @licen[sc]e", 2, 0.85),
-    ("tag", "@licen[sc]e {s}(?: [0-9]+)*", 1, 0.6),
-]
-# Label, keyword, pattern, priority, confidence of wording that belongs to one licence or to none by name.
-OTHERS = [
-    ("cc-by", "creative", "creative @commons attribution(?: noncommercial| no ?derivatives| share ?alike)*", 3, 0.95),
-    ("cc0", "zero", "creative @commons zero", 3, 0.95),
-    ("mit", "notice", "the above @copyright notice and this permission notice shall be included", 3, 0.9),
-    ("bsd", "source", "@redistribution and use in source and binary forms", 3, 0.9),
-    ("gpl", "fitness", "without even the implied @warranty of merchantability or fitness", 2, 0.7),
-    ("no-warranty", "without", "without @warrant(?:y|ies) (?:of|or) [^ ]+", 1, 0.4),
-    ("proprietary", "rights", "@copyright(?: [^ ]+){0,6} all rights reserved", 2, 0.6),
-    ("copyleft", "copyleft", "@copyleft", 1, 0.4),
-]
+#: Every signature's keyword or words hold one of these.
+GATE = ["licen", "gpl", "copy", "warrant", "redistribut", "permission", "domain", "apache", "bsd", "mit", "commons", "cc", "software", "only", "confidential", "wtf", "advertising", "written", "reserved", "odbl", "sspl", "rail",
+        "cecill", "exception", "cddl", "eupl", "beer", "cover", "mozilla", "executable", "clause", "asl", "just do", "mulan", "nasa", "polyform", "terms", "rights", "permitted", "good", "spdx"]
+#: A match is marked before its first and behind its last word; no word holds these.
+OPEN, CLOSE = "\u0001", "\u0002"
+#: Neighbours on either side that a detection is compared with: the first number that is enough for a text, else all.
+REACH = [8, 32, 128, 512, 2048]
+
 # Label, keyword, pattern of the base phrases. All places count, suppressed or not, and their labels stay.
-BASE = [("mit", "mit", "mit @license"), ("apache", "apache", "apache @license"), ("gpl", "general", "general public @license")]
+BASE = [("mit", "mit", "mit license"), ("apache", "apache", "apache license"), ("gpl", "general public", "general public license")]
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     keyword: str
-    pattern: str  # over a cut in which MARK stands before the anchor word
     priority: int
     confidence: float
+    pattern: str
     base: bool = False
 
 
 def rules() -> list[Rule]:
-    """All rules in order: base phrases, families by forms, then single wordings."""
-    made = [Rule(*x, 2, 0.85, True) for x in BASE]
-    for label, key, n, s in FAMILIES:
-        for form, text, priority, sure in FORMS:
-            made.append(Rule(label, s.split()[0] if form in ("spdx", "tag") else key, text.format(n=n, s=s, v=VERSION), priority, sure))
-    return made + [Rule(*x) for x in OTHERS]
+    """All rules in order: base phrases, then signatures."""
+    return [Rule(label, key, 2, 0.85, pattern, True) for label, key, pattern in BASE] + [Rule(*x) for x in SIGNATURES]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -129,54 +60,54 @@ def _quote(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _detections(all_rules: list[Rule]) -> str:
-    """SQL for the detections at the anchor of one cut c: m the matched words (MARK among them), p priority, r rule, s confidence."""
+def _detections(all_rules: list[Rule], joined: str) -> str:
+    """SQL for the detections in a joined text: a, b first and last word, p priority, r rule, s confidence."""
     by_key: dict[str, list[int]] = {}
     for k, r in enumerate(all_rules):
         by_key.setdefault(r.keyword, []).append(k)
+
+    def places(mark: str, ends: bool) -> str:
+        return f"filter(transform(split(m, ' '), (w, i) -> CASE WHEN {'endswith' if ends else 'startswith'}(w, '{mark}') THEN i - 1 END), i -> i IS NOT NULL)"
+
     tries = []
     for key, group in by_key.items():
         found = ", ".join(
-            f"named_struct('m', regexp_extract(c.cut, {_quote(f' ({r.pattern.replace("@", MARK)})(?= )')}, 1), 'p', {r.priority}, 'r', {k}, 's', {r.confidence}D, 'label', {_quote(r.label)}, 'base', {str(r.base).lower()})"
+            f"""transform(array(regexp_replace({joined}, {_quote(f" ({r.pattern})(?= )")}, ' {OPEN}$1{CLOSE}')), m -> CASE WHEN contains(m, '{OPEN}') THEN zip_with({places(OPEN, False)}, {places(CLOSE, True)},
+            (a, b) -> named_struct('a', a, 'b', b, 'p', {r.priority}, 'r', {k}, 's', {r.confidence}D, 'label', {_quote(r.label)}, 'base', {str(r.base).lower()})) END)[0]"""
             for k, r in ((k, all_rules[k]) for k in group)
         )
-        tries.append(f"CASE WHEN contains(c.cut, {_quote(key)}) THEN filter(array({found}), x -> x.m != '') END")
-    # placed: the anchor's index less the words before MARK
-    return f"""transform(flatten(filter(array({", ".join(tries)}), x -> x IS NOT NULL)), x -> named_struct(
-        'a', c.at - regexp_count(substring_index(x.m, '{MARK}', 1), ' '), 'b', c.at - regexp_count(substring_index(x.m, '{MARK}', 1), ' ') + regexp_count(x.m, ' '),
-        'p', x.p, 'r', x.r, 's', x.s, 'label', x.label, 'base', x.base))"""
+        tries.append(f"CASE WHEN contains({joined}, {_quote(key)}) THEN flatten(filter(array({found}), x -> x IS NOT NULL)) END")
+    return f"array_sort(flatten(filter(array({', '.join(tries)}), x -> x IS NOT NULL)))"
+
+
+def _kept(found: str) -> str:
+    """SQL for the detections that are not suppressed."""
+    reach = " ".join(f"WHEN size(d) <= {k} OR NOT exists(sequence(0, size(d) - 1 - {k}), i -> d[i + {k}].a - d[i].a < {MAX_WORDS}) THEN {k}" for k in REACH)
+    better = "(e.a <= x.a AND e.b >= x.b AND e.b - e.a > x.b - x.a AND e.p >= x.p) OR (x.a <= e.a AND x.b >= e.b AND e.p > x.p) OR (e.a = x.a AND e.b = x.b AND e.p = x.p AND e.r < x.r)"
+    near = "slice(z.d, greatest(i - z.n, 0) + 1, 2 * z.n + 1)"
+    sized = f"transform(array({found}), d -> named_struct('d', d, 'n', CASE {reach} ELSE size(d) END))"
+    return f"transform({sized}, z -> filter(z.d, (x, i) -> NOT exists({near}, e -> {better})))[0]"
 
 
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score and `detections`, what is left after suppression:
-    an array of (first word, last word, priority, rule, confidence, label), words from 0."""
-    own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "_w", "_c", "_h", "_base"]
+    an array of (first word, last word, priority, rule, confidence, label, base), words from 0."""
+    own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
+    words, joined, found, base = "license words", "license joined", "license found", "license base"
     gate = " OR ".join(f"contains(lower({text}), {_quote(k)})" for k in GATE)
-    anchors = ", ".join(map(_quote, ANCHORS))
-    a = docs.drop(*own).withColumn("_w", F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD), F.lit(0)))
-    a = a.withColumn(
-        "_c",
-        F.expr(
-            f"""CASE WHEN ({gate}) AND size(_w) > 0 THEN transform(
-              filter(sequence(0, size(_w) - 1), i -> lower(get(_w, i)) IN ({anchors})), i -> named_struct('at', i, 'cut', translate(concat(' ', array_join(concat(
-                slice(_w, greatest(i - {MAX_SPAN - 1}, 0) + 1, least(i, {MAX_SPAN - 1})), array(concat('{MARK}', get(_w, i))), slice(_w, i + 2, {MAX_SPAN - 1})), ' '), ' '), '{UPPER}', '{LOWER}'))) END"""
-        ),
-    )
-    a = a.withColumn("_h", F.expr(f"CASE WHEN size(_c) > 0 THEN transform(_c, c -> {_detections(rules())}) END"))
-    a = a.withColumn("_base", F.expr("CASE WHEN _h IS NOT NULL THEN filter(flatten(_h), x -> x.base) END"))
-    kept = f"""CASE WHEN _h IS NOT NULL THEN flatten(transform(_h, (hs, k) -> filter(hs, d -> NOT exists(flatten(slice(_h, greatest(k - {MAX_SPAN}, 0) + 1, {2 * MAX_SPAN + 1})), e ->
-        (e.a <= d.a AND e.b >= d.b AND e.b - e.a > d.b - d.a AND e.p >= d.p) OR (d.a <= e.a AND d.b >= e.b AND e.p > d.p)
-        OR (e.a = d.a AND e.b = d.b AND e.p = d.p AND e.r < d.r))))) ELSE array() END"""
-    a = a.withColumn("detections", F.expr(kept))
-    n_base = F.coalesce(F.when(F.col("_base").isNotNull(), F.size("_base")), F.lit(0)).cast("long")
+    a = docs.drop(*own).withColumn(words, F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD), F.lit(0)))
+    a = a.withColumn(joined, F.when(F.expr(gate), F.concat(F.lit(" "), ascii_lower(F.array_join(words, " ")), F.lit(" "))))
+    a = a.withColumn(found, F.expr(f"CASE WHEN `{joined}` IS NOT NULL THEN {_detections(rules(), f'`{joined}`')} END"))
+    a = a.withColumn(base, F.expr(f"filter(`{found}`, x -> x.base)"))
+    a = a.withColumn("detections", F.expr(f"CASE WHEN size(`{found}`) > 0 THEN {_kept(f'`{found}`')} ELSE array() END"))
     return a.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "n_base": n_base,
-            "first_word": F.expr("CAST(array_min(transform(_base, x -> x.a)) AS BIGINT)"),
-            "last_word": F.expr("CAST(array_max(transform(_base, x -> x.a)) AS BIGINT)"),
-            "base_labels": F.expr("coalesce(array_join(array_sort(array_distinct(transform(_base, x -> x.label))), ','), '')"),
-            "labels": F.expr("array_join(array_sort(array_union(transform(detections, x -> x.label), coalesce(transform(_base, x -> x.label), array()))), ',')"),
+            "n_words": F.size(words).cast("long"),
+            "n_base": F.greatest(F.coalesce(F.size(base), F.lit(0)), F.lit(0)).cast("long"),
+            "first_word": F.expr(f"CAST(array_min(transform(`{base}`, x -> x.a)) AS BIGINT)"),
+            "last_word": F.expr(f"CAST(array_max(transform(`{base}`, x -> x.a)) AS BIGINT)"),
+            "base_labels": F.expr(f"coalesce(array_join(array_sort(array_distinct(transform(`{base}`, x -> x.label))), ','), '')"),
+            "labels": F.expr(f"array_join(array_sort(array_union(transform(detections, x -> x.label), coalesce(transform(`{base}`, x -> x.label), array()))), ',')"),
             "score": F.expr("coalesce(array_max(transform(detections, x -> x.s)), 0D)"),
         }
-    ).drop("_w", "_c", "_h", "_base")
+    ).drop(words, joined, found, base)
