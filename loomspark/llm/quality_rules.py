@@ -38,8 +38,8 @@ def _expr(sql: str) -> Column:
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the statistics of each row's whole text, and three helper columns whose names start with `_n_`.
 
-    Windows are compared by hash first: a text whose window hashes all differ has no repeated window. Only the others sort their
-    windows as strings, next to their positions, so the count is exact; sorting keeps a long text at n log n.
+    Windows are compared by hash first. Only windows whose hash occurs twice or more in their text are sorted as strings, next to their
+    positions, so the count is exact; sorting keeps a long text at n log n.
     """
     kept = docs.drop(*STATS, "_t", "_w", "_n_lines", "_n_upper", "_n_exclaim", "_rep", "_pos")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -62,18 +62,18 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     for k in (1, 2, 4):  # hashes of 1, 2, 4, then WINDOW = 8 words
         a = a.withColumn("_h", _expr(f"CASE WHEN _h IS NOT NULL THEN zip_with(slice(_h, 1, size(_h) - {k}), slice(_h, {k + 1}, size(_h) - {k}), (x, y) -> xxhash64(x, y)) END"))
-    # words hold no space, so joined windows are equal only if all words are
+    # the places of windows whose hashes occur twice or more
+    a = a.withColumn("_s", _expr("CASE WHEN size(_h) > size(array_distinct(_h)) THEN sort_array(transform(_h, (h, i) -> struct(h, i))) END"))
     a = a.withColumn(
         "_s",
-        _expr(
-            f"""CASE WHEN size(_h) > size(array_distinct(_h)) THEN sort_array(transform(sequence(1, size(_h)),
-                i -> struct(array_join(slice(_w, i, {WINDOW}), ' ') AS k, i AS p))) END"""
-        ),
+        _expr("CASE WHEN _s IS NOT NULL THEN filter(_s, (x, i) -> (i > 0 AND get(_s, i - 1).h = x.h) OR (i < size(_s) - 1 AND get(_s, i + 1).h = x.h)) END"),
     )
+    # words hold no space, so joined windows are equal only if all words are
+    a = a.withColumn("_s", _expr(f"CASE WHEN _s IS NOT NULL THEN sort_array(transform(_s, x -> struct(array_join(slice(_w, x.i + 1, {WINDOW}), ' ') AS k, x.i AS p))) END"))
     a = a.withColumn(
         "_pos",
         _expr(
-            """CASE WHEN _s IS NOT NULL THEN sort_array(transform(filter(transform(sequence(0, size(_s) - 1), i -> struct(
+            """CASE WHEN size(_s) > 0 THEN sort_array(transform(filter(transform(sequence(0, size(_s) - 1), i -> struct(
                  (i > 0 AND get(_s, i - 1).k = get(_s, i).k) OR (i < size(_s) - 1 AND get(_s, i + 1).k = get(_s, i).k) AS r, get(_s, i).p AS p)),
                  x -> x.r), x -> x.p)) END"""
         ),
