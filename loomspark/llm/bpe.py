@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public byte-level BPE file, encoded piece by piece with a bounded memory of pieces.
 
 An encoder reads the strings of the file's special tokens in a text as these tokens, as the library does by default, or with `special=False`
-as ordinary text. An empty text has no ids; texts of any length are encoded whole.
+as ordinary text. An empty text has no ids; texts of any length are encoded whole, those of over PART characters in parts that are cut where a word begins.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ import os
 import re
 import sys
 from array import array
+from itertools import pairwise
 
 import numpy as np
 
+#: A space that always begins a new word; characters of a part.
+_WORD_START, PART = re.compile(r"(?<=\S) (?=\S)"), 1 << 20
 #: White space beside a space, or a space at an end: only there can a cut before a space change the split into words.
 _UNSAFE = re.compile(r"\s | \s|^ | $")
 # Fixed value: the pattern by which a byte-level BPE of this kind splits text before its merges.
@@ -30,7 +33,7 @@ def default_path() -> str:
 
 class Encoder:
     """Ids as little-endian uint32 bytes. A byte-level BPE file splits text by a pattern in which a single space between other characters
-    always begins a new word, so a text is the sequence of its pieces there and each different piece is encoded once."""
+    always begins a new word, so a text is the sequence of its pieces there. Where the library must be used, each different piece is encoded once."""
 
     def __init__(self, path: str, by_rank: bool = True, special: bool = True):
         self.path, self.known, self.ranked, self._tokenizer, self.special = path, {}, None, None, special
@@ -78,6 +81,13 @@ class Encoder:
             return b""
         if self.special and any(x in text for x in self.marks):  # the library splits there first
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.ranked:
+            if len(text) <= PART:
+                return self._encode([text])[0]
+            cuts = [0]
+            while (m := _WORD_START.search(text, cuts[-1] + PART)) and m.start() < len(text):
+                cuts.append(m.start())
+            return b"".join(self._encode([text[a:b]])[0] for a, b in pairwise([*cuts, len(text)]))
         if _UNSAFE.search(text):
             return self._encode([text])[0]
         first, *rest = text.split(" ")

@@ -48,6 +48,12 @@ def test_encoders_equal_the_library(marked, ids, plain_ids):
             for r, x in zip(marked, expected, strict=True):
                 assert np.frombuffer(e.encode(r[1] or ""), "<u4").tolist() == x
     assert ids[len(ids) - len(MARKED)] == [31373, 220, 50256, 995]
+    bpe.PART, before = 50, bpe.PART
+    try:
+        e = bpe.Encoder(bpe.default_path())
+        assert all(np.frombuffer(e.encode(r[1] or ""), "<u4").tolist() == x for r, x in zip(marked, ids, strict=True))
+    finally:
+        bpe.PART = before
 
 
 def test_packing_covers_every_id_once(marked_docs, marked, ids, empty):
