@@ -10,8 +10,9 @@ BANDS bands of ROWS bins give candidate pairs; at a similarity of 0.75 a pair sh
 3. The links give components. A bucket whose members other than its smallest key still lie in different components is open. All links among the
    members of open buckets are found exactly, by their rare shingles: of n shingles, ordered by how many open members have them, two sets of similarity 0.75 share
    one of the first n - ceil(0.75 n) + 1 of both. So what members have in common as boilerplate pairs nobody; only members of different components that
-   share a rare shingle are compared, on full sets. A rare shingle of over BLOCK members is dealt to chunks and each pair of chunks is compared once, in a
-   group of at most about 2 * BLOCK members.
+   share a rare shingle meet. A rare shingle of over BLOCK members is dealt to chunks and each pair of chunks meets once, in a
+   group of at most about 2 * BLOCK members. Members carry parity signatures there, of 2 to 4 bits a shingle: as these differ in no more bits than sets differ in shingles, they
+   rule out unlike pairs and no other. Of what they let pass, a spanning forest is compared on full sets; only if one of its pairs fails are all that still join different components compared, too.
 4. Components by contraction: nodes hook to their smallest neighbour, labels jump, edges between labels are contracted until none is left. As keys
    begin with the smallest id, the label of a component names its component_id.
 
@@ -110,57 +111,44 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"digest": pa.array([key_of(s) for s in sets], pa.binary()), "s": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))})
 
 
-def links_within(keys: list[bytes], sets: list[np.ndarray], comps: list[bytes], side: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Links between members of different components, those of side 0 with those of side 1, or if all are of side 0, among each other; enough of them to
-    join what they join.
+def signature(s: np.ndarray) -> bytes:
+    """A bit for each place: how many shingles fall there, odd or even. A power of two of places, 2 for each shingle at least."""
+    places = max(256, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s.view(np.uint64)) % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(n: int, one: int, m: int, other: int) -> bool:
+    """Whether sets of n and m shingles with these signatures (as integers) can be similar enough: they differ in (1 - t) / (1 + t) of n + m shingles at most."""
+    if DENOMINATOR * min(n, m) < NUMERATOR * max(n, m):
+        return False
+    p, q = (max(256, 1 << (2 * k - 1).bit_length()) for k in (n, m))
+    while p != q:  # places that are equal modulo half of them fall together
+        if p > q:
+            one, p = (one ^ (one >> (p // 2))) & ((1 << (p // 2)) - 1), p // 2
+        else:
+            other, q = (other ^ (other >> (q // 2))) & ((1 << (q // 2)) - 1), q // 2
+    return (DENOMINATOR + NUMERATOR) * (one ^ other).bit_count() <= (DENOMINATOR - NUMERATOR) * (n + m)
 
-    Intersections come from products of incidence rows over the shingles that two members have at least, a bounded number of rows at a time.
-    """
-    sizes = np.array([len(s) for s in sets])
-    root = {c: c for c in comps}
+
+def pairs_within(members: list[tuple[bytes, bytes, int, int, int]], forest: bool) -> list[tuple[bytes, bytes]]:
+    """Pairs of members (key, comp, side, n, signature) of different components that may be links, those of side 0 with those of side 1, or if all are of side 0, among
+    each other. With `forest` only as many as join what they all would join."""
+    root = {x[1]: x[1] for x in members}
 
     def top(c: bytes) -> bytes:
         while root[c] != c:
             root[c] = c = root[root[c]]
         return c
 
+    left = [x for x in members if not x[2]]
+    right = [x for x in members if x[2]]
     out = []
-
-    def link(i: int, j: int) -> None:
-        p, q = top(comps[i]), top(comps[j])
-        if p != q:
-            root[p] = q
-            out.append((keys[i], keys[j]))
-
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if DENOMINATOR * both >= NUMERATOR * (sizes.sum() - both):
-            link(0, 1)
-        return out
-    shingles, where = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)
-    # a shingle that one member alone has adds to no intersection
-    shared = np.bincount(where, minlength=len(shingles)) > 1
-    column = np.where(shared, np.cumsum(shared) - 1, -1)[where]
-    at, width = np.concatenate([[0], np.cumsum(sizes)]), int(shared.sum())
-    step = max(1, 8_000_000 // max(width, 1))
-
-    def rows(of: np.ndarray) -> np.ndarray:
-        made = np.zeros((len(of), width), np.float32)
-        for k, i in enumerate(of):
-            own = column[at[i] : at[i + 1]]
-            made[k, own[own >= 0]] = 1
-        return made
-
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    alone = not len(right)
-    right = left if alone else right
-    for a in range(0, len(left), step):
-        one = rows(left[a : a + step])
-        for b in range(a if alone else 0, len(right), step):
-            both = (one @ rows(right[b : b + step]).T).round().astype(np.int64)
-            union = sizes[left[a : a + step], None] + sizes[None, right[b : b + step]] - both
-            for x, y in zip(*np.nonzero(DENOMINATOR * both >= NUMERATOR * union), strict=True):
-                link(int(left[a + x]), int(right[b + y]))
+    for k, (u, c, _, n, one) in enumerate(left):
+        for v, d, _, m, other in right or left[k + 1 :]:
+            if c != d and not (forest and top(c) == top(d)) and may_link(n, one, m, other):
+                out.append((u, v))
+                root[top(c)] = top(d)
     return out
 
 
@@ -196,33 +184,35 @@ def _prefixed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return prefixes
 
 
-def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each run of equal (shingle, i, j); rows come sorted by these."""
-    held: list[tuple[bytes, np.ndarray, bytes, int]] = []
-    found: list[tuple[bytes, bytes]] = []
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.asarray(s.values) for s in batch["s"]]
+        yield pa.record_batch([batch["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary())], ["key", "n", "bits"])
+
 
-    def close() -> None:
-        if len(held) > 1:
-            keys, sets, comps, side = map(list, zip(*held, strict=True))
-            found.extend(links_within(keys, sets, comps, np.array(side)))
-        held.clear()
+def _group_pairs(forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each run of equal (shingle, i, j); rows come sorted by these."""
+        held: list[tuple[bytes, bytes, int, int, int]] = []
+        found: list[tuple[bytes, bytes]] = []
 
-    def taken() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
-        found.clear()
-        return out
+        def taken() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+            found.clear()
+            return out
 
-    last = None
-    for batch in batches:
-        own = [batch[c].to_pylist() for c in ("shingle", "i", "j", "key", "comp", "side")]
-        for shingle, i, j, key, comp, side, s in zip(*own, batch["s"], strict=True):
-            if (shingle, i, j) != last:
-                close()
-                last = (shingle, i, j)
-            held.append((key, np.array(s.values), comp, side))
+        last = None
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("shingle", "i", "j", "key", "comp", "side", "n", "bits")), strict=True):
+                if row[:3] != last:
+                    found += pairs_within(held, forest)
+                    last, held = row[:3], []
+                held.append((*row[3:7], int.from_bytes(row[7], "little")))
+            yield taken()
+        found += pairs_within(held, forest)
         yield taken()
-    close()
-    yield taken()
+
+    return pairs
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,18 +284,33 @@ def chunk_pairs(shingles: DataFrame, block: int = BLOCK) -> DataFrame:
     return work.select("shingle", "i", "j", (F.col("own") != F.col("i")).cast("int").alias("side"), "key", "comp")
 
 
-def rare_links(opened: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) among opened (key, comp) that join different components, by their rare shingles."""
+def rare_links(opened: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame | None:
+    """links and those among opened (key, comp) that join different components, by their rare shingles; None if there are no more."""
     whole = written(opened.join(sets, "key"), "open-sets")
     counted = whole.select("s").mapInArrow(_counted, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # COUNTERS rows at most
     counts = np.ones(COUNTERS, np.int32)
     counts[counted["counter"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**31 - 1)
     shingles = written(whole.mapInArrow(_prefixed(counts), "shingle bigint, key binary, comp binary"), "prefixes")
+    signed = written(whole.select("key", "s").mapInArrow(_signed, "key binary, n bigint, bits binary"), "signatures")
     pairs = written(chunk_pairs(shingles), "chunks")
-    work = pairs.join(sets, "key").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    found = written(work.mapInArrow(_group_links, "u binary, v binary"), "more")
-    removed(whole, shingles, pairs)
-    return found
+
+    def found(comp: DataFrame | None, forest: bool) -> tuple[DataFrame, DataFrame]:
+        here = pairs if comp is None else pairs.drop("comp").join(comp, "key")
+        work = here.join(signed, "key").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+        may = written(work.mapInArrow(_group_pairs(forest), "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "may")
+        return may, written(verified(may, sets), "more")
+
+    may, more = found(None, True)
+    if may.isEmpty():
+        removed(whole, shingles, signed, pairs)
+        return None
+    links = links.union(more)
+    if may.count() > more.count():  # else the forest joins all that may be links
+        joined = components(links)
+        now = opened.select("key", "comp").join(joined.withColumnRenamed("comp", "now"), "key", "left").select("key", F.coalesce("now", "comp").alias("comp"))
+        links = links.union(found(now, False)[1])
+    removed(whole, shingles, signed, pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -328,8 +333,8 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     links = written(verified(stars, sets), "links")
     comp = components(links)
     opened = open_members(members, comp)
-    more = rare_links(opened, sets)
-    final = comp if more.isEmpty() else components(links.union(more))
+    more = rare_links(opened, sets, links)
+    final = comp if more is None else components(more)
     removed(crowded, members, stars, keys, sets, opened)
     named = reps.select("digest", "key").join(final, "key", "left").select("digest", F.coalesce("comp", "key").alias("group_key"))
     out = rows.join(named, "digest", "left")
