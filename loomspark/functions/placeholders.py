@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 _NAME = re.compile(r"[A-Za-z_]\w*")
 _CALL = re.compile(r"\s{0,47}\(")
-# C keywords, which stay.
+# Words of C and C++ that stay.
 KEYWORDS = frozenset(
-    "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while".split()
+    """
+    auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static
+    struct switch typedef union unsigned void volatile while _Bool _Complex _Imaginary bool complex imaginary int8_t int16_t int32_t int64_t uint8_t uint16_t
+    uint32_t uint64_t size_t ssize_t intptr_t uintptr_t ptrdiff_t NULL true false static_assert alignas alignof concept requires and and_eq bitand bitor compl not
+    or or_eq xor xor_eq new delete this namespace using class public private protected virtual explicit operator template typename try catch throw static_cast
+    dynamic_cast reinterpret_cast const_cast nullptr decltype constexpr thread_local noexcept
+    """.split()
 )
 
 

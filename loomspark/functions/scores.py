@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,26 +39,55 @@ def js_divergence(p: Column, q: Column, floor: float = 1e-8) -> Column:
     return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
 
 
+def _numbered(a, b) -> tuple[np.ndarray, np.ndarray]:
+    """Elements as numbers, equal for equal elements; nulls equal no other."""
+    seen: dict = {}
+    return tuple(np.array([seen.setdefault(x, len(seen)) if x is not None else -1 - side for x in (v if v is not None else ())], np.int64) for side, v in enumerate((a, b)))  # type: ignore[return-value]
+
+
+def lcs(a, b) -> int:
+    """Longest common subsequence, one row of the table of prefixes at a time: rows only rise, so a running maximum fills one."""
+    x, y = _numbered(a, b)
+    row = np.zeros(len(y) + 1, np.int64)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == v)))
+    return int(row[-1])
+
+
+def distance(a, b) -> int:
+    """Edit distance, likewise: insertions are a running minimum along a slope of one."""
+    x, y = _numbered(a, b)
+    slope = np.arange(len(y) + 1)
+    row = slope.copy()
+    for k, v in enumerate(x):
+        new = np.concatenate([[k + 1], np.minimum(row[1:] + 1, row[:-1] + (y != v))])
+        row = np.minimum.accumulate(new - slope) + slope
+    return int(row[-1])
+
+
+def _pairwise(kernel: Callable[..., int], a: str, b: str) -> Column:
+    @F.pandas_udf("bigint")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([kernel(i, j) for i, j in zip(x, y, strict=True)], dtype="int64")
+
+    return run(F.col(a), F.col(b))
+
+
 def lcs_length(a: str, b: str) -> Column:
-    """Longest common subsequence of two array columns, row by row of the table of prefixes: memory of one row."""
-    return F.expr(
-        f"""element_at(aggregate({a}, array_repeat(0, size({b}) + 1), (row, x) -> aggregate(sequence(1, greatest(size({b}), 1)), array(0), (now, j) ->
-              CASE WHEN j > size({b}) THEN now ELSE concat(now, array(CASE WHEN get({b}, j - 1) = x THEN get(row, j - 1) + 1 ELSE greatest(get(row, j), get(now, j - 1)) END)) END)), -1)"""
-    )
+    """Longest common subsequence of two array columns (null: empty)."""
+    return _pairwise(lcs, a, b)
 
 
 def lcs_f1(a: str, b: str) -> Column:
     """2 * common / (both lengths); both empty: 1."""
-    n = F.size(a) + F.size(b)
+    n = F.coalesce(F.size(a), F.lit(0)) + F.coalesce(F.size(b), F.lit(0))
     return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * lcs_length(a, b) / n)
 
 
 def sequence_distance(a: str, b: str) -> Column:
-    """Edit distance of two array columns, over elements."""
-    return F.expr(
-        f"""element_at(aggregate(sequence(1, greatest(size({a}), 1)), sequence(0, size({b})), (row, i) -> CASE WHEN i > size({a}) THEN row ELSE aggregate(sequence(1, greatest(size({b}), 1)), array(i), (now, j) ->
-              CASE WHEN j > size({b}) THEN now ELSE concat(now, array(least(get(row, j) + 1, get(now, j - 1) + 1, get(row, j - 1) + CASE WHEN get({a}, i - 1) = get({b}, j - 1) THEN 0 ELSE 1 END))) END) END), -1)"""
-    )
+    """Edit distance of two array columns (null: empty), over elements."""
+    return _pairwise(distance, a, b)
 
 
 def document_quality(outline: Column, kinds: Column, controls: Column, slots: Column, valid: Column, fallback: Column, gotos: Column, n_slots: Column) -> Column:

@@ -93,7 +93,8 @@ def test_vectors(spark: SparkSession, n: int, seed: str, most: int) -> DataFrame
     if len(fixed) >= most or not n:
         return base
     place = F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))
-    draw = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.pmod(F.xxhash64(F.concat_ws(":", place, k.cast("string"))), F.lit(200_001)) - 100_000)
+    number = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", place, k.cast("string"))), 1, 12), 16, 10).cast("long")
+    draw = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.pmod(number(k), F.lit(200_001)) - 100_000)
     more = spark.range(len(fixed), 2 * most).select(F.col("id").alias("case_id"), draw.alias("vec"))
     every = base.union(more).groupBy("vec").agg(F.min("case_id").alias("case_id"))
     return every.orderBy("case_id").limit(most).select("case_id", "vec")
@@ -134,9 +135,18 @@ def instance_verdict(score: Column) -> Column:
     return F.when(score >= 0.9, "MATCH").when(score >= 0.5, "PARTIAL").otherwise("MISMATCH")
 
 
-def structure_grade(coverage: Column, in_order: Column, has_matrix: Column, fair: float = 0.8) -> Column:
-    """FAIL without a matrix or under half of either, WARN under `fair` of either, else OK."""
-    return F.when(~has_matrix | (coverage < 0.5) | (in_order < 0.5), "FAIL").when((coverage < fair) | (in_order < fair), "WARN").otherwise("OK")
+def structure_grade(consistent: Column, empty: Column, in_order: Column, coverage: Column) -> tuple[Column, Column]:
+    """(grade, notes): FAIL where lines and matrix disagree, else WARN for over 0.2 of empty blocks, order under 0.7 or coverage under 0.8, else OK. All that holds is noted.
+
+    A missing value counts as one that is fine, but a missing coverage as 0.
+    """
+    broken = ~F.coalesce(consistent, F.lit(True))
+    warnings = {"empty_blocks": F.coalesce(empty, F.lit(0.0)) > 0.2, "order": F.coalesce(in_order, F.lit(1.0)) < 0.7, "coverage": F.coalesce(coverage, F.lit(0.0)) < 0.8}
+    some = F.lit(False)
+    for w in warnings.values():
+        some = some | w
+    notes = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in {"lines_without_mass": broken, **warnings}.items()]))
+    return F.when(broken, "FAIL").when(some, "WARN").otherwise("OK"), notes
 
 
 def summed_maps(df: DataFrame, column: str) -> DataFrame:

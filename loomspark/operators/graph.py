@@ -182,8 +182,8 @@ def label_regions(nodes: list[int], edges: Edges, label: dict[int, int]) -> dict
     return {n: top(n) for n in nodes}
 
 
-def traversal(entry: int, out: dict[int, list[int]]) -> tuple[dict[int, int], dict[int, int], dict[int, int]]:
-    """Depth-first place, breadth-first place, and breadth-first depth of the nodes that the entry reaches; neighbours by number."""
+def traversal(entry: int, nodes: list[int], out: dict[int, list[int]]) -> tuple[dict[int, int], dict[int, int], dict[int, int]]:
+    """Depth-first and breadth-first places of all nodes (neighbours by number; nodes that the entry doesn't reach come last, by number), and the breadth-first depth of reached ones."""
     depth_first, todo = {}, [entry]
     while todo:
         n = todo.pop()
@@ -198,6 +198,9 @@ def traversal(entry: int, out: dict[int, list[int]]) -> tuple[dict[int, int], di
             if m not in depth:
                 depth[m] = depth[n] + 1
                 line.append(m)
+    for n in nodes:
+        depth_first.setdefault(n, len(depth_first))
+        wide.setdefault(n, len(wide))
     return depth_first, wide, depth
 
 
@@ -253,15 +256,34 @@ def single_entry_exit(entry: int, nodes: list[int], edges: Edges, most: int = 96
     return [sorted(r) for r, ab in sorted(found.items(), key=lambda x: (-len(x[0]), x[1]))]
 
 
-def loop_then_label_regions(entry: int, nodes: list[int], edges: Edges, label: dict[int, int]) -> list[tuple[int, list[int]]]:
-    """(header, nodes): natural loops first, larger ones later; then the label regions of what no loop holds."""
-    found = sorted(((h, sorted(b)) for h, b in loops(entry, nodes, edges).items()), key=lambda x: (len(x[1]), x[0]))
-    rest = [n for n in nodes if not any(n in b for _, b in found)]
-    inner = set(rest)
-    by: dict[int, list[int]] = {}
-    for n, r in label_regions(rest, [(a, b) for a, b in edges if a in inner and b in inner], label).items():
-        by.setdefault(r, []).append(n)
-    return found + sorted((r, sorted(ns)) for r, ns in by.items())
+#: Roles whose regions have a header: ifs, loops, switches.
+HEADED = (1, 4, 7)
+Region = tuple[int, "int | None", list[int]]
+
+
+def back_edge_loops(entry: int, nodes: list[int], edges: Edges) -> list[tuple[int, list[int]]]:
+    """(header, nodes) for every edge to another node that dominates its source, in the order of edges: what reaches the source without going through the header."""
+    out, into = adjacency(nodes, edges)
+    idom, found = immediate_dominators(entry, out, into), []
+    for a, b in edges:
+        if a != b and dominates(idom, b, a):
+            found.append((b, sorted({b} | reachable([a], into, without=b))))
+    return found
+
+
+def _by_label(nodes: list[int], taken: set[int], edges: Edges, label: dict[int, int]) -> list[Region]:
+    """Connected nodes of one label among those not taken; the header is the first node where the label has one."""
+    rest = [n for n in nodes if n not in taken]
+    groups: dict[int, list[int]] = {}
+    for n, r in label_regions(rest, [(a, b) for a, b in edges if a not in taken and b not in taken], label).items():
+        groups.setdefault(r, []).append(n)
+    return [(label[r], r if label[r] in HEADED else None, sorted(ns)) for r, ns in sorted(groups.items())]
+
+
+def loop_then_label_regions(entry: int, nodes: list[int], edges: Edges, label: dict[int, int], loop_role: int = 4) -> list[Region]:
+    """(role, header, nodes) by first node: a region for each back edge, which may overlap, then the label regions of what no loop holds."""
+    found: list[Region] = [(loop_role, h, b) for h, b in back_edge_loops(entry, nodes, edges)]
+    return sorted(found + _by_label(nodes, {n for _, _, b in found for n in b}, edges, label), key=lambda x: x[2][0])
 
 
 def until(start: list[int], stop: int | None, out: dict[int, list[int]]) -> set[int]:
@@ -269,12 +291,12 @@ def until(start: list[int], stop: int | None, out: dict[int, list[int]]) -> set[
     return reachable([n for n in start if n != stop], out, without=stop)
 
 
-def structural_regions(entry: int, nodes: list[int], edges: Edges, role: dict[int, int], loop_role: int = 4, if_role: int = 1, switch_role: int = 7) -> list[tuple[int, int, list[int]]]:
-    """(role, header, nodes) by first node: natural loops at loop headers; heads of ifs with what lies before their merge node; heads of switches likewise
+def structural_regions(entry: int, nodes: list[int], edges: Edges, role: dict[int, int], loop_role: int = 4, if_role: int = 1, switch_role: int = 7) -> list[Region]:
+    """(role, header, nodes) by first node: the loop of each back edge to a loop header; heads of ifs with what lies before their merge node; heads of switches likewise
     (all they reach, without a merge node); label regions of the rest. A head inside an earlier region opens none."""
     out, into = adjacency(nodes, edges)
     post = post_dominators(nodes, out, into, "first")
-    found = [(loop_role, h, sorted(b)) for h, b in sorted(loops(entry, nodes, [e for e in edges if e[0] != e[1]]).items()) if role[h] == loop_role]
+    found: list[Region] = [(loop_role, h, b) for h, b in back_edge_loops(entry, nodes, edges) if role[h] == loop_role]
     taken = {n for _, _, b in found for n in b}
     for kind in (if_role, switch_role):
         for h in nodes:
@@ -284,11 +306,7 @@ def structural_regions(entry: int, nodes: list[int], edges: Edges, role: dict[in
             body = sorted({h} | until(out[h], merge, out))
             found.append((kind, h, body))
             taken.update(body)
-    rest = [n for n in nodes if n not in taken]
-    groups: dict[int, list[int]] = {}
-    for n, r in label_regions(rest, [(a, b) for a, b in edges if a not in taken and b not in taken], role).items():
-        groups.setdefault(r, []).append(n)
-    return sorted(found + [(role[r], r, sorted(ns)) for r, ns in groups.items()], key=lambda x: (x[2][0], x[1]))
+    return sorted(found + _by_label(nodes, taken, edges, role), key=lambda x: x[2][0])
 
 
 def compound_regions(nodes: list[int], edges: Edges, compound: dict[int, int], kind: dict[int, int]) -> list[tuple[int, int, list[int]]]:
@@ -367,7 +385,7 @@ def block_facts(instructions: DataFrame, sample: str = "sample") -> DataFrame:
 
 def shortest_paths(nodes: list[int], out: dict[int, list[int]]) -> list[tuple[int, int, int]]:
     """(from, to, steps) of all reachable pairs; for small graphs."""
-    return [(n, m, d) for n in nodes for m, d in traversal(n, out)[2].items()]
+    return [(n, m, d) for n in nodes for m, d in traversal(n, nodes, out)[2].items()]
 
 
 def per_graph(graphs: DataFrame, kernel: Callable[..., list[tuple]], schema: str, sample: str = "sample", more: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .align import gap_clusters
+
 # Roles of blocks, types of statements, types of edges, by number.
 ROLES = ["sequential", "if_header", "if_then_body", "if_else_body", "loop_header", "loop_body", "loop_exit", "switch_header", "switch_case_body", "function_prologue_epilogue"]
 STATEMENTS = ["expr", "decl", "if", "while", "for", "do_while", "switch", "case", "return", "break", "continue", "goto", "compound", "call", "assign", "other"]
@@ -82,6 +84,63 @@ def lines_to_statement(lines: DataFrame, statements: DataFrame, sample: str = "s
     )
 
 
+def assigned(blocks: DataFrame, edges: DataFrame, headers: DataFrame, sample: str = "sample") -> DataFrame:
+    """First roles of blocks (sample, b): loop headers, sequential blocks with a back edge (sample, src, dst, etype 2) to one as loop bodies, all others sequential."""
+    h = headers.select(sample, "b").distinct()
+    bodies = edges.where("etype = 2").join(h.withColumnRenamed("b", "dst"), [sample, "dst"]).select(sample, F.col("src").alias("b")).distinct().withColumn("_body", F.lit(True))
+    out = blocks.select(sample, "b").join(h.withColumn("_head", F.lit(True)), [sample, "b"], "left").join(bodies, [sample, "b"], "left")
+    return out.select(sample, "b", F.when(F.col("_head"), LOOP_HEADER).when(F.col("_body"), LOOP_BODY).otherwise(SEQUENTIAL).cast("int").alias("role"))
+
+
+def canonical_headers(candidates: DataFrame, lines: DataFrame, pattern: str, sample: str = "sample") -> DataFrame:
+    """Of candidates (sample, b, preferred) one for each source line (sample, b, line, text) whose text, without comments, has the pattern: a preferred one, then the smallest b.
+
+    Candidates without such a line all stay.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)/\*.*?\*/", " ")
+    text = F.regexp_replace(text, r"(?m)//.*?$", " ")
+    hit = candidates.join(lines.where(F.rlike(text, F.lit(pattern))).select(sample, "b", "line"), [sample, "b"])
+    best = hit.groupBy(sample, "line").agg(F.min_by("b", F.struct((~F.col("preferred")).alias("p"), "b")).alias("b")).select(sample, "b")
+    rest = candidates.join(hit.select(sample, "b"), [sample, "b"], "left_anti").select(sample, "b")
+    return best.union(rest).distinct()
+
+
+def switch_evidence(blocks: DataFrame, edges: DataFrame, lines: DataFrame, sample: str = "sample", gap: int = 3) -> DataFrame:
+    """Blocks (sample, b, role, text, indirect) with `switch_header` and `switch_case`, the sets that repair starts from.
+
+    Headers: canonical blocks on a switch line, preferring dispatching ones (indirect jumps, 3 or more successors); without any in a sample the dispatching ones; without
+    those the first of each cluster of old headers (at most `gap` apart). A cluster without a header gets its first block. Cases: what looks like a case, and the
+    other old headers of a cluster.
+    """
+    wide = edges.select(sample, "src", "dst").groupBy(sample, F.col("src").alias("b")).agg((F.count("*") >= 3).alias("_wide"))
+    x = blocks.join(wide, [sample, "b"], "left").withColumn("preferred", F.coalesce("indirect", F.lit(False)) | F.coalesce("_wide", F.lit(False)))
+    text = F.coalesce("text", F.lit(""))
+    found = canonical_headers(x.where(F.rlike(text, F.lit(SWITCH))).select(sample, "b", "preferred"), lines, SWITCH, sample)
+    some = found.select(sample).distinct().withColumn("_some", F.lit(True))
+    dispatch = x.where("preferred").join(some, sample, "left_anti").select(sample, "b")
+    headers = found.union(dispatch).withColumn("_h", F.lit(True))
+    old = x.where(F.col("role") == SWITCH_HEADER).select(sample, "b")
+    clusters = gap_clusters(old, [sample], "b", gap).join(headers, [sample, "b"], "left")
+    first = F.coalesce(F.min(F.when(F.col("_h"), F.col("b"))), F.min("b"))
+    chosen = clusters.groupBy(sample, "cluster").agg(first.alias("_first"))
+    chain = clusters.join(chosen, [sample, "cluster"]).select(sample, "b", (F.col("b") == F.col("_first")).alias("_canonical"))
+    out = x.join(headers, [sample, "b"], "left").join(chain, [sample, "b"], "left")
+    head = F.coalesce("_h", F.lit(False)) | F.coalesce("_canonical", F.lit(False))
+    case = F.rlike(text, F.lit(CASE)) | F.coalesce(~F.col("_canonical"), F.lit(False))
+    return out.select(*blocks.columns, head.alias("switch_header"), (case & ~head).alias("switch_case"))
+
+
+def loop_evidence(blocks: DataFrame, edges: DataFrame, lines: DataFrame, sample: str = "sample") -> DataFrame:
+    """Blocks (sample, b, structural) with `loop_header`: targets of back edges and structural headers, one for each source line of a loop, targets preferred; `back_source`."""
+    back = edges.where("etype = 2")
+    targets = back.select(sample, F.col("dst").alias("b")).distinct().withColumn("preferred", F.lit(True))
+    x = blocks.join(targets, [sample, "b"], "left").withColumn("preferred", F.coalesce("preferred", F.lit(False)))
+    found = canonical_headers(x.where(F.col("preferred") | F.coalesce("structural", F.lit(False))).select(sample, "b", "preferred"), lines, LOOP, sample).withColumn("_h", F.lit(True))
+    sources = back.select(sample, F.col("src").alias("b")).distinct().withColumn("_s", F.lit(True))
+    out = blocks.join(found, [sample, "b"], "left").join(sources, [sample, "b"], "left")
+    return out.select(*blocks.columns, F.coalesce("_h", F.lit(False)).alias("loop_header"), F.coalesce("_s", F.lit(False)).alias("back_source"))
+
+
 def refined(blocks: DataFrame, edges: DataFrame, sample: str = "sample") -> DataFrame:
     """Roles of sequential blocks out of their statements: blocks (sample, b, role, s, ast), s null if not aligned; edges (sample, src, dst, etype). Adds `refined`.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,36 +121,83 @@ def binary_score(features: dict[str, Column], valid: Column, n_blocks: Column, s
     return out + F.when(family == "switch_fanin", fan).when(family == "switch_chain", chain).otherwise(0.0)
 
 
-def compact_pool(df: DataFrame, sample: str, order: str, core: list[str], caps: dict[str, int], total: int) -> DataFrame:
-    """Greedy compaction of each sample's candidates in order: core names stay; others while the caps of their family, their signature and the total hold.
+# Names of candidates that compaction keeps.
+CORE = ["cfg_shallow_mvp", "cfg_recursive_mvp", "cfg_shallow_then_only", "cfg_shallow_else_only", "cfg_recursive_then_only", "cfg_recursive_else_only", "cfg_recursive_sese_interval", "cfg_sese_interval_seq", "linear_goto", "full_fallback"]
 
-    A candidate that one cap skips uses up no other, so this is a fold over the order. Pools are small (hundreds); new ids count from 0.
+
+def compacted_ids(rows: list[dict], total: int = 0, family_cap: int = 0, signature_cap: int = 0, mixed_cap: int = 0, keep: tuple[str, ...] = ()) -> list:
+    """The ids that compaction keeps of rows (id, name, family, signature, score), in order; a cap of 0 is none.
+
+    Core names first; of more than `total` one full_fallback and the linear_gotos are protected, the rest goes by score. What is kept counts towards the caps; then
+    the others follow by score as long as their family, their signature and the mixed family have room. A row that one cap skips uses up no other.
+    """
+    if max(total, family_cap, signature_cap, mixed_cap) <= 0:
+        return sorted(r["id"] for r in rows)
+    by_score = sorted(rows, key=lambda r: r["score"], reverse=True)
+    kept = [r for r in rows if r["name"] in CORE or r["name"] in keep]
+    if 0 < total < len(kept):
+        safe = [r for r in kept if r["name"] == "full_fallback"][:1]
+        safe += [r for r in kept if r["name"] == "linear_goto"][: max(0, total - len(safe))]
+        named = {r["id"] for r in safe}
+        safe += sorted((r for r in kept if r["id"] not in named), key=lambda r: r["score"], reverse=True)[: max(0, total - len(safe))]
+        kept = safe
+    used = Counter(x for r in kept for x in (("f", r["family"]), ("s", r["signature"])))
+    chosen = {r["id"] for r in kept}
+    for r in by_score:
+        if 0 < total <= len(chosen):
+            break
+        slots = [(("f", r["family"]), family_cap), (("s", r["signature"]), signature_cap)]
+        if r["family"] == "mixed_if_policy":
+            slots.append((("f", "mixed_if_policy"), mixed_cap))
+        if r["id"] in chosen or any(0 < cap <= used[x] for x, cap in slots):
+            continue
+        chosen.add(r["id"])
+        used.update(x for x, _ in slots[:2])
+    return sorted(chosen)
+
+
+def compact_pool(df: DataFrame, sample: str, key: str, score: list[str], total: int = 0, family_cap: int = 0, signature_cap: int = 0, mixed_cap: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy compaction of each sample's candidates (key, name, family, signature, and score columns, larger first); adds `original_id` and renumbers `key` from 0.
+
+    The caps interact, so this is a fold over one sample's pool; pools are small (hundreds).
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        used: dict[tuple[str, str], int] = {}
-        keep = []
-        for name, fam, sig in zip(pdf["name"], pdf["family"], pdf["signature"], strict=True):
-            slots = [("family", fam), ("signature", sig)]
-            ok = name in core or (len([k for k in keep if k]) < total and all(used.get(s, 0) < caps[s[0]] for s in slots))
-            if ok:
-                for s in slots:
-                    used[s] = used.get(s, 0) + 1
-            keep.append(ok)
-        out = pdf[np.array(keep, bool)].copy()
-        out["new_id"] = np.arange(len(out), dtype=np.int64)
+        pdf = pdf.sort_values(key)
+        scores = list(zip(*(pdf[c] for c in score), -pdf[key], strict=True))
+        rows = [{"id": i, "name": n, "family": f, "signature": s, "score": z} for i, n, f, s, z in zip(pdf[key], pdf["name"], pdf["family"], pdf["signature"], scores, strict=True)]
+        out = pdf[pdf[key].isin(compacted_ids(rows, total, family_cap, signature_cap, mixed_cap, keep))].copy()
+        out["original_id"] = out[key]
+        out[key] = np.arange(len(out), dtype=np.int64)
         return out
 
-    return df.groupBy(sample).applyInPandas(fold, f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, new_id bigint")
+    return df.groupBy(sample).applyInPandas(fold, f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, original_id {dict(df.dtypes)[key]}")
+
+
+def preference_pairs(df: DataFrame, by: str, key: str, quality: str, trainable: Column, seed: str, most: int = 64) -> DataFrame:
+    """(by, better, worse, weight): the best trainable row of a group (ties: smallest key) against every worse one; weight = gap within 0.1 to 2.
+
+    Of more than `most` worse rows the best half of `most` stay and the rest is drawn from the others by hash. Groups of one row or without a trainable one have none.
+    """
+    best_ = df.where(trainable).groupBy(by).agg(F.max_by(F.struct(F.col(key).alias("better"), F.col(quality).alias("_top")), F.struct(quality, -F.col(key))).alias("_x")).select(by, "_x.*")
+    worse = df.join(best_, by).where((F.col(key) != F.col("better")) & (F.col("_top") - F.col(quality) > 1e-6))
+    worse = worse.select(by, "better", F.col(key).alias("worse"), F.col(quality).alias("_q"), (F.col("_top") - F.col(quality)).alias("_gap"))
+    head = capped_by_hash_slices(worse, by, [F.desc("_q"), F.col("worse")], most // 2, "worse").withColumn("_head", F.lit(True))
+    tail = worse.join(head.select(by, "worse"), [by, "worse"], "left_anti")
+    tail = capped_by_hash_slices(tail, by, [F.md5(F.concat(F.lit(f"{seed}:"), F.col("worse").cast("string"))), F.col("worse")], most - most // 2, "worse")
+    return head.drop("_head").unionByName(tail).select(by, "better", "worse", F.round(F.least(F.greatest(F.col("_gap"), F.lit(0.1)), F.lit(2.0)), 6).alias("weight"))
+
+
+def capped_by_hash_slices(df: DataFrame, by: str, order: list[Column], cap: int, key: str, slices: int = 64) -> DataFrame:
+    """The first `cap` rows of each group: first of each of `slices` parts by a hash of the key, then of what is left of them, so no group meets in one task."""
+    part = Window.partitionBy(by, "_part").orderBy(*order)
+    some = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(slices))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= cap)
+    return some.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= cap).drop("_part", "_k")
 
 
-def preference_pairs(df: DataFrame, by: str, key: str, quality: str, least_gap: float = 0.0) -> DataFrame:
-    """(by, better, worse, weight) of neighbours in a group's order of quality; weight = gap within 0.1 to 2. As many pairs as rows, not all pairs."""
-    w = Window.partitionBy(by).orderBy(F.desc(quality), key)
-    rows = df.withColumns({"worse": F.lead(key).over(w), "_q": F.lead(quality).over(w)}).where("worse IS NOT NULL")
-    gap = F.col(quality) - F.col("_q")
-    return rows.where(gap > least_gap).select(by, F.col(key).alias("better"), "worse", F.round(F.least(F.greatest(gap, F.lit(0.1)), F.lit(2.0)), 6).alias("weight"))
+def learned_score(learned: Column, binary: Column, has_signal: bool = True) -> Column:
+    """A learned score with 0.08 of the binary-side one; without any learned weight the binary-side score alone."""
+    return learned + 0.08 * binary if has_signal else binary
 
 
 def fit_pairwise(better: np.ndarray, worse: np.ndarray, weight: np.ndarray, epochs: int = 80, rate: float = 0.05, l2: float = 1e-4, seed: int = 0) -> np.ndarray:

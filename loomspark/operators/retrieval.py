@@ -117,8 +117,3 @@ def graph_contrast(df: DataFrame, batch: str, key: str, a: str, b: str, uid: str
     return df.select(batch, key, a, b, uid, *extra).groupBy(batch).applyInArrow(run, f"{batch} {kind}, n bigint, loss double")
 
 
-def type_penalty(shares: DataFrame, compatible: DataFrame, by: list[str], kind: str, other: str) -> DataFrame:
-    """1 - the mass of kinds compatible with each other kind: joins a bridge table, so only compatible pairs meet. What is compatible with nothing has no row (its penalty is 1)."""
-    mass = shares.join(compatible, kind).groupBy(*by, other).agg(F.sum("p").alias("_c"))
-    return mass.select(*by, other, F.round(1 - F.col("_c"), 6).alias("penalty"))
-

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 #: Leading hex digits of the hash that make a slice: 3 digits are 4,096 slices of a group.
 SLICE_DIGITS = 3
 
@@ -55,12 +57,18 @@ def reservoir(df: DataFrame, seed: str, key: str, k: int) -> DataFrame:
     return df.orderBy(draw(seed, F.col(key)), key).limit(k)
 
 
-def spread(df: DataFrame, order: str, k: int) -> DataFrame:
-    """k rows at evenly spread places of an order: place floor(i * n / k), i from 0. Places are found by splitters, not by one sorted task."""
-    n = df.count()
+def spread_places(n: int, k: int) -> list[int]:
+    """k of n places: floor((n - 1) * i / (k - 1)); all of n where k is as large, the one in the middle for k = 1."""
+    if n <= 0 or k <= 0:
+        return []
     if n <= k:
-        return df
-    places = df.sparkSession.createDataFrame([(i * n // k,) for i in range(k)], "_place bigint")
+        return list(range(n))
+    return [n // 2] if k == 1 else sorted({(n - 1) * i // (k - 1) for i in range(k)})
+
+
+def spread(df: DataFrame, order: str, k: int) -> DataFrame:
+    """k rows at evenly spread places of an order, both ends among them. Places are found by splitters, not by one sorted task."""
+    places = df.sparkSession.createDataFrame([(p,) for p in spread_places(df.count(), k)], "_place bigint")
     return placed(df, order).join(F.broadcast(places), "_place", "left_semi").drop("_place")
 
 
@@ -82,13 +90,13 @@ def spread_rounded(df: DataFrame, order: str, k: int) -> DataFrame:
 
 
 def placed(df: DataFrame, order: str) -> DataFrame:
-    """Add `_place`, a row's place (from 0) in a total order, from a range partitioning and the sizes of the partitions before."""
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    """Add `_place`, a row's place (from 0) in a total order, from a range partitioning, written once, and the sizes of the partitions before."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
     own = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    ranged = ranged.withColumn("_own", own)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"), F.min(order).alias("_low"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
-    return ranged.join(F.broadcast(sizes.withColumn("_before", before)), "_p").withColumn("_place", F.col("_own") + F.col("_before")).drop("_p", "_own", "_c", "_low", "_before")
+    return ranged.withColumn("_own", own).join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").withColumn("_place", F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")
 
 
 def largest(df: DataFrame, by: list[Column], k: int) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def tenths_histogram(df: DataFrame, value: str) -> DataFrame:
-    """Ten bins of width 0.1; 1.0 belongs to the last. Values outside 0 to 1 count in no bin."""
+    """Ten bins [k / 10, (k + 1) / 10); 1.0 belongs to the last. A value counts in the first bin whose upper bound is over it. Values outside 0 to 1 count in no bin."""
     v = F.col(value)
-    bin_ = F.least(F.floor(F.round(v * 10, 9)), F.lit(9)).cast("int")
-    return df.where((v >= 0) & (v <= 1)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    bin_ = F.lit(9)
+    for k in reversed(range(9)):
+        bin_ = F.when(v < (k + 1) / 10, k).otherwise(bin_)
+    return df.where((v >= 0) & (v <= 1)).groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -42,11 +44,11 @@ def macro_average(df: DataFrame, sample: list[str], by: list[str], metrics: dict
     return per.groupBy(*by).agg(F.count("*").alias("n_samples"), *[F.round(F.avg(n), 6).alias(n) for n in metrics])
 
 
-def calibration(df: DataFrame, weight: str, metric: str) -> DataFrame:
-    """Mean metric where the weight is high (0.7 or more) and middling (0.3 to 0.7)."""
+def calibration(per_sample: DataFrame, weight: str, metrics: list[str]) -> DataFrame:
+    """Over samples, by their mean weight: the number and the mean of each metric where it is high (0.7 or more) and middling (0.3 to 0.7). A band without samples has null means."""
     w = F.col(weight)
-    mean = lambda c: F.round(F.avg(F.when(c, F.col(metric))), 6)
-    return df.agg(mean(w >= 0.7).alias("high"), mean((w >= 0.3) & (w < 0.7)).alias("middling"), F.count_if(w >= 0.7).alias("n_high"), F.count_if((w >= 0.3) & (w < 0.7)).alias("n_middling"))
+    band = F.when(w >= 0.7, "high").when((w >= 0.3) & (w < 0.7), "middling")
+    return per_sample.withColumn("band", band).where("band IS NOT NULL").groupBy("band").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in metrics])
 
 
 def baseline_delta(df: DataFrame, by: str, level: str, base: str, value: str) -> DataFrame:
@@ -76,5 +78,12 @@ def cumulative(df: DataFrame, order: str) -> DataFrame:
     return counts.withColumn("upto", F.sum("n").over(Window.orderBy(order)))
 
 
-def verdict(value: Column, good: float, fair: float) -> Column:
-    return F.when(value >= good, "ok").when(value >= fair, "near").otherwise("miss")
+# By metric the closed interval that is expected (null: open), and the least value that comes near.
+BANDS = {"coverage": (0.90, 0.95, 0.85), "high_confidence": (0.75, 0.85, 0.60), "agreement": (0.85, 0.90, 0.75), "order": (0.90, None, 0.85)}
+
+
+def verdict(metric: str, value: Column) -> Column:
+    """ok in the expected interval of a metric, near from its lower bound on (over the interval, too), else miss; null for no value."""
+    low, high, near = BANDS[metric]
+    inside = value >= low if high is None else (value >= low) & (value <= high)
+    return F.when(value.isNull(), F.lit(None).cast("string")).when(inside, "ok").when(value >= near, "near").otherwise("miss")

@@ -44,11 +44,14 @@ def structured_sinkhorn(
     return plan
 
 
-def with_sink(cost: np.ndarray, price: float, epsilon: float = 0.1, rounds: int = 20, most: float = 0.45) -> np.ndarray:
-    """A dummy column of one price takes what fits nowhere, `most` of all mass at most."""
-    n, m = cost.shape
-    plan = sinkhorn(np.hstack([cost, np.full((n, 1), price)]), epsilon, rounds, None, np.r_[np.full(m, (1 - most) / m), most])
-    return plan
+def with_sink(similarity: np.ndarray, scale: float, b: np.ndarray | None = None, epsilon: float = 0.1, rounds: int = 20, most: float = 0.45) -> np.ndarray:
+    """A plan over one more column of similarity 0, which takes scale * rows / columns of all mass, `most` at most; the other columns share the rest by b (uniform)."""
+    n, m = similarity.shape
+    share = min(scale * n / max(m, 1), most) if m else 0.0
+    b = np.full(m, 1 / max(m, 1)) if b is None else b
+    if share < 1e-8:
+        return sinkhorn(1 - similarity, epsilon, rounds, None, b)
+    return sinkhorn(1 - np.hstack([similarity, np.zeros((n, 1))]), epsilon, rounds, None, np.r_[b * (1 - share), share])
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:

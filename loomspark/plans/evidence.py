@@ -88,9 +88,9 @@ def evidence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structure_grades(spark: SparkSession, d: str) -> DataFrame:
-    per = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"), F.count("*").alias("n"))
-    grade = V.structure_grade(F.col("a") * 20, F.col("b") * 20, F.col("n") > 1)
-    return per.groupBy(grade.alias("grade")).agg(F.count("*").alias("n"))
+    per = read(spark, d, "lineitem").groupBy("l_orderkey").agg((F.max("l_returnflag") != "R").alias("ok"), (F.avg("l_discount") * 4).alias("empty"), (F.avg("l_tax") * 20).alias("order"), F.avg(F.when(F.col("l_discount") > 0, F.col("l_quantity") / 30)).alias("coverage"))
+    grade, notes = V.structure_grade(F.col("ok"), F.col("empty"), F.col("order"), F.col("coverage"))
+    return per.select("l_orderkey", grade.alias("grade"), F.array_join(notes, ",").alias("notes"))
 
 
 def pattern_reliability(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,8 @@ def pattern_reliability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sims(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("v"))
+    # a function has some dozens of rows
+    e = read(spark, d, "embeddings").select(F.concat_ws("/", "label", F.floor(F.col("vec_id") / 640).cast("string")).alias("label"), "vec_id", F.col("embedding").alias("v"))
     return M.similarities(e.withColumnRenamed("vec_id", "a"), e.withColumnRenamed("vec_id", "b"), ["label"], "a", "b", 0.5)
 
 
@@ -124,7 +125,7 @@ def hard_negative_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def test_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return V.test_vectors(spark, 2, "seed", 60)
+    return V.test_vectors(spark, 2, "seed", 60).select("case_id", F.array_join("vec", ",").alias("vec"))
 
 
 QUERIES = {
@@ -139,7 +140,7 @@ _I = """i AS (SELECT user_id AS sample, row_number() OVER (PARTITION BY user_id
     k AS (SELECT sample, n, CASE t WHEN 'purchase' THEN 'jump' WHEN 'signup' THEN 'branch' WHEN 'error' THEN 'ret' ELSE CASE WHEN t = 'click' AND v > 60 THEN 'call' ELSE 'other' END END AS kind, CASE WHEN t IN ('purchase', 'signup') THEN n + CASE WHEN v > 50 THEN 5 ELSE -3 END END AS tn FROM i),
     l AS (SELECT *, lag(kind IN ('jump', 'branch', 'ret'), 1, true) OVER (PARTITION BY sample ORDER BY n) OR (sample, n) IN (SELECT (sample, tn) FROM k WHERE tn IS NOT NULL) AS lead FROM k),
     x AS (SELECT *, sum(lead::INT) OVER (PARTITION BY sample ORDER BY n) - 1 AS b FROM l), z AS (SELECT * FROM x QUALIFY n = max(n) OVER (PARTITION BY sample, b))"""
-_SIM = "s AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) / 0.5 AS sim FROM embeddings x JOIN embeddings y USING (label))"
+_SIM = "em AS (SELECT label || '/' || vec_id // 640 AS label, vec_id, embedding FROM embeddings), s AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) / 0.5 AS sim FROM em x JOIN em y USING (label))"
 _LINES = "l AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS b, l_partkey % 20 AS line, CASE WHEN l_discount > 0.02 THEN l_discount * 10 END AS c FROM lineitem)"
 ORACLES = {
     "cfg_blocks": f'WITH {_I} SELECT sample, CAST(b AS BIGINT) AS b, min(n) * 4 AS start, max(n) * 4 + 4 AS "end" FROM x GROUP BY 1, 2',
@@ -162,7 +163,15 @@ ORACLES = {
     "verdict_packing": """WITH o AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'x' WHEN o_totalprice <= 50000 THEN 'p' WHEN CAST(o_orderpriority[1] AS INTEGER) < 3 THEN 't' ELSE 'a' END AS r, CAST(o_orderpriority[1] AS INTEGER) AS t FROM orders)
         SELECT o_custkey, count(*) FILTER (r = 'a') AS accepted, count(*) FILTER (r = 'x') AS not_opted_in, count(*) FILTER (r = 'p') AS not_passed, count(*) FILTER (r = 't') AS below_tier, max(t) FILTER (r = 'a') AS best_tier FROM o GROUP BY 1""",
     "evidence_split": "WITH k AS (SELECT bool_or(l_returnflag = 'R') AS s FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT count(*) FILTER (s) AS strict, count(*) FILTER (NOT s) AS contract_backed FROM k",
-    "structure_grades": "WITH k AS (SELECT avg(l_discount) * 20 AS a, avg(l_tax) * 20 AS b, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT CASE WHEN n <= 1 OR a < 0.5 OR b < 0.5 THEN 'FAIL' WHEN a < 0.8 OR b < 0.8 THEN 'WARN' ELSE 'OK' END AS grade, count(*) AS n FROM k GROUP BY 1",
+    "structure_grades": """WITH k AS (SELECT l_orderkey, max(l_returnflag) = 'R' AS bad, avg(l_discount) * 4 > 0.2 AS e, avg(l_tax) * 20 < 0.7 AS o, coalesce(avg(l_quantity / 30) FILTER (l_discount > 0), 0) < 0.8 AS c FROM lineitem GROUP BY 1)
+        SELECT l_orderkey, CASE WHEN bad THEN 'FAIL' WHEN e OR o OR c THEN 'WARN' ELSE 'OK' END AS grade, concat_ws(',', CASE WHEN bad THEN 'lines_without_mass' END, CASE WHEN e THEN 'empty_blocks' END, CASE WHEN o THEN 'order' END, CASE WHEN c THEN 'coverage' END) AS notes FROM k""",
+    "test_vectors": """
+        WITH p AS (SELECT (a.x + 2) * 5 + b.x + 2 AS o, a.x || ',' || b.x AS vec FROM range(-2, 3) a(x), range(-2, 3) b(x)),
+             e AS (SELECT 25 + i AS o, CASE WHEN i % 2 = 0 THEN v || ',0' ELSE '0,' || v END AS vec FROM (SELECT unnest([-9223372036854775807, -17, -3, -2, -1, 0, 1, 2, 3, 17, 9223372036854775807]) AS v, unnest(range(11)) AS i)),
+             f AS (SELECT vec, min(o) AS o FROM (SELECT * FROM p UNION ALL SELECT * FROM e) GROUP BY 1), n AS (SELECT count(*) AS n FROM f),
+             g AS (SELECT i, list_transform([1, 2], lambda k: CAST(('0x' || substr(md5('seed:' || i || ':' || k), 1, 12)) AS BIGINT) % 200001 - 100000) AS v FROM n, range(n.n, 120) t(i)),
+             x AS (SELECT row_number() OVER (ORDER BY o) - 1 AS case_id, vec FROM f UNION ALL SELECT i, array_to_string(v, ',') FROM g)
+        SELECT min(case_id) AS case_id, vec FROM x GROUP BY vec ORDER BY case_id LIMIT 60""",
     "pattern_reliability": "WITH r AS (SELECT l_orderkey, 0.2 + l_quantity / 100 AS p, CASE WHEN l_returnflag = 'R' THEN 2.0 ELSE 1.0 END AS w FROM lineitem) SELECT l_orderkey, round(sqrt(least(1, exp(sum(ln(p) * w) / sum(w))) * 0.875), 6) AS reliability FROM r GROUP BY 1",
     "region_infonce": f"WITH {_SIM}, z AS (SELECT *, sim - (max(sim) OVER r + ln(sum(exp(sim)) OVER r) - max(sim) OVER r) AS lp FROM s WINDOW r AS (PARTITION BY label, a)), q AS (SELECT label, a, -avg(lp) FILTER (abs(a - b) <= 10) AS l FROM z GROUP BY 1, 2) SELECT label, round(avg(coalesce(l, 0)), 6) AS loss FROM q GROUP BY 1",
     "neighbour_loss": f"WITH {_SIM}, z AS (SELECT *, sim - ln(sum(exp(sim)) OVER (PARTITION BY label, a)) AS lp FROM s WHERE a <> b) SELECT label, round(-avg(lp), 6) AS loss FROM z WHERE b > a AND b <= a + 20 GROUP BY 1",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import graph as G
+from loomspark.operators import labels as L
 
 from .joining import _EDGES, _edges, _events
 
@@ -16,8 +17,15 @@ def _number(c: str):
     return (F.array_position(F.array(*map(F.lit, TYPES)), F.col(c)) - 1).cast("long")
 
 
-def _graphs(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d).select(F.col("user_id").alias("sample"), _number("src").alias("src"), _number("dst").alias("dst"))
+def _graphs(spark: SparkSession, d: str, steps: int | None = None, branches: bool = False) -> DataFrame:
+    """With `steps` only a user's first steps make edges, so that there are exits; with `branches` each of these events leads to the one after the next, too, so that there are cycles of two entries."""
+    e = _edges(spark, d).select("user_id", "src", "dst", "n")
+    if branches:
+        w = Window.partitionBy("user_id").orderBy("us", "event_id")
+        skip = _events(spark, d).withColumns({"dst": F.lead("event_type", 2).over(w), "n": F.row_number().over(w)}).where("dst IS NOT NULL")
+        e = e.unionByName(skip.select("user_id", F.col("event_type").alias("src"), "dst", "n"))
+    e = e.where(F.col("n") <= steps) if steps else e
+    edges = e.select(F.col("user_id").alias("sample"), _number("src").alias("src"), _number("dst").alias("dst"))
     first = _events(spark, d).groupBy(F.col("user_id").alias("sample")).agg(F.min_by("event_type", F.struct("us", "event_id")).alias("t"))
     return G.gathered(edges, first.select("sample", _number("t").alias("entry")))
 
@@ -49,7 +57,7 @@ def post_dominators(spark: SparkSession, d: str) -> DataFrame:
         out, into = G.adjacency(n, x)
         return [(v, a, b) for v in ("all", "first") for a, b in sorted(G.post_dominators(n, out, into, v).items())]
 
-    return G.per_graph(_graphs(spark, d), kernel, "variant string, node bigint, post bigint")
+    return G.per_graph(_graphs(spark, d, 3, True), kernel, "variant string, node bigint, post bigint")
 
 
 def loop_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +73,7 @@ def scc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def irreducible_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return G.per_graph(_graphs(spark, d), lambda e, n, x: [(p[0], len(p)) for p in G.irreducible(e, n, x)], "first_node bigint, size bigint")
+    return G.per_graph(_graphs(spark, d, 4, True), lambda e, n, x: [(p[0], len(p)) for p in G.irreducible(e, n, x)], "first_node bigint, size bigint")
 
 
 def label_components(spark: SparkSession, d: str) -> DataFrame:
@@ -77,21 +85,22 @@ def label_components(spark: SparkSession, d: str) -> DataFrame:
 
 def bfs_dfs_positions(spark: SparkSession, d: str) -> DataFrame:
     def kernel(e, n, x):
-        dfs, bfs, depth = G.traversal(e, G.adjacency(n, x)[0])
-        return [(m, dfs[m], bfs[m], depth[m]) for m in sorted(bfs)]
+        dfs, bfs, _ = G.traversal(e, n, G.adjacency(n, x)[0])
+        last = max(len(n) - 1, 1)
+        return [(m, dfs[m] / last, bfs[m] / last) for m in n]
 
-    return G.per_graph(_graphs(spark, d), kernel, "node bigint, dfs bigint, bfs bigint, depth bigint")
+    return G.per_graph(_graphs(spark, d, 3, True), kernel, "node bigint, dfs double, bfs double")
 
 
 def sese_regions(spark: SparkSession, d: str) -> DataFrame:
-    return G.per_graph(_graphs(spark, d), lambda e, n, x: [(k, m) for k, r in enumerate(G.single_entry_exit(e, n, x)) for m in r], "region bigint, node bigint")
+    return G.per_graph(_graphs(spark, d, 3, True), lambda e, n, x: [(k, m) for k, r in enumerate(G.single_entry_exit(e, n, x)) for m in r], "region bigint, node bigint")
 
 
 def binary_regions(spark: SparkSession, d: str) -> DataFrame:
     def kernel(e, n, x):
-        return [(k, h, m) for k, (h, r) in enumerate(G.loop_then_label_regions(e, n, x, {m: m % 2 for m in n})) for m in r]
+        return [(r, h, ",".join(map(str, ns))) for r, h, ns in G.loop_then_label_regions(e, n, x, {m: m % 2 for m in n})]
 
-    return G.per_graph(_graphs(spark, d), kernel, "region bigint, header bigint, node bigint")
+    return G.per_graph(_graphs(spark, d), kernel, "role bigint, header bigint, nodes string")
 
 
 def structural_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +109,15 @@ def structural_regions(spark: SparkSession, d: str) -> DataFrame:
     def kernel(e, n, x):
         return [(k, r, h, m) for k, (r, h, ns) in enumerate(G.structural_regions(e, n, x, {m: roles[m] for m in n})) for m in ns]
 
-    return G.per_graph(_graphs(spark, d), kernel, "region bigint, role bigint, header bigint, node bigint")
+    return G.per_graph(_graphs(spark, d, 3, True), kernel, "region bigint, role bigint, header bigint, node bigint")
+
+
+def pattern_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that lead to an event type before the source's in the alphabet, or to itself, are of type back."""
+    kinds = _edges(spark, d).select(F.col("user_id").alias("sample"), _number("src").alias("src"), _number("dst").alias("dst")).distinct()
+    kinds = kinds.withColumn("etype", F.when(F.col("dst") <= F.col("src"), 2).otherwise(0))
+    blocks = kinds.select("sample", F.explode(F.array("src", "dst")).alias("b")).distinct()
+    return L.assigned(blocks, kinds, loop_headers(spark, d).withColumnRenamed("header", "b"))
 
 
 def block_features(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +138,7 @@ def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (degrees, reachability, dominators, immediate_dominators, post_dominators, loop_headers, loop_bodies, scc, irreducible_cycles, label_components, bfs_dfs_positions, sese_regions, binary_regions, structural_regions, block_features, shortest_paths)
+    for f in (degrees, reachability, dominators, immediate_dominators, post_dominators, loop_headers, loop_bodies, scc, irreducible_cycles, label_components, bfs_dfs_positions, sese_regions, binary_regions, structural_regions, pattern_labels, block_features, shortest_paths)
 }
 
 _T = "t AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS name, unnest(range(5)) AS id)"
@@ -130,7 +147,38 @@ _REACH = "r AS (SELECT sample, entry AS node FROM en UNION SELECT r.sample, g.ds
 _AVOID = "v AS (SELECT en.sample, n.node AS gone, entry AS node FROM en JOIN nodes n ON n.sample = en.sample AND n.node <> entry UNION SELECT v.sample, gone, g.dst FROM v JOIN g ON g.sample = v.sample AND g.src = v.node AND g.dst <> gone)"
 _DOM = "dom AS (SELECT r.sample, n.node AS dom, r.node FROM r JOIN nodes n ON n.sample = r.sample WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.sample = r.sample AND v.gone = n.node AND v.node = r.node) AND EXISTS (SELECT 1 FROM r x WHERE x.sample = r.sample AND x.node = n.node))"
 _PATH = "w AS (SELECT sample, node AS a, node AS b FROM nodes UNION SELECT w.sample, a, g.dst FROM w JOIN g ON g.sample = w.sample AND g.src = w.b)"
+_BOTH = "(SELECT * FROM (SELECT user_id, event_type AS src, unnest([lead(event_type) OVER o, lead(event_type, 2) OVER o]) AS dst, row_number() OVER o AS n FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dst IS NOT NULL AND n <= {n}) e JOIN"
+_SHORT = lambda n: _G.replace("FROM e JOIN", "FROM " + _BOTH.format(n=n))
+_BACK = "be AS (SELECT g.sample, g.src, g.dst FROM g JOIN dom ON dom.sample = g.sample AND dom.dom = g.dst AND dom.node = g.src)"
+# what reaches an exit without going through a node: nodes behind one another, against the edges
+_POST = """ex AS (SELECT 'all' AS variant, sample, node FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.sample = n.sample AND g.src = n.node) UNION ALL
+                   SELECT 'first', sample, min(node) FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.sample = n.sample AND g.src = n.node) GROUP BY sample),
+    lv AS (SELECT variant, sample, node FROM ex UNION SELECT lv.variant, lv.sample, g.src FROM lv JOIN g ON g.sample = lv.sample AND g.dst = lv.node),
+    av AS (SELECT ex.variant, ex.sample, n.node AS gone, ex.node FROM ex JOIN nodes n ON n.sample = ex.sample AND n.node <> ex.node UNION SELECT av.variant, av.sample, gone, g.src FROM av JOIN g ON g.sample = av.sample AND g.dst = av.node AND g.src <> gone),
+    pd AS (SELECT lv.variant, lv.sample, lv.node, p.node AS post FROM lv JOIN lv p ON p.variant = lv.variant AND p.sample = lv.sample AND p.node <> lv.node WHERE NOT EXISTS (SELECT 1 FROM av WHERE av.variant = lv.variant AND av.sample = lv.sample AND av.gone = p.node AND av.node = lv.node)),
+    np AS (SELECT variant, sample, node, count(*) AS k FROM pd GROUP BY ALL)"""
 ORACLES = {
+    "post_dominators": f"WITH RECURSIVE {_SHORT(3)}, {_POST} SELECT pd.sample, pd.variant, pd.node, pd.post FROM pd JOIN np a USING (variant, sample, node) LEFT JOIN np b ON b.variant = pd.variant AND b.sample = pd.sample AND b.node = pd.post WHERE coalesce(b.k, 0) = a.k - 1",
+    "irreducible_cycles": f"""WITH RECURSIVE {_SHORT(4)}, {_PATH}, c AS (SELECT x.sample, x.a AS node, min(x.b) AS part FROM w x JOIN w y ON x.sample = y.sample AND x.a = y.b AND x.b = y.a GROUP BY 1, 2),
+             doors AS (SELECT g.sample, b.part, b.node FROM g JOIN c a ON a.sample = g.sample AND a.node = g.src JOIN c b ON b.sample = g.sample AND b.node = g.dst AND b.part <> a.part UNION SELECT en.sample, part, node FROM en JOIN c ON c.sample = en.sample AND c.node = en.entry)
+        SELECT sample, part AS first_node, count(*) AS size FROM c GROUP BY 1, 2 HAVING count(*) > 1 AND (SELECT count(DISTINCT d.node) FROM doors d WHERE d.sample = c.sample AND d.part = c.part) > 1""",
+    # a stack and a queue, worked off one node at a time
+    "bfs_dfs_positions": f"""WITH RECURSIVE {_SHORT(3)}, su AS (SELECT sample, src, list(dst ORDER BY dst) AS up, list(dst ORDER BY dst DESC) AS down FROM g GROUP BY 1, 2),
+             ds AS (SELECT sample, [entry] AS todo, []::BIGINT[] AS seen FROM en UNION ALL
+                    SELECT ds.sample, todo[:-2] || CASE WHEN list_contains(seen, todo[-1]) THEN [] ELSE coalesce(down, []) END, CASE WHEN list_contains(seen, todo[-1]) THEN seen ELSE list_append(seen, todo[-1]) END FROM ds LEFT JOIN su ON su.sample = ds.sample AND su.src = todo[-1] WHERE len(todo) > 0),
+             bs AS (SELECT sample, [entry] AS seen, 1 AS k FROM en UNION ALL SELECT bs.sample, seen || list_filter(coalesce(up, []), lambda x: NOT list_contains(seen, x)), k + 1 FROM bs LEFT JOIN su ON su.sample = bs.sample AND su.src = seen[k] WHERE k <= len(seen)),
+             dl AS (SELECT sample, arg_max(seen, len(seen)) AS seen FROM ds GROUP BY 1), bl AS (SELECT sample, arg_max(seen, len(seen)) AS seen FROM bs GROUP BY 1),
+             r AS (SELECT n.sample, n.node, count(*) OVER (PARTITION BY n.sample) AS n, dl.seen AS d, bl.seen AS b, len(dl.seen) + sum(CASE WHEN list_contains(dl.seen, n.node) THEN 0 ELSE 1 END) OVER (PARTITION BY n.sample ORDER BY n.node) - 1 AS later FROM nodes n JOIN dl USING (sample) JOIN bl USING (sample))
+        SELECT sample, node, (CASE WHEN list_contains(d, node) THEN list_position(d, node) - 1 ELSE later END) / greatest(n - 1, 1) AS dfs, (CASE WHEN list_contains(b, node) THEN list_position(b, node) - 1 ELSE later END) / greatest(n - 1, 1) AS bfs FROM r""",
+    "binary_regions": f"""WITH RECURSIVE {_G}, {_REACH}, {_AVOID}, {_DOM}, {_BACK}, b2 AS (SELECT * FROM be WHERE src <> dst),
+             body AS (SELECT sample, src, dst, src AS node FROM b2 UNION SELECT sample, src, dst, dst FROM b2 UNION SELECT b.sample, b.src, b.dst, g.src FROM body b JOIN g ON g.sample = b.sample AND g.dst = b.node WHERE b.node <> b.dst),
+             rest AS (SELECT sample, node FROM nodes EXCEPT SELECT sample, node FROM body), u AS (SELECT g.sample, src AS a, dst AS b FROM g JOIN rest x ON x.sample = g.sample AND x.node = src JOIN rest y ON y.sample = g.sample AND y.node = dst WHERE src % 2 = dst % 2),
+             u2 AS (SELECT sample, a, b FROM u UNION SELECT sample, b, a FROM u), c AS (SELECT sample, node, node AS other FROM rest UNION SELECT c.sample, c.node, u2.b FROM c JOIN u2 ON u2.sample = c.sample AND u2.a = c.other), p AS (SELECT sample, node, min(other) AS part FROM c GROUP BY 1, 2)
+        SELECT sample, 4 AS role, dst AS header, string_agg(node, ',' ORDER BY node) AS nodes FROM body GROUP BY sample, src, dst UNION ALL
+        SELECT sample, part % 2, CASE WHEN part % 2 = 1 THEN part END, string_agg(node, ',' ORDER BY node) FROM p GROUP BY sample, part""",
+    "pattern_labels": f"""WITH RECURSIVE {_G}, {_REACH}, {_AVOID}, {_DOM}, h AS (SELECT DISTINCT g.sample, g.dst AS b FROM g JOIN dom ON dom.sample = g.sample AND dom.dom = g.dst AND dom.node = g.src),
+             bl AS (SELECT sample, src AS b FROM g UNION SELECT sample, dst FROM g)
+        SELECT sample, b, CAST(CASE WHEN (sample, b) IN (SELECT (sample, b) FROM h) THEN 4 WHEN EXISTS (SELECT 1 FROM g JOIN h ON h.sample = g.sample AND h.b = g.dst WHERE g.sample = bl.sample AND g.src = bl.b AND g.dst <= g.src) THEN 5 ELSE 0 END AS INTEGER) AS role FROM bl""",
     "degrees": f"WITH {_G}, x AS (SELECT sample, src AS node, 1 AS o, 0 AS i FROM g UNION ALL SELECT sample, dst, 0, 1 FROM g) SELECT sample, node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM x GROUP BY 1, 2",
     "reachability": f"WITH RECURSIVE {_G}, {_REACH} SELECT sample, node FROM r",
     "dominators": f"WITH RECURSIVE {_G}, {_REACH}, {_AVOID}, {_DOM} SELECT sample, dom, node FROM dom",

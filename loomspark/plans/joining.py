@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import align as L
 from loomspark.operators import joins as J
+from loomspark.operators.settle import settled
 
 from .tables import read
 
@@ -109,10 +110,16 @@ def topk_peak_fraction(spark: SparkSession, d: str) -> DataFrame:
     return L.top_by_peak(_cells(spark, d)).select("sample", "b", "s", "m", F.col("place").cast("long").alias("place"))
 
 
+def _block_edges(spark: SparkSession, d: str) -> DataFrame:
+    """An edge from every block to the next number, conditional where the first supplier's number is even."""
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("src")).agg((F.min("l_suppkey") % 2).alias("etype"))
+    return rows.select("sample", "src", (F.col("src") + 1).alias("dst"), "etype")
+
+
 def align_metrics_macro(spark: SparkSession, d: str) -> DataFrame:
-    cells = _cells(spark, d)
-    per = L.metrics(cells, _blocks(cells))
-    return per.agg(F.count("*").alias("n_samples"), *[F.round(F.avg(c), 4).alias(c) for c in ("coverage", "mean_conf", "high", "low", "in_order")])
+    cells = settled(_cells(spark, d))
+    per = L.metrics(cells, _blocks(cells), _block_edges(spark, d))
+    return per.agg(F.count("*").alias("n_samples"), *[F.round(F.avg(c), 4).alias(c) for c in ("coverage", "mean_conf", "high", "low", "in_order", "control_flow")])
 
 
 def onehot_multi_empty(spark: SparkSession, d: str) -> DataFrame:
@@ -132,21 +139,57 @@ def expected_position(spark: SparkSession, d: str) -> DataFrame:
     return L.expected_position(_cells(spark, d))
 
 
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    """Two statements per block, with lines and confidences; either may be missing."""
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("b")).agg(
+        F.when(F.max("l_returnflag") != "A", F.min("l_suppkey") % 8).alias("first"), (F.min("l_discount") * 10).alias("first_conf"), F.when(F.min("l_tax") > 0, F.min("l_partkey") % 8).alias("second"), (F.min("l_tax") * 10).alias("second_conf"))
+    return rows.withColumns({f"{x}_{e}": F.col(x) * 3 + (F.col(x) % 4 if e == "end" else 0) for x in ("first", "second") for e in ("start", "end")})
+
+
 def two_signal_fusion(spark: SparkSession, d: str) -> DataFrame:
-    p = L.primary(_cells(spark, d)).groupBy("sample").agg(F.min("s").alias("a"), F.max("w").alias("ca"))
-    q = read(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("sample"), (F.col("o_custkey") % 8).alias("bb"), F.lit(0.75).alias("cb"))
-    rows = p.join(q, "sample", "full_outer")
-    return L.fused(rows, F.col("a"), F.col("bb"), F.abs(F.col("a") - F.col("bb")) <= 2, F.col("ca"), F.col("cb")).select("sample", "kind", "confidence")
+    return L.fused(_signals(spark, d)).select("sample", "b", "s", "m", F.round("w", 6).alias("w"))
+
+
+def signal_stats(spark: SparkSession, d: str) -> DataFrame:
+    return L.signal_stats(_signals(spark, d))
+
+
+def line_fusion(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_returnflag") != "R", F.col("l_suppkey") % 6)).alias("a"), F.collect_list(F.when(F.col("l_linestatus") == "F", F.col("l_partkey") % 6)).alias("b"), (F.min("l_discount") * 10).alias("z"))
+    x = rows.select("l_orderkey", L.fused_lines(F.col("a"), F.col("b"), F.col("z")).alias("x"))
+    return x.select("l_orderkey", F.array_join("x.lines", ",").alias("lines"), F.round("x.confidence", 6).alias("confidence"))
+
+
+def _some_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of all blocks; cells where a discount was given, of mass 0 for returned items; orders."""
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("b"), (F.col("l_partkey") % 20).alias("line"), (F.col("l_suppkey") % 8).alias("s"), "l_discount", F.when(F.col("l_returnflag") == "R", 0.0).otherwise(1.0).alias("m"))
+    return rows.select("sample", "b", "line"), rows.where("l_discount > 0.05").select("sample", "b", "s", "m"), rows.select("sample").distinct()
+
+
+def supported_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines, cells, _ = _some_cells(spark, d)
+    return L.supported_lines(lines, cells)
+
+
+def lines_consistent(spark: SparkSession, d: str) -> DataFrame:
+    return L.lines_consistent(*_some_cells(spark, d))
+
+
+def align_weights_normalised(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_discount") - 0.02).alias("weight"))
+    return L.weights_normalised(rows, ["l_orderkey"], "weight")
 
 
 def weighted_kl(spark: SparkSession, d: str) -> DataFrame:
-    cells = L.row_normalised(_cells(spark, d))
-    uniform = cells.groupBy("sample", "b").agg(F.count("*").alias("k")).join(cells.select("sample", "b", "s"), ["sample", "b"]).select("sample", "b", "s", (1 / F.col("k")).alias("m"))
-    return L.weighted_kl(cells, uniform)
+    """Against a prediction that knows only statements of odd number; blocks without any are compared with the uniform one."""
+    cells = settled(_cells(spark, d))
+    predicted = cells.where("s % 2 = 1").select("sample", "b", "s", (F.col("s") + 1).cast("double").alias("m"))
+    shapes = cells.groupBy("sample").agg(F.max("b").alias("n_b"), F.lit(8).cast("long").alias("n_s"))
+    return L.weighted_kl(cells, predicted, shapes)
 
 
 def edge_recovery_kl(spark: SparkSession, d: str) -> DataFrame:
-    cells = L.row_normalised(_cells(spark, d))
+    cells = settled(L.row_normalised(_cells(spark, d)))
     blocks = cells.select("sample", "b").distinct()
     edges = blocks.join(blocks.select("sample", (F.col("b") - 1).alias("b"), F.lit(1).alias("one")), ["sample", "b"]).select("sample", F.col("b").alias("src"), (F.col("b") + 1).alias("dst"))
     s = L.primary(cells).select("sample", "b", "s")
@@ -167,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_join_prefer_flag, overlap_join_widen, jaccard_argmax_match, cascading_key_join, overlay_enrichment, first_match_join, companion_self_join, slot_coverage, project_edges, edge_prf, multiset_f1,
-        align_row_normalise, argmax_primary, topk_peak_fraction, align_metrics_macro, onehot_multi_empty, jumps, column_compaction, expected_position, two_signal_fusion, weighted_kl, edge_recovery_kl, gap_clusters, canonical_header,
+        align_row_normalise, argmax_primary, topk_peak_fraction, align_metrics_macro, onehot_multi_empty, jumps, column_compaction, expected_position, two_signal_fusion, signal_stats, line_fusion, supported_lines, lines_consistent, align_weights_normalised, weighted_kl, edge_recovery_kl, gap_clusters, canonical_header,
     )
 }
 
@@ -177,6 +220,10 @@ _PRIMARY = "p AS (SELECT * FROM c WHERE m > 0 QUALIFY row_number() OVER (PARTITI
 _STEPS = "st AS (SELECT x.sample, x.b, y.s - x.s AS step FROM p x JOIN p y ON x.sample = y.sample AND y.b = x.b + 1)"
 _NORM = "n AS (SELECT sample, b, s, m / sum(m) OVER (PARTITION BY sample, b) AS m, w FROM c)"
 _EDGES = "e AS (SELECT * FROM (SELECT user_id, event_type AS src, lead(event_type) OVER o AS dst, CASE WHEN row_number() OVER o = 1 THEN 'entry' ELSE 'step' END AS etype, row_number() OVER o AS n FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dst IS NOT NULL)"
+_SIGNALS = """g AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS b, CASE WHEN max(l_returnflag) <> 'A' THEN min(l_suppkey) % 8 END AS a, min(l_discount) * 10 AS ca, CASE WHEN min(l_tax) > 0 THEN min(l_partkey) % 8 END AS z, min(l_tax) * 10 AS cb FROM lineitem GROUP BY 1, 2),
+    k AS (SELECT *, CASE WHEN a IS NULL AND z IS NULL THEN 'none' WHEN z IS NULL THEN 'first_only' WHEN a IS NULL THEN 'second_only' WHEN a = z THEN 'agree'
+          WHEN len(list_intersect(range(a * 3, a * 3 + a % 4 + 1), range(z * 3, z * 3 + z % 4 + 1))) > 0 OR abs(a * 3 - z * 3) <= 2 THEN 'near' ELSE 'conflict' END AS kind FROM g)"""
+_SOME = "r AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS b, l_partkey % 20 AS line FROM lineitem), x AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS b, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS m FROM lineitem WHERE l_discount > 0.05)"
 ORACLES = {
     "interval_join_prefer_flag": """
         WITH f AS (SELECT e.user_id, b.event_id AS block, e.event_id, e.event_type FROM events b JOIN events e ON e.user_id = b.user_id AND b.event_type = 'signup' AND e.ts >= b.ts AND e.ts < b.ts + INTERVAL 6 HOUR)
@@ -222,20 +269,35 @@ ORACLES = {
     "align_metrics_macro": f"""
         WITH {_CELLS}, {_NB}, {_PRIMARY}, {_STEPS},
              a AS (SELECT sample, count(DISTINCT b) FILTER (m > 0) AS covered, avg(w) FILTER (w > 0) AS conf, count(*) FILTER (w > 0.7) / nullif(count(*) FILTER (w > 0), 0) AS high, count(*) FILTER (w > 0 AND w < 0.3) / nullif(count(*) FILTER (w > 0), 0) AS low FROM c GROUP BY 1),
-             o AS (SELECT sample, avg(CASE WHEN step >= -2 THEN 1.0 ELSE 0.0 END) AS in_order FROM st GROUP BY 1)
-        SELECT count(*) AS n_samples, round(avg(round(coalesce(covered / n_b, 0), 6)), 4) AS coverage, round(avg(round(coalesce(conf, 0), 6)), 4) AS mean_conf, round(avg(round(coalesce(high, 0), 6)), 4) AS high,
-               round(avg(round(coalesce(low, 0), 6)), 4) AS low, round(avg(round(coalesce(in_order, 1), 6)), 4) AS in_order FROM nb LEFT JOIN a USING (sample) LEFT JOIN o USING (sample)""",
+             o AS (SELECT sample, avg(CASE WHEN step >= -2 THEN 1.0 ELSE 0.0 END) AS in_order FROM st GROUP BY 1),
+             e AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS src FROM lineitem GROUP BY 1, 2 HAVING min(l_suppkey) % 2 = 0),
+             f AS (SELECT e.sample, avg(CASE WHEN x.s <> y.s THEN 1.0 ELSE 0.0 END) AS control_flow FROM e JOIN p x ON x.sample = e.sample AND x.b = src JOIN p y ON y.sample = e.sample AND y.b = src + 1 GROUP BY 1)
+        SELECT count(*) AS n_samples, round(avg(round(coalesce(covered / n_b, 0), 6)), 4) AS coverage, round(avg(round(coalesce(conf, 0), 6)), 4) AS mean_conf, round(avg(round(coalesce(high, 0), 6)), 4) AS high, round(avg(round(coalesce(low, 0), 6)), 4) AS low,
+               round(avg(round(coalesce(in_order, 1), 6)), 4) AS in_order, round(avg(round(coalesce(control_flow, 1), 6)), 4) AS control_flow FROM nb LEFT JOIN a USING (sample) LEFT JOIN o USING (sample) LEFT JOIN f USING (sample)""",
     "onehot_multi_empty": f"""
         WITH {_CELLS}, {_NB}, k AS (SELECT sample, b, count(*) AS k FROM c WHERE m > 0.01 GROUP BY 1, 2), r AS (SELECT sample, count(*) FILTER (k = 1) AS one, count(*) FILTER (k > 1) AS many FROM k GROUP BY 1)
         SELECT sample, round(coalesce(one, 0) / n_b, 6) AS one_hot, round(coalesce(many, 0) / n_b, 6) AS multi, round((n_b - coalesce(one, 0) - coalesce(many, 0)) / n_b, 6) AS empty FROM nb LEFT JOIN r USING (sample)""",
     "jumps": f"WITH {_CELLS}, {_PRIMARY}, {_STEPS} SELECT sample, count(*) FILTER (step < -2) AS n_jumps, max(abs(step)) AS longest FROM st GROUP BY 1",
     "column_compaction": f'WITH {_CELLS}, u AS (SELECT sample, s, dense_rank() OVER (PARTITION BY sample ORDER BY s) - 1 AS "column" FROM c GROUP BY 1, 2 HAVING max(m) > 10) SELECT sample, b, s, "column" FROM c JOIN u USING (sample, s)',
     "expected_position": f"WITH {_CELLS} SELECT sample, b, round(sum(s * m) / nullif(sum(m), 0), 6) AS position FROM c GROUP BY 1, 2",
-    "two_signal_fusion": f"""
-        WITH {_CELLS}, {_PRIMARY}, a AS (SELECT sample, min(s) AS a, max(w) AS ca FROM p GROUP BY 1), b AS (SELECT o_orderkey AS sample, o_custkey % 8 AS b, 0.75 AS cb FROM orders WHERE o_orderstatus <> 'P'),
-             k AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a = b THEN 'agree' WHEN abs(a - b) <= 2 THEN 'near' ELSE 'conflict' END WHEN a IS NOT NULL THEN 'first_only' ELSE 'second_only' END AS kind FROM a FULL JOIN b USING (sample))
-        SELECT sample, kind, round(CASE kind WHEN 'agree' THEN greatest(ca, cb) WHEN 'near' THEN greatest(ca, cb) * 0.85 WHEN 'conflict' THEN ca * 0.6 + cb * 0.4 WHEN 'first_only' THEN ca * 0.8 ELSE cb * 0.8 END, 6) AS confidence FROM k""",
-    "weighted_kl": f"WITH {_CELLS}, {_NORM}, u AS (SELECT *, 1 / count(*) OVER (PARTITION BY sample, b) AS q FROM n), k AS (SELECT sample, b, max(w) * sum(m * ln(m / greatest(q, 1e-8))) AS x FROM u WHERE m > 0 GROUP BY 1, 2) SELECT sample, round(avg(x), 6) AS loss FROM k GROUP BY 1",
+    "two_signal_fusion": f"""WITH {_SIGNALS}
+        SELECT sample, b, a AS s, 1.0 AS m, round(least(ca + cb, 1) * CASE kind WHEN 'near' THEN 0.85 ELSE 1 END, 6) AS w FROM k WHERE kind IN ('agree', 'near') UNION ALL
+        SELECT sample, b, a, 0.6, round(ca * 0.5, 6) FROM k WHERE kind = 'conflict' UNION ALL SELECT sample, b, z, 0.4, round(cb * 0.5, 6) FROM k WHERE kind = 'conflict' UNION ALL
+        SELECT sample, b, coalesce(a, z), 1.0, round(0.8 * CASE WHEN a IS NULL THEN cb ELSE ca END, 6) FROM k WHERE kind LIKE '%only'""",
+    "signal_stats": f"WITH {_SIGNALS} SELECT sample, count(*) FILTER (a IS NOT NULL AND z IS NOT NULL) AS n_both, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in L.KINDS)} FROM k GROUP BY 1",
+    "line_fusion": """
+        WITH l AS (SELECT l_orderkey, list_sort(list_distinct(coalesce(list(l_suppkey % 6) FILTER (l_returnflag <> 'R'), []))) AS a, list_sort(list_distinct(coalesce(list(l_partkey % 6) FILTER (l_linestatus = 'F'), []))) AS b, min(l_discount) * 10 AS z FROM lineitem GROUP BY 1),
+             i AS (SELECT *, list_sort(list_intersect(a, b)) AS i FROM l),
+             k AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN CASE WHEN a = b THEN 1 WHEN len(i) > 0 AND len(i) >= len(a) * 0.5 THEN 2 ELSE 3 END WHEN len(a) > 0 THEN 4 WHEN len(b) > 0 THEN 5 ELSE 6 END AS k FROM i)
+        SELECT l_orderkey, array_to_string(CASE WHEN k IN (1, 4, 6) THEN a WHEN k = 2 THEN i ELSE b END, ',') AS lines,
+               round(CASE k WHEN 1 THEN least(1, 0.7 + 0.3 * z) WHEN 2 THEN len(i) / greatest(len(a), len(b)) WHEN 3 THEN 0.5 + 0.3 * z WHEN 4 THEN 0.8 WHEN 5 THEN 0.6 + 0.2 * z END, 6) AS confidence FROM k""",
+    "supported_lines": f"WITH {_SOME} SELECT sample, b, line FROM r WHERE (sample, b) IN (SELECT (sample, b) FROM x WHERE m > 0) OR sample NOT IN (SELECT sample FROM x)",
+    "lines_consistent": f"WITH {_SOME} SELECT sample, bool_and((sample, b) IN (SELECT (sample, b) FROM x WHERE m > 0)) AS consistent FROM r GROUP BY 1",
+    "align_weights_normalised": "WITH w AS (SELECT l_orderkey, l_linenumber, min(l_discount) - 0.02 AS weight FROM lineitem GROUP BY 1, 2), t AS (SELECT *, sum(greatest(weight, 0)) OVER (PARTITION BY l_orderkey) AS t FROM w) SELECT l_orderkey, l_linenumber, CASE WHEN t > 0 THEN round(greatest(weight, 0) / t, 8) ELSE weight END AS weight FROM t",
+    "weighted_kl": f"""
+        WITH {_CELLS}, {_NORM}, q AS (SELECT sample, b, s, (s + 1) / sum(s + 1) OVER (PARTITION BY sample, b) AS q FROM n WHERE s % 2 = 1),
+             k AS (SELECT n.*, CASE WHEN EXISTS (SELECT 1 FROM q o WHERE o.sample = n.sample AND o.b = n.b) THEN greatest(coalesce(q, 0), 1e-8) ELSE 1 / 8 END AS p FROM n LEFT JOIN q USING (sample, b, s))
+        SELECT sample, round(coalesce(sum(w * m * (ln(m) - ln(p))), 0) / max(b), 6) AS loss FROM k GROUP BY 1""",
     "edge_recovery_kl": f"""
         WITH {_CELLS}, {_NORM}, bl AS (SELECT DISTINCT sample, b FROM n), e AS (SELECT x.sample, x.b AS src, x.b + 1 AS dst FROM bl x JOIN bl y ON x.sample = y.sample AND y.b = x.b + 1),
              pp AS (SELECT e.sample, i.s AS i, j.s AS j, sum(i.m * j.m) AS p FROM e JOIN n i ON i.sample = e.sample AND i.b = src JOIN n j ON j.sample = e.sample AND j.b = dst GROUP BY 1, 2, 3),

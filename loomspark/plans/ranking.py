@@ -25,9 +25,9 @@ def soft_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranker_pool_select(spark: SparkSession, d: str) -> DataFrame:
-    p = _parts(spark, d)
+    p = _parts(spark, d).withColumn("score", F.round(R.learned_score(F.col("quality"), F.col("size") / 10), 6))
     pools = [F.col("valid") & (F.col("size") <= 27) & (F.col("quality") > 1.5), F.col("valid") & (F.col("size") <= 27), F.col("valid"), F.lit(True)]
-    return R.pooled_choice(p, ["p_brand", "p_type"], pools, "quality", "p_partkey")
+    return R.pooled_choice(p, ["p_brand", "p_type"], pools, "score", "p_partkey")
 
 
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def oracle_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return R.preference_pairs(_parts(spark, d), "p_brand", "p_partkey", "quality")
+    return R.preference_pairs(_parts(spark, d), "p_brand", "p_partkey", "quality", F.col("valid"), "7", 32)
 
 
 def _slots(spark: SparkSession, d: str) -> DataFrame:
@@ -82,8 +82,12 @@ def binary_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compact_pool(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").select(F.col("p_brand").alias("sample"), "p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("family"), F.col("p_size").cast("string").alias("signature"))
-    return R.compact_pool(p, "sample", "p_partkey", [], {"family": 2, "signature": 1}, 20).select("sample", "p_partkey", "new_id")
+    """Of each brand's parts every eleventh has a core name; families and signatures are taken from type and container."""
+    names = F.array(*map(F.lit, R.CORE))
+    core = F.get(names, (F.col("p_partkey") / 11 % len(R.CORE)).cast("int"))
+    family = F.when(F.col("p_size") > 40, "mixed_if_policy").otherwise(F.substring_index("p_type", " ", 1))
+    p = read(spark, d, "part").select(F.col("p_brand").alias("sample"), "p_partkey", F.when(F.col("p_partkey") % 11 == 0, core).otherwise(F.col("p_name")).alias("name"), family.alias("family"), (F.col("p_size") % 9).cast("string").alias("signature"), F.col("p_retailprice").alias("quality"))
+    return R.compact_pool(p, "sample", "p_partkey", ["quality"], 20, 6, 4, 2).select("sample", "p_partkey", "original_id", "name")
 
 
 def edit_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +178,9 @@ def graph_contrast_hard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").select("label", (F.pmod(F.xxhash64("vec_id"), F.lit(2))).cast("int").alias("side"), "vec_id", "embedding")
+    """Sides by a hash of the row; a set is one function's, some dozens of rows."""
+    side = (F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 1), 16, 10).cast("int") % 2).alias("side")
+    return read(spark, d, "embeddings").select(F.concat_ws("/", "label", F.floor(F.col("vec_id") / 640).cast("string")).alias("label"), side, "vec_id", "embedding")
 
 
 def sinkhorn_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -230,17 +236,21 @@ _LOSS = f"""WITH {_V}, q AS (SELECT a.vec_id // 64 AS batch, a.vec_id AS id, a.e
     r AS (SELECT batch, i, max(s) + ln(sum(exp(s - m))) - max(s) FILTER (i = j) AS l FROM (SELECT *, max(s) OVER (PARTITION BY batch, i) AS m FROM s) GROUP BY batch, i),
     c AS (SELECT batch, j, max(s) + ln(sum(exp(s - m))) - max(s) FILTER (i = j) AS l FROM (SELECT *, max(s) OVER (PARTITION BY batch, j) AS m FROM s) GROUP BY batch, j)
     SELECT batch, count(*) AS n, round((avg(r.l) + (SELECT avg(l) FROM c WHERE c.batch = r.batch)) / 2, 4) AS {{name}} FROM r GROUP BY batch"""
+_SEQ = "q AS (SELECT user_id, coalesce(list(event_type ORDER BY event_id) FILTER (value > 50), []) AS a, coalesce(list(event_type ORDER BY event_id) FILTER (value <= 50), []) AS b FROM events GROUP BY 1)"
 ORACLES = {
     "soft_targets": f"""WITH {_P}, k AS (SELECT *, valid OR NOT bool_or(valid) OVER w AS pool FROM p WINDOW w AS (PARTITION BY p_brand)), e AS (SELECT *, CASE WHEN pool THEN exp(least(60, quality / 0.2 - max(CASE WHEN pool THEN quality / 0.2 END) OVER w)) END AS e FROM k WINDOW w AS (PARTITION BY p_brand))
         SELECT p_partkey, round(coalesce(e / sum(e) OVER (PARTITION BY p_brand), 0), 8) AS prob FROM e""",
-    "ranker_pool_select": f"""WITH {_P}, k AS (SELECT *, CASE WHEN valid AND size <= 27 AND quality > 1.5 THEN 0 WHEN valid AND size <= 27 THEN 1 WHEN valid THEN 2 ELSE 3 END AS pool FROM p)
-        SELECT p_brand, p_type, p_partkey, quality, pool FROM k QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY pool, quality DESC, p_partkey) = 1""",
+    "ranker_pool_select": f"""WITH {_P}, k AS (SELECT *, round(quality + 0.08 * size / 10, 6) AS score, CASE WHEN valid AND size <= 27 AND quality > 1.5 THEN 0 WHEN valid AND size <= 27 THEN 1 WHEN valid THEN 2 ELSE 3 END AS pool FROM p)
+        SELECT p_brand, p_type, p_partkey, score, pool FROM k QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY pool, score DESC, p_partkey) = 1""",
     "best_candidate": f"WITH {_P} SELECT p_brand, p_partkey, quality FROM p QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY quality DESC, p_partkey) = 1",
     "capped_candidates": f"WITH {_P}, k AS (SELECT p_brand, p_partkey, size, quality, row_number() OVER (PARTITION BY p_brand ORDER BY size DESC, quality DESC, p_partkey DESC) AS place FROM p) SELECT * FROM k WHERE place <= 7",
     "hard_negative_cap": f"""WITH {_P}, k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY quality DESC, p_partkey) <= 5 AS top FROM p),
         x AS (SELECT *, row_number() OVER (PARTITION BY p_brand, top ORDER BY md5(CAST(p_partkey AS VARCHAR))) AS r FROM k) SELECT p_brand, p_partkey FROM x WHERE top OR r <= 5""",
     "oracle_hits": f"WITH {_P}, k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY quality DESC, p_partkey) AS r FROM p) SELECT p_brand, bool_or(size > 40 AND r <= 1) AS top1, bool_or(size > 40 AND r <= 3) AS top3, bool_or(size > 40 AND r <= 5) AS top5 FROM k GROUP BY 1",
-    "preference_pairs": f"WITH {_P}, k AS (SELECT p_brand, p_partkey AS better, lead(p_partkey) OVER w AS worse, quality - lead(quality) OVER w AS gap FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY quality DESC, p_partkey)) SELECT p_brand, better, worse, round(least(greatest(gap, 0.1), 2), 6) AS weight FROM k WHERE gap > 0",
+    "preference_pairs": f"""WITH {_P}, t AS (SELECT p_brand, arg_max(p_partkey, (quality, -p_partkey)) AS better, max(quality) AS top FROM p WHERE valid GROUP BY 1),
+             n AS (SELECT p_brand, better, p_partkey AS worse, top - quality AS gap, row_number() OVER (PARTITION BY p_brand ORDER BY quality DESC, p_partkey) AS r FROM p JOIN t USING (p_brand) WHERE p_partkey <> better AND top - quality > 1e-6),
+             x AS (SELECT *, row_number() OVER (PARTITION BY p_brand, r <= 16 ORDER BY md5('7:' || worse), worse) AS h FROM n)
+        SELECT p_brand, better, worse, round(least(greatest(gap, 0.1), 2), 6) AS weight FROM x WHERE r <= 16 OR h <= 16""",
     "tier_ladder_bucket": """
         WITH s AS (SELECT o_orderkey, ['COND', 'BLOCK', 'GOTO', 'EARLY_EXIT', 'LOOP'][CAST(o_orderpriority[1] AS INTEGER)] AS t, CASE WHEN o_orderstatus = 'P' OR o_totalprice <= 5000 THEN 0 WHEN o_totalprice > 300000 THEN 3 WHEN o_orderstatus = 'F' AND o_totalprice > 100000 THEN 2 ELSE 1 END AS r FROM orders)
         SELECT o_orderkey, 'C' || r AS tier, [0.0, 0.0, 0.2, 0.5][r + 1] AS weight, CASE WHEN r >= 3 THEN 'strong' WHEN r >= 2 THEN 'weak' ELSE 'prior' END || '_' ||
@@ -251,6 +261,13 @@ ORACLES = {
         SELECT l_orderkey, round(CASE WHEN n > 2 THEN 1000 ELSE 0 END + 20.0 * n + 0.5 * q + 4 - 2 * b - 0.2 * g - 0.08 * b - 3 * g - CASE WHEN n > 6 THEN 100 ELSE 0 END, 6) AS score FROM l""",
     "binary_scores": """SELECT p_partkey, round(CASE WHEN p_retailprice > 1200 THEN 1000 ELSE 0 END + 28 * p_size / 50 + 1.5 - 24 * p_size / 100 - 1.25 * (p_size % 5) - 0.35 * 3 / greatest(1, p_size) - 12 * 0.1
         + CASE WHEN p_size > 40 THEN 1.25 + 2.5 - 0.1875 - p_size / 100 WHEN p_size > 30 THEN -(0.75 + 0.375 + p_size / 100) ELSE 0 END, 6) AS score FROM part""",
+    # the table of prefixes one row at a time, a row from the one before
+    "lcs_f1": f"""WITH RECURSIVE {_SEQ}, t AS (SELECT user_id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS r FROM q UNION ALL
+             SELECT user_id, a, b, i + 1, [0] || list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k + 1], r[k] + CASE WHEN b[k] = a[i + 1] THEN 1 ELSE 0 END)))) FROM t WHERE i < len(a))
+        SELECT user_id, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE round(2 * r[-1] / (len(a) + len(b)), 6) END AS f1 FROM t WHERE i = len(a)""",
+    "sequence_edit_distance": f"""WITH RECURSIVE {_SEQ}, t AS (SELECT user_id, a, b, 0 AS i, range(len(b) + 1) AS r FROM q UNION ALL
+             SELECT user_id, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: least(i + 1 + j, coalesce(list_min(list_transform(range(1, j + 1), lambda k: least(r[k + 1] + 1, r[k] + CASE WHEN b[k] = a[i + 1] THEN 0 ELSE 1 END) + j - k)), i + 1 + j))) FROM t WHERE i < len(a))
+        SELECT user_id, CAST(r[-1] AS BIGINT) AS distance FROM t WHERE i = len(a)""",
     "edit_similarity": "SELECT p_partkey, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type), 1), 6) AS similarity FROM part",
     "js_divergence": """
         WITH t AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS name), u AS (SELECT user_id, count(*) FILTER (value > 50) AS a, count(*) FILTER (value <= 50) AS b FROM events GROUP BY 1),

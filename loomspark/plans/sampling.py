@@ -63,7 +63,8 @@ def upper_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibration(spark: SparkSession, d: str) -> DataFrame:
-    return A.calibration(_weights(spark, d), "w", "q")
+    per = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg(F.col("l_discount") * 10), 6).alias("mean_w"), F.avg("l_quantity").alias("in_order"), F.avg("l_tax").alias("one_hot"), F.count("*").alias("coverage"))
+    return A.calibration(per, "mean_w", ["in_order", "one_hot", "coverage"])
 
 
 def totals_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -99,8 +100,8 @@ def cumulative_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def band_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    per = _docs(spark, d).groupBy("source").agg(F.round(F.avg((F.col("lang") == "en").cast("double")), 6).alias("share"))
-    return per.withColumn("verdict", A.verdict(F.col("share"), 0.65, 0.6))
+    share = F.round(F.col("p_size") / 50, 6)
+    return read(spark, d, "part").select("p_partkey", share.alias("share"), *[A.verdict(m, share).alias(m) for m in A.BANDS])
 
 
 QUERIES = {
@@ -117,12 +118,12 @@ ORACLES = {
     "group_fraction_sample": _RANK.format(by="source") + " SELECT doc_id, source FROM r WHERE k <= greatest(1, floor(n * 0.25))",
     "project_quota_sample": _RANK.format(by="source") + " SELECT doc_id, source FROM r WHERE k <= round_even(n * 0.5, 0)",
     "reservoir_sample": "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
-    "spread_picks": "WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders) SELECT o_orderkey, o_totalprice FROM r WHERE p IN (SELECT i * (SELECT count(*) FROM orders) // 40 FROM range(40) t(i))",
+    "spread_picks": "WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) SELECT o_orderkey, o_totalprice FROM r WHERE p IN (SELECT ((SELECT count(*) FROM orders) - 1) * i // 39 FROM range(40) t(i))",
     "topk_complex": "SELECT l_orderkey, count(DISTINCT l_suppkey) AS blocks, count(*) AS edges, 1000 * count(DISTINCT l_suppkey) + count(*) AS score FROM lineitem GROUP BY 1 ORDER BY score DESC, l_orderkey LIMIT 25",
     "tail_n": "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 100",
-    "conf_histogram": "SELECT CAST(least(floor(round(l_discount * 10 * 10, 9)), 9) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_discount * 10 BETWEEN 0 AND 1 GROUP BY 1",
+    "conf_histogram": "SELECT CAST(CASE WHEN w < 0.1 THEN 0 WHEN w < 0.2 THEN 1 WHEN w < 0.3 THEN 2 WHEN w < 0.4 THEN 3 WHEN w < 0.5 THEN 4 WHEN w < 0.6 THEN 5 WHEN w < 0.7 THEN 6 WHEN w < 0.8 THEN 7 WHEN w < 0.9 THEN 8 ELSE 9 END AS INTEGER) AS bin, count(*) AS n FROM (SELECT CAST(l_discount * 10 AS DOUBLE) AS w FROM lineitem) WHERE w BETWEEN 0 AND 1 GROUP BY 1",
     "upper_median": "WITH r AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS p, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, l_quantity AS upper_median, n FROM r WHERE p = n // 2",
-    "calibration": "SELECT round(avg(l_quantity) FILTER (l_discount * 10 >= 0.7), 6) AS high, round(avg(l_quantity) FILTER (l_discount * 10 >= 0.3 AND l_discount * 10 < 0.7), 6) AS middling, count(*) FILTER (l_discount * 10 >= 0.7) AS n_high, count(*) FILTER (l_discount * 10 >= 0.3 AND l_discount * 10 < 0.7) AS n_middling FROM lineitem",
+    "calibration": "WITH s AS (SELECT l_orderkey, round(avg(l_discount * 10), 6) AS w, avg(l_quantity) AS a, avg(l_tax) AS b, count(*) AS c FROM lineitem GROUP BY 1) SELECT CASE WHEN w >= 0.7 THEN 'high' ELSE 'middling' END AS band, count(*) AS n, round(avg(a), 6) AS in_order, round(avg(b), 6) AS one_hot, round(avg(c), 6) AS coverage FROM s WHERE w >= 0.3 GROUP BY 1",
     "totals_rollup": "SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN 'TOTAL' ELSE o_orderpriority END AS o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS finished, count(*) AS n_orders, round(100.0 * sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / nullif(count(*), 0), 6) AS percent FROM orders GROUP BY ROLLUP (o_orderpriority)",
     "baseline_delta": "WITH m AS (SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 6) AS mean_price FROM orders GROUP BY ALL) SELECT m.*, round(m.mean_price - b.mean_price, 6) AS delta FROM m LEFT JOIN m b ON b.o_orderstatus = m.o_orderstatus AND b.o_orderpriority = '1-URGENT'",
     "most_common_other": "WITH c AS (SELECT p_brand AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1) SELECT CASE WHEN k <= 5 THEN name ELSE '__other__' END AS name, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1",
@@ -130,5 +131,5 @@ ORACLES = {
     "standardise": "SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / coalesce(nullif(stddev_pop(p_size) OVER (), 0), 1), 6) AS z_size, round((p_retailprice - avg(p_retailprice) OVER ()) / coalesce(nullif(stddev_pop(p_retailprice) OVER (), 0), 1), 6) AS z_price FROM part",
     "type_shares": "SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1",
     "cumulative_levels": "SELECT o_orderpriority, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY o_orderpriority) AS BIGINT) AS upto FROM orders GROUP BY 1",
-    "band_verdicts": "WITH s AS (SELECT source, round(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END), 6) AS share FROM documents GROUP BY 1) SELECT source, share, CASE WHEN share >= 0.65 THEN 'ok' WHEN share >= 0.6 THEN 'near' ELSE 'miss' END AS verdict FROM s",
+    "band_verdicts": "WITH s AS (SELECT p_partkey, round(p_size / 50, 6) AS share FROM part) SELECT p_partkey, share, CASE WHEN share BETWEEN 0.9 AND 0.95 THEN 'ok' WHEN share >= 0.85 THEN 'near' ELSE 'miss' END AS coverage, CASE WHEN share BETWEEN 0.75 AND 0.85 THEN 'ok' WHEN share >= 0.6 THEN 'near' ELSE 'miss' END AS high_confidence, CASE WHEN share BETWEEN 0.85 AND 0.9 THEN 'ok' WHEN share >= 0.75 THEN 'near' ELSE 'miss' END AS agreement, CASE WHEN share >= 0.9 THEN 'ok' WHEN share >= 0.85 THEN 'near' ELSE 'miss' END AS \"order\" FROM s",
 }

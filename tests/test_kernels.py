@@ -60,8 +60,10 @@ def test_kernels_on_random_graphs():
                     x = post[x]
                     chain.add(x)
                 assert (b in chain) == cut
-        dfs, bfs, depth = G.traversal(0, out)
-        assert set(dfs) == set(bfs) == live and sorted(dfs.values()) == list(range(len(live)))
+        dfs, bfs, depth = G.traversal(0, nodes, out)
+        assert set(depth) == live and sorted(dfs.values()) == sorted(bfs.values()) == list(range(len(nodes)))
+        late = [n for n in nodes if n not in live]
+        assert [dfs[n] for n in late] == [bfs[n] for n in late] == list(range(len(live), len(nodes)))  # not reached: last, by number
         assert all(depth[b] <= depth[a] + 1 for a, b in edges if a in live)
         features = G.block_features(0, nodes, edges)
         assert all(len(f) == len(G.FEATURES) for f in features.values()) and set(features) == set(nodes)
@@ -86,8 +88,10 @@ def test_transport_plans():
     c = rng.random((5, 7))
     p = O.sinkhorn(c, rounds=200)
     assert np.allclose(p.sum(0), 1 / 7) and np.allclose(p.sum(1), 1 / 5, atol=1e-4) and (p >= 0).all()
-    s = O.with_sink(c, 0.2, rounds=200)
-    assert s.shape == (5, 8) and s[:, -1].sum() <= 0.45 + 1e-6
+    for scale, share in ((0.2, 0.2 * 5 / 7), (9.0, 0.45)):
+        s = O.with_sink(1 - c, scale, rounds=200)
+        assert s.shape == (5, 8) and abs(s[:, -1].sum() - share) < 1e-6 and np.allclose(s[:, :-1].sum(0), (1 - share) / 7)
+    assert np.allclose(O.with_sink(1 - c, 0.0), O.sinkhorn(c))
     q = O.structured_sinkhorn(c, np.eye(5, k=1), np.eye(7, k=1))
     assert q.shape == (5, 7) and np.isfinite(q).all()
     assert O.greedy(np.array([[0.9, 0.8], [0.9, 0.1]]), 0.2) == [(0, 0)] and O.greedy(np.array([[0.9, 0.8], [0.7, 0.1]])) == [(0, 0), (1, 1)]
@@ -133,7 +137,7 @@ def _cyclic(tree, n):
 def test_structural_regions():
     nodes, edges = list(range(8)), [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 4), (4, 6), (6, 7)]
     found = G.structural_regions(0, nodes, edges, {0: 1, 1: 2, 2: 3, 3: 0, 4: 4, 5: 5, 6: 0, 7: 0})
-    assert found == [(1, 0, [0, 1, 2]), (0, 3, [3]), (4, 4, [4, 5]), (0, 6, [6, 7])]
+    assert found == [(1, 0, [0, 1, 2]), (0, None, [3]), (4, 4, [4, 5]), (0, None, [6, 7])]  # only ifs, loops and switches have a header
     assert G.compound_regions([0, 1, 2, 3], [(0, 1), (2, 3)], {0: 5, 1: 5, 2: -1, 3: -1}, {0: 12, 1: 0, 2: 1, 3: 1}) == [(12, 0, [0, 1]), (1, 2, [2, 3])]
 
 
