@@ -91,9 +91,9 @@ def test_split_sizes(spark):
 
 def test_compaction_frees_other_caps(spark):
     rows = [("s", k, name, fam, sig) for k, (name, fam, sig) in enumerate([("core", "a", "x"), ("p", "a", "x"), ("q", "a", "y"), ("r", "b", "y"), ("t", "b", "z"), ("u", "b", "w")])]
-    df = spark.createDataFrame(rows, "sample string, k int, name string, family string, signature string")
-    out = ranking.compact_pool(df, "sample", "k", ["core"], {"family": 2, "signature": 1}, 4).orderBy("new_id").collect()
-    assert [r.name for r in out] == ["core", "q", "t", "u"]
+    df = spark.createDataFrame(rows, "sample string, k int, name string, family string, signature string").withColumn("score", F.lit(1.0))
+    out = ranking.compact_pool(df, "sample", "k", ["score"], 4, 2, 1, keep=("core",)).orderBy("k").collect()
+    assert [(r.name, r.k, r.original_id) for r in out] == [("core", 0, 0), ("q", 1, 2), ("t", 2, 4), ("u", 3, 5)]
 
 
 def test_pairwise_ranker_prefers():
