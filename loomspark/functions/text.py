@@ -26,11 +26,19 @@ def project_after(c: Column, anchor: str, depth: int = 1) -> Column:
     return F.when((at > 0) & (at + depth <= F.size(parts)), F.array_join(F.slice(parts, at.cast("int") + 1, depth), "/"))
 
 
-def opt_level(name: Column) -> Column:
-    """o0, o1, o2, o3 or os out of a file name or command: a word `o0`..., else a flag `-O2`; else null."""
-    word = F.lower(F.regexp_extract(name, r"(?i)(?:^|[^a-z0-9])(o[0-3s])(?:[^a-z0-9]|$)", 1))
-    flag = F.lower(F.regexp_extract(name, r"-(O[0-3s])\b", 1))
-    return F.coalesce(F.when(word != "", word), F.when(flag != "", flag))
+# Optimisation levels in the order in which they are looked for.
+OPT_LEVELS = ["o0", "o1", "o2", "o3", "os"]
+
+
+def opt_level(*names: Column) -> Column:
+    """The level in the first of several names or commands that has one: a word `o0` ... (the first level of the order wins), else a flag `-O2`; else `unknown`."""
+    tried = []
+    for name in names:
+        low = F.lower(F.coalesce(name, F.lit("")))
+        tried += [F.when(F.rlike(low, F.lit(f"(^|[^a-z0-9]){x}([^a-z0-9]|$)")), F.lit(x)) for x in OPT_LEVELS]
+        flag = F.regexp_extract(low, r"-o([0123s])\b", 1)
+        tried.append(F.when(flag != "", F.concat(F.lit("o"), flag)))
+    return F.coalesce(*tried, F.lit("unknown"))
 
 
 def strip_comments(c: Column) -> Column:
@@ -96,22 +104,17 @@ def first_rule(c: Column, rules: list[tuple[str, str]], otherwise: str) -> Colum
     return out
 
 
-# Other names of slot types, by type.
+# Other names of slot types.
 SLOT_TYPES = {
-    "COND": "FILL_COND COND_SLOT CONDITION SWITCH_DISPATCH",
-    "STMT": "FILL_STMT STATEMENT",
-    "BLOCK": "FILL_BLOCK BLOCK_SLOT UNSTRUCTURED_REGION",
-    "CASE_LABEL": "FILL_CASE CASE_SLOT CASE",
-    "EXIT": "FILL_GOTO GOTO_SLOT GOTO FILL_CLEANUP_EXIT CLEANUP_EXIT_SLOT CLEANUP_EXIT",
-    "LOOP_EXIT": "FILL_BREAK BREAK_SLOT BREAK FILL_CONTINUE CONTINUE_SLOT CONTINUE LOOP_CONTINUE",
-    "RETURN": "FILL_EARLY_EXIT EARLY_EXIT_SLOT EARLY_EXIT",
-}
+    "FILL_COND": "COND", "COND_SLOT": "COND", "CONDITION": "COND", "SWITCH_DISPATCH": "COND", "FILL_STMT": "STMT", "STATEMENT": "STMT", "FILL_BLOCK": "BLOCK", "BLOCK_SLOT": "BLOCK", "UNSTRUCTURED_REGION": "BLOCK",
+    "FILL_CASE": "CASE_LABEL", "CASE_SLOT": "CASE_LABEL", "CASE": "CASE_LABEL", "FILL_GOTO": "EXIT", "GOTO_SLOT": "EXIT", "GOTO": "EXIT", "FILL_CLEANUP_EXIT": "EXIT", "CLEANUP_EXIT_SLOT": "EXIT", "CLEANUP_EXIT": "EXIT",
+    "FILL_BREAK": "LOOP_EXIT", "BREAK_SLOT": "LOOP_EXIT", "BREAK": "LOOP_EXIT", "FILL_CONTINUE": "LOOP_EXIT", "CONTINUE_SLOT": "LOOP_EXIT", "CONTINUE": "LOOP_EXIT", "LOOP_CONTINUE": "LOOP_EXIT",
+    "FILL_EARLY_EXIT": "RETURN", "EARLY_EXIT_SLOT": "RETURN", "EARLY_EXIT": "RETURN",
+}
 
 
 def slot_type(c: Column) -> Column:
     """The type behind a name in any case; unknown names stay, in capitals."""
     raw = F.upper(F.trim(F.coalesce(c, F.lit(""))))
-    out = raw
-    for kind, names in SLOT_TYPES.items():
-        out = F.when(raw.isin(names.split()), kind).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for pair in SLOT_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, raw), raw)

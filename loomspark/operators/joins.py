@@ -118,3 +118,8 @@ def multiset_f1(a: DataFrame, b: DataFrame, group: list[str], item: str) -> Data
     x, y = a.groupBy(*group, item).agg(F.count("*").alias("_x")), b.groupBy(*group, item).agg(F.count("*").alias("_y"))
     s = x.join(y, [*group, item], "full_outer").na.fill(0, ["_x", "_y"]).groupBy(*group).agg(F.sum(F.least("_x", "_y")).alias("_m"), F.sum(F.col("_x") + F.col("_y")).alias("_n"))
     return s.select(*group, F.round(F.coalesce(2 * F.col("_m") / F.nullif("_n", F.lit(0)), F.lit(1.0)), 6).alias("f1"))
+
+
+def source_text(places: DataFrame, lines: DataFrame, otherwise: str = "") -> DataFrame:
+    """places (file, line_no, ...) with `text` of source lines (file, line_no, text); a line that is not there has another text."""
+    return places.join(lines.select("file", "line_no", "text"), ["file", "line_no"], "left").withColumn("text", F.coalesce("text", F.lit(otherwise)))

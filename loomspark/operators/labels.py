@@ -16,16 +16,16 @@ STATEMENTS = ["expr", "decl", "if", "while", "for", "do_while", "switch", "case"
 EDGES = ["cond", "uncond", "back", "call", "ret"]
 # Statement types that a role may stand for.
 COMPATIBLE = {
-    "sequential": "expr decl assign call other",
-    "if_header": "if",
-    "if_then_body": "expr decl assign call compound other",
-    "if_else_body": "expr decl assign call compound other",
-    "loop_header": "while for do_while",
-    "loop_body": "expr decl assign call compound other",
-    "loop_exit": "break continue return other",
-    "switch_header": "switch",
-    "switch_case_body": "case expr break other",
-    "function_prologue_epilogue": "return decl other",
+    "sequential": ["expr", "decl", "assign", "call", "other"],
+    "if_header": ["if"],
+    "if_then_body": ["expr", "decl", "assign", "call", "compound", "other"],
+    "if_else_body": ["expr", "decl", "assign", "call", "compound", "other"],
+    "loop_header": ["while", "for", "do_while"],
+    "loop_body": ["expr", "decl", "assign", "call", "compound", "other"],
+    "loop_exit": ["break", "continue", "return", "other"],
+    "switch_header": ["switch"],
+    "switch_case_body": ["case", "expr", "break", "other"],
+    "function_prologue_epilogue": ["return", "decl", "other"],
 }
 # Patterns of source text.
 IF, LOOP, SWITCH = r"\bif\s*\(", r"\b(for|while)\s*\(|\bdo\b", r"\bswitch\s*\("
@@ -35,7 +35,7 @@ SEQUENTIAL, IF_HEADER, IF_THEN, IF_ELSE, LOOP_HEADER, LOOP_BODY, LOOP_EXIT, SWIT
 
 def compatibility(spark) -> DataFrame:
     """Bridge table (role, ast) of compatible numbers: a few dozen rows."""
-    return spark.createDataFrame([(ROLES.index(r), STATEMENTS.index(s)) for r, kinds in COMPATIBLE.items() for s in kinds.split()], "role int, ast int")
+    return spark.createDataFrame([(ROLES.index(r), STATEMENTS.index(s)) for r, kinds in COMPATIBLE.items() for s in kinds], "role int, ast int")
 
 
 def compatible_cells(cells: DataFrame, spark) -> DataFrame:

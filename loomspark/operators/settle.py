@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder and read from there, so what depends on how its rows were dealt stays the same in every branch that reads it.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; a temporary one only where none is set and all runs on this machine (as in local tests)."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="loomspark-")
+    sc.setCheckpointDir(found)
+    return found
+
 
-    Uses the session's spark.checkpoint.dir; a temporary folder only where none is set and all runs on this machine (as in local tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if sc.master.split("[")[0] != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = tempfile.mkdtemp(prefix="loomspark-")
-        sc.setCheckpointDir(found)
+def settled(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder and read from there, so what depends on how its rows were dealt stays the same in every branch that reads it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -54,6 +54,23 @@ def with_sink(similarity: np.ndarray, scale: float, b: np.ndarray | None = None,
     return sinkhorn(1 - np.hstack([similarity, np.zeros((n, 1))]), epsilon, rounds, None, np.r_[b * (1 - share), share])
 
 
+def region_pairs(x: np.ndarray, y: np.ndarray, compatible: np.ndarray, tau: float = 0.1, epsilon: float = 0.05, rounds: int = 20, least: float = 0.0) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(plan, pairs) of two sides' region vectors: cosine over tau, regions whose types don't go together shut out, transport, then one-to-one pairs by falling mass.
+
+    A region that goes with no other has an empty row; a pair has a mass over 0 and of `least` or more.
+    """
+    n, m = len(x), len(y)
+    if not n or not m:
+        return np.zeros((n, m)), []
+    cost = np.where(compatible, -(1 - cosine_cost(x, y)) / tau, 1e30)
+    rows, cols = np.flatnonzero(compatible.any(1)), np.flatnonzero(compatible.any(0))
+    plan = np.zeros((n, m))
+    if len(rows):
+        plan[np.ix_(rows, cols)] = sinkhorn(cost[np.ix_(rows, cols)], epsilon, rounds, np.full(len(rows), 1 / n), np.full(len(cols), 1 / m))
+    plan[~compatible] = 0.0
+    return plan, greedy(plan, max(least, np.nextafter(0, 1)))
+
+
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     """Least-cost assignment of rows to columns by shortest augmenting paths; a matrix with more rows than columns is turned."""
     if cost.shape[0] > cost.shape[1]:

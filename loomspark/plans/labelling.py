@@ -79,7 +79,7 @@ def identifier_placeholders(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (lines_to_statement, pattern_refinement, label_confusion, label_repair, compatibility_penalty, compact_remap, matching_costs, identifier_placeholders)}
 
-_BRIDGE = ", ".join(f"({L.ROLES.index(r)}, {L.STATEMENTS.index(s)})" for r, k in L.COMPATIBLE.items() for s in k.split())
+_BRIDGE = ", ".join(f"({L.ROLES.index(r)}, {L.STATEMENTS.index(s)})" for r, k in L.COMPATIBLE.items() for s in k)
 ORACLES = {
     "lines_to_statement": """
         WITH s AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS id, CAST(min(l_quantity) AS BIGINT) AS q, max(l_returnflag) = 'R' AS compound, max(l_linestatus) = 'F' AS control FROM lineitem GROUP BY 1, 2),
