@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: str, high: str, width: float) -> DataFrame:
     """Points in [low, high) of intervals with the same keys. Both sides are cut into cells of `width`, so the join is on keys and a cell, not on all pairs of a key."""
@@ -21,25 +23,50 @@ def prefer_flagged(df: DataFrame, by: list[str], flag: Column) -> DataFrame:
     return df.join(some, by).where(flag | ~F.col("_some")).drop("_some")
 
 
-def overlap_or_widened(left: DataFrame, right: DataFrame, on: list[str], low: str, high: str, start: str, end: str, slack: float) -> DataFrame:
+def overlap_or_widened(left: DataFrame, right: DataFrame, on: list[str], low: str, high: str, start: str, end: str, slack: float, width: float) -> DataFrame:
     """Overlaps of closed intervals; a left row without any is tried again with both its ends moved out by slack. Adds `widened`.
 
-    One join on the widened range serves both; the exact overlaps of a row win where there are some.
+    One join on the widened range serves both; the exact overlaps of a row win where there are some. Ranges meet in cells of `width`, a pair only in the first cell that
+    both have, so a key of very many rows costs what overlaps. Left rows that are equal in all columns count as one row.
     """
-    rows = left.join(right, on).where((F.col(start) <= F.col(high) + slack) & (F.col(end) >= F.col(low) - slack))
-    exact = (F.col(start) <= F.col(high)) & (F.col(end) >= F.col(low))
-    rows = rows.withColumn("widened", ~exact)
-    return prefer_flagged(rows, [*on, low, high], ~F.col("widened"))
+    cell = lambda c: F.floor(c / width).cast("long")
+    first, last = cell(F.col(low) - slack), cell(F.col(high) + slack)
+    a = left.where(F.col(low) <= F.col(high)).withColumn("_a", first).withColumn("_cell", F.explode(F.sequence(first, last)))
+    b = right.where(F.col(start) <= F.col(end)).withColumn("_b", cell(F.col(start))).withColumn("_cell", F.explode(F.sequence(cell(F.col(start)), cell(F.col(end)))))
+    rows = a.join(b, [*on, "_cell"]).where(F.col("_cell") == F.greatest("_a", "_b")).drop("_a", "_b", "_cell")
+    rows = rows.where((F.col(start) <= F.col(high) + slack) & (F.col(end) >= F.col(low) - slack))
+    rows = rows.withColumn("widened", ~((F.col(start) <= F.col(high)) & (F.col(end) >= F.col(low))))
+    some = rows.groupBy(*left.columns).agg(F.bool_and("widened").alias("_all"))
+    same = F.lit(True)
+    for c in left.columns:
+        same = same & rows[c].eqNullSafe(some[c])
+    return rows.join(some.where("NOT _all"), same, "left_semi").where("NOT widened").unionByName(rows.join(some.where("_all"), same, "left_semi"))
 
 
 def jaccard_argmax(a: DataFrame, b: DataFrame, a_key: str, b_key: str, item: str, least: float) -> DataFrame:
-    """For each a its most similar b by the Jaccard of distinct items, `least` at least; of equals the smallest b. Joined on items, then counted."""
-    x, y = a.select(a_key, item).distinct(), b.select(b_key, item).distinct()
-    na, nb = x.groupBy(a_key).agg(F.count("*").alias("_na")), y.groupBy(b_key).agg(F.count("*").alias("_nb"))
-    both = x.join(y, item).groupBy(a_key, b_key).agg(F.count("*").alias("_i")).join(na, a_key).join(nb, b_key)
-    both = both.withColumn("jaccard", F.col("_i") / (F.col("_na") + F.col("_nb") - F.col("_i"))).where(F.col("jaccard") >= least)
-    best = both.groupBy(a_key).agg(F.max_by(F.struct(b_key, "jaccard"), F.struct("jaccard", (-F.col(b_key)).alias("k"))).alias("_x"))
-    return best.select(a_key, f"_x.{b_key}", F.round("_x.jaccard", 6).alias("jaccard"))
+    """For each a its most similar b by the Jaccard of distinct items, `least` at least; of equals the smallest b.
+
+    Items are ordered by how many sets have them. Of n items in that order two sets of such a similarity share one of the first n - ceil(least * n) + 1 of both, so
+    only these are joined, and the most common items of a set pair nobody; sizes must be within the same ratio. What remains is counted on the whole sets.
+    """
+    x, y = a.select(F.col(a_key).alias("_k"), item).where(F.col(item).isNotNull()).distinct(), b.select(F.col(b_key).alias("_k"), item).where(F.col(item).isNotNull()).distinct()
+    often = settled(x.unionByName(y).groupBy(item).agg(F.count("*").alias("_f")).withColumn("_i", F.monotonically_increasing_id()))  # numbers stand for items
+
+    def sets(side: DataFrame) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("_f", "_i")))
+        return settled(side.join(often, item).groupBy("_k").agg(F.transform(ordered, lambda x: x["_i"]).alias("_s")))
+
+    def prefixes(side: DataFrame, key: str, size: str) -> DataFrame:
+        n = F.size("_s")
+        return side.select(F.col("_k").alias(key), n.alias(size), F.explode(F.slice("_s", 1, n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)).alias("_i"))
+
+    xs, ys = sets(x), sets(y)
+    pairs = prefixes(xs, "_a", "_na").join(prefixes(ys, "_b", "_nb"), "_i").where((F.col("_na") >= F.col("_nb") * least - 1e-9) & (F.col("_nb") >= F.col("_na") * least - 1e-9)).select("_a", "_b").distinct()
+    both = pairs.join(ys.select(F.col("_k").alias("_b"), F.col("_s").alias("_t")), "_b").join(xs.select(F.col("_k").alias("_a"), "_s"), "_a")
+    both = both.select("_a", "_b", F.size("_s").alias("_n"), F.size("_t").alias("_m"), F.size(F.array_intersect("_s", "_t")).alias("_i"))
+    both = both.withColumn("jaccard", F.col("_i") / (F.col("_n") + F.col("_m") - F.col("_i"))).where(F.col("jaccard") >= least)
+    best = both.groupBy("_a").agg(F.max_by(F.struct("_b", "jaccard"), F.struct("jaccard", (-F.col("_b")).alias("k"))).alias("_x"))
+    return best.select(F.col("_a").alias(a_key), F.col("_x._b").alias(b_key), F.round("_x.jaccard", 6).alias("jaccard"))
 
 
 def cascade(left: DataFrame, right: DataFrame, keys: list[tuple[str, Column, Column]], left_id: str, right_id: str, compatible: Column | None = None) -> DataFrame:
@@ -77,13 +104,18 @@ def first_match(probe: DataFrame, build: DataFrame, key: str, order: str, column
 def companion(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     """Another row of the same group for every row: the next one in the order of a hash, the first one after the last; itself if it is alone.
 
-    Only neighbours in the order meet, so a group of n rows gives n pairs.
+    Only neighbours in the order meet, so a group of n rows gives n pairs. The order is cut into slices by the hash's first digits; the last row of a slice takes the
+    first one of the next, so no group meets in one task.
     """
-    order = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key))
-    w = Window.partitionBy(group).orderBy(order)
-    first = df.groupBy(group).agg(F.min_by(key, order).alias("_first"))
-    out = df.withColumn("_next", F.lead(key).over(w)).join(first, group)
-    return out.withColumn("companion", F.coalesce("_next", "_first")).drop("_next", "_first")
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    rows = df.withColumns({"_h": h, "_s": F.substring(h, 1, 3)})
+    order = F.struct("_h", key)
+    firsts = rows.groupBy(group, "_s").agg(F.min_by(key, order).alias("_own"))
+    slices = Window.partitionBy(group).orderBy("_s")  # 4,096 rows at most
+    whole = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select(group, "_s", F.coalesce(F.lead("_own").over(slices), F.first("_own").over(whole)).alias("_after"))
+    out = rows.withColumn("_next", F.lead(key).over(Window.partitionBy(group, "_s").orderBy("_h", key))).join(after, [group, "_s"])
+    return out.withColumn("companion", F.coalesce("_next", "_after")).drop("_next", "_after", "_h", "_s")
 
 
 def coverage(expected: DataFrame, stages: dict[str, DataFrame], keys: list[str]) -> DataFrame:

@@ -27,13 +27,15 @@ def family(name: Column) -> Column:
 
 
 def soft_targets(df: DataFrame, by: list[str], quality: str, valid: str, tau: float) -> DataFrame:
-    """Add `prob`: softmax of quality / tau over a group's valid rows (all rows where none is valid), 8 places; 0 outside the pool."""
-    w = Window.partitionBy(*by)
-    pool = F.col("_pool")
-    score = F.when(pool, F.coalesce(F.col(quality), F.lit(-1e9)) / max(1e-6, tau))
-    df = df.withColumn("_pool", F.coalesce(F.col(valid), F.lit(False)) | ~F.bool_or(F.coalesce(F.col(valid), F.lit(False))).over(w))
-    df = df.withColumn("_e", F.when(pool, F.exp(F.least(F.lit(60.0), score - F.max(score).over(w)))))
-    return df.withColumn("prob", F.round(F.coalesce(F.col("_e") / F.sum("_e").over(w), F.lit(0.0)), 8)).drop("_pool", "_e")
+    """Add `prob`: softmax of quality / tau over a group's valid rows (all rows where none is valid), 8 places; 0 outside the pool.
+
+    A group's largest score and its sum are aggregates that are joined back.
+    """
+    score, ok = F.coalesce(F.col(quality), F.lit(-1e9)) / max(1e-6, tau), F.coalesce(F.col(valid), F.lit(False))
+    top = df.groupBy(*by).agg(F.max(F.when(ok, score)).alias("_v"), F.max(score).alias("_a"))
+    rows = df.join(top, by).withColumn("_e", F.when(ok | F.col("_v").isNull(), F.exp(F.least(F.lit(60.0), score - F.coalesce("_v", "_a")))))
+    total = rows.groupBy(*by).agg(F.sum("_e").alias("_z"))
+    return rows.join(total, by).withColumn("prob", F.round(F.coalesce(F.col("_e") / F.col("_z"), F.lit(0.0)), 8)).select(*df.columns, "prob")
 
 
 def pooled_choice(df: DataFrame, by: list[str], pools: list[Column], score: str, key: str) -> DataFrame:
@@ -48,23 +50,23 @@ def best(df: DataFrame, by: list[str], score: Column, key: str) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by(F.struct(*[c for c in df.columns if c not in by]), F.struct(score, -F.col(key))).alias("_x")).select(*by, "_x.*")
 
 
-def capped(df: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:
-    """The first `cap` rows of each group, with their `place`."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= cap)
+def capped(df: DataFrame, by: list[str], order: list[Column], cap: int, slices: int = 64) -> DataFrame:
+    """The first `cap` rows of each group, with their `place`: first of each of `slices` parts by a hash of the row, then of what is left of them, so no group meets in one task."""
+    hashed = [c for c, t in df.dtypes if "map<" not in t]
+    part = Window.partitionBy(*by, "_part").orderBy(*order)
+    some = df.withColumn("_part", F.pmod(F.xxhash64(*hashed), F.lit(slices))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= cap).drop("_part", "_k")
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= cap)
 
 
-def half_top_half_drawn(df: DataFrame, by: list[str], order: list[Column], draw: Column, k: int) -> DataFrame:
-    """k div 2 rows of the highest rank and the rest of k drawn by hash from the others."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_r", F.row_number().over(w.orderBy(*order)))
-    top = F.col("_r") <= k // 2
-    rows = rows.withColumn("_d", F.row_number().over(w.orderBy(top, draw)))
-    return rows.where(top | (F.col("_d") <= k - k // 2)).drop("_r", "_d")
+def half_top_half_drawn(df: DataFrame, by: list[str], key: str, order: list[Column], draw: Column, k: int) -> DataFrame:
+    """k div 2 rows of the highest rank and the rest of k drawn by hash from the others; key tells the rows of a group apart."""
+    head = capped(df, by, order, k // 2).drop("place")
+    tail = df.join(head.select(*by, key), [*by, key], "left_anti")
+    return head.unionByName(capped(tail, by, [draw, F.col(key)], k - k // 2).drop("place"))
 
 
 def hits_at(df: DataFrame, by: list[str], order: list[Column], hit: Column, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.groupBy(*by).agg(*[F.bool_or(hit & (F.col("_r") <= k)).alias(f"top{k}") for k in ks])
+    return capped(df, by, order, max(ks)).groupBy(*by).agg(*[F.bool_or(hit & (F.col("place") <= k)).alias(f"top{k}") for k in ks])
 
 
 def confidence_tier(external: Column, proposed: Column, gate: Column, v0: Column, v1: Column, v1_clean: Column, v2: Column, v3: Column) -> Column:
@@ -182,17 +184,9 @@ def preference_pairs(df: DataFrame, by: str, key: str, quality: str, trainable:
     best_ = df.where(trainable).groupBy(by).agg(F.max_by(F.struct(F.col(key).alias("better"), F.col(quality).alias("_top")), F.struct(quality, -F.col(key))).alias("_x")).select(by, "_x.*")
     worse = df.join(best_, by).where((F.col(key) != F.col("better")) & (F.col("_top") - F.col(quality) > 1e-6))
     worse = worse.select(by, "better", F.col(key).alias("worse"), F.col(quality).alias("_q"), (F.col("_top") - F.col(quality)).alias("_gap"))
-    head = capped_by_hash_slices(worse, by, [F.desc("_q"), F.col("worse")], most // 2, "worse").withColumn("_head", F.lit(True))
-    tail = worse.join(head.select(by, "worse"), [by, "worse"], "left_anti")
-    tail = capped_by_hash_slices(tail, by, [F.md5(F.concat(F.lit(f"{seed}:"), F.col("worse").cast("string"))), F.col("worse")], most - most // 2, "worse")
-    return head.drop("_head").unionByName(tail).select(by, "better", "worse", F.round(F.least(F.greatest(F.col("_gap"), F.lit(0.1)), F.lit(2.0)), 6).alias("weight"))
-
-
-def capped_by_hash_slices(df: DataFrame, by: str, order: list[Column], cap: int, key: str, slices: int = 64) -> DataFrame:
-    """The first `cap` rows of each group: first of each of `slices` parts by a hash of the key, then of what is left of them, so no group meets in one task."""
-    part = Window.partitionBy(by, "_part").orderBy(*order)
-    some = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(slices))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= cap)
-    return some.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= cap).drop("_part", "_k")
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("worse").cast("string")))
+    rows = half_top_half_drawn(worse, [by], "worse", [F.desc("_q"), F.col("worse")], drawn, most)
+    return rows.select(by, "better", "worse", F.round(F.least(F.greatest(F.col("_gap"), F.lit(0.1)), F.lit(2.0)), 6).alias("weight"))
 
 
 def learned_score(learned: Column, binary: Column, has_signal: bool = True) -> Column:

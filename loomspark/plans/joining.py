@@ -36,7 +36,7 @@ def overlap_join_widen(spark: SparkSession, d: str) -> DataFrame:
     days = lambda c: F.unix_date(F.col(c).cast("date"))
     orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), days("o_orderdate").alias("low"), (days("o_orderdate") + 5).alias("high"))
     lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", days("l_shipdate").alias("start"), (days("l_shipdate") + 2).alias("end")).distinct()
-    return J.overlap_or_widened(orders, lines, ["k"], "low", "high", "start", "end", 15).groupBy("k").agg(F.count("*").alias("n"), F.bool_or("widened").alias("widened"))
+    return J.overlap_or_widened(orders, lines, ["k"], "low", "high", "start", "end", 15, 32).groupBy("k").agg(F.count("*").alias("n"), F.bool_or("widened").alias("widened"))
 
 
 def jaccard_argmax_match(spark: SparkSession, d: str) -> DataFrame:

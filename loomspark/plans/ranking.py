@@ -39,7 +39,7 @@ def capped_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_negative_cap(spark: SparkSession, d: str) -> DataFrame:
-    return R.half_top_half_drawn(_parts(spark, d).select("p_brand", "p_partkey", "quality"), ["p_brand"], [F.desc("quality"), F.col("p_partkey")], F.md5(F.col("p_partkey").cast("string")), 10).select("p_brand", "p_partkey")
+    return R.half_top_half_drawn(_parts(spark, d).select("p_brand", "p_partkey", "quality"), ["p_brand"], "p_partkey", [F.desc("quality"), F.col("p_partkey")], F.md5(F.col("p_partkey").cast("string")), 10).select("p_brand", "p_partkey")
 
 
 def oracle_hits(spark: SparkSession, d: str) -> DataFrame:
