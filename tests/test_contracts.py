@@ -6,10 +6,10 @@ from loomspark.operators import contracts as C
 def test_slots_match_by_order_then_overlap():
     predicted = [(0, "ROOT", [], []), (1, "COND", [], []), (2, "BLOCK", [1, 2], []), (3, "BLOCK", [9], []), (4, "BRANCH", [], []), (5, "COND", [7], [])]
     wanted = [(1, "COND", [4], []), (2, "BLOCK", [1, 2, 3], []), (3, "BLOCK", [1, 2], []), (4, "BLOCK", [8], [])]
-    found, left, open_, unsure = C.match_slots(predicted, wanted, 0.5, 0.4)
+    found, left, open_, unsure = C.match_slots(predicted, wanted, 0.6, 0.4)
     assert found == [(1, 1, 1.0, "cond_order"), (2, 3, 1.0, "bb_overlap")]
     assert left == [3, 5] and open_ == [2, 4] and unsure == [2]  # the second best of 2 has two thirds
-    assert C.match_slots(predicted, wanted, 0.5, 0.1)[3] == []
+    assert C.match_slots(predicted, wanted, 0.6, 0.1)[3] == []
 
 
 def test_contexts_count_half_beside_primary_blocks():
