@@ -25,8 +25,9 @@ from .license_signatures import MAX_WORDS, SIGNATURES
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Every signature's keyword or words hold one of these.
-GATE = ["licen", "gpl", "copy", "warrant", "redistribut", "permission", "domain", "apache", "bsd", "mit", "commons", "cc", "software", "only", "confidential", "wtf", "advertising", "written", "reserved", "odbl", "sspl", "rail",
-        "cecill", "exception", "cddl", "eupl", "beer", "cover", "mozilla", "executable", "clause", "asl", "just do", "mulan", "nasa", "polyform", "terms", "rights", "permitted", "good", "spdx"]
+GATE = ["licen", "gpl", "copy", "warrant", "redistribut", "permission", "permitted", "domain", "apache", "bsd", "commons", "cc", "software", "attribution", "commercial", "research", "confidential", "wtf", "advertising", "written", "reserved",
+        "odbl", "sspl", "rail", "cecill", "exception", "cddl", "eupl", "return", "cover", "mozilla", "executable", "clause", "just", "mulan", "agreement", "polyform", "terms", "good", "released", "distributed", "available", "published",
+        "provided"]
 #: A match is marked before its first and behind its last word; no word holds these.
 OPEN, CLOSE = "\u0001", "\u0002"
 #: Neighbours on either side that a detection is compared with: the first number that is enough for a text, else all.
@@ -93,16 +94,17 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score and `detections`, what is left after suppression:
     an array of (first word, last word, priority, rule, confidence, label, base), words from 0."""
     own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-    words, joined, found, base = "license words", "license joined", "license found", "license base"
-    gate = " OR ".join(f"contains(lower({text}), {_quote(k)})" for k in GATE)
-    a = docs.drop(*own).withColumn(words, F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD), F.lit(0)))
-    a = a.withColumn(joined, F.when(F.expr(gate), F.concat(F.lit(" "), ascii_lower(F.array_join(words, " ")), F.lit(" "))))
+    low, joined, found, base = "license low", "license joined", "license found", "license base"
+    gate = " OR ".join(f"contains(`{low}`, {_quote(k)})" for k in GATE)
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    a = docs.drop(*own).withColumns({"n_words": F.regexp_count(whole, F.lit(WORD)).cast("long"), low: F.lower(whole)})
+    words = F.array_join(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), " ")
+    a = a.withColumn(joined, F.when(F.expr(gate), F.concat(F.lit(" "), ascii_lower(words), F.lit(" "))))
     a = a.withColumn(found, F.expr(f"CASE WHEN `{joined}` IS NOT NULL THEN {_detections(rules(), f'`{joined}`')} END"))
     a = a.withColumn(base, F.expr(f"filter(`{found}`, x -> x.base)"))
     a = a.withColumn("detections", F.expr(f"CASE WHEN size(`{found}`) > 0 THEN {_kept(f'`{found}`')} ELSE array() END"))
     return a.withColumns(
         {
-            "n_words": F.size(words).cast("long"),
             "n_base": F.greatest(F.coalesce(F.size(base), F.lit(0)), F.lit(0)).cast("long"),
             "first_word": F.expr(f"CAST(array_min(transform(`{base}`, x -> x.a)) AS BIGINT)"),
             "last_word": F.expr(f"CAST(array_max(transform(`{base}`, x -> x.a)) AS BIGINT)"),
@@ -110,4 +112,4 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
             "labels": F.expr(f"array_join(array_sort(array_union(transform(detections, x -> x.label), coalesce(transform(`{base}`, x -> x.label), array()))), ',')"),
             "score": F.expr("coalesce(array_max(transform(detections, x -> x.s)), 0D)"),
         }
-    ).drop(words, joined, found, base)
+    ).drop(low, joined, found, base)

@@ -73,7 +73,7 @@ SIGNATURES = [
     ("apache-1.1", "apache", 3, 0.93, "apache (?:software )?licen[sc]e (?:version |v)?1 1"),
     ("apache-2.0", "apache", 3, 0.95, "apache (?:software )?licen[sc]e (?:version |v)?2 0"),
     ("apache-2.0", "apache", 3, 0.92, "apache 2(?: 0)?(?: licen[sc]ed?)?"),
-    ("apache-2.0", "asl", 1, 0.6, "asl 2 0"),
+    ("apache-2.0", "asl", 1, 0.6, "asl 2 0 licen[sc]ed?"),
     ("apache-2.0", "spdx", 5, 1.0, "spdx licen[sc]e identifier apache 2 0"),
     ("apache-2.0", "apache org", 3, 0.95, "(?:www )?apache org licen[sc]es licen[sc]e 2 0(?: txt| html)?"),
     ("apache-2.0", "you may not use this file", 4, 0.93, "you may not use this file except in compliance with the licen[sc]e"),
