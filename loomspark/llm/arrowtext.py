@@ -1,4 +1,7 @@
-"""Views of Arrow string columns as bytes, and hashes of their words, for operators that work on batches."""
+"""Views of Arrow string columns as bytes, and hashes of their words, for operators that work on batches.
+
+Cases: a null text is empty; a text without words has no hashes. Long texts are hashed in parts, also words longer than a part. Equal texts have equal hashes wherever they stand.
+"""
 
 from __future__ import annotations
 

@@ -3,14 +3,16 @@
 A window holds WINDOW consecutive words of an item (all of them, if it has fewer). The words of the items are ordered by rarity in the
 whole corpus, which a first pass over all documents counts. As a window must be contained whole, its rarest word alone is a necessary
 prefix: only places of that word are joined, at the offset it has in the window. A place must leave room before and behind (positional
-bound) and the document must have as many words (length bound); then the words are compared. A place is looked up once for each
+bound) and the document must have as many words (length bound); then a hash of the place's words finds windows, and their words are compared. A place is looked up once for each
 offset and length, however many windows share the word, so a very common word stays linear.
 
-Items are taken in blocks of BLOCK_WORDS words at most; a block's index is all that is sent to the executors, so its size is bounded,
-and a benchmark of any size takes as many passes as it has blocks. Documents are not shuffled.
+Items are taken in blocks of BLOCK_WORDS words at most. A block's index holds its different words, a number for each of its words and four numbers for each window (some 40 bytes a word), and
+is all that is sent to the executors, so its size is bounded. A benchmark of several blocks takes a pass for each; passes after the first
+write a row for each text that they hit, by the text's digest, and these are joined at the end: texts are neither shuffled nor written.
 
 Cases: null or empty texts have no words, no windows and no hits. Repeated documents and null ids are worked on row by row; repeated
-item_ids count once, an item without an id marks hits but is not counted. Extra columns are ignored.
+item_ids count once, an item without an id marks hits but is not counted. Of ties any order gives the same rows; very long texts are read whole. An empty table gives an
+empty result, an empty benchmark no hits. Extra columns pass; `n_words`, `spans`, `items` and the result's columns replace columns of these names.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrowtext import slices
+from .arrowtext import mix, slices
 from .shared import small_batches, written
 
 WINDOW = 10
@@ -37,10 +42,6 @@ def words(text: bytes | None) -> list[bytes]:
     return _WORDS.findall(text.translate(_LOWER)) if text else []
 
 
-def windows(item: list[bytes], size: int) -> set[tuple[bytes, ...]]:
-    return {tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))} if item else set()
-
-
 def _counting(vocabulary: set[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[bytes] = Counter()
@@ -52,29 +53,90 @@ def _counting(vocabulary: set[bytes]) -> Callable[[Iterator[pa.RecordBatch]], It
     return count
 
 
-def index(items: list[tuple[str | None, list[bytes]]], rarity: dict[bytes, int], size: int) -> tuple[dict[bytes, list[tuple[int, int]]], dict[tuple[bytes, ...], list[str | None]]]:
-    """By prefix word the (offset, length) of its windows; by window its items."""
-    places: dict[bytes, set[tuple[int, int]]] = {}
-    owners: dict[tuple[bytes, ...], set[str | None]] = {}
-    for item, text in items:
-        for w in windows(text, size):
-            owners.setdefault(w, set()).add(item)
-    for w in owners:
-        k = min(range(len(w)), key=lambda k: (rarity.get(w[k], 0), w[k], k))
-        places.setdefault(w[k], set()).add((k, len(w)))
-    return {w: sorted(x) for w, x in places.items()}, {w: sorted(x, key=str) for w, x in owners.items()}
+#: Odd, so it has an inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE and its inverse to the power of 0 .. n."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n + 1, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _hashes(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches [start, start + size) of ids, independent of where they stand."""
+    power, back = _powers(len(ids))
+    total = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(mix(ids.astype(np.uint64) + np.uint64(7)) * power[: len(ids)], out=total[1:])
+    return (total[start + size] - total[start]) * back[start]
+
 
+@dataclass
+class Index:
+    """A block of items: its words by number, its windows by the hash of their words, and the places at which a prefix word stands in windows."""
 
-def matches(text: list[bytes], places: dict[bytes, list[tuple[int, int]]], owners: dict[tuple[bytes, ...], list[str | None]]) -> tuple[list[int], set[str | None]]:
-    """Merged hit spans as start, end, start, end ... (ends outside), and the items found."""
-    n, spans, found = len(text), set(), set()
-    for p in [i for i, w in enumerate(text) if w in places]:
-        for k, size in places[text[p]]:
-            s = p - k
-            if s >= 0 and s + size <= n and (items := owners.get(tuple(text[s : s + size]))):
-                spans.add((s, s + size))
-                found.update(items)
-    return merged(sorted(spans)), found
+    number: dict[bytes, int]
+    flat: np.ndarray  # the items' words, one item behind the other
+    names: list[str | None]
+    hash: np.ndarray  # of each window, rising; start in flat, size and item of each
+    start: np.ndarray
+    size: np.ndarray
+    item: np.ndarray
+    first: np.ndarray  # by word, where its (offset, length) pairs begin in the next two
+    offset: np.ndarray
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[tuple[str | None, list[bytes]]], rarity: dict[bytes, int], size: int) -> Index:
+        number: dict[bytes, int] = {}
+        flat = np.array([number.setdefault(w, len(number)) for _, text in items for w in text], np.int32)
+        n = np.array([len(text) for _, text in items], np.int64)
+        windows = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), windows)
+        begin = np.cumsum(n) - n
+        start = begin[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+        length = np.minimum(n, size)[item]
+        h = _hashes(flat, start, length)
+        order = np.argsort(h, kind="stable")
+        start, length, item, h = start[order], length[order], item[order], h[order]
+        # rank of each word by rarity, then by the word itself
+        words = list(number)
+        rank = np.empty(len(words), np.int32)
+        rank[sorted(range(len(words)), key=lambda k: (rarity.get(words[k], 0), words[k]))] = np.arange(len(words), dtype=np.int32)
+        at = np.full((len(start), size), np.iinfo(np.int32).max, np.int32)
+        for k in range(size):
+            ok = k < length
+            at[ok, k] = rank[flat[start[ok] + k]]
+        best = at.argmin(1) if len(start) else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([flat[start + best], best, length], 1), axis=0) if len(start) else np.zeros((0, 3), np.int64)
+        first = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
+        return cls(number, flat, [i for i, _ in items], h, start, length, item, first, pairs[:, 1], pairs[:, 2])
+
+    def matches(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, item) of every window found in texts that stand one behind the other: ids with -1 for words that no item has, ends of the texts."""
+        known = np.flatnonzero(ids >= 0)
+        count = self.first[ids[known] + 1] - self.first[ids[known]]
+        place = np.repeat(known, count)
+        pair = np.repeat(self.first[ids[known]], count) + np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+        start, size = place - self.offset[pair], self.length[pair]
+        text = np.searchsorted(ends, place, "right")
+        ok = (start >= np.concatenate([[0], ends])[text]) & (start + size <= ends[text])
+        start, size = start[ok], size[ok]
+        h = _hashes(ids, start, size) if len(start) else np.zeros(0, np.uint64)
+        low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
+        count = high - low
+        here = np.repeat(np.arange(len(start)), count)
+        window = np.repeat(low, count) + np.arange(len(here)) - np.repeat(np.cumsum(count) - count, count)
+        start, size = start[here], size[here]
+        same = self.size[window] == size
+        for k in range(int(size.max()) if len(size) else 0):
+            inside = same & (k < size)
+            same[inside] = ids[start[inside] + k] == self.flat[self.start[window[inside]] + k]
+        return start[same], size[same], self.item[window[same]]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -87,18 +149,46 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _matching(places: dict, owners: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _found(index: Index, texts: list[bytes | None]) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """Of each text its number of words, merged hit spans (start, end, start, end ...; ends outside) and the ids of the items found."""
+    number = index.number
+    parts = [[number.get(w, -1) for w in words(t)] for t in texts]
+    n = [len(p) for p in parts]
+    ends = np.cumsum(n)
+    start, size, item = index.matches(np.fromiter((x for p in parts for x in p), np.int64, int(ends[-1]) if n else 0), ends)
+    spans: list[list[int]] = [[] for _ in texts]
+    items: list[list[str]] = [[] for _ in texts]
+    text = np.searchsorted(ends, start, "right")
+    for k in np.unique(text).tolist():
+        own = text == k
+        begin = int(ends[k]) - n[k]
+        spans[k] = merged(sorted({(a - begin, a + z - begin) for a, z in zip(start[own].tolist(), size[own].tolist(), strict=True)}))
+        items[k] = sorted({x for i in set(item[own].tolist()) if (x := index.names[i]) is not None})
+    return n, spans, items
+
+
+def _matching(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Add n_words, spans and items to all rows."""
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                n, spans, items = [], [], []
-                for text, had, known in zip(part["text"].cast(pa.binary()).to_pylist(), part["spans"].to_pylist(), part["items"].to_pylist(), strict=True):
-                    w = words(text)
-                    s, found = matches(w, places, owners)
-                    n.append(len(w))
-                    spans.append(merged(sorted([*zip(s[::2], s[1::2], strict=True), *zip(had[::2], had[1::2], strict=True)])) if had else s)
-                    items.append(sorted({*known, *(x for x in found if x is not None)}))
-                yield pa.record_batch([pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *(part[c] for c in part.schema.names[3:])], ["n_words", "spans", "items", *part.schema.names[3:]])
+                n, spans, items = _found(index, part["text"].cast(pa.binary()).to_pylist())
+                own = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.record_batch([*own, *part.columns], ["n_words", "spans", "items", *part.schema.names])
+
+    return match
+
+
+def _hitting(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Digest, spans and items of the texts that are hit."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, spans, items = _found(index, part["text"].cast(pa.binary()).to_pylist())
+                hit = [k for k, x in enumerate(spans) if x]
+                yield pa.record_batch([part["digest"].take(hit), pa.array([spans[k] for k in hit], pa.list_(pa.int64())), pa.array([items[k] for k in hit], pa.list_(pa.string()))], ["digest", "spans", "items"])
 
     return match
 
@@ -115,18 +205,43 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
     yield block
 
 
+
+
+def _digest() -> Column:
+    return F.md5(F.col("text").cast("binary"))
+
+#: Spans (start, end, ...) of several passes as one merged list.
+_MERGE = """flatten(transform(aggregate(array_sort(flatten(transform({0}, s -> transform(sequence(1, size(s) DIV 2), i -> struct(s[2 * i - 2] AS a, s[2 * i - 1] AS b))))), CAST(array() AS array<struct<a: bigint, b: bigint>>),
+    (acc, x) -> CASE WHEN size(acc) > 0 AND x.a <= element_at(acc, -1).b THEN concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a AS a, greatest(element_at(acc, -1).b, x.b) AS b))) ELSE concat(acc, array(x)) END), x -> array(x.a, x.b)))"""
+
+
 def contained_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of docs (text must be one) with n_words, spans (hit words as start, end, ...) and items (found item ids, as strings)."""
     small_batches(docs.sparkSession)
-    own = ["n_words", "spans", "items"]
-    rest = [c for c in docs.columns if c not in own]
-    out = docs.select(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"), *[docs[f"`{c}`"] for c in rest])
-    for k, block in enumerate(item_blocks(benchmark, block_words)):
+    rest = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ("n_words", "spans", "items")])
+    rest = rest.withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), *rest.schema.fields])
+    out, more = None, []
+    for block in item_blocks(benchmark, block_words):
         vocabulary = {w for _, text in block for w in text}
-        counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counting(vocabulary), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = rest.select("text").mapInArrow(_counting(vocabulary), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         rarity = {bytes(r["word"]): r["n"] for r in counted.collect()} if vocabulary else {}  # as many rows as the block has words, at most
-        out = (written(out, "decontam") if k else out).mapInArrow(_matching(*index(block, rarity, window)), out.schema)
-    return out
+        index = Index.of(block, rarity, window)
+        if out is None:
+            out = rest.mapInArrow(_matching(index), schema)
+        else:
+            hits = rest.select(_digest().alias("digest"), "text").mapInArrow(_hitting(index), "digest string, spans array<bigint>, items array<string>")
+            more.append(written(hits.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "decontam"))
+    if not more:
+        return out
+    every = more[0]
+    for m in more[1:]:
+        every = every.unionByName(m)
+    hits = written(every.groupBy("digest").agg(F.collect_list("spans").alias("_s"), F.collect_list("items").alias("_i")), "decontam")  # a row for each block at most
+    named = out.withColumn("_digest", _digest()).join(hits, F.col("_digest") == F.col("digest"), "left")
+    both = named.withColumns({"_s": F.concat(F.array("spans"), F.coalesce("_s", F.array().cast("array<array<bigint>>"))), "_i": F.concat(F.array("items"), F.coalesce("_i", F.array().cast("array<array<string>>")))})
+    both = both.withColumn("_s", F.expr("filter(_s, s -> size(s) > 0)")).withColumns({"spans": F.when(F.size("_s") > 0, F.expr(_MERGE.format("_s"))).otherwise(F.array().cast("array<bigint>")), "items": F.array_sort(F.array_distinct(F.flatten("_i")))})
+    return both.select(*out.columns)
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -6,7 +6,9 @@ all pairs of codewords are far apart. A bit's value is decoded with its loss, ex
 rows it was not fitted on; the codeword of least loss wins. `score` is its softmax share and `ambiguous` says that the runner-up came close.
 
 Cases: a null text or one without a letter is `und` with score 0 and ambiguous. Repeated rows and null ids are predicted row by row.
-With no fitting rows all is `und`; with one language alone that one is predicted. Extra columns pass through untouched in `predict`.
+With no fitting rows all is `und`; with one language alone that one is predicted. Of languages whose losses are equal the first by name wins, and is ambiguous. Texts of any length are
+predicted by all of their bytes; of those fitted on the first MAX_FIT_BYTES count. An empty table gives an empty result. Extra columns pass through untouched in `predict`; `lang_pred`,
+`score` and `ambiguous` replace columns of these names.
 """
 
 from __future__ import annotations

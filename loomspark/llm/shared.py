@@ -1,4 +1,7 @@
-"""Tables in the folder that all executors share."""
+"""Tables in the folder that all executors share.
+
+Every table has a folder of its own, so repeated and concurrent runs do not meet; an empty frame gives an empty table of the same columns.
+"""
 
 from __future__ import annotations
 
