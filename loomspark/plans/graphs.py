@@ -107,9 +107,9 @@ def structural_regions(spark: SparkSession, d: str) -> DataFrame:
     roles = [4, 1, 7, 0, 1]
 
     def kernel(e, n, x):
-        return [(k, r, h, m) for k, (r, h, ns) in enumerate(G.structural_regions(e, n, x, {m: roles[m] for m in n})) for m in ns]
+        return [(r, h, ",".join(map(str, ns))) for r, h, ns in G.structural_regions(e, n, x, {m: roles[m] for m in n})]
 
-    return G.per_graph(_graphs(spark, d, 3, True), kernel, "region bigint, role bigint, header bigint, node bigint")
+    return G.per_graph(_graphs(spark, d, 3, True), kernel, "role bigint, header bigint, nodes string")
 
 
 def pattern_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -176,6 +176,22 @@ ORACLES = {
              u2 AS (SELECT sample, a, b FROM u UNION SELECT sample, b, a FROM u), c AS (SELECT sample, node, node AS other FROM rest UNION SELECT c.sample, c.node, u2.b FROM c JOIN u2 ON u2.sample = c.sample AND u2.a = c.other), p AS (SELECT sample, node, min(other) AS part FROM c GROUP BY 1, 2)
         SELECT sample, 4 AS role, dst AS header, string_agg(node, ',' ORDER BY node) AS nodes FROM body GROUP BY sample, src, dst UNION ALL
         SELECT sample, part % 2, CASE WHEN part % 2 = 1 THEN part END, string_agg(node, ',' ORDER BY node) FROM p GROUP BY sample, part""",
+    # ifs at 1 and 4, then the switch at 2; each only if no earlier region holds it
+    "structural_regions": f"""WITH RECURSIVE {_SHORT(3)}, {_REACH}, {_AVOID}, {_DOM}, {_BACK}, {_POST}, b2 AS (SELECT * FROM be WHERE src <> dst AND dst = 0),
+             body AS (SELECT sample, src, dst, src AS node FROM b2 UNION SELECT sample, src, dst, dst FROM b2 UNION SELECT b.sample, b.src, b.dst, g.src FROM body b JOIN g ON g.sample = b.sample AND g.dst = b.node WHERE b.node <> b.dst),
+             mg AS (SELECT pd.sample, pd.node AS h, pd.post AS merge FROM pd JOIN np a USING (variant, sample, node) LEFT JOIN np b ON b.variant = pd.variant AND b.sample = pd.sample AND b.node = pd.post WHERE pd.variant = 'first' AND coalesce(b.k, 0) = a.k - 1),
+             hd AS (SELECT n.sample, n.node AS h, coalesce(merge, -1) AS merge FROM nodes n LEFT JOIN mg ON mg.sample = n.sample AND mg.h = n.node WHERE n.node IN (1, 2, 4) AND EXISTS (SELECT 1 FROM g WHERE g.sample = n.sample AND g.src = n.node) AND (n.node = 2 OR merge IS NOT NULL)),
+             un AS (SELECT hd.sample, h, merge, g.dst AS node FROM hd JOIN g ON g.sample = hd.sample AND g.src = h AND g.dst <> merge UNION SELECT un.sample, h, merge, g.dst FROM un JOIN g ON g.sample = un.sample AND g.src = un.node AND g.dst <> merge),
+             rg AS (SELECT sample, h, h AS node FROM hd UNION SELECT sample, h, node FROM un), t0 AS (SELECT DISTINCT sample, node FROM body),
+             r1 AS (SELECT * FROM rg WHERE h = 1 AND (sample, 1) NOT IN (SELECT (sample, node) FROM t0)), t1 AS (SELECT * FROM t0 UNION SELECT sample, node FROM r1),
+             r4 AS (SELECT * FROM rg WHERE h = 4 AND (sample, 4) NOT IN (SELECT (sample, node) FROM t1)), t4 AS (SELECT * FROM t1 UNION SELECT sample, node FROM r4),
+             r2 AS (SELECT * FROM rg WHERE h = 2 AND (sample, 2) NOT IN (SELECT (sample, node) FROM t4)), t2 AS (SELECT * FROM t4 UNION SELECT sample, node FROM r2),
+             rest AS (SELECT sample, node, [4, 1, 7, 0, 1][node + 1] AS role FROM nodes WHERE (sample, node) NOT IN (SELECT (sample, node) FROM t2)),
+             u AS (SELECT x.sample, x.node AS a, y.node AS b FROM rest x JOIN rest y ON x.sample = y.sample AND x.role = y.role JOIN g ON g.sample = x.sample AND (g.src = x.node AND g.dst = y.node OR g.src = y.node AND g.dst = x.node)),
+             c AS (SELECT sample, role, node, least(node, coalesce((SELECT min(b) FROM u WHERE u.sample = rest.sample AND u.a = rest.node), node)) AS part FROM rest)
+        SELECT sample, 4 AS role, 0 AS header, string_agg(node, ',' ORDER BY node) AS nodes FROM body GROUP BY sample, src UNION ALL
+        SELECT sample, CASE WHEN h = 2 THEN 7 ELSE 1 END, h, string_agg(node, ',' ORDER BY node) FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r2) GROUP BY sample, h UNION ALL
+        SELECT sample, role, CASE WHEN role > 0 THEN part END, string_agg(node, ',' ORDER BY node) FROM c GROUP BY sample, role, part""",
     "pattern_labels": f"""WITH RECURSIVE {_G}, {_REACH}, {_AVOID}, {_DOM}, h AS (SELECT DISTINCT g.sample, g.dst AS b FROM g JOIN dom ON dom.sample = g.sample AND dom.dom = g.dst AND dom.node = g.src),
              bl AS (SELECT sample, src AS b FROM g UNION SELECT sample, dst FROM g)
         SELECT sample, b, CAST(CASE WHEN (sample, b) IN (SELECT (sample, b) FROM h) THEN 4 WHEN EXISTS (SELECT 1 FROM g JOIN h ON h.sample = g.sample AND h.b = g.dst WHERE g.sample = bl.sample AND g.src = bl.b AND g.dst <= g.src) THEN 5 ELSE 0 END AS INTEGER) AS role FROM bl""",

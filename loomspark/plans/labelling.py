@@ -80,7 +80,19 @@ def identifier_placeholders(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (lines_to_statement, pattern_refinement, label_confusion, label_repair, compatibility_penalty, compact_remap, matching_costs, identifier_placeholders)}
 
 _BRIDGE = ", ".join(f"({L.ROLES.index(r)}, {L.STATEMENTS.index(s)})" for r, k in L.COMPATIBLE.items() for s in k)
+_REFINED = """r AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS b, min(l_suppkey) AS k, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
+    bl AS (SELECT sample, b, CASE WHEN f = 'R' THEN 5 ELSE 0 END AS role, CASE WHEN f <> 'A' THEN (b + 1) // 2 END AS s, CASE WHEN f <> 'A' THEN CASE WHEN b <= 4 THEN 2 ELSE k % 13 END END AS t FROM r),
+    e AS (SELECT x.sample, x.b AS src, y.b AS dst, k % 2 AS et FROM r x JOIN bl y ON y.sample = x.sample AND (y.b = x.b + 1 OR k % 2 = 0 AND y.b = x.b + 2)),
+    o AS (SELECT sample, src AS b, count(*) AS n_out, bool_or(et = 0) AS cond FROM e GROUP BY 1, 2), i AS (SELECT sample, dst AS b, count(*) AS n_in, min(src) AS p FROM e GROUP BY 1, 2),
+    x AS (SELECT bl.*, coalesce(n_out, 0) AS n_out, coalesce(cond, false) AS cond, coalesce(n_in, 0) AS n_in, p FROM bl LEFT JOIN o USING (sample, b) LEFT JOIN i USING (sample, b)),
+    y AS (SELECT x.*, CASE WHEN x.role = 0 AND x.s IS NOT NULL THEN CASE WHEN x.t = 2 AND x.cond THEN 1 WHEN x.t = 2 AND x.n_in = 1 AND q.cond AND q.s = x.s THEN 2 WHEN x.t IN (3, 4, 5) THEN 4 WHEN x.t = 6 THEN 7 WHEN x.t = 7 THEN 8 WHEN x.t IN (8, 9, 10, 11) AND x.n_out = 0 THEN 9 ELSE 0 END ELSE x.role END AS r1
+          FROM x LEFT JOIN x q ON q.sample = x.sample AND q.b = x.p),
+    h AS (SELECT e.sample, e.dst AS b, list(y.s) AS hs FROM e JOIN y ON y.sample = e.sample AND y.b = e.src AND y.r1 = 1 AND y.t = 2 GROUP BY 1, 2),
+    z AS (SELECT sample, b, role, CAST(CASE WHEN r1 = 0 AND s IS NOT NULL AND hs IS NOT NULL THEN CASE WHEN list_contains(hs, s) THEN 2
+                 WHEN n_in = 1 THEN CASE WHEN t IN (8, 9, 10, 11) AND n_out = 1 AND (SELECT max(w.n_out) FROM e JOIN x w ON w.sample = e.sample AND w.b = e.dst WHERE e.sample = y.sample AND e.src = y.b) = 0 THEN 2 ELSE 3 END ELSE 0 END ELSE r1 END AS INTEGER) AS refined FROM y LEFT JOIN h USING (sample, b))"""
 ORACLES = {
+    "pattern_refinement": f"WITH {_REFINED} SELECT sample, b, refined FROM z",
+    "label_confusion": f"WITH {_REFINED} SELECT CAST(role AS INTEGER) AS role, refined, count(*) AS n FROM z GROUP BY 1, 2",
     "lines_to_statement": """
         WITH s AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS id, CAST(min(l_quantity) AS BIGINT) AS q, max(l_returnflag) = 'R' AS compound, max(l_linestatus) = 'F' AS control FROM lineitem GROUP BY 1, 2),
              t AS (SELECT *, q % 4 AS depth, id AS a, id + q % 3 AS z FROM s), l AS (SELECT DISTINCT sample, (id + 1) // 2 AS b, unnest([id, id + 1]) AS line FROM s),

@@ -261,6 +261,12 @@ ORACLES = {
         SELECT l_orderkey, round(CASE WHEN n > 2 THEN 1000 ELSE 0 END + 20.0 * n + 0.5 * q + 4 - 2 * b - 0.2 * g - 0.08 * b - 3 * g - CASE WHEN n > 6 THEN 100 ELSE 0 END, 6) AS score FROM l""",
     "binary_scores": """SELECT p_partkey, round(CASE WHEN p_retailprice > 1200 THEN 1000 ELSE 0 END + 28 * p_size / 50 + 1.5 - 24 * p_size / 100 - 1.25 * (p_size % 5) - 0.35 * 3 / greatest(1, p_size) - 12 * 0.1
         + CASE WHEN p_size > 40 THEN 1.25 + 2.5 - 0.1875 - p_size / 100 WHEN p_size > 30 THEN -(0.75 + 0.375 + p_size / 100) ELSE 0 END, 6) AS score FROM part""",
+    # the best pair of what is left, again and again
+    "greedy_pairs": """WITH RECURSIVE v AS (SELECT label || '/' || vec_id // 640 AS label, vec_id, CAST(embedding AS DOUBLE[]) AS e, ('0x' || md5(CAST(vec_id AS VARCHAR))[1])::INT % 2 AS side FROM embeddings),
+             s AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS s FROM v x JOIN v y ON x.label = y.label AND x.side = 0 AND y.side = 1),
+             g AS (SELECT label, []::BIGINT[] AS ua, []::BIGINT[] AS ub, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS s FROM (SELECT DISTINCT label FROM s) UNION ALL
+                   SELECT label, list_append(ua, m.a), list_append(ub, m.b), m.a, m.b, m.s FROM (SELECT g.label, ua, ub, arg_max(struct_pack(a := s.a, b := s.b, s := s.s), (s.s, -s.a, -s.b)) AS m FROM g JOIN s ON s.label = g.label AND NOT list_contains(ua, s.a) AND NOT list_contains(ub, s.b) AND s.s >= 0 GROUP BY 1, 2, 3))
+        SELECT label, a, b, s AS value FROM g WHERE a IS NOT NULL""",
     # the table of prefixes one row at a time, a row from the one before
     "lcs_f1": f"""WITH RECURSIVE {_SEQ}, t AS (SELECT user_id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS r FROM q UNION ALL
              SELECT user_id, a, b, i + 1, [0] || list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k + 1], r[k] + CASE WHEN b[k] = a[i + 1] THEN 1 ELSE 0 END)))) FROM t WHERE i < len(a))

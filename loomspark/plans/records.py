@@ -67,6 +67,14 @@ ORACLES = {
     "expected_grid_missing": """
         WITH g AS (SELECT 'src' || p AS project, level FROM range(22) t(p), (SELECT unnest(['en', 'de', 'it']) AS level)), f AS (SELECT source AS project, lang AS level, count(*) AS n_rows FROM documents GROUP BY 1, 2)
         SELECT project, level, CASE WHEN n_rows IS NULL THEN 'MISSING' ELSE 'ok' END AS status, n_rows FROM g LEFT JOIN f USING (project, level)""",
+    "curriculum_replay": """
+        WITH RECURSIVE e AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+             t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 0 AS stage, '' AS event, 0 AS next, 0 AS ep, 0 AS bad, CAST('Infinity' AS DOUBLE) AS best, false AS stop FROM e UNION ALL
+                   SELECT user_id, n, event_id, stage, CASE WHEN stop THEN 'over' WHEN why = '' THEN 'stay' WHEN stage >= 4 THEN 'stop:' || why ELSE 'advance:' || why END, CASE WHEN NOT stop AND why <> '' AND stage < 4 THEN stage + 1 ELSE stage END,
+                          CASE WHEN why <> '' THEN 0 ELSE ep END, CASE WHEN why <> '' THEN 0 ELSE bad END, CASE WHEN why <> '' THEN CAST('Infinity' AS DOUBLE) ELSE best END, stop OR why <> '' AND stage >= 4
+                   FROM (SELECT *, CASE WHEN ep >= 6 THEN 'max_epochs' WHEN ep >= 2 AND bad >= 3 THEN 'patience' ELSE '' END AS why
+                         FROM (SELECT e.user_id, e.n, e.event_id, t.next AS stage, t.ep + 1 AS ep, CASE WHEN e.v < t.best - 0.5 THEN 0 ELSE t.bad + 1 END AS bad, CASE WHEN e.v < t.best - 0.5 THEN e.v ELSE t.best END AS best, t.stop FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1)))
+        SELECT user_id, event_id, CAST(stage AS INTEGER) AS stage, event FROM t WHERE n > 0""",
     "early_stop": """
         WITH b AS (SELECT user_id, event_id, row_number() OVER w AS n, coalesce(value < min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
              s AS (SELECT *, n - max(CASE WHEN new THEN n END) OVER (PARTITION BY user_id ORDER BY event_id) AS since FROM b)
