@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +76,34 @@ def brace_balance(c: Column, opening: str = "{", closing: str = "}") -> Column:
     return count(opening) - count(closing)
 
 
+def _balance(text: str | None) -> tuple[int, int, int]:
+    """Opening less closing ( [ { outside of string and character literals."""
+    count, quote, skip = {"(": 0, "[": 0, "{": 0}, "", False
+    pair = {")": "(", "]": "[", "}": "{"}
+    for ch in text or "":
+        if skip or ch == "\\":
+            skip = not skip
+        elif quote:
+            quote = "" if ch == quote else quote
+        elif ch in "\"'":
+            quote = ch
+        elif ch in count:
+            count[ch] += 1
+        elif ch in pair:
+            count[pair[ch]] -= 1
+    return count["("], count["["], count["{"]
+
+
+def delimiter_balance(c: Column) -> Column:
+    """struct(paren, bracket, brace) of opening less closing marks outside of literals; a null text has none."""
+
+    @F.pandas_udf("paren int, bracket int, brace int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_balance(t) for t in texts], columns=["paren", "bracket", "brace"])
+
+    return run(c)
+
+
 def slot_id(c: Column) -> Column:
     """`slot_7`, `slot_007` and `7` become `slot_007`; null without digits."""
     digits = F.regexp_extract(c, r"(\d+)\s*$", 1)

@@ -183,15 +183,18 @@ def weighted_kl(cells: DataFrame, predicted: DataFrame, shapes: DataFrame, sampl
 
 
 def edge_recovery(cells: DataFrame, edges: DataFrame, source_edges: DataFrame, sample: str = "sample", floor: float = 1e-8, cap: float = 1e3) -> DataFrame:
-    """KL of the statement edges against block edges carried over by the alignment (two sparse products), normalised by sum, capped."""
+    """KL of the statement edges against block edges carried over by the alignment (two sparse products), normalised by sum, capped; where nothing is carried over the squared
+    difference of both sums. Per sample with a statement edge."""
     x = edges.join(cells.select(sample, F.col("b").alias("src"), F.col("s").alias("i"), F.col("m").alias("ma")), [sample, "src"])
     x = x.join(cells.select(sample, F.col("b").alias("dst"), F.col("s").alias("j"), F.col("m").alias("mb")), [sample, "dst"])
     p = x.groupBy(sample, "i", "j").agg(F.sum(F.col("ma") * F.col("mb")).alias("p"))
-    p = p.join(p.groupBy(sample).agg(F.sum("p").alias("_z")), sample).withColumn("p", F.col("p") / F.col("_z"))
-    q = source_edges.join(source_edges.groupBy(sample).agg(F.count("*").alias("_z")), sample).select(sample, "i", "j", (1 / F.col("_z")).alias("q"))
-    both = q.join(p.select(sample, "i", "j", "p"), [sample, "i", "j"], "left")
-    kl = F.sum(F.col("q") * F.log(F.col("q") / F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(floor))))
-    return both.groupBy(sample).agg(F.round(F.least(kl, F.lit(cap)), 6).alias("loss"))
+    z = p.groupBy(sample).agg(F.sum("p").alias("_z"))
+    n = source_edges.groupBy(sample).agg(F.count("*").alias("_n"))
+    both = source_edges.join(n, sample).join(p, [sample, "i", "j"], "left").join(z, sample, "left")
+    share = F.greatest(F.coalesce(F.col("p") / F.col("_z"), F.lit(0.0)), F.lit(floor))
+    kl = F.least(F.sum(F.log(1 / F.col("_n") / share) / F.col("_n")), F.lit(cap))
+    out = both.groupBy(sample).agg(kl.alias("_kl"), F.first(F.coalesce("_z", F.lit(0.0))).alias("_z"), F.first("_n").alias("_n"))
+    return out.select(sample, F.round(F.when(F.col("_z") < floor, F.pow(F.col("_z") - F.col("_n"), F.lit(2))).otherwise(F.col("_kl")), 6).alias("loss"))
 
 
 def gap_clusters(df: DataFrame, by: list[str], order: str, gap: float) -> DataFrame:

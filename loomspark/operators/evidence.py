@@ -117,6 +117,11 @@ def agreement(df: DataFrame, by: list[str], both: str, agree: str, near: str) ->
     return df.groupBy(*by).agg(F.sum(both).alias("n_both"), rate(agree).alias("agree"), rate(near).alias("near"))
 
 
+def counter_means(df: DataFrame, counters: list[str]) -> DataFrame:
+    """Means over all samples of their counters; a missing one counts as 0."""
+    return df.agg(F.count("*").alias("n_samples"), *[F.round(F.avg(F.coalesce(c, F.lit(0))), 6).alias(c) for c in counters])
+
+
 def packed_verdicts(df: DataFrame, function: str, passed: Column, tier: Column, floor: int, consent: Column) -> DataFrame:
     """Accepted verdicts by function with their best tier (`floor` at least), and why others fall out, as counts."""
     reason = F.when(~F.coalesce(consent, F.lit(False)), "not_opted_in").when(~F.coalesce(passed, F.lit(False)), "not_passed").when(tier < floor, "below_tier").otherwise("accepted")

@@ -155,3 +155,19 @@ def multiset_f1(a: DataFrame, b: DataFrame, group: list[str], item: str) -> Data
 def source_text(places: DataFrame, lines: DataFrame, otherwise: str = "") -> DataFrame:
     """places (file, line_no, ...) with `text` of source lines (file, line_no, text); a line that is not there has another text."""
     return places.join(lines.select("file", "line_no", "text"), ["file", "line_no"], "left").withColumn("text", F.coalesce("text", F.lit(otherwise)))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays of distinct items (null: empty); both empty: 1, one empty: 0."""
+    x, y = F.coalesce(a, F.array_except(b, b)), F.coalesce(b, F.array_except(a, a))  # an empty array of the other's type
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) < 1) & (F.size(y) < 1), F.lit(1.0)).otherwise(both / (F.size(x) + F.size(y) - both))
+
+
+def with_repair(before: DataFrame, after: DataFrame, key: str, fields: list[str], version: str) -> DataFrame:
+    """after with `repair`: struct(version, n_changed), how many of a row's fields differ from before (null-safe)."""
+    old = before.select(key, *[F.col(f).alias(f"_o_{f}") for f in fields])
+    changed = F.lit(0)
+    for f in fields:
+        changed = changed + (~F.col(f).eqNullSafe(F.col(f"_o_{f}"))).cast("int")
+    return after.join(old, key, "left").withColumn("repair", F.struct(F.lit(version).alias("version"), changed.alias("n_changed"))).drop(*[f"_o_{f}" for f in fields])

@@ -43,16 +43,19 @@ def plan_error(sim: DataFrame, target: DataFrame, on: list[str], a: str, b: str)
     return x.groupBy(*on).agg(F.round(F.avg(F.pow(F.exp("lp") - F.coalesce("t", F.lit(0.0)), F.lit(2))), 6).alias("loss"))
 
 
-def hard_negative_rows(sim: DataFrame, on: list[str], a: str, k: int) -> DataFrame:
-    """-log(positives / (positives + the k largest negatives)) per row that has both, and the mean per function."""
-    both = sim.groupBy(*on, a).agg(
-        F.collect_list(F.when(F.col("pos"), F.col("sim"))).alias("p"),
-        F.slice(F.sort_array(F.collect_list(F.when(~F.col("pos"), F.col("sim"))), asc=False), 1, k).alias("n"),
-    )
-    rows = both.where("size(p) > 0 AND size(n) > 0").withColumn("m", F.greatest(F.array_max("p"), F.array_max("n")))
-    total = lambda c: F.aggregate(F.transform(c, lambda x: F.exp(x - F.col("m"))), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("l", F.log(total("p") + total("n")) - F.log(total("p")))
-    return rows.groupBy(*on).agg(F.round(F.avg("l"), 6).alias("loss"), F.count("*").alias("n_rows"))
+def hard_negative_rows(sim: DataFrame, on: list[str], a: str, b: str, k: int) -> DataFrame:
+    """-log(positives / (positives + the k largest negatives)) of rows by a and of columns by b that have both, and their mean per function with their number."""
+
+    def along(anchor: str) -> DataFrame:
+        both = sim.groupBy(*on, F.col(anchor).alias("_anchor"), F.lit(anchor).alias("_side")).agg(
+            F.collect_list(F.when(F.col("pos"), F.col("sim"))).alias("p"),
+            F.slice(F.sort_array(F.collect_list(F.when(~F.col("pos"), F.col("sim"))), asc=False), 1, k).alias("n"),
+        )
+        rows = both.where("size(p) > 0 AND size(n) > 0").withColumn("m", F.greatest(F.array_max("p"), F.array_max("n")))
+        total = lambda c: F.aggregate(F.transform(c, lambda x: F.exp(x - F.col("m"))), F.lit(0.0), lambda s, x: s + x)
+        return rows.select(*on, (F.log(total("p") + total("n")) - F.log(total("p"))).alias("l"))
+
+    return along(a).unionByName(along(b)).groupBy(*on).agg(F.round(F.avg("l"), 6).alias("loss"), F.count("*").alias("n_rows"))
 
 
 def count_error(predicted: Column, actual: Column) -> Column:

@@ -52,6 +52,12 @@ def quota(df: DataFrame, by: list[str], seed: str, key: str, fraction: float) ->
     return ranked(df, by, seed, key).where(F.col("_rank") <= F.bround(F.col("_n") * fraction)).drop("_rank", "_n")
 
 
+def quota_of(eligible: DataFrame, rows: DataFrame, by: list[str], seed: str, key: str, fraction: float) -> DataFrame:
+    """Of each group's eligible keys round-half-even(fraction * the group's rows in `rows`), all of them if they are fewer; a group without rows has none."""
+    n = rows.groupBy(*by).agg(F.bround(F.count("*") * fraction).alias("_quota"))
+    return ranked(eligible, by, seed, key).join(n, by).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_n", "_quota")
+
+
 def reservoir(df: DataFrame, seed: str, key: str, k: int) -> DataFrame:
     """k rows by the order of their hash: a bounded top-k on every task."""
     return df.orderBy(draw(seed, F.col(key)), key).limit(k)
@@ -99,5 +105,10 @@ def placed(df: DataFrame, order: str) -> DataFrame:
     return ranged.withColumn("_own", own).join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").withColumn("_place", F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")
 
 
+def worst(df: DataFrame, value: str, below: float, where: Column, key: str, k: int = 5) -> DataFrame:
+    """The k rows of the smallest values under a threshold (ties: smallest key) among those that a condition holds for."""
+    return df.where(where & (F.col(value) < below)).orderBy(value, key).limit(k)
+
+
 def largest(df: DataFrame, by: list[Column], k: int) -> DataFrame:
     return df.orderBy(*by).limit(k)

@@ -78,6 +78,11 @@ def agreement_rates(spark: SparkSession, d: str) -> DataFrame:
     return V.agreement(per, ["l_linestatus"], "n_both", "n_agree", "n_near")
 
 
+def signal_means(spark: SparkSession, d: str) -> DataFrame:
+    per = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_both"), F.nullif(F.count_if(F.col("l_returnflag") == "N"), F.lit(0)).alias("n_agree"), F.count_if(F.col("l_returnflag") == "A").alias("n_near"))
+    return V.counter_means(per, ["n_both", "n_agree", "n_near"])
+
+
 def verdict_packing(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").withColumn("tier", F.substring("o_orderpriority", 1, 1).cast("int"))
     return V.packed_verdicts(o, "o_custkey", F.col("o_totalprice") > 50000, F.col("tier"), 3, F.col("o_orderstatus") != "P")
@@ -121,7 +126,7 @@ def plan_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_negative_loss(spark: SparkSession, d: str) -> DataFrame:
-    return M.hard_negative_rows(_sims(spark, d).withColumn("pos", F.abs(F.col("a") - F.col("b")) <= 10), ["label"], "a", 5)
+    return M.hard_negative_rows(_sims(spark, d).withColumn("pos", (F.col("b") - F.col("a")).between(0, 10)), ["label"], "a", "b", 5)
 
 
 def test_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +136,7 @@ def test_vectors(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cfg_blocks, cfg_edges, soft_matrix, overlap_violations, column_statements, region_mask, best_source_index, primary_file, outline_levels, agreement_rates, verdict_packing, evidence_split, structure_grades, pattern_reliability,
+        cfg_blocks, cfg_edges, soft_matrix, overlap_violations, column_statements, region_mask, best_source_index, primary_file, outline_levels, agreement_rates, signal_means, verdict_packing, evidence_split, structure_grades, pattern_reliability,
         region_infonce, neighbour_loss, plan_error, hard_negative_loss, test_vectors,
     )
 }
@@ -160,6 +165,7 @@ ORACLES = {
     "primary_file": "WITH k AS (SELECT l_orderkey, l_returnflag, count(*) AS n, min(l_linenumber) AS f FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, arg_max(l_returnflag, (n, -f, l_returnflag)) AS l_returnflag FROM k GROUP BY 1",
     "outline_levels": "SELECT l_orderkey, l_quantity, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) - 1 AS level FROM (SELECT DISTINCT l_orderkey, l_quantity FROM lineitem)",
     "agreement_rates": "SELECT l_linestatus, count(*) AS n_both, round(count(*) FILTER (l_returnflag = 'N') / count(*), 6) AS agree, round(count(*) FILTER (l_returnflag = 'A') / count(*), 6) AS near FROM lineitem GROUP BY 1",
+    "signal_means": "WITH s AS (SELECT count(*) AS b, count(*) FILTER (l_returnflag = 'N') AS a, count(*) FILTER (l_returnflag = 'A') AS n FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS n_samples, round(avg(b), 6) AS n_both, round(avg(a), 6) AS n_agree, round(avg(n), 6) AS n_near FROM s",
     "verdict_packing": """WITH o AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'x' WHEN o_totalprice <= 50000 THEN 'p' WHEN CAST(o_orderpriority[1] AS INTEGER) < 3 THEN 't' ELSE 'a' END AS r, CAST(o_orderpriority[1] AS INTEGER) AS t FROM orders)
         SELECT o_custkey, count(*) FILTER (r = 'a') AS accepted, count(*) FILTER (r = 'x') AS not_opted_in, count(*) FILTER (r = 'p') AS not_passed, count(*) FILTER (r = 't') AS below_tier, max(t) FILTER (r = 'a') AS best_tier FROM o GROUP BY 1""",
     "evidence_split": "WITH k AS (SELECT bool_or(l_returnflag = 'R') AS s FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT count(*) FILTER (s) AS strict, count(*) FILTER (NOT s) AS contract_backed FROM k",
@@ -176,5 +182,7 @@ ORACLES = {
     "region_infonce": f"WITH {_SIM}, z AS (SELECT *, sim - (max(sim) OVER r + ln(sum(exp(sim)) OVER r) - max(sim) OVER r) AS lp FROM s WINDOW r AS (PARTITION BY label, a)), q AS (SELECT label, a, -avg(lp) FILTER (abs(a - b) <= 10) AS l FROM z GROUP BY 1, 2) SELECT label, round(avg(coalesce(l, 0)), 6) AS loss FROM q GROUP BY 1",
     "neighbour_loss": f"WITH {_SIM}, z AS (SELECT *, sim - ln(sum(exp(sim)) OVER (PARTITION BY label, a)) AS lp FROM s WHERE a <> b) SELECT label, round(-avg(lp), 6) AS loss FROM z WHERE b > a AND b <= a + 20 GROUP BY 1",
     "plan_error": f"WITH {_SIM}, t AS (SELECT label, a, b, CASE WHEN a = b THEN 3.0 ELSE 1.0 END AS m FROM s WHERE b = a OR b = a + 10), u AS (SELECT *, m / sum(m) OVER (PARTITION BY label, a) AS t FROM t), z AS (SELECT label, a, b, exp(sim) / sum(exp(sim)) OVER (PARTITION BY label, a) AS p FROM s) SELECT label, round(avg(pow(p - coalesce(u.t, 0), 2)), 6) AS loss FROM z LEFT JOIN u USING (label, a, b) GROUP BY 1",
-    "hard_negative_loss": f"WITH {_SIM}, n AS (SELECT label, a, sum(exp(sim)) AS n FROM (SELECT * FROM s WHERE abs(a - b) > 10 QUALIFY row_number() OVER (PARTITION BY label, a ORDER BY sim DESC) <= 5) GROUP BY 1, 2), p AS (SELECT label, a, sum(exp(sim)) AS p FROM s WHERE abs(a - b) <= 10 GROUP BY 1, 2) SELECT label, round(avg(ln(p + n) - ln(p)), 6) AS loss, count(*) AS n_rows FROM n JOIN p USING (label, a) GROUP BY 1",
+    "hard_negative_loss": f"""WITH {_SIM}, d AS (SELECT label, 'a' AS side, a AS i, b AS j, sim, b - a BETWEEN 0 AND 10 AS pos FROM s UNION ALL SELECT label, 'b', b, a, sim, b - a BETWEEN 0 AND 10 FROM s),
+        n AS (SELECT label, side, i, sum(exp(sim)) AS n FROM (SELECT * FROM d WHERE NOT pos QUALIFY row_number() OVER (PARTITION BY label, side, i ORDER BY sim DESC) <= 5) GROUP BY 1, 2, 3), p AS (SELECT label, side, i, sum(exp(sim)) AS p FROM d WHERE pos GROUP BY 1, 2, 3)
+        SELECT label, round(avg(ln(p + n) - ln(p)), 6) AS loss, count(*) AS n_rows FROM n JOIN p USING (label, side, i) GROUP BY 1""",
 }

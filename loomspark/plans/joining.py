@@ -57,6 +57,18 @@ def overlay_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return J.overlay(docs, extra, "doc_id", ["source", "lang"])
 
 
+def overlay_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """The same where only empty values are filled, with a record of the repair."""
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"))
+    extra = read(spark, d, "labels").select("doc_id", F.concat(F.lit("label"), F.col("quality").cast("string")).alias("source"), F.lit("zz").alias("lang"))
+    return J.with_repair(docs, J.overlay(docs, extra, "doc_id", ["source", "lang"], keep_filled=True), "doc_id", ["source", "lang"], "fill_v1").select("doc_id", "lang", "source", "repair.version", "repair.n_changed")
+
+
+def item_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey") % 5)).alias("a"), F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("l_suppkey") % 5)).alias("b"))
+    return rows.select("l_orderkey", F.round(J.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
 def first_match_join(spark: SparkSession, d: str) -> DataFrame:
     nations = read(spark, d, "nation").select("n_nationkey", "n_name")
     build = read(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", "c_name")
@@ -194,6 +206,7 @@ def edge_recovery_kl(spark: SparkSession, d: str) -> DataFrame:
     edges = blocks.join(blocks.select("sample", (F.col("b") - 1).alias("b"), F.lit(1).alias("one")), ["sample", "b"]).select("sample", F.col("b").alias("src"), (F.col("b") + 1).alias("dst"))
     s = L.primary(cells).select("sample", "b", "s")
     source = s.join(s.select("sample", (F.col("b") - 1).alias("b"), F.col("s").alias("j")), ["sample", "b"]).select("sample", F.col("s").alias("i"), "j").distinct()
+    edges = edges.where("src % 2 = 1")  # samples without any have no predicted mass
     return L.edge_recovery(cells, edges, source).agg(F.count("*").alias("n"), F.round(F.avg("loss"), 4).alias("mean_loss"))
 
 
@@ -209,7 +222,7 @@ def canonical_header(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interval_join_prefer_flag, overlap_join_widen, jaccard_argmax_match, cascading_key_join, overlay_enrichment, first_match_join, companion_self_join, slot_coverage, project_edges, edge_prf, multiset_f1,
+        interval_join_prefer_flag, overlap_join_widen, jaccard_argmax_match, cascading_key_join, overlay_enrichment, overlay_backfill, item_jaccard, first_match_join, companion_self_join, slot_coverage, project_edges, edge_prf, multiset_f1,
         align_row_normalise, argmax_primary, topk_peak_fraction, align_metrics_macro, onehot_multi_empty, jumps, column_compaction, expected_position, two_signal_fusion, signal_stats, line_fusion, supported_lines, lines_consistent, align_weights_normalised, weighted_kl, edge_recovery_kl, gap_clusters, canonical_header,
     )
 }
@@ -246,6 +259,11 @@ ORACLES = {
              y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r, label_id) = 1)
         SELECT doc_id, label_id, method FROM documents LEFT JOIN y USING (doc_id)""",
     "overlay_enrichment": "SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 'tox' ELSE source END AS source FROM documents LEFT JOIN labels USING (doc_id)",
+    "overlay_backfill": """WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS source FROM documents)
+        SELECT doc_id, CASE WHEN coalesce(d.lang, '') = '' AND l.doc_id IS NOT NULL THEN 'zz' ELSE d.lang END AS lang, CASE WHEN coalesce(source, '') = '' AND l.doc_id IS NOT NULL THEN 'label' || quality ELSE source END AS source, 'fill_v1' AS version,
+               CAST((coalesce(source, '') = '' AND l.doc_id IS NOT NULL)::INT + (coalesce(d.lang, '') = '' AND l.doc_id IS NOT NULL)::INT AS INTEGER) AS n_changed FROM d LEFT JOIN labels l USING (doc_id)""",
+    "item_jaccard": """WITH k AS (SELECT l_orderkey, list(DISTINCT l_suppkey % 5) FILTER (l_returnflag = 'R') AS a, list(DISTINCT l_suppkey % 5) FILTER (l_linestatus = 'F') AS b FROM lineitem GROUP BY 1), c AS (SELECT l_orderkey, coalesce(a, []) AS a, coalesce(b, []) AS b FROM k)
+        SELECT l_orderkey, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS jaccard FROM c""",
     "first_match_join": "SELECT n_nationkey, n_name, min(c_custkey) AS c_custkey, arg_min(c_name, c_custkey) AS c_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2",
     "companion_self_join": """
         SELECT vec_id, label, coalesce(lead(vec_id) OVER o, first_value(vec_id) OVER o) AS companion FROM embeddings WINDOW o AS (PARTITION BY label ORDER BY md5('7:' || vec_id), vec_id)""",
@@ -299,12 +317,12 @@ ORACLES = {
              k AS (SELECT n.*, CASE WHEN EXISTS (SELECT 1 FROM q o WHERE o.sample = n.sample AND o.b = n.b) THEN greatest(coalesce(q, 0), 1e-8) ELSE 1 / 8 END AS p FROM n LEFT JOIN q USING (sample, b, s))
         SELECT sample, round(coalesce(sum(w * m * (ln(m) - ln(p))), 0) / max(b), 6) AS loss FROM k GROUP BY 1""",
     "edge_recovery_kl": f"""
-        WITH {_CELLS}, {_NORM}, bl AS (SELECT DISTINCT sample, b FROM n), e AS (SELECT x.sample, x.b AS src, x.b + 1 AS dst FROM bl x JOIN bl y ON x.sample = y.sample AND y.b = x.b + 1),
+        WITH {_CELLS}, {_NORM}, bl AS (SELECT DISTINCT sample, b FROM n), e AS (SELECT x.sample, x.b AS src, x.b + 1 AS dst FROM bl x JOIN bl y ON x.sample = y.sample AND y.b = x.b + 1 WHERE x.b % 2 = 1),
              pp AS (SELECT e.sample, i.s AS i, j.s AS j, sum(i.m * j.m) AS p FROM e JOIN n i ON i.sample = e.sample AND i.b = src JOIN n j ON j.sample = e.sample AND j.b = dst GROUP BY 1, 2, 3),
              p AS (SELECT sample, i, j, p / sum(p) OVER (PARTITION BY sample) AS p FROM pp),
              pr AS (SELECT * FROM n WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY sample, b ORDER BY m DESC, s) = 1),
              q0 AS (SELECT DISTINCT x.sample, x.s AS i, y.s AS j FROM pr x JOIN pr y ON x.sample = y.sample AND y.b = x.b + 1), q AS (SELECT *, 1 / count(*) OVER (PARTITION BY sample) AS q FROM q0),
-             l AS (SELECT q.sample, round(least(sum(q * ln(q / greatest(coalesce(p, 0), 1e-8))), 1000), 6) AS loss FROM q LEFT JOIN p USING (sample, i, j) GROUP BY 1)
+             l AS (SELECT q.sample, round(CASE WHEN q.sample IN (SELECT sample FROM pp) THEN least(sum(q * ln(q / greatest(coalesce(p, 0), 1e-8))), 1000) ELSE count(*) * count(*) END, 6) AS loss FROM q LEFT JOIN p USING (sample, i, j) GROUP BY 1)
         SELECT count(*) AS n, round(avg(loss), 4) AS mean_loss FROM l""",
     "gap_clusters": "WITH g AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS g FROM events) SELECT user_id, CAST(sum(g) + 1 AS BIGINT) AS n_clusters FROM g GROUP BY 1",
     "canonical_header": """

@@ -164,6 +164,14 @@ def opt_levels(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", T.opt_level(F.col("a"), F.col("b")).alias("level"))
 
 
+def delimiter_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Texts put together of marks, escapes and literals; each piece's part of the balance is known."""
+    pieces = ["f(x[1])", "{ ", "'('", '"}\\""', "\\(", "))", "[", "a = 1;"]
+    k = F.col("p_partkey")
+    text = F.concat(*[F.get(F.array(*map(F.lit, pieces)), ((k / m).cast("long") % len(pieces)).cast("int")) for m in (1, 8, 64)])
+    return read(spark, d, "part").select("p_partkey", T.delimiter_balance(text).alias("x")).select("p_partkey", "x.*")
+
+
 def slot_types(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*map(F.lit, [*T.SLOT_TYPES, "cond", " Fill_Goto ", "other", ""]))
     return read(spark, d, "part").select("p_partkey", T.slot_type(F.get(names, (F.col("p_partkey") % (len(T.SLOT_TYPES) + 4)).cast("int"))).alias("type"))
@@ -257,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         without_tier, inside_range, c_family, line_range_fits, enough_evidence, parsed_by_tree, strict_validity, training_references, within_cap, primary_file_lines, token_accuracy, flattened_pairs, source_line_lookup, probed_addresses,
-        first_root, preferred_catalogue, only_keys, jsonl_round_trip, jsonl_numbered, jsonl_fan_out, file_line_counts, opt_levels, slot_types, safe_numbers, padded_operands, summed_counters, instance_verdicts, document_quality,
+        first_root, preferred_catalogue, only_keys, jsonl_round_trip, jsonl_numbered, jsonl_fan_out, file_line_counts, opt_levels, delimiter_balance, slot_types, safe_numbers, padded_operands, summed_counters, instance_verdicts, document_quality,
         count_losses, spread_rounded, compound_regions, region_alignment, external_scores, label_evidence,
     )
 }
@@ -291,6 +299,9 @@ ORACLES = {
     "jsonl_fan_out": "SELECT CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'unknown' END AS part, count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY 1",
     "file_line_counts": "SELECT count(*) + 1 AS n_lines, true AS large FROM nation",
     "opt_levels": f"SELECT p_partkey, coalesce({_FOUND}[p_partkey % 9 + 1], {_FOUND}[p_partkey % 7 + 1], 'unknown') AS level FROM part",
+    # by piece: parentheses, brackets and braces that it adds
+    "delimiter_balance": """WITH k AS (SELECT p_partkey, unnest([p_partkey % 8, p_partkey // 8 % 8, p_partkey // 64 % 8]) AS i FROM part)
+        SELECT p_partkey, CAST(sum([0, 0, 0, 0, 0, -2, 0, 0][i + 1]) AS INTEGER) AS paren, CAST(sum([0, 0, 0, 0, 0, 0, 1, 0][i + 1]) AS INTEGER) AS bracket, CAST(sum([0, 1, 0, 0, 0, 0, 0, 0][i + 1]) AS INTEGER) AS brace FROM k GROUP BY 1""",
     "slot_types": f"WITH a(name, kind) AS (VALUES {_ALIAS}), n AS (SELECT p_partkey, upper(trim([{_NAMES}][p_partkey % {len(T.SLOT_TYPES) + 4} + 1])) AS name FROM part) SELECT p_partkey, coalesce(kind, n.name) AS type FROM n LEFT JOIN a USING (name)",
     "safe_numbers": "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('P', 'F') THEN -1 ELSE o_totalprice END AS safe, round(CASE WHEN o_orderstatus IN ('P', 'F') THEN 0 ELSE o_totalprice END / greatest(1, o_custkey % 3), 4) AS ratio, round(greatest(0, 1 - abs(o_custkey % 7 - o_orderkey % 5) / greatest(1, o_orderkey % 5)), 6) AS similarity FROM orders",
     "padded_operands": "SELECT l_orderkey, array_to_string((coalesce(list(l_linenumber ORDER BY l_linenumber) FILTER (l_returnflag <> 'R'), []) || [0, 0, 0])[1:3], ',') AS operands FROM lineitem GROUP BY 1",

@@ -37,6 +37,16 @@ def project_quota_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.quota(_docs(spark, d), ["source"], SEED, "doc_id", 0.5).select("doc_id", "source")
 
 
+def quota_of_intersection(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return S.quota_of(docs.where("lang = 'en'"), docs, ["source"], SEED, "doc_id", 0.3).select("doc_id", "source")
+
+
+def worst_samples(spark: SparkSession, d: str) -> DataFrame:
+    per = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg("l_discount"), 6).alias("conf"), F.count("*").alias("n"))
+    return S.worst(per, "conf", 0.03, F.col("n") >= 3, "l_orderkey")
+
+
 def reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.reservoir(_docs(spark, d), SEED, "doc_id", 50).select("doc_id")
 
@@ -106,7 +116,7 @@ def band_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "split_811_a": split_811_a, "split_811_b": split_811_b, "group_fraction_sample": group_fraction_sample, "project_quota_sample": project_quota_sample,
-    "reservoir_sample": reservoir_sample, "spread_picks": spread_picks, "topk_complex": topk_complex, "tail_n": tail_n, "conf_histogram": conf_histogram,
+    "quota_of_intersection": quota_of_intersection, "worst_samples": worst_samples, "reservoir_sample": reservoir_sample, "spread_picks": spread_picks, "topk_complex": topk_complex, "tail_n": tail_n, "conf_histogram": conf_histogram,
     "upper_median": upper_median, "calibration": calibration, "totals_rollup": totals_rollup, "baseline_delta": baseline_delta, "most_common_other": most_common_other,
     "macro_average": macro_average, "standardise": standardise, "type_shares": type_shares, "cumulative_levels": cumulative_levels, "band_verdicts": band_verdicts,
 }
@@ -117,6 +127,8 @@ ORACLES = {
     "split_811_b": _RANK.format(by="lang") + " SELECT doc_id, lang, CASE WHEN k <= n * 8 // 10 THEN 'train' WHEN k <= n * 8 // 10 + n // 10 THEN 'val' ELSE 'test' END AS part FROM r",
     "group_fraction_sample": _RANK.format(by="source") + " SELECT doc_id, source FROM r WHERE k <= greatest(1, floor(n * 0.25))",
     "project_quota_sample": _RANK.format(by="source") + " SELECT doc_id, source FROM r WHERE k <= round_even(n * 0.5, 0)",
+    "quota_of_intersection": "WITH q AS (SELECT source, round_even(count(*) * 0.3, 0) AS q FROM documents GROUP BY 1), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents WHERE lang = 'en') SELECT doc_id, source FROM r JOIN q USING (source) WHERE k <= q",
+    "worst_samples": "SELECT l_orderkey, round(avg(l_discount), 6) AS conf, count(*) AS n FROM lineitem GROUP BY 1 HAVING round(avg(l_discount), 6) < 0.03 AND count(*) >= 3 ORDER BY conf, l_orderkey LIMIT 5",
     "reservoir_sample": "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
     "spread_picks": "WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) SELECT o_orderkey, o_totalprice FROM r WHERE p IN (SELECT ((SELECT count(*) FROM orders) - 1) * i // 39 FROM range(40) t(i))",
     "topk_complex": "SELECT l_orderkey, count(DISTINCT l_suppkey) AS blocks, count(*) AS edges, 1000 * count(DISTINCT l_suppkey) + count(*) AS score FROM lineitem GROUP BY 1 ORDER BY score DESC, l_orderkey LIMIT 25",
