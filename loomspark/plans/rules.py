@@ -146,10 +146,27 @@ def jsonl_numbered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jsonl_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    """One folder per known level and one for the rest, with a manifest of what was written."""
+    """All rows, one folder per known level and one for the rest, with a manifest of what was written."""
     path = _folder(spark, "levels")
-    jsonl.write_by(read(spark, d, "documents").select("doc_id", "lang"), path, "lang", ["en", "de"])
-    return spark.read.json(path).groupBy("part").agg(F.count("*").alias("n_rows"), F.sum("doc_id").alias("ids"))
+    manifest = jsonl.write_by(read(spark, d, "documents").select("doc_id", "lang"), path, "lang", ["en", "de"], combined=True)
+    ids = spark.read.json(f"{path}/parts").groupBy("part").agg(F.sum("doc_id").alias("ids"))
+    return manifest.join(ids, "part").select("part", "n_rows", "ids").unionByName(spark.read.json(f"{path}/combined").agg(F.lit("combined").alias("part"), F.count("*").alias("n_rows"), F.sum("doc_id").alias("ids")))
+
+
+def canonical_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "part").select("p_partkey", F.struct(F.col("p_size").alias("z"), F.array(F.struct(F.col("p_size").alias("b"), F.lit(1).alias("a"))).alias("list")).alias("nested"))
+    return rows.select("p_partkey", jsonl.canonical_json(rows).alias("json"))
+
+
+def shard_manifest(spark: SparkSession, d: str) -> DataFrame:
+    manifest = jsonl.write_shards(read(spark, d, "part").select("p_partkey", "p_size"), _folder(spark, "shards"), 300)
+    return manifest.agg((F.max("n_rows") <= 300).alias("bounded"), F.sum("n_rows").alias("n_rows"), (F.count("hash") == F.count("*")).alias("hashed"))
+
+
+def reports(spark: SparkSession, d: str) -> DataFrame:
+    """A report as a Markdown table and as an indented array."""
+    r = read(spark, d, "region").select("r_regionkey", "r_name")
+    return spark.createDataFrame([(jsonl.markdown_table(r.orderBy("r_regionkey")), jsonl.pretty_array(r, "r_regionkey"))], "markdown string, array string")
 
 
 def file_line_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -265,7 +282,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         without_tier, inside_range, c_family, line_range_fits, enough_evidence, parsed_by_tree, strict_validity, training_references, within_cap, primary_file_lines, token_accuracy, flattened_pairs, source_line_lookup, probed_addresses,
-        first_root, preferred_catalogue, only_keys, jsonl_round_trip, jsonl_numbered, jsonl_fan_out, file_line_counts, opt_levels, delimiter_balance, slot_types, safe_numbers, padded_operands, summed_counters, instance_verdicts, document_quality,
+        first_root, preferred_catalogue, only_keys, jsonl_round_trip, jsonl_numbered, jsonl_fan_out, canonical_json, shard_manifest, reports, file_line_counts, opt_levels, delimiter_balance, slot_types, safe_numbers, padded_operands, summed_counters, instance_verdicts, document_quality,
         count_losses, spread_rounded, compound_regions, region_alignment, external_scores, label_evidence,
     )
 }
@@ -296,7 +313,11 @@ ORACLES = {
     "only_keys": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'x86_64' END AS arch, true AS infer_only, 'customer' AS origin FROM customer",
     "jsonl_round_trip": "SELECT doc_id % 7 = 0 AS corrupt, CASE WHEN doc_id % 7 <> 0 THEN lang END AS lang, count(*) AS n, CAST(sum(CASE WHEN doc_id % 7 <> 0 THEN doc_id END) AS BIGINT) AS ids FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 <> 0 GROUP BY 1, 2",
     "jsonl_numbered": "WITH p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS line FROM part) SELECT line, '{\"a\":\"' || p_brand || '\",\"p_partkey\":' || p_partkey || '}' AS raw FROM p WHERE line IN (0, 3, 17)",
-    "jsonl_fan_out": "SELECT CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'unknown' END AS part, count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY 1",
+    "jsonl_fan_out": "SELECT CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'unknown' END AS part, count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY 1 UNION ALL SELECT 'combined', count(*), CAST(sum(doc_id) AS BIGINT) FROM documents",
+    "canonical_json": """SELECT p_partkey, '{"nested":{"list":[{"a":1,"b":' || p_size || '}],"z":' || p_size || '},"p_partkey":' || p_partkey || '}' AS json FROM part""",
+    "shard_manifest": "SELECT true AS bounded, count(*) AS n_rows, true AS hashed FROM part",
+    "reports": """SELECT '| r_regionkey | r_name |' || chr(10) || '| - | - |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS markdown,
+        '[' || chr(10) || string_agg('  {' || chr(10) || '    "r_regionkey": ' || r_regionkey || ',' || chr(10) || '    "r_name": "' || r_name || '"' || chr(10) || '  }', ',' || chr(10) ORDER BY r_regionkey) || chr(10) || ']' AS "array" FROM region""",
     "file_line_counts": "SELECT count(*) + 1 AS n_lines, true AS large FROM nation",
     "opt_levels": f"SELECT p_partkey, coalesce({_FOUND}[p_partkey % 9 + 1], {_FOUND}[p_partkey % 7 + 1], 'unknown') AS level FROM part",
     # by piece: parentheses, brackets and braces that it adds

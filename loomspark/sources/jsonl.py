@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspark.operators.sampling import placed
 
@@ -93,27 +96,64 @@ def write_raw(rows: DataFrame, path: str, line: str = "raw") -> None:
     rows.select(line).write.text(path)
 
 
+def sorted_keys(c: Column, kind: T.DataType) -> Column:
+    """A value whose structs, at any depth, have their fields in the order of their names."""
+    if isinstance(kind, T.StructType):
+        made = F.struct(*[sorted_keys(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(c.isNotNull(), made)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: sorted_keys(x, kind.elementType))
+    return c
+
+
+def canonical_json(df: DataFrame) -> Column:
+    """A row as JSON with keys in the order of their names, nested ones too."""
+    return F.to_json(F.struct(*[sorted_keys(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]))
+
+
 def write_sorted_keys(df: DataFrame, path: str) -> None:
-    """JSON with keys in the order of their names."""
-    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.text(path)
+    """JSON with keys in the order of their names, nested ones too."""
+    df.select(canonical_json(df).alias("value")).write.text(path)
 
 
-def write_by(df: DataFrame, path: str, by: str, known: list[str], otherwise: str = "unknown") -> None:
-    """One folder per known value and one for the rest."""
-    df.withColumn("part", F.when(F.col(by).isin(known), F.col(by)).otherwise(otherwise)).write.partitionBy("part").json(path)
+def write_by(df: DataFrame, path: str, by: str, known: list[str], otherwise: str = "unknown", combined: bool = False) -> DataFrame:
+    """One folder per known value and one for the rest, under `path`; with `combined` all rows under `path`/combined, too (the others then under `path`/parts).
+
+    Returns a manifest read back from what was written: part, n_rows, and a digest of the rows that does not depend on their order.
+    """
+    rows = df.withColumn("part", F.when(F.col(by).isin(known), F.col(by)).otherwise(otherwise))
+    parts = f"{path}/parts" if combined else path
+    rows.write.partitionBy("part").json(parts)
+    if combined:
+        df.write.json(f"{path}/combined")
+    lines = df.sparkSession.read.text(parts)
+    return lines.groupBy("part").agg(F.count("*").alias("n_rows"), F.sum(F.crc32("value")).alias("digest"))
 
 
 def write_shards(df: DataFrame, path: str, rows: int = 4096) -> DataFrame:
-    """Parquet shards of `rows` rows at most; returns a manifest of files with their row counts, checked against the input's."""
+    """Parquet shards of `rows` rows at most; returns a manifest of files with their row counts and a hash of their rows (in any order), checked against the input's number of rows."""
     spark = df.sparkSession
     df.write.option("maxRecordsPerFile", rows).parquet(path)
     shards = spark.read.parquet(path)
-    manifest = shards.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"), F.first("_metadata.file_size").alias("bytes"))
+    row_hash = F.xxhash64(*[c for c, t in shards.dtypes if "map<" not in t])
+    manifest = shards.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"), F.first("_metadata.file_size").alias("bytes"), F.sum(row_hash.cast("decimal(20,0)")).alias("hash"))
     if (n := df.count()) != (m := shards.count()):
         raise RuntimeError(f"{m} of {n} rows were written")
     return manifest
 
 
+def markdown_table(report: DataFrame) -> str:
+    """A short report as a Markdown table, in the order of its rows."""
+    rows = [[("" if v is None else str(v)).replace("|", "\\|") for v in r] for r in report.collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [report.columns, ["-"] * len(report.columns), *rows])
+
+
+def pretty_array(df: DataFrame, order: str) -> str:
+    """A small table as one indented JSON array, in an order."""
+    rows = [json.loads(r[0]) for r in df.orderBy(order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).collect()]
+    return json.dumps(rows, ensure_ascii=False, indent=2)
+
+
 def write_report(df: DataFrame, path: str, separator: str = "\t") -> None:
     df.write.option("sep", separator).option("header", True).csv(path)
 
