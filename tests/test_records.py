@@ -76,7 +76,7 @@ def test_text_functions(spark):
         T.token_id(F.lit("int"), 32000).alias("f"), T.token_ids(F.lit("  "), 32000).alias("g"), T.strip_comments(F.lit("a /* b\n */ c // d\ne")).alias("h"), T.project_after(F.lit("C:\\Src\\zlib\\a.c"), "src", 1).alias("i"),
         T.is_control(F.lit(" if (x)")).alias("j"), T.is_control(F.lit("iffy")).alias("k"), T.brace_balance(F.lit("{{}")).alias("l"),
     ).first()
-    assert tuple(row) == ("o2", "os", None, "slot_007", "slot_012", 23375, [0], "a   c  \ne", "zlib", True, False, 1)
+    assert tuple(row) == ("o2", "os", "unknown", "slot_007", "slot_012", 23375, [0], "a   c  \ne", "zlib", True, False, 1)
 
 
 def test_split_sizes(spark):
