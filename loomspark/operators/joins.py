@@ -49,7 +49,7 @@ def jaccard_argmax(a: DataFrame, b: DataFrame, a_key: str, b_key: str, item: str
     Items are ordered by how many sets have them. Of n items in that order two sets of such a similarity share one of the first n - ceil(least * n) + 1 of both, so
     only these are joined, and the most common items of a set pair nobody; sizes must be within the same ratio. What remains is counted on the whole sets.
     """
-    x, y = a.select(F.col(a_key).alias("_k"), item).where(F.col(item).isNotNull()).distinct(), b.select(F.col(b_key).alias("_k"), item).where(F.col(item).isNotNull()).distinct()
+    x, y = (settled(side.select(F.col(key).alias("_k"), item).where(F.col(item).isNotNull()).distinct()) for side, key in ((a, a_key), (b, b_key)))
     often = settled(x.unionByName(y).groupBy(item).agg(F.count("*").alias("_f")).withColumn("_i", F.monotonically_increasing_id()))  # numbers stand for items
 
     def sets(side: DataFrame) -> DataFrame:
@@ -62,7 +62,8 @@ def jaccard_argmax(a: DataFrame, b: DataFrame, a_key: str, b_key: str, item: str
 
     xs, ys = sets(x), sets(y)
     pairs = prefixes(xs, "_a", "_na").join(prefixes(ys, "_b", "_nb"), "_i").where((F.col("_na") >= F.col("_nb") * least - 1e-9) & (F.col("_nb") >= F.col("_na") * least - 1e-9)).select("_a", "_b").distinct()
-    both = pairs.join(ys.select(F.col("_k").alias("_b"), F.col("_s").alias("_t")), "_b").join(xs.select(F.col("_k").alias("_a"), "_s"), "_a")
+    # the sets of a travel with the pairs, those of b are met where they lie
+    both = pairs.join(xs.select(F.col("_k").alias("_a"), "_s"), "_a").join(ys.select(F.col("_k").alias("_b"), F.col("_s").alias("_t")), "_b")
     both = both.select("_a", "_b", F.size("_s").alias("_n"), F.size("_t").alias("_m"), F.size(F.array_intersect("_s", "_t")).alias("_i"))
     both = both.withColumn("jaccard", F.col("_i") / (F.col("_n") + F.col("_m") - F.col("_i"))).where(F.col("jaccard") >= least)
     best = both.groupBy("_a").agg(F.max_by(F.struct("_b", "jaccard"), F.struct("jaccard", (-F.col("_b")).alias("k"))).alias("_x"))
