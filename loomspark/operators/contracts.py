@@ -369,3 +369,47 @@ def report_rows(texts: DataFrame, header: str, pattern: str, names: list[str]) -
             yield pd.DataFrame(out, columns=["file", "line_no", "section", *names])
 
     return texts.select("file", "text").mapInPandas(run, "file string, line_no bigint, section string, " + ", ".join(f"`{n}` string" for n in names))
+
+
+def injected(candidates: DataFrame, projected: DataFrame, slots: DataFrame, by: list[str], least: int, tier: Column) -> tuple[DataFrame, DataFrame]:
+    """(new candidates, reasons) of projecting a source's text (by, text, ...) onto slots (by): a slot whose projection has at least a tier's rank and a text that none of its candidates (by, text)
+    has gets one, with a stable id. Reasons count slots: injected, no_projection, text_exists; ties within a slot's projections go to the largest tier, then the smallest text.
+    """
+    best = projected.where((tier >= least) & (F.trim(F.coalesce("text", F.lit(""))) != "")).select(*by, F.trim("text").alias("text"), tier.alias("_t"))
+    best = best.groupBy(*by).agg(F.min_by("text", F.struct((-F.col("_t")).alias("t"), "text")).alias("text"))
+    known = candidates.select(*by, F.col("text")).distinct().withColumn("_known", F.lit(True))
+    x = slots.select(*by).distinct().join(best, by, "left").join(known, [*by, "text"], "left")
+    reason = F.when(F.col("text").isNull(), "no_projection").when(F.col("_known"), "text_exists").otherwise("injected")
+    x = x.withColumn("reason", reason)
+    stable = F.concat(F.lit("srcproj_"), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in by], "text"), 256), 1, 14))
+    return x.where("reason = 'injected'").select(*by, stable.alias("candidate_id"), "text"), x.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def proxy_blocks(blocks: DataFrame, edges: DataFrame, sample: str = "sample") -> DataFrame:
+    """Blocks (sample, b, first, length) as proxies of lifted ones: instruction range, neighbours (distinct, in order) and terminator: return without successors, cond_branch with several, else jump."""
+    out = edges.groupBy(sample, F.col("src").alias("b")).agg(F.array_sort(F.collect_set("dst")).alias("successors"))
+    into = edges.groupBy(sample, F.col("dst").alias("b")).agg(F.array_sort(F.collect_set("src")).alias("predecessors"))
+    x = blocks.join(out, [sample, "b"], "left").join(into, [sample, "b"], "left")
+    x = x.withColumns({"successors": F.coalesce("successors", F.array().cast("array<bigint>")), "predecessors": F.coalesce("predecessors", F.array().cast("array<bigint>"))})
+    n = F.size("successors")
+    ends = F.when(n == 0, "return").when(n >= 2, "cond_branch").otherwise("jump")
+    return x.select(sample, "b", F.col("first").alias("start"), (F.col("first") + F.col("length")).alias("end"), "predecessors", "successors", ends.alias("terminator"), (n == 0).alias("has_return"))
+
+
+def parser_metrics(nodes: DataFrame, outlines: DataFrame, ignored: int = -100) -> DataFrame:
+    """One row of accuracies. nodes: control, control_predicted, role, role_predicted, slot, slot_predicted (a target of `ignored` does not count). outlines: graph, place, kind,
+    kind_predicted (0 for none): accuracy of kinds where there is one, of the number of kinds, and of whole sequences. Rates without any row are 0.
+    """
+    hit = lambda t, p, where: F.coalesce(F.avg(F.when(where, (F.col(t) == F.col(p)).cast("double"))), F.lit(0.0))
+    c = F.col("control")
+    a = nodes.agg(
+        hit("control", "control_predicted", F.lit(True)).alias("control"), *[hit("control", "control_predicted", c == k).alias(f"{n}_recall") for k, n in ((1, "if"), (2, "loop"), (3, "switch"))],
+        hit("role", "role_predicted", F.col("role") != ignored).alias("role"), hit("slot", "slot_predicted", F.col("slot") != ignored).alias("slot"),
+    )
+    kinds = outlines.agg(hit("kind", "kind_predicted", F.col("kind") != 0).alias("outline_kind"))
+    per = outlines.groupBy("graph").agg(F.count_if(F.col("kind") != 0).alias("g"), F.count_if(F.col("kind_predicted") != 0).alias("p"))
+    wrong = outlines.join(per, "graph").where((F.col("place") < F.col("g")) & (F.col("kind") != F.col("kind_predicted"))).select("graph").distinct().withColumn("_wrong", F.lit(True))
+    s = per.join(wrong, "graph", "left")
+    seq = s.agg(F.coalesce(F.avg((F.col("g") == F.col("p")).cast("double")), F.lit(0.0)).alias("outline_count"), F.coalesce(F.avg(((F.col("g") == F.col("p")) & F.col("_wrong").isNull()).cast("double")), F.lit(0.0)).alias("outline_sequence"))
+    out = a.crossJoin(F.broadcast(kinds)).crossJoin(F.broadcast(seq))  # one row each
+    return out.select(*[F.round(x, 6).alias(x) for x in out.columns])

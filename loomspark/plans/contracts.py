@@ -126,11 +126,47 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
     return C.report_rows(text, r"^== status (\w+) ==$", r"^\s+(\S+(?: \S+)*): (\d+) rows$", ["priority", "n"]).select("section", "priority", F.col("n").cast("long").alias("n"), "line_no")
 
 
+def _injected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    l = read(spark, d, "lineitem")  # noqa: E741
+    slots = l.select(F.col("l_orderkey").alias("f"), F.col("l_linenumber").alias("slot"))
+    candidates = l.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("f"), F.col("l_linenumber").alias("slot"), F.concat(F.lit("t"), (F.col("l_suppkey") % 4).cast("string")).alias("text"))
+    projected = l.where("l_discount > 0.03").select(F.col("l_orderkey").alias("f"), F.col("l_linenumber").alias("slot"), F.when(F.col("l_partkey") % 7 == 0, " ").otherwise(F.concat(F.lit(" t"), (F.col("l_partkey") % 4).cast("string"))).alias("text"), (F.col("l_partkey") % 5).alias("tier"))
+    return C.injected(candidates, projected, slots, ["f", "slot"], 1, F.col("tier"))
+
+
+def injected_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _injected(spark, d)[0]
+
+
+def injection_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _injected(spark, d)[1]
+
+
+def proxy_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("b")).agg(F.min("l_partkey").alias("first"), F.min("l_suppkey").alias("k"))
+    edges = rows.withColumn("j", F.explode(F.sequence(F.lit(1), (F.col("k") % 3 + 1).cast("int")))).where("j <= k % 3").select("sample", F.col("b").alias("src"), (F.col("b") + F.col("j")).alias("dst"))
+    out = C.proxy_blocks(rows.select("sample", "b", "first", (F.col("k") % 9).alias("length")), edges)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("predecessors", "successors")}).withColumnRenamed("end", "stop")
+
+
+def parser_metrics(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    hidden = lambda c: F.when(k % 6 == 0, -100).otherwise(c)
+    l = read(spark, d, "lineitem")  # noqa: E741
+    nodes = l.select((k % 4).alias("control"), (s % 4).alias("control_predicted"), hidden(k % 3).alias("role"), (s % 3).alias("role_predicted"), hidden(k % 2).alias("slot"), (s % 2).alias("slot_predicted"))
+    rows = l.groupBy(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("k"))
+    outlines = rows.select("graph", (F.col("n") - 1).alias("place"), F.when(F.col("n") <= 2, F.col("k") % 2 + 1).otherwise(0).alias("kind"), F.when(F.col("n") <= F.when(F.col("graph") % 3 == 0, 3).otherwise(2), F.when(F.col("k") % 5 == 0, 1).otherwise(F.col("k") % 2 + 1)).otherwise(0).alias("kind_predicted"))
+    return C.parser_metrics(nodes, outlines)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (candidate_gate, slot_policies, spot_checks, instance_checks, candidate_facts, label_diagnosis, readiness_labels, token_file_audit, structural_targets, audit_tasks, rendered_skeletons, matched_slots, report_rows)
+    for f in (candidate_gate, slot_policies, spot_checks, instance_checks, candidate_facts, label_diagnosis, readiness_labels, token_file_audit, structural_targets, audit_tasks, rendered_skeletons, matched_slots, report_rows, injected_candidates, injection_reasons, proxy_blocks, parser_metrics)
 }
 
+_INJECT = """s AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS slot FROM lineitem), c AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS slot, 't' || l_suppkey % 4 AS text FROM lineitem WHERE l_returnflag <> 'N'),
+    p AS (SELECT l_orderkey AS f, l_linenumber AS slot, 't' || l_partkey % 4 AS text FROM lineitem WHERE l_discount > 0.03 AND l_partkey % 7 <> 0 AND l_partkey % 5 >= 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey % 5 DESC, 't' || l_partkey % 4) = 1),
+    r AS (SELECT s.f, s.slot, p.text, CASE WHEN p.text IS NULL THEN 'no_projection' WHEN c.text IS NOT NULL THEN 'text_exists' ELSE 'injected' END AS reason FROM s LEFT JOIN p USING (f, slot) LEFT JOIN c ON c.f = s.f AND c.slot = s.slot AND c.text = p.text)"""
 _FACT = ", ".join(f"CASE WHEN p_partkey % 13 = 12 OR p_partkey % {i + 5} = 0 THEN '{k}' END" for i, k in enumerate(C.GATE))
 ORACLES = {
     "candidate_gate": f"SELECT p_partkey, concat_ws(',', {_FACT}) = '' AS passed, concat_ws(',', {_FACT}) AS failed FROM part",
@@ -186,5 +222,15 @@ ORACLES = {
              k AS (SELECT o_orderkey AS f, o_custkey % 9 <> 0 AS has, o_custkey % 4 = 0 AS third, o_orderstatus AS st, a.x AS a, b.x AS b, a.s IS NOT NULL AND a.x IS NULL AS ha, b.s IS NOT NULL AND b.x IS NULL AS hb FROM orders LEFT JOIN c a ON a.f = o_orderkey AND a.s = 1 LEFT JOIN c b ON b.f = o_orderkey AND b.s = 2),
              m AS (SELECT *, CASE WHEN has THEN (a IS NULL)::INT + (b IS NULL)::INT + third::INT + ha::INT + hb::INT ELSE 0 END AS n FROM k)
         SELECT f, CASE WHEN has THEN 'if (' || coalesce(a, '<FILL_COND:slot_1>') || ') { ' || coalesce(CASE WHEN b = '/* c */' OR b NOT IN ('z;', '{ }') THEN b || ';' ELSE b END, '<FILL_STMT:slot_2> ;') || ' } /* ' || st || ' */' || CASE WHEN third THEN '<FILL_STMT:slot_3>' ELSE '' END END AS rendered, has AND n = 0 AS ok, CAST(n AS BIGINT) AS n_missing FROM m""",
+    "injected_candidates": f"WITH {_INJECT} SELECT f, slot, 'srcproj_' || substr(sha256(f || '|' || slot || '|' || text), 1, 14) AS candidate_id, text FROM r WHERE reason = 'injected'",
+    "injection_reasons": f"WITH {_INJECT} SELECT reason, count(*) AS n FROM r GROUP BY 1",
+    "proxy_blocks": """WITH r AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS b, min(l_partkey) AS first, min(l_suppkey) AS k FROM lineitem GROUP BY 1, 2), e AS (SELECT sample, b AS src, b + j AS dst FROM r, range(1, 3) t(j) WHERE j <= k % 3)
+        SELECT sample, b, first AS start, first + k % 9 AS stop, coalesce((SELECT string_agg(DISTINCT src, ',' ORDER BY src) FROM e WHERE e.sample = r.sample AND dst = b), '') AS predecessors, coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM e WHERE e.sample = r.sample AND src = b), '') AS successors,
+               ['return', 'jump', 'cond_branch'][k % 3 + 1] AS terminator, k % 3 = 0 AS has_return FROM r""",
+    "parser_metrics": """WITH n AS (SELECT l_partkey AS k, l_suppkey AS s FROM lineitem), o AS (SELECT l_orderkey AS g, l_linenumber AS n, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2),
+             x AS (SELECT g, n, CASE WHEN n <= 2 THEN k % 2 + 1 ELSE 0 END AS t, CASE WHEN n <= CASE WHEN g % 3 = 0 THEN 3 ELSE 2 END THEN CASE WHEN k % 5 = 0 THEN 1 ELSE k % 2 + 1 END ELSE 0 END AS p FROM o),
+             c AS (SELECT g, count(*) FILTER (t <> 0) AS a, count(*) FILTER (p <> 0) AS b FROM x GROUP BY 1), w AS (SELECT c.g, a = b AS same, a = b AND NOT EXISTS (SELECT 1 FROM x WHERE x.g = c.g AND n <= a AND t <> p) AS whole FROM c)
+        SELECT round(avg((k % 4 = s % 4)::INT), 6) AS control, round(avg((k % 4 = s % 4)::INT) FILTER (k % 4 = 1), 6) AS if_recall, round(avg((k % 4 = s % 4)::INT) FILTER (k % 4 = 2), 6) AS loop_recall, round(avg((k % 4 = s % 4)::INT) FILTER (k % 4 = 3), 6) AS switch_recall,
+               round(avg((k % 3 = s % 3)::INT) FILTER (k % 6 <> 0), 6) AS role, round(avg((k % 2 = s % 2)::INT) FILTER (k % 6 <> 0), 6) AS slot, (SELECT round(avg((t = p)::INT) FILTER (t <> 0), 6) FROM x) AS outline_kind, (SELECT round(avg(same::INT), 6) FROM w) AS outline_count, (SELECT round(avg(whole::INT), 6) FROM w) AS outline_sequence FROM n""",
     "report_rows": "WITH c AS (SELECT o_orderstatus AS section, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY section ORDER BY '  ' || priority || ': ' || n || ' rows') + 1 AS line_no FROM c",
 }
