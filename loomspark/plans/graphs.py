@@ -189,7 +189,7 @@ ORACLES = {
              rest AS (SELECT sample, node, [4, 1, 7, 0, 1][node + 1] AS role FROM nodes WHERE (sample, node) NOT IN (SELECT (sample, node) FROM t2)),
              u AS (SELECT x.sample, x.node AS a, y.node AS b FROM rest x JOIN rest y ON x.sample = y.sample AND x.role = y.role JOIN g ON g.sample = x.sample AND (g.src = x.node AND g.dst = y.node OR g.src = y.node AND g.dst = x.node)),
              c AS (SELECT sample, role, node, least(node, coalesce((SELECT min(b) FROM u WHERE u.sample = rest.sample AND u.a = rest.node), node)) AS part FROM rest)
-        SELECT sample, 4 AS role, 0 AS header, string_agg(node, ',' ORDER BY node) AS nodes FROM body GROUP BY sample, src UNION ALL
+        SELECT sample, CAST(4 AS BIGINT) AS role, CAST(0 AS BIGINT) AS header, string_agg(node, ',' ORDER BY node) AS nodes FROM body GROUP BY sample, src UNION ALL
         SELECT sample, CASE WHEN h = 2 THEN 7 ELSE 1 END, h, string_agg(node, ',' ORDER BY node) FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r2) GROUP BY sample, h UNION ALL
         SELECT sample, role, CASE WHEN role > 0 THEN part END, string_agg(node, ',' ORDER BY node) FROM c GROUP BY sample, role, part""",
     "pattern_labels": f"""WITH RECURSIVE {_G}, {_REACH}, {_AVOID}, {_DOM}, h AS (SELECT DISTINCT g.sample, g.dst AS b FROM g JOIN dom ON dom.sample = g.sample AND dom.dom = g.dst AND dom.node = g.src),

@@ -299,7 +299,7 @@ ORACLES = {
     "column_compaction": f'WITH {_CELLS}, u AS (SELECT sample, s, dense_rank() OVER (PARTITION BY sample ORDER BY s) - 1 AS "column" FROM c GROUP BY 1, 2 HAVING max(m) > 10) SELECT sample, b, s, "column" FROM c JOIN u USING (sample, s)',
     "expected_position": f"WITH {_CELLS} SELECT sample, b, round(sum(s * m) / nullif(sum(m), 0), 6) AS position FROM c GROUP BY 1, 2",
     "two_signal_fusion": f"""WITH {_SIGNALS}
-        SELECT sample, b, a AS s, 1.0 AS m, round(least(ca + cb, 1) * CASE kind WHEN 'near' THEN 0.85 ELSE 1 END, 6) AS w FROM k WHERE kind IN ('agree', 'near') UNION ALL
+        SELECT sample, b, a AS s, CAST(1 AS DOUBLE) AS m, round(least(ca + cb, 1) * CASE kind WHEN 'near' THEN 0.85 ELSE 1 END, 6) AS w FROM k WHERE kind IN ('agree', 'near') UNION ALL
         SELECT sample, b, a, 0.6, round(ca * 0.5, 6) FROM k WHERE kind = 'conflict' UNION ALL SELECT sample, b, z, 0.4, round(cb * 0.5, 6) FROM k WHERE kind = 'conflict' UNION ALL
         SELECT sample, b, coalesce(a, z), 1.0, round(0.8 * CASE WHEN a IS NULL THEN cb ELSE ca END, 6) FROM k WHERE kind LIKE '%only'""",
     "signal_stats": f"WITH {_SIGNALS} SELECT sample, count(*) FILTER (a IS NOT NULL AND z IS NOT NULL) AS n_both, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in L.KINDS)} FROM k GROUP BY 1",

@@ -369,7 +369,7 @@ ORACLES = {
     "compound_regions": """WITH s AS (SELECT l_orderkey AS sample, l_linenumber AS n, min(l_suppkey) % 3 AS c FROM lineitem GROUP BY 1, 2), l AS (SELECT *, CASE WHEN c > 0 THEN c ELSE -1 - n % 2 END AS l FROM s),
              b AS (SELECT *, CASE WHEN lag(n) OVER w = n - 1 AND lag(l) OVER w = l THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY sample ORDER BY n)), r AS (SELECT *, sum(new) OVER (PARTITION BY sample ORDER BY n) AS r FROM b)
         SELECT sample, CAST(min(n) AS BIGINT) AS header, string_agg(n, ',' ORDER BY n) AS nodes FROM r GROUP BY sample, r""",
-    "external_scores": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_size * 2.0 + 1 AS score FROM part",
+    "external_scores": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, CAST(p_size AS DOUBLE) * 2 + 1 AS score FROM part",
     "label_evidence": """WITH r AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS b, min(l_partkey) AS p, min(l_suppkey) AS k FROM lineitem GROUP BY 1, 2), x AS (SELECT *, p % 6 AS line, k % 10 = 7 AS old, p % 11 = 0 AS dispatch, p % 6 = 1 AS sw FROM r),
              c AS (SELECT sample, arg_min(b, (NOT dispatch, b)) AS b FROM x WHERE sw GROUP BY sample), h AS (SELECT * FROM c UNION SELECT sample, b FROM x WHERE dispatch AND sample NOT IN (SELECT sample FROM c)),
              o AS (SELECT sample, b, CASE WHEN b - lag(b) OVER (PARTITION BY sample ORDER BY b) > 3 THEN 1 ELSE 0 END AS new FROM x WHERE old), q AS (SELECT sample, b, sum(new) OVER (PARTITION BY sample ORDER BY b) AS q, (sample, b) IN (SELECT (sample, b) FROM h) AS is_head FROM o),
