@@ -110,3 +110,11 @@ def unique_only(df: DataFrame, key: str) -> DataFrame:
 def all_rows(frames: list[DataFrame]) -> DataFrame:
     """Plain concatenation by name; columns that a frame lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def of_projects(df: DataFrame, name: str, pattern: str, groups: dict[str, int], projects: list[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
+    """Rows of files whose name has a pattern, with the pattern's groups as columns; `project` must be one of them. Only listed projects, and none that is excluded; a null name drops out."""
+    out = df.where(F.rlike(name, F.lit(pattern))).withColumns({g: F.regexp_extract(name, pattern, k) for g, k in groups.items()})
+    if projects is not None:
+        out = out.where(F.col("project").isin(projects))
+    return out.where(~F.col("project").isin(excluded)) if excluded else out

@@ -63,6 +63,12 @@ def reservoir(df: DataFrame, seed: str, key: str, k: int) -> DataFrame:
     return df.orderBy(draw(seed, F.col(key)), key).limit(k)
 
 
+def pre_pool(df: DataFrame, line: str, seed: str, key: str, most: int = 200) -> DataFrame:
+    """Rows kept with a chance of `most` over their line's number (1 at most), the chance being drawn from the key's hash: a pool that grows with the logarithm of the table."""
+    share = F.conv(F.substring(draw(seed, F.col(key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return df.where(share < most / F.greatest(F.col(line), F.lit(1)))
+
+
 def spread_places(n: int, k: int) -> list[int]:
     """k of n places: floor((n - 1) * i / (k - 1)); all of n where k is as large, the one in the middle for k = 1."""
     if n <= 0 or k <= 0:

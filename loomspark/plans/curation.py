@@ -98,9 +98,12 @@ def identity_policies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def concat_projects(spark: SparkSession, d: str) -> DataFrame:
-    """Concatenation with a name pattern and an exclusion list."""
-    docs = read(spark, d, "documents").withColumn("project", F.regexp_extract("source", r"^src(\d+)$", 1))
-    return docs.where((F.col("project") != "") & ~F.col("source").isin("src0", "src1")).groupBy("project").agg(F.count("*").alias("n"))
+    """Files named by split, project and level, concatenated: a name pattern, an allow list and an exclusion list."""
+    docs = read(spark, d, "documents")
+    name = F.concat(F.lit("set_"), F.when(F.col("doc_id") % 2 == 0, "AB").otherwise("CD"), F.lit("_"), "source", F.lit("_"), F.when(F.col("lang") == "en", "o0").when(F.col("lang") == "de", "o9").otherwise("os"), F.lit(".jsonl"))
+    halves = [docs.where(f"doc_id % 2 = {k}").select("doc_id", name.alias("name")) for k in (0, 1)]
+    found = keys.of_projects(keys.all_rows(halves), "name", r"^set_(AB|CD)_(.+)_((?:o[0-3])|os)\.jsonl$", {"split": 1, "project": 2, "level": 3}, [f"src{k}" for k in range(9)], ["src0", "src1"])
+    return found.groupBy("split", "project", "level").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -149,5 +152,5 @@ ORACLES = {
                    SELECT 'function_source', s, f FROM r UNION ALL SELECT 'uid', CASE WHEN s <> '' THEN s ELSE b END, f FROM r),
              k AS (SELECT policy, CASE WHEN policy IN ('dedup', 'trimmed') AND (a = '' OR f = '') THEN NULL ELSE a || chr(1) || f END AS k FROM p)
         SELECT policy, count(*) AS total, count(DISTINCT k) AS unique_keys, count(k) - count(DISTINCT k) AS extra, count(*) - count(k) AS missing FROM k GROUP BY policy""",
-    "concat_projects": r"SELECT regexp_extract(source, '^src(\d+)$', 1) AS project, count(*) AS n FROM documents WHERE regexp_matches(source, '^src\d+$') AND source NOT IN ('src0', 'src1') GROUP BY 1",
+    "concat_projects": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'AB' ELSE 'CD' END AS split, source AS project, CASE WHEN lang = 'en' THEN 'o0' ELSE 'os' END AS level, count(*) AS n FROM documents WHERE coalesce(lang, '') <> 'de' AND source IN ('src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8') GROUP BY ALL",
 }

@@ -51,6 +51,11 @@ def reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.reservoir(_docs(spark, d), SEED, "doc_id", 50).select("doc_id")
 
 
+def pre_pooled_sample(spark: SparkSession, d: str) -> DataFrame:
+    pool = S.pre_pool(_docs(spark, d), "doc_id", "9", "doc_id", 50)
+    return S.reservoir(pool, SEED, "doc_id", 20).select("doc_id")
+
+
 def spread_picks(spark: SparkSession, d: str) -> DataFrame:
     return S.spread(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 40)
 
@@ -116,7 +121,7 @@ def band_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "split_811_a": split_811_a, "split_811_b": split_811_b, "group_fraction_sample": group_fraction_sample, "project_quota_sample": project_quota_sample,
-    "quota_of_intersection": quota_of_intersection, "worst_samples": worst_samples, "reservoir_sample": reservoir_sample, "spread_picks": spread_picks, "topk_complex": topk_complex, "tail_n": tail_n, "conf_histogram": conf_histogram,
+    "quota_of_intersection": quota_of_intersection, "worst_samples": worst_samples, "reservoir_sample": reservoir_sample, "pre_pooled_sample": pre_pooled_sample, "spread_picks": spread_picks, "topk_complex": topk_complex, "tail_n": tail_n, "conf_histogram": conf_histogram,
     "upper_median": upper_median, "calibration": calibration, "totals_rollup": totals_rollup, "baseline_delta": baseline_delta, "most_common_other": most_common_other,
     "macro_average": macro_average, "standardise": standardise, "type_shares": type_shares, "cumulative_levels": cumulative_levels, "band_verdicts": band_verdicts,
 }
@@ -130,6 +135,7 @@ ORACLES = {
     "quota_of_intersection": "WITH q AS (SELECT source, round_even(count(*) * 0.3, 0) AS q FROM documents GROUP BY 1), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents WHERE lang = 'en') SELECT doc_id, source FROM r JOIN q USING (source) WHERE k <= q",
     "worst_samples": "SELECT l_orderkey, round(avg(l_discount), 6) AS conf, count(*) AS n FROM lineitem GROUP BY 1 HAVING round(avg(l_discount), 6) < 0.03 AND count(*) >= 3 ORDER BY conf, l_orderkey LIMIT 5",
     "reservoir_sample": "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
+    "pre_pooled_sample": "SELECT doc_id FROM documents WHERE CAST(('0x' || substr(md5('9:' || doc_id), 1, 8)) AS BIGINT) / 4294967296 < 50 / greatest(doc_id, 1) ORDER BY md5('42:' || doc_id), doc_id LIMIT 20",
     "spread_picks": "WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) SELECT o_orderkey, o_totalprice FROM r WHERE p IN (SELECT ((SELECT count(*) FROM orders) - 1) * i // 39 FROM range(40) t(i))",
     "topk_complex": "SELECT l_orderkey, count(DISTINCT l_suppkey) AS blocks, count(*) AS edges, 1000 * count(DISTINCT l_suppkey) + count(*) AS score FROM lineitem GROUP BY 1 ORDER BY score DESC, l_orderkey LIMIT 25",
     "tail_n": "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 100",
