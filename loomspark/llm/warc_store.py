@@ -9,7 +9,8 @@ All of it is DataFrame functions. The payload of a frequent digest is reduced to
 digest are plain sort-merge joins that adaptive execution splits where a digest is frequent.
 
 Cases: a null html is the empty payload. A null url leaves its header out. Repeated rows with the smallest page_id are all responses; a null page_id
-sorts last and is a revisit wherever another page holds the payload. Control characters of urls are percent-coded. Extra columns are ignored.
+sorts last and is a revisit wherever another page holds the payload. Control characters of urls are percent-coded. Very long payloads are one value. An empty table gives an
+empty archive. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_path
+from .shared import shared_path, written
 
 REVISIT_BYTES = 100
 CRLF = "\r\n"
@@ -35,8 +36,9 @@ def records(pages: DataFrame, date: str) -> tuple[DataFrame, DataFrame]:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     payloads = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
-    firsts = rows.where(f"size >= {REVISIT_BYTES}").groupBy("digest").agg(F.min("page_id").alias("first"))
-    named = rows.select("page_id", "url", "digest", "size").join(firsts, "digest", "left")
+    narrow = written(rows.select("page_id", "url", "digest", "size"), "digests")  # payloads are hashed once for the headers
+    firsts = narrow.where(f"size >= {REVISIT_BYTES}").groupBy("digest").agg(F.min("page_id").alias("first"))
+    named = narrow.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     lines = [
