@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import mix, slices
-from .shared import small_batches, written
+from .shared import small_batches, unused, written
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -188,7 +188,7 @@ def _hitting(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             for part in slices(batch, "text"):
                 _, spans, items = _found(index, part["text"].cast(pa.binary()).to_pylist())
                 hit = [k for k, x in enumerate(spans) if x]
-                yield pa.record_batch([part["digest"].take(hit), pa.array([spans[k] for k in hit], pa.list_(pa.int64())), pa.array([items[k] for k in hit], pa.list_(pa.string()))], ["digest", "spans", "items"])
+                yield pa.record_batch([part["digest"].take(pa.array(hit, pa.int64())), pa.array([spans[k] for k in hit], pa.list_(pa.int64())), pa.array([items[k] for k in hit], pa.list_(pa.string()))], ["digest", "spans", "items"])
 
     return match
 
@@ -237,11 +237,14 @@ def contained_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     every = more[0]
     for m in more[1:]:
         every = every.unionByName(m)
-    hits = written(every.groupBy("digest").agg(F.collect_list("spans").alias("_s"), F.collect_list("items").alias("_i")), "decontam")  # a row for each block at most
-    named = out.withColumn("_digest", _digest()).join(hits, F.col("_digest") == F.col("digest"), "left")
-    both = named.withColumns({"_s": F.concat(F.array("spans"), F.coalesce("_s", F.array().cast("array<array<bigint>>"))), "_i": F.concat(F.array("items"), F.coalesce("_i", F.array().cast("array<array<string>>")))})
-    both = both.withColumn("_s", F.expr("filter(_s, s -> size(s) > 0)")).withColumns({"spans": F.when(F.size("_s") > 0, F.expr(_MERGE.format("_s"))).otherwise(F.array().cast("array<bigint>")), "items": F.array_sort(F.array_distinct(F.flatten("_i")))})
-    return both.select(*out.columns)
+    own, key, some, ids = (unused(out, f"hit {x}") for x in ("text", "digest", "spans", "items"))
+    hits = written(every.groupBy("digest").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")), "decontam")  # a row for each block at most
+    named = out.withColumn(own, _digest()).join(hits.toDF(key, some, ids), F.col(own) == F.col(key), "left")
+    spans = F.filter(F.concat(F.array("spans"), F.coalesce(some, F.array().cast("array<array<bigint>>"))), lambda s: F.size(s) > 0)
+    items = F.concat(F.array("items"), F.coalesce(ids, F.array().cast("array<array<string>>")))
+    both = named.withColumns({some: spans, ids: items})
+    merged_spans = F.when(F.size(some) > 0, F.expr(_MERGE.format(f"`{some}`"))).otherwise(F.array().cast("array<bigint>"))
+    return both.withColumns({"spans": merged_spans, "items": F.array_sort(F.array_distinct(F.flatten(ids)))}).select(*[F.col(f"`{c}`") for c in out.columns])
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

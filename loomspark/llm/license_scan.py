@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_signatures import MAX_WORDS, SIGNATURES
+from .shared import unused
 
 #: Words before lower-casing: letters and digits of ASCII, and all else beyond it.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -94,7 +95,7 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score and `detections`, what is left after suppression:
     an array of (first word, last word, priority, rule, confidence, label, base), words from 0."""
     own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-    low, joined, found, base = "license low", "license joined", "license found", "license base"
+    low, joined, found, base = (unused(docs, f"license {x}") for x in ("low", "joined", "found", "base"))
     gate = " OR ".join(f"contains(`{low}`, {_quote(k)})" for k in GATE)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     a = docs.drop(*own).withColumns({"n_words": F.regexp_count(whole, F.lit(WORD)).cast("long"), low: F.lower(whole)})

@@ -3,8 +3,8 @@
 Everything here is DataFrame functions; the learner itself is plain Python over a bounded sample of labelled statistics.
 
 Cases: a null or empty text has no words and every statistic 0, so it fails the base rule (under 20 words). Repeated rows and
-repeated or null ids are judged row by row. Extra columns pass through; the names this operator adds replace columns of the same
-name. With no labelled rows the list is empty and only the base rule rejects.
+repeated or null ids are judged row by row. Very long texts are judged whole; ties in the learning data go to the first threshold. An empty table gives an empty
+result. Extra columns pass through; the names this operator adds replace columns of the same name. With no labelled rows the list is empty and only the base rule rejects.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -27,6 +29,8 @@ FEATURES = {
     "upper_share": "_n_upper / greatest(word_chars, 1L)",
     "exclaim_share": "_n_exclaim / greatest(n_words, 1L)",
 }
+#: Columns that statistics need on the way.
+HELPERS = {"_t", "_w", "_lines", "_h", "_s", "_pos", "_n_lines", "_n_upper", "_n_exclaim"}
 #: Labelled rows that the list is learnt from, at most; the ones with the smallest hash of their id.
 MAX_FIT_ROWS = 3000
 
@@ -165,12 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> lis
 
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add the statistics, base_failed, the number of the first rule that fires (null: none), its precision as `reject_score`, and kept."""
-    a = with_stats(docs.drop("base_failed", "kept", "rule_id", "reject_score")).withColumn("base_failed", base_failed())
+    # columns of users that are named like a helper step aside
+    aside = {c: unused(docs, f"aside {c}") for c in docs.columns if c.lower() in HELPERS}
+    a = with_stats(docs.drop("base_failed", "kept", "rule_id", "reject_score").withColumnsRenamed(aside)).withColumn("base_failed", base_failed())
     number, sure = F.lit(None).cast("int"), F.lit(0.0)
     for k, rule in reversed(list(enumerate(rules))):  # the first rule ends up outermost
         number, sure = F.when(rule.column(), F.lit(k)).otherwise(number), F.when(rule.column(), F.lit(rule.precision)).otherwise(sure)
     a = a.withColumns({"rule_id": number, "reject_score": sure})
-    return a.withColumn("kept", ~F.col("base_failed") & F.col("rule_id").isNull()).drop("_n_lines", "_n_upper", "_n_exclaim")
+    return a.withColumn("kept", ~F.col("base_failed") & F.col("rule_id").isNull()).drop("_n_lines", "_n_upper", "_n_exclaim").withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

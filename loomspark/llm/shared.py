@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def removed(*tables: DataFrame) -> None:
     """Delete tables made by `written` that nothing will read again."""
     for df in tables:

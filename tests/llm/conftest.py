@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # columns whose names clash with what the operators add
-EXTRA = ["n_words", "kept", "score", "lang_pred", "n_hit", "labels", "spans", "items", "component_id", "key"]
+EXTRA = ["n_words", "kept", "score", "lang_pred", "n_hit", "labels", "spans", "items", "component_id", "key", "digest", "_w", "_n_lines", "license low", "hit text", "_digest"]
 
 
 def words(rng: random.Random, n: int, alphabet: str = "abcdefghij") -> list[str]:
@@ -43,7 +43,7 @@ def corpus() -> list[tuple]:
 def docs(spark, corpus):
     df = spark.createDataFrame(corpus, SCHEMA)
     for c in EXTRA:
-        df = df.selectExpr("*", f"'x' AS {c}")
+        df = df.selectExpr("*", f"'x' AS `{c}`")
     return df.repartition(3).cache()
 
 

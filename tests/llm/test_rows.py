@@ -120,6 +120,7 @@ def test_quality_statistics(docs, corpus, empty):
         failed = s[0] < 20 or 100 * s[4] > 30 * s[0]
         expected.append((r[0], *s, failed, not failed))
     same(map(tuple, out), expected)
+    assert quality_rules.apply_rules(docs, []).select("_w", "_n_lines", "digest").distinct().collect() == [("x", "x", "x")]
     assert quality_rules.apply_rules(empty, []).count() == 0
 
 
@@ -134,6 +135,36 @@ def test_quality_rules_are_learned_and_ordered(spark):
     assert quality_rules.fit(df.select("doc_id", "text"), df.select("doc_id", "quality").limit(0)) == []
 
 
+def test_first_condition_has_the_largest_gain():
+    """Against all features and thresholds; rules stop where nothing is gained, and what one covers is gone for the next."""
+    from math import log2
+
+    rng = random.Random(13)
+    rows = [{f: rng.randint(0, 6) / 2 for f in quality_rules.FEATURES} for _ in range(120)]
+    for r in rows:
+        r["bad"] = int(r["words"] > 2 and r["symbol_share"] <= 1.5 or rng.random() < 0.03)
+    found = quality_rules.learn(rows, least_precision=0.6, bins=200)
+    grow = [r for k, r in enumerate(rows) if k % 3]
+    p, n, best = sum(r["bad"] for r in grow), len(grow), 0.0
+    for f in quality_rules.FEATURES:
+        values = sorted({r[f] for r in grow})
+        for a, b in zip(values, values[1:], strict=False):
+            for side in (True, False):
+                inside = [r["bad"] for r in grow if (r[f] > (a + b) / 2) == side]
+                if sum(inside) >= 3 and len(inside) < n:
+                    best = max(best, sum(inside) * (log2(sum(inside) / len(inside)) - log2(p / n)))
+    f, op, t = found[0].conditions[0]
+    inside = [r["bad"] for r in grow if (r[f] > t) == (op == ">")]
+    assert abs(sum(inside) * (log2(sum(inside) / len(inside)) - log2(p / n)) - best) < 1e-9
+    left = rows
+    for rule in found:
+        hit = [r for r in left if rule.covers(r)]
+        assert abs(sum(r["bad"] for r in hit) / len(hit) - rule.precision) < 1e-9 and rule.precision >= 0.6
+        left = [r for r in left if not rule.covers(r)]
+    assert {c[0] for c in found[0].conditions} == {"words", "symbol_share"}
+    assert quality_rules.learn([], "bad") == []
+
+
 def test_near_duplicates(docs, corpus, empty):
     out = near_dedup.near_duplicates(docs).collect()
     expected = brute.components([(r[0], r[1]) for r in corpus])
