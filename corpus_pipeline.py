@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import decontam, lang_ecoc, near_dedup, packing, quality_rules
-from loomspark.llm.shared import written
+from loomspark.llm.shared import unused, written
 
 
 def _filtered(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
@@ -55,13 +55,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = written(rows.groupBy("group").agg(first.alias("x")).select("x.row", "x.n"), "stays")
     gone = written(rows.select("row").join(stays, "row", "left_anti"), "gone")
     few = lambda d: F.broadcast(d) if d.count() <= near_dedup.BROADCAST_IDS else d  # 16 bytes each
-    mine = docs.withColumn("row digest", _digest())
-    out = mine.join(few(gone), mine["row digest"] == gone["row"], "left_anti")
+    own = unused(docs, "row digest")
+    mine = docs.withColumn(own, _digest())
+    out = mine.join(few(gone), mine[own] == gone["row"], "left_anti")
     repeated = stays.where("n > 1").select("row")
     if repeated.isEmpty():
         return out.select(docs.columns)
-    once = out.join(few(repeated), out["row digest"] == repeated["row"], "left_anti")
-    again = out.join(few(repeated), out["row digest"] == repeated["row"], "left_semi").dropDuplicates(["row digest"])
+    once = out.join(few(repeated), out[own] == repeated["row"], "left_anti")
+    again = out.join(few(repeated), out[own] == repeated["row"], "left_semi").dropDuplicates([own])
     return once.unionByName(again).select(docs.columns)
 
 
