@@ -213,6 +213,56 @@ def token_file_audit(rows: DataFrame, by: str, source: Column, ids: str, vocabul
     return x.groupBy(by).agg(F.count("*").alias("n"), *counts, F.count_if(~F.col("_s").isin(named)).alias("src_other"), F.count_if("_ok").alias("ids_ok"), F.count_if(~F.col("_ok")).alias("ids_bad"), F.count_if(F.col("_ok") & (F.col("_s") == "readable")).alias("both_ok"))
 
 
+# Weights of rates, of facts that hold, and of counts in a valid candidate's quality.
+QUALITY_RATES = {
+    "structured_bb_ratio": 28.0, "structured_control_ratio": 6.0, "edge_semantic_ratio": 8.0, "edge_explicit_ratio": 3.0, "edge_interval_ratio": 4.0, "edge_linear_ratio": 1.5, "slot_pointer_acc": 10.0,
+    "branch_header_cond_slot_coverage": 8.0, "cond_pointer_acc": 5.0, "block_pointer_acc": 3.0, "goto_pointer_acc": 1.0, "condition_slot_grounded_rate": 7.0, "branch_provenance_coverage": 4.0, "condition_branch_metadata_rate": 3.0,
+    "condition_ssa_available_rate": 2.0, "real_condition_ssa_available_rate": 2.0, "if_cond_grounded_rate": 1.0, "loop_cond_grounded_rate": 1.0, "switch_cond_grounded_rate": 1.0, "condition_polarity_available_rate": 1.5,
+    "slot_locality_score": 8.0, "edge_goto_ratio": -5.0, "edge_break_ratio": -1.2, "edge_continue_ratio": -0.8, "edge_early_exit_ratio": -1.0, "edge_fallback_ratio": -3.0, "edge_uncovered_ratio": -20.0, "branch_header_cond_slot_gap": -12.0,
+}
+QUALITY_FACTS = {"strict_edge_preservation_ok": 2.0, "edge_preservation_ok": 1.0, "parse_success": 0.5, "slot_grounding_ok": 0.5}
+QUALITY_COUNTS = {
+    "fallback_region_count": -2.5, "goto_count": -1.8, "break_count": -0.35, "continue_count": -0.20, "early_exit_count": -0.45, "cleanup_exit_count": -0.35, "empty_control_with_context_count": -20.0, "empty_control_count": -4.0,
+    "body_bb_outside_control_count": -3.0,
+}
+
+
+def quality_components(facts: dict[str, Column], n_blocks: Column, hard_valid: Column) -> Column:
+    """struct(rank_quality, fallback_ratio, escape_count, cost_feasible, grounding_ready, structured_ready, locality_ready, doc_ready) out of a candidate's facts by name.
+
+    A fact that is not given or null counts as 0 or false; coverage of branch headers and slot locality as 1, the coverage's gap as what it lacks, the structured ratio as structured blocks over
+    blocks, the escapes as the sum of their kinds. A strict edge preservation is one. What is not valid stays far below all that is.
+    """
+    given = lambda k: facts[k].cast("double") if k in facts else F.lit(None).cast("double")
+    n = F.greatest(F.lit(1.0), _n(n_blocks))
+    v = {k: _n(given(k)) for k in (*QUALITY_RATES, *QUALITY_COUNTS, "fallback_bb_count", "slot_count")}
+    v["slot_locality_score"], v["branch_header_cond_slot_coverage"] = (F.coalesce(given(k), F.lit(1.0)) for k in ("slot_locality_score", "branch_header_cond_slot_coverage"))
+    v["branch_header_cond_slot_gap"] = F.coalesce(given("branch_header_cond_slot_gap"), F.greatest(F.lit(0.0), 1 - v["branch_header_cond_slot_coverage"]))
+    v["structured_bb_ratio"] = F.coalesce(given("structured_bb_ratio"), _n(given("structured_bb_count")) / n)
+    kinds = v["goto_count"] + v["break_count"] + v["continue_count"] + v["early_exit_count"] + v["cleanup_exit_count"]
+    escapes = F.coalesce(F.nullif(given("escape_count"), F.lit(0.0)), kinds)
+    holds = {k: _yes(facts[k]) if k in facts else F.lit(False) for k in (*QUALITY_FACTS, "valid", "bb_coverage_ok")}
+    holds["edge_preservation_ok"] = holds["edge_preservation_ok"] | holds["strict_edge_preservation_ok"]
+    fallback = v["fallback_bb_count"] / n
+    ok = _yes(hard_valid)
+    good = F.lit(1000.0) - 24.0 * fallback - 0.35 * v["slot_count"] / n
+    for k, w in (QUALITY_RATES | QUALITY_COUNTS).items():
+        good = good + w * v[k]
+    for k, w in QUALITY_FACTS.items():
+        good = good + w * holds[k].cast("double")
+    bad = F.lit(-1000.0) - 20.0 * v["edge_uncovered_ratio"] - 5.0 * fallback
+    for k in ("valid", "bb_coverage_ok", "edge_preservation_ok"):
+        bad = bad + 0.5 * holds[k].cast("double")
+    few = (v["goto_count"] <= 2) & (escapes <= 4)
+    grounded = (v["slot_pointer_acc"] >= 0.98) & (v["branch_header_cond_slot_coverage"] >= 0.9) & (v["branch_provenance_coverage"] >= 0.9) & (v["condition_slot_grounded_rate"] >= 0.9)
+    structured = (v["structured_bb_ratio"] >= 0.6) & (fallback <= 0.3)
+    local = (v["slot_locality_score"] >= 0.98) & (v["empty_control_with_context_count"] == 0) & (v["body_bb_outside_control_count"] == 0)
+    return F.struct(
+        F.round(F.when(ok, good).otherwise(bad), 6).alias("rank_quality"), F.round(fallback, 6).alias("fallback_ratio"), escapes.cast("long").alias("escape_count"), (ok & (fallback <= 0.3) & few).alias("cost_feasible"),
+        grounded.alias("grounding_ready"), structured.alias("structured_ready"), local.alias("locality_ready"), (ok & structured & grounded & local & few).alias("doc_ready"),
+    )
+
+
 def structural_target(hard_valid: Column, doc_ready: Column, feasible: Column, outline: Column, kinds: Column, gap: Column, fallback: Column, gotos: Column, escapes: Column, cfg: dict[str, Column] | None = None) -> Column:
     """struct(score, ast_score, tier, status, trainable, confidence, exact, soft): how much a valid candidate's control structure is like the source's.
 

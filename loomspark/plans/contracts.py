@@ -97,6 +97,14 @@ def structural_targets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "t.score", "t.tier", "t.status", "t.trainable", "t.confidence", "t.exact", "t.soft", F.round("quality", 4).alias("quality"))
 
 
+def quality_components(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of a part are 1, or lower by a share of its size, or missing; counts are remainders of its key."""
+    k, x = F.col("p_partkey"), F.col("p_size") / 500
+    facts = {n: F.when(k % (i + 7) != 0, 1 - x) for i, n in enumerate(C.QUALITY_RATES)} | {n: F.when(k % (i + 3) == 1, 1) for i, n in enumerate(C.QUALITY_COUNTS)}
+    facts |= {n: k % (i + 4) != 0 for i, n in enumerate((*C.QUALITY_FACTS, "valid", "bb_coverage_ok"))} | {"fallback_bb_count": k % 4, "slot_count": F.col("p_size"), "structured_bb_count": k % 11}
+    return read(spark, d, "part").select("p_partkey", C.quality_components(facts, k % 12, k % 5 != 0).alias("x")).select("p_partkey", "x.*")
+
+
 def audit_tasks(spark: SparkSession, d: str) -> DataFrame:
     l = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("fill "), F.col("l_suppkey").cast("string")).alias("text")).distinct()  # noqa: E741
     return C.audit_tasks(l, ["l_orderkey", "l_partkey"], "text", [F.col("l_linenumber"), F.col("l_partkey"), F.col("text")]).select("l_orderkey", "l_linenumber", "task_id", F.col("candidate_rank").cast("long").alias("candidate_rank"), "target_text", "verdict")
@@ -161,12 +169,17 @@ def parser_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (candidate_gate, slot_policies, spot_checks, instance_checks, candidate_facts, label_diagnosis, readiness_labels, token_file_audit, structural_targets, audit_tasks, rendered_skeletons, matched_slots, report_rows, injected_candidates, injection_reasons, proxy_blocks, parser_metrics)
+    for f in (candidate_gate, slot_policies, spot_checks, instance_checks, candidate_facts, label_diagnosis, readiness_labels, token_file_audit, quality_components, structural_targets, audit_tasks, rendered_skeletons, matched_slots, report_rows, injected_candidates, injection_reasons, proxy_blocks, parser_metrics)
 }
 
 _INJECT = """s AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS slot FROM lineitem), c AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS slot, 't' || l_suppkey % 4 AS text FROM lineitem WHERE l_returnflag <> 'N'),
     p AS (SELECT l_orderkey AS f, l_linenumber AS slot, 't' || l_partkey % 4 AS text FROM lineitem WHERE l_discount > 0.03 AND l_partkey % 7 <> 0 AND l_partkey % 5 >= 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey % 5 DESC, 't' || l_partkey % 4) = 1),
     r AS (SELECT s.f, s.slot, p.text, CASE WHEN p.text IS NULL THEN 'no_projection' WHEN c.text IS NOT NULL THEN 'text_exists' ELSE 'injected' END AS reason FROM s LEFT JOIN p USING (f, slot) LEFT JOIN c ON c.f = s.f AND c.slot = s.slot AND c.text = p.text)"""
+_DEFAULTS = {"slot_locality_score": "1", "branch_header_cond_slot_coverage": "1", "structured_bb_ratio": "(p_partkey % 11) / greatest(1, p_partkey % 12)", "branch_header_cond_slot_gap": "greatest(0, 1 - branch_header_cond_slot_coverage)"}
+_RATES = ", ".join(f"coalesce(CASE WHEN p_partkey % {i + 7} <> 0 THEN 1 - p_size / 500 END, {_DEFAULTS.get(n, '0')}) AS {n}" for i, n in enumerate(C.QUALITY_RATES))
+_COUNTS = ", ".join(f"CASE WHEN p_partkey % {i + 3} = 1 THEN 1 ELSE 0 END AS {n}" for i, n in enumerate(C.QUALITY_COUNTS))
+_HOLDS = ", ".join(f"p_partkey % {i + 4} <> 0{' OR p_partkey % 4 <> 0' if n == 'edge_preservation_ok' else ''} AS {n}" for i, n in enumerate((*C.QUALITY_FACTS, "valid", "bb_coverage_ok")))
+_GOOD = " + ".join([*(f"({w}) * {n}" for n, w in (C.QUALITY_RATES | C.QUALITY_COUNTS).items()), *(f"{w} * {n}::INT" for n, w in C.QUALITY_FACTS.items())])
 _FACT = ", ".join(f"CASE WHEN p_partkey % 13 = 12 OR p_partkey % {i + 5} = 0 THEN '{k}' END" for i, k in enumerate(C.GATE))
 ORACLES = {
     "candidate_gate": f"SELECT p_partkey, concat_ws(',', {_FACT}) = '' AS passed, concat_ws(',', {_FACT}) AS failed FROM part",
@@ -209,6 +222,11 @@ ORACLES = {
     "token_file_audit": """WITH r AS (SELECT max(l_linestatus) AS file, min(l_suppkey) % 8 AS k, count(*) FILTER (l_returnflag <> 'A') > 0 AND coalesce(max(l_partkey) FILTER (l_returnflag <> 'A'), 0) < 1900 AS ok FROM lineitem GROUP BY l_orderkey)
         SELECT file, count(*) AS n, count(*) FILTER (k IN (0, 1)) AS src_readable, count(*) FILTER (k = 2) AS src_weak_fallback, count(*) FILTER (k = 3) AS src_no_src, count(*) FILTER (k = 4) AS src_unresolvable, count(*) FILTER (k = 5) AS src_empty_file, count(*) FILTER (k > 5) AS src_other,
                count(*) FILTER (ok) AS ids_ok, count(*) FILTER (NOT ok) AS ids_bad, count(*) FILTER (ok AND k IN (0, 1)) AS both_ok FROM r GROUP BY 1""",
+    "quality_components": f"""WITH f AS (SELECT p_partkey, p_size, {_RATES}, {_COUNTS}, {_HOLDS}, (p_partkey % 4) / greatest(1, p_partkey % 12) AS fb, greatest(1, p_partkey % 12) AS nb, p_partkey % 5 <> 0 AS hv FROM part),
+             e AS (SELECT *, goto_count + break_count + continue_count + early_exit_count + cleanup_exit_count AS esc, slot_pointer_acc >= 0.98 AND branch_header_cond_slot_coverage >= 0.9 AND branch_provenance_coverage >= 0.9 AND condition_slot_grounded_rate >= 0.9 AS gr,
+                   structured_bb_ratio >= 0.6 AND fb <= 0.3 AS st, slot_locality_score >= 0.98 AND empty_control_with_context_count = 0 AND body_bb_outside_control_count = 0 AS lo FROM f)
+        SELECT p_partkey, round(CASE WHEN hv THEN 1000 - 24 * fb - 0.35 * p_size / nb + {_GOOD} ELSE -1000 - 20 * edge_uncovered_ratio - 5 * fb + 0.5 * (valid::INT + bb_coverage_ok::INT + edge_preservation_ok::INT) END, 6) AS rank_quality, round(fb, 6) AS fallback_ratio, CAST(esc AS BIGINT) AS escape_count,
+               hv AND fb <= 0.3 AND goto_count <= 2 AND esc <= 4 AS cost_feasible, gr AS grounding_ready, st AS structured_ready, lo AS locality_ready, hv AND st AND gr AND lo AND goto_count <= 2 AND esc <= 4 AS doc_ready FROM e""",
     "structural_targets": """WITH a AS (SELECT p_partkey AS k, p_size / 50 AS x, least(1, p_size / 50 + 0.2) AS o, least(1, p_size / 50 + 0.3) AS q, p_partkey % 4 AS g, p_partkey % 3 = 0 AS av, p_partkey % 10 <> 0 AS hv, p_partkey % 7 <> 0 AS doc FROM part),
              b AS (SELECT *, o >= 0.999 AND g = 0 AS eo, q >= 0.999 AS ek, 0.46 * o + 0.34 * q + 0.14 * greatest(0, 1 - least(1, g / 3)) + CASE WHEN o >= 0.999 AND g = 0 THEN 0.04 ELSE 0 END + CASE WHEN q >= 0.999 THEN 0.02 ELSE 0 END AS ast FROM a),
              c AS (SELECT *, greatest(0, least(1, CASE WHEN av THEN 0.54 * ast + 0.22 * x + 0.14 * o + 0.1 * x ELSE ast END - 0.1 * least(1, x / 3) - 0.03 * least(1, (k % 3) / 3) - 0.02 * least(1, (k % 5) / 5))) AS s, hv AND doc AND CASE WHEN av THEN x >= 0.68 AND o >= 0.75 ELSE o >= 0.8 AND q >= 0.8 AND g <= 1 END AS soft FROM b),
