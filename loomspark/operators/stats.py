@@ -24,7 +24,7 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def totals(df: DataFrame, by: str, sums: list[str], label: str = "TOTAL") -> DataFrame:
-    """Sums by a column with a TOTAL row; percentages of the first over the second sum, null for none."""
+    """Sums by a column with a TOTAL row (an empty table has none); percentages of the first over the second sum, null for none."""
     out = df.rollup(by).agg(*[F.sum(s).alias(s) for s in sums], F.grouping(by).alias("_g"))
     out = out.withColumn(by, F.when(F.col("_g") == 1, label).otherwise(F.col(by).cast("string")))
     return out.withColumn("percent", F.round(100 * F.col(sums[0]) / F.nullif(F.col(sums[1]), F.lit(0)), 6)).drop("_g")

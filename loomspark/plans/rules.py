@@ -151,8 +151,9 @@ def jsonl_fan_out(spark: SparkSession, d: str) -> DataFrame:
     """All rows, one folder per known level and one for the rest, with a manifest of what was written."""
     path = _folder(spark, "levels")
     manifest = jsonl.write_by(read(spark, d, "documents").select("doc_id", "lang"), path, "lang", ["en", "de"], combined=True)
-    ids = spark.read.json(f"{path}/parts").groupBy("part").agg(F.sum("doc_id").alias("ids"))
-    return manifest.join(ids, "part").select("part", "n_rows", "ids").unionByName(spark.read.json(f"{path}/combined").agg(F.lit("combined").alias("part"), F.count("*").alias("n_rows"), F.sum("doc_id").alias("ids")))
+    kind = "doc_id bigint, lang string"
+    ids = spark.read.schema(f"{kind}, part string").json(f"{path}/parts").groupBy("part").agg(F.sum("doc_id").alias("ids"))
+    return manifest.join(ids, "part").select("part", "n_rows", "ids").unionByName(spark.read.schema(kind).json(f"{path}/combined").agg(F.lit("combined").alias("part"), F.count("*").alias("n_rows"), F.sum("doc_id").alias("ids")))
 
 
 def canonical_json(spark: SparkSession, d: str) -> DataFrame:

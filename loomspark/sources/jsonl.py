@@ -127,6 +127,8 @@ def write_by(df: DataFrame, path: str, by: str, known: list[str], otherwise: str
     if combined:
         df.write.json(f"{path}/combined")
     lines = df.sparkSession.read.text(parts)
+    if "part" not in lines.columns:  # nothing was written
+        lines = lines.withColumn("part", F.lit(None).cast("string"))
     return lines.groupBy("part").agg(F.count("*").alias("n_rows"), F.sum(F.crc32("value")).alias("digest"))
 
 
