@@ -4,9 +4,10 @@ A window holds WINDOW consecutive words of an item (all of them, if it has fewer
 whole corpus, which a first pass over all documents counts. As a window must be contained whole, its rarest word alone is a necessary
 prefix: only places of that word are joined, at the offset it has in the window. A place must leave room before and behind (positional
 bound) and the document must have as many words (length bound); then a hash of the place's words finds windows, and their words are compared. A place is looked up once for each
-offset and length, however many windows share the word, so a very common word stays linear.
+offset and length, however many windows share the word, so a very common word stays linear. Each different window is listed once, with the items that have it: places are verified
+against it once, and only a text's different windows are turned into items, so items that repeat a phrase do not multiply with the places where it stands.
 
-Items are taken in blocks of BLOCK_WORDS words at most. A block's index holds its different words, a number for each of its words and four numbers for each window (some 40 bytes a word), and
+Items are taken in blocks of BLOCK_WORDS words at most. A block's index holds its different words, a number for each of its words, four numbers for each different window and one for each item of it (some 40 bytes a word), and
 is all that is sent to the executors, so its size is bounded. A benchmark of several blocks takes a pass for each; passes after the first
 write a row for each text that they hit, by the text's digest, and these are joined at the end: texts are neither shuffled nor written.
 
@@ -77,14 +78,15 @@ def _hashes(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A block of items: its words by number, its windows by the hash of their words, and the places at which a prefix word stands in windows."""
+    """A block of items: its words by number, its different windows by the hash of their words, each with the items that have it, and the places at which a prefix word stands in windows."""
 
     number: dict[bytes, int]
     flat: np.ndarray  # the items' words, one item behind the other
     names: list[str | None]
-    hash: np.ndarray  # of each window, rising; start in flat, size and item of each
+    hash: np.ndarray  # of each different window, rising; start in flat and size of each
     start: np.ndarray
     size: np.ndarray
+    begin: np.ndarray  # by window, where its items begin in the next
     item: np.ndarray
     first: np.ndarray  # by word, where its (offset, length) pairs begin in the next two
     offset: np.ndarray
@@ -101,8 +103,22 @@ class Index:
         start = begin[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
         length = np.minimum(n, size)[item]
         h = _hashes(flat, start, length)
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((item, length, h))
         start, length, item, h = start[order], length[order], item[order], h[order]
+        # a window is new unless it has the words of the one before (of two windows that share a hash by chance either may be listed again, with the items of that entry)
+        new = np.ones(len(h), bool)
+        alike = np.flatnonzero((h[1:] == h[:-1]) & (length[1:] == length[:-1])) + 1
+        same = np.ones(len(alike), bool)
+        for k in range(size):
+            inside = k < length[alike]
+            same[inside] &= flat[start[alike[inside]] + k] == flat[start[alike[inside] - 1] + k]
+        new[alike[same]] = False
+        again = np.zeros(len(h), bool)
+        again[1:] = ~new[1:] & (item[1:] == item[:-1])  # an item that has the window several times
+        at = np.cumsum(new)[~again] - 1
+        item = item[~again]
+        start, length, h = start[new], length[new], h[new]
+        begin = np.searchsorted(at, np.arange(len(h) + 1))
         # rank of each word by rarity, then by the word itself
         words = list(number)
         rank = np.empty(len(words), np.int32)
@@ -114,10 +130,11 @@ class Index:
         best = at.argmin(1) if len(start) else np.zeros(0, np.int64)
         pairs = np.unique(np.stack([flat[start + best], best, length], 1), axis=0) if len(start) else np.zeros((0, 3), np.int64)
         first = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
-        return cls(number, flat, [i for i, _ in items], h, start, length, item, first, pairs[:, 1], pairs[:, 2])
+        return cls(number, flat, [i for i, _ in items], h, start, length, begin, item, first, pairs[:, 1], pairs[:, 2])
 
-    def matches(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, size, item) of every window found in texts that stand one behind the other: ids with -1 for words that no item has, ends of the texts."""
+    def matches(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, size, window) of every place where a window stands in texts that stand one behind the other, texts rising: ids with -1 for words that no item has, ends of
+        the texts. As windows differ, a place is verified once, however many items have its window."""
         known = np.flatnonzero(ids >= 0)
         count = self.first[ids[known] + 1] - self.first[ids[known]]
         place = np.repeat(known, count)
@@ -125,21 +142,28 @@ class Index:
         start, size = place - self.offset[pair], self.length[pair]
         text = np.searchsorted(ends, place, "right")
         ok = (start >= np.concatenate([[0], ends])[text]) & (start + size <= ends[text])
-        start, size = start[ok], size[ok]
+        text, start, size = text[ok], start[ok], size[ok]
         h = _hashes(ids, start, size) if len(start) else np.zeros(0, np.uint64)
         low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
         count = high - low
         here = np.repeat(np.arange(len(start)), count)
         window = np.repeat(low, count) + np.arange(len(here)) - np.repeat(np.cumsum(count) - count, count)
-        start, size = start[here], size[here]
+        text, start, size = text[here], start[here], size[here]
         same = self.size[window] == size
         for k in range(int(size.max()) if len(size) else 0):
             inside = same & (k < size)
             same[inside] = ids[start[inside] + k] == self.flat[self.start[window[inside]] + k]
-        return start[same], size[same], self.item[window[same]]
+        return text[same], start[same], size[same], window[same]
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """Ids of the items that have one of these windows, as sorted strings; items without an id have none."""
+        found = np.zeros(len(self.names), bool)
+        for w in np.unique(windows).tolist():
+            found[self.item[self.begin[w] : self.begin[w + 1]]] = True
+        return sorted({x for i in np.flatnonzero(found).tolist() if (x := self.names[i]) is not None})
 
 
-def merged(spans: list[tuple[int, int]]) -> list[int]:
+def merged(spans: list[list[int]]) -> list[int]:
     out: list[int] = []
     for a, b in spans:
         if out and a <= out[-1]:
@@ -155,15 +179,15 @@ def _found(index: Index, texts: list[bytes | None]) -> tuple[list[int], list[lis
     parts = [[number.get(w, -1) for w in words(t)] for t in texts]
     n = [len(p) for p in parts]
     ends = np.cumsum(n)
-    start, size, item = index.matches(np.fromiter((x for p in parts for x in p), np.int64, int(ends[-1]) if n else 0), ends)
+    text, start, size, window = index.matches(np.fromiter((x for p in parts for x in p), np.int64, int(ends[-1]) if n else 0), ends)
     spans: list[list[int]] = [[] for _ in texts]
     items: list[list[str]] = [[] for _ in texts]
-    text = np.searchsorted(ends, start, "right")
+    edges = np.searchsorted(text, np.arange(len(texts) + 1))
     for k in np.unique(text).tolist():
-        own = text == k
-        begin = int(ends[k]) - n[k]
-        spans[k] = merged(sorted({(a - begin, a + z - begin) for a, z in zip(start[own].tolist(), size[own].tolist(), strict=True)}))
-        items[k] = sorted({x for i in set(item[own].tolist()) if (x := index.names[i]) is not None})
+        own, begin = slice(edges[k], edges[k + 1]), int(ends[k]) - n[k]
+        where = np.unique(np.stack([start[own] - begin, start[own] - begin + size[own]], 1), axis=0)
+        spans[k] = merged(where.tolist())
+        items[k] = index.items_of(window[own])
     return n, spans, items
 
 
@@ -205,8 +229,6 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
     yield block
 
 
-
-
 def _digest() -> Column:
     return F.md5(F.col("text").cast("binary"))
 
