@@ -7,7 +7,7 @@ rows it was not fitted on; the codeword of least loss wins. `score` is its softm
 
 Cases: a null text or one without a letter is `und` with score 0 and ambiguous. Repeated rows and null ids are predicted row by row.
 With no fitting rows all is `und`; with one language alone that one is predicted. Of languages whose losses are equal the first by name wins, and is ambiguous. Texts of any length are
-predicted by all of their bytes; of those fitted on the first MAX_FIT_BYTES count. An empty table gives an empty result. Extra columns pass through untouched in `predict`; `lang_pred`,
+fitted on and predicted by all of their bytes. An empty table gives an empty result. Extra columns pass through untouched in `predict`; `lang_pred`,
 `score` and `ambiguous` replace columns of these names.
 """
 
@@ -29,8 +29,8 @@ from .shared import small_batches
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 13
 GRAMS = 4
-#: Rows per language that the classifiers are fitted on, at most; the ones with the smallest hash of id and text. Bytes of each that count.
-MAX_FIT_ROWS, MAX_FIT_BYTES = 600, 20_000
+#: Rows per language that the classifiers are fitted on, at most; the ones with the smallest hash of id and text.
+MAX_FIT_ROWS = 600
 #: Rows that are fitted on in all: with more languages each has fewer, one at least. The fit holds matrices of this many rows squared.
 MAX_FIT_TOTAL = 4000
 #: Bytes that are hashed at a time; longer texts add up over parts.
@@ -105,17 +105,14 @@ class Model:
         return best, score, score < AMBIGUOUS
 
 
-def fit(rows: list[tuple[bytes, str]], ridge: float = 0.3) -> Model | None:
-    """Ridge regression of every bit on the fitting rows, in its dual form; each bit's trust comes from two-fold fits."""
-    languages = sorted({lang for _, lang in rows})
+def fit(x: np.ndarray, rows: list[str], ridge: float = 0.3) -> Model | None:
+    """Ridge regression of every bit on the features of the fitting rows, whose languages are `rows`, in its dual form; each bit's trust comes from two-fold fits."""
+    languages = sorted(set(rows))
     if not languages:
         return None
     code = codewords(len(languages))
-    x = np.empty((len(rows), BUCKETS), np.float32)
-    for k, (t, _) in enumerate(rows):
-        x[k] = features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
     place = {lang: k for k, lang in enumerate(languages)}
-    number = np.array([place[lang] for _, lang in rows])
+    number = np.array([place[lang] for lang in rows])
     y = code[number].astype(np.float64)
     balance = np.sqrt(len(rows) / (len(languages) * np.bincount(number, minlength=len(languages))))[number]
     # products of all rows, with a constant feature beside the n-grams; nothing else of the size of x is made
@@ -165,11 +162,21 @@ def _predicting(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return predict
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of whole texts, what is not zero of them: places (16 bits) and values (32 bits)."""
+    for batch in batches:
+        for part in slices(batch, "text", rows=128):
+            x = features(*text_bytes(part["text"]))
+            at = [np.flatnonzero(r) for r in x]
+            own = [pa.array([k.astype("<u2").tobytes() for k in at], pa.binary()), pa.array([r[k].astype("<f4").tobytes() for r, k in zip(x, at, strict=True)], pa.binary())]
+            yield pa.record_batch([part["lang"].cast(pa.string()), part["_h"], part["_tie"].cast(pa.string()), *own], ["lang", "_h", "_tie", "at", "x"])
+
+
 def fit_sample(docs: DataFrame, per_language: int = MAX_FIT_ROWS, most_rows: int = MAX_FIT_TOTAL) -> Model | None:
     """Fit on rows with a text and a lang: of every language the rows with the smallest hashes, `per_language` at most, and fewer of each where the
     languages are so many that they would be over `most_rows` in all (but one of each at least).
 
-    Hashes cut the candidates to little more than that number on the executors before any text is sorted or sent.
+    Hashes cut the candidates to little more than that number on the executors; features of their whole texts are made there, too, and sorted and sent in place of texts.
     """
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.length("text"), F.substring("text", 1, 200)), F.lit(1 << 30))
     rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").withColumn("_h", h)
@@ -178,11 +185,17 @@ def fit_sample(docs: DataFrame, per_language: int = MAX_FIT_ROWS, most_rows: int
     each = max(1, min(per_language, most_rows // max(1, counts.count())))
     share = F.lit(float(1 << 30)) * (each + 6 * each**0.5 + 20) / F.col("count")
     near = rows.join(F.broadcast(counts), "lang").where(F.col("_h") <= share)
-    near = near.select("lang", "_h", F.expr(f"substring(encode(text, 'UTF-8'), 1, {MAX_FIT_BYTES})").alias("text"))
+    small_batches(docs.sparkSession)
+    near = near.select(F.col("lang").cast("string").alias("lang"), "_h", F.md5(F.col("text").cast("binary")).alias("_tie"), F.col("text").cast("string").alias("text"))
+    near = near.mapInArrow(_featured, "lang string, _h bigint, _tie string, at binary, x binary")
     # a few hundred rows per language by construction; the window sorts, so many rows of one hash are held nowhere
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
-    found = near.withColumn("_k", first).where(F.col("_k") <= each).select("lang", "_h", "text").collect()
-    return fit([(t, lang) for lang, _, t in sorted((r["lang"], r["_h"], bytes(r["text"])) for r in found)])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_tie"))
+    found = near.withColumn("_k", first).where(F.col("_k") <= each).drop("_k").collect()  # 48 KB a row at most
+    found.sort(key=lambda r: (r["lang"], r["_h"], r["_tie"]))
+    x = np.zeros((len(found), BUCKETS), np.float32)
+    for k, r in enumerate(found):
+        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], "<f4")
+    return fit(x, [r["lang"] for r in found])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
