@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import decontam, lang_ecoc, near_dedup, packing, quality_rules
-from loomspark.llm.shared import unused, written
+from loomspark.llm.shared import removed, unused, written
 
 
 def _filtered(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
@@ -88,9 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage{k}")
+            if before is not None:  # nothing reads it again
+                removed(before)
+            before = docs
     return docs
