@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NAME = re.compile(r"[A-Za-z_]\w*")
+# Fixed value: a name is of ASCII letters, digits and `_`, and stands by itself, so tails of numbers and parts of other words are none.
+_NAME = re.compile(r"\b[A-Za-z_][A-Za-z0-9_]*\b")
 _CALL = re.compile(r"\s{0,47}\(")
 # Words of C and C++ that stay.
 KEYWORDS = frozenset(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Kinds of slots.
@@ -191,13 +191,14 @@ def readiness(s: dict[str, Column]) -> Column:
     safe, pool, ready, fallback = rate("safe"), rate("any_safe"), rate("ready"), rate("fallback_functions")
     switch, large = part("switch_ready", "switch_n"), part("large_ready", "large_n")
     why = _named({
-        "hard safety contract is not 100%": ~hard, "false verified proxy is nonzero": ~clean, "real SSA coverage is below 95%": ssa < 0.95, "condition grounding/provenance is below 90%": (ground < 0.9) | (cover < 0.9),
-        "selected safe functions below 50%": safe < 0.5, "candidate pool safe upper bound below 50%": pool < 0.5, "decompile-ready proxy below 60%": ready < 0.6, "fallback region function rate above 10%": fallback > 0.1,
-        "mean goto count above 1": s["goto_mean"] > 1, "structured block coverage below 80%": s["structured_coverage"] < 0.8, "switch-containing functions are not ready": (s["switch_n"] > 0) & (switch < 0.5),
-        "large functions are not ready": (s["large_n"] > 0) & (large < 0.5),
+        "hard_contract": ~hard, "false_verified": ~clean, "ssa_coverage": ssa < 0.95, "condition_grounding": (ground < 0.9) | (cover < 0.9),
+        "safe_selected": safe < 0.5, "safe_pool": pool < 0.5, "decompile_ready": ready < 0.6, "fallback_regions": fallback > 0.1,
+        "gotos": s["goto_mean"] > 1, "structured_coverage": s["structured_coverage"] < 0.8, "switches": (s["switch_n"] > 0) & (switch < 0.5),
+        "large_functions": (s["large_n"] > 0) & (large < 0.5),
     })
     base = hard & clean & (ssa >= 0.95) & (ground >= 0.9) & (cover >= 0.9)
     full = (safe >= 0.7) & (pool >= 0.8) & (ready >= 0.7) & (fallback <= 0.1) & (s["goto_mean"] <= 1) & (s["structured_coverage"] >= 0.8) & (switch >= 0.5) & (large >= 0.5)
+    # fixed values: the labels
     label = F.when(~base, "B_NOT_READY").when(full, "B_READY_FOR_FULL_CD").when((pool >= 0.15) & (ready >= 0.4), "B_READY_FOR_LIMITED_CD").otherwise("B_SAFE_ONLY")
     return F.struct(label.alias("label"), why.alias("reasons"))
 
@@ -345,59 +346,62 @@ def rendered(skeletons: DataFrame, candidates: DataFrame, by: str) -> DataFrame:
     return has.join(out, by, "left").select(by, F.when(F.col("_has"), text).alias("rendered"), (F.col("_has") & (F.coalesce("n_missing", F.lit(0)) == 0)).alias("ok"), F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing"))
 
 
-def match_slots(predicted: list[tuple], wanted: list[tuple], threshold: float, gap: float) -> tuple[list[tuple], list[int], list[int], list[int]]:
-    """(matches, predicted left, wanted left, ambiguous) of slots (id, kind, primary, context): conditions by their order, others greedily by overlap.
-
-    A slot's score is the Jaccard of the primary blocks, or half of the contexts' if that is more (the contexts' alone without primary blocks), of slots of one kind; each predicted slot offers its best
-    wanted one of `threshold` or more. It is ambiguous if the second best comes nearer than `gap`. A match is (predicted id, wanted id, score, method).
+def slot_scores(slots: DataFrame, by: str) -> DataFrame:
+    """(by, p, w, score) of predicted and wanted slots of one kind that have a block in common, or both none: the Jaccard index of their primary blocks, or half of that of their contexts if that is
+    more; of slots without primary blocks that of their contexts alone."""
+    one = slots.select(by, "side", "sid", "kind", *(F.array_distinct(F.coalesce(c, F.array().cast("array<bigint>"))).cast("array<bigint>").alias(c) for c in ("primary", "context")))
+    found = []
+    for c in ("primary", "context"):
+        # a slot without blocks has one that no other has, so that two of them are alike
+        rows = one.select(by, "side", "sid", "kind", F.size(c).alias("n"), F.explode(F.when(F.size(c) == 0, F.array(F.lit(None).cast("bigint"))).otherwise(F.col(c))).alias("block"))
+        side = lambda x, name, n: rows.where(F.col("side") == x).select(by, "kind", F.col("sid").alias(name), F.col("n").alias(n), F.coalesce("block", F.lit(0)).alias("block"), F.col("block").isNull().alias("none"))  # noqa: B023, E731
+        common = side("p", "p", "n_p").join(side("w", "w", "n_w"), [by, "kind", "block", "none"]).groupBy(by, "p", "w", "n_p", "n_w").agg(F.count("*").alias("n"))
+        both = F.when(F.col("n_p") + F.col("n_w") == 0, 1.0).otherwise(F.col("n") / (F.col("n_p") + F.col("n_w") - F.col("n")))
+        found.append(common.select(by, "p", "w", both.alias(c), ((F.col("n_p") + F.col("n_w")) == 0).alias(f"no_{c}")))
+    sizes = lambda x, name: one.where(F.col("side") == x).select(by, F.col("sid").alias(name), (F.size("primary") > 0).alias(f"has_{name}"))
+    pairs = found[0].join(found[1], [by, "p", "w"], "full").join(sizes("p", "p"), [by, "p"]).join(sizes("w", "w"), [by, "w"])
+    near = F.coalesce("context", F.lit(0.0))
+    return pairs.select(by, "p", "w", F.when(F.col("has_p") | F.col("has_w"), F.greatest(F.coalesce("primary", F.lit(0.0)), 0.5 * near)).otherwise(near).alias("score"))
+
+
+def matched_slots(slots: DataFrame, by: str, threshold: float = 0.5, gap: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """Matches (by, predicted, wanted, score, method) and left-overs (by, side, sid, ambiguous) of slots (by, side 'p' or 'w', sid, kind, primary, context).
+
+    Slot 0 and predicted branches without blocks take no part. Conditions match by their order. Of the others each predicted slot offers the wanted one of the highest score, `threshold` (over 0) or
+    more, and each wanted one takes the highest offer; of ties the larger sid. `ambiguous` says that a slot's second best is nearer than `gap` and within the threshold, too.
     """
-
-    def jaccard(a: set, b: set) -> float:
-        return len(a & b) / len(a | b) if a | b else 1.0
-
-    def score(p: tuple, w: tuple) -> float:
-        if p[1] != w[1]:
-            return -1.0
-        pp, wp, near = set(p[2]), set(w[2]), jaccard(set(p[3]), set(w[3]))
-        return max(jaccard(pp, wp), 0.5 * near) if pp or wp else near
-
-    predicted = [p for p in predicted if p[0] != 0 and not (p[1] == "BRANCH" and not (p[2] or p[3]))]
-    wanted = [w for w in wanted if w[0] != 0]
-    order = list(zip([i for i, p in enumerate(predicted) if p[1] == "COND"], [j for j, w in enumerate(wanted) if w[1] == "COND"], strict=False))
-    found = [(predicted[i][0], wanted[j][0], 1.0, "cond_order") for i, j in order]
-    used, taken = {i for i, _ in order}, {j for _, j in order}
-    offers, unsure = [], []
-    for i, p in enumerate(predicted):
-        if i in used:
-            continue
-        ranks = sorted(((score(p, w), j) for j, w in enumerate(wanted) if j not in taken), reverse=True)
-        if not ranks or ranks[0][0] < threshold:
-            continue
-        if len(ranks) > 1 and ranks[1][0] >= threshold and ranks[0][0] - ranks[1][0] < gap:
-            unsure.append(p[0])
-        offers.append((ranks[0][0], i, ranks[0][1]))
-    for value, i, j in sorted(offers, reverse=True):
-        if i not in used and j not in taken:
-            used.add(i)
-            taken.add(j)
-            found.append((predicted[i][0], wanted[j][0], round(value, 4), "bb_overlap"))
-    return found, [p[0] for i, p in enumerate(predicted) if i not in used], [w[0] for j, w in enumerate(wanted) if j not in taken], unsure
-
-
-def matched_slots(slots: DataFrame, by: str, threshold: float = 0.5, gap: float = 0.1) -> DataFrame:
-    """(by, predicted, wanted, score, method) of slots (by, side 'p' or 'w', sid, kind, primary, context); many functions in a batch, one function's slots in a row."""
-    rows = slots.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("sid", "side", "kind", "primary", "context"))).alias("_s"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        listed = lambda v: list(v) if v is not None else []
-        for pdf in batches:
-            out = []
-            for key, own in zip(pdf[by], pdf["_s"], strict=True):
-                sides = {x: [(int(r["sid"]), r["kind"], listed(r["primary"]), listed(r["context"])) for r in own if r["side"] == x] for x in "pw"}
-                out += [(key, *f) for f in match_slots(sides["p"], sides["w"], threshold, gap)[0]]
-            yield pd.DataFrame(out, columns=[by, "predicted", "wanted", "score", "method"])
-
-    return rows.mapInPandas(run, f"{by} {dict(slots.dtypes)[by]}, predicted bigint, wanted bigint, score double, method string")
+    if not threshold > 0:
+        raise ValueError("slots without a block in common score 0 and are not compared")
+    hollow = (F.col("side") == "p") & (F.col("kind") == "BRANCH") & (F.coalesce(F.size("primary"), F.lit(0)) <= 0) & (F.coalesce(F.size("context"), F.lit(0)) <= 0)
+    slots = slots.where((F.col("sid") != 0) & ~F.coalesce(hollow, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(by, "side").orderBy("sid"))
+    conditions = slots.where("kind = 'COND'").select(by, "side", "sid", place.alias("place"))
+    side = lambda x, name: conditions.where(F.col("side") == x).select(by, "place", F.col("sid").alias(name))
+    ordered = side("p", "predicted").join(side("w", "wanted"), [by, "place"]).select(by, "predicted", "wanted")
+    used = ordered.select(by, F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("predicted").alias("sid")), F.struct(F.lit("w").alias("side"), F.col("wanted").alias("sid")))).alias("x")).select(by, "x.*")
+    open_ = slots.join(used, [by, "side", "sid"], "left_anti")
+    scores = slot_scores(open_, by).where(F.col("score") >= threshold)
+    two = scores.withColumn("k", F.row_number().over(Window.partitionBy(by, "p").orderBy(F.desc("score"), F.desc("w"))))
+    best = F.max(F.when(F.col("k") == 1, F.struct("score", "w")))
+    offers = two.where("k <= 2").groupBy(by, "p").agg(best.alias("x"), F.max(F.when(F.col("k") == 2, F.col("score"))).alias("second"))
+    offers = offers.select(by, "p", "x.score", "x.w", F.coalesce(F.col("x.score") - F.col("second") < gap, F.lit(False)).alias("ambiguous"))
+    taken = offers.groupBy(by, "w").agg(F.max(F.struct("score", "p")).alias("x"))
+    overlap = taken.select(by, F.col("x.p").alias("predicted"), F.col("w").alias("wanted"), F.round("x.score", 4).alias("score"), F.lit("bb_overlap").alias("method"))
+    matches = ordered.select(by, "predicted", "wanted", F.lit(1.0).alias("score"), F.lit("cond_order").alias("method")).unionByName(overlap)
+    gone = overlap.select(by, F.lit("p").alias("side"), F.col("predicted").alias("sid")).unionByName(overlap.select(by, F.lit("w").alias("side"), F.col("wanted").alias("sid")))
+    unsure = offers.where("ambiguous").select(by, F.lit("p").alias("side"), F.col("p").alias("sid"), F.lit(True).alias("ambiguous"))
+    left = open_.select(by, "side", "sid").join(gone.withColumn("_gone", F.lit(True)), [by, "side", "sid"], "left").join(unsure, [by, "side", "sid"], "left")
+    return matches, left.where("_gone IS NULL OR ambiguous").select(by, "side", "sid", F.col("_gone").isNull().alias("left"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+
+
+def slot_audit(slots: DataFrame, by: str, threshold: float = 0.5, gap: float = 0.1) -> DataFrame:
+    """Per function: n_predicted, n_wanted, n_matched, n_by_order, n_left (predicted), n_open (wanted), n_ambiguous and mean_score of the matches."""
+    matches, left = matched_slots(slots, by, threshold, gap)
+    n = lambda c: F.sum(F.col(c).cast("int")).cast("long")
+    a = matches.withColumn("_o", F.col("method") == "cond_order").groupBy(by).agg(F.count("*").alias("n_matched"), n("_o").alias("n_by_order"), F.round(F.avg("score"), 4).alias("mean_score"))
+    b = left.select(by, (F.col("left") & (F.col("side") == "p")).alias("_p"), (F.col("left") & (F.col("side") == "w")).alias("_w"), "ambiguous").groupBy(by).agg(n("_p").alias("n_left"), n("_w").alias("n_open"), n("ambiguous").alias("n_ambiguous"))
+    c = slots.groupBy(by).agg(F.count_if(F.col("side") == "p").alias("n_predicted"), F.count_if(F.col("side") == "w").alias("n_wanted"))
+    return c.join(a, by, "left").join(b, by, "left").na.fill(0, ["n_matched", "n_by_order", "n_left", "n_open", "n_ambiguous"])
 
 
 def report_rows(texts: DataFrame, header: str, pattern: str, names: list[str]) -> DataFrame:

@@ -119,11 +119,19 @@ def rendered_skeletons(spark: SparkSession, d: str) -> DataFrame:
     return C.rendered(skeletons, cands, "f")
 
 
+def _slots(spark: SparkSession, d: str) -> DataFrame:
+    k, none = F.col("k"), F.array().cast("array<bigint>")
+    slots = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("f"), (F.col("l_linenumber") - 1).cast("long").alias("sid")).agg(F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"))
+    kind = F.when(k % 3 == 0, "COND").when(k % 11 == 0, "BRANCH").otherwise("BLOCK")
+    return slots.select("f", F.when(F.col("s") % 2 == 0, "p").otherwise("w").alias("side"), "sid", kind.alias("kind"), F.when(k % 5 == 0, none).otherwise(F.array(k % 3, k % 4)).alias("primary"), F.when(k % 7 < 2, none).otherwise(F.array(k % 2)).alias("context"))
+
+
 def matched_slots(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("l_partkey")
-    slots = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("f"), F.col("l_linenumber").cast("long").alias("sid")).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("s"))
-    slots = slots.select("f", F.when(F.col("s") % 2 == 0, "p").otherwise("w").alias("side"), "sid", F.when(k % 3 == 0, "COND").otherwise("BLOCK").alias("kind"), F.array(k % 3, k % 4).alias("primary"), F.array(k % 2).alias("context"))
-    return C.matched_slots(slots, "f", 0.4)
+    return C.matched_slots(_slots(spark, d), "f", 0.4)[0]
+
+
+def slot_audit(spark: SparkSession, d: str) -> DataFrame:
+    return C.slot_audit(_slots(spark, d), "f", 0.4, 0.2)
 
 
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +177,7 @@ def parser_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (candidate_gate, slot_policies, spot_checks, instance_checks, candidate_facts, label_diagnosis, readiness_labels, token_file_audit, quality_components, structural_targets, audit_tasks, rendered_skeletons, matched_slots, report_rows, injected_candidates, injection_reasons, proxy_blocks, parser_metrics)
+    for f in (candidate_gate, slot_policies, spot_checks, instance_checks, candidate_facts, label_diagnosis, readiness_labels, token_file_audit, quality_components, structural_targets, audit_tasks, rendered_skeletons, matched_slots, slot_audit, report_rows, injected_candidates, injection_reasons, proxy_blocks, parser_metrics)
 }
 
 _INJECT = """s AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS slot FROM lineitem), c AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS slot, 't' || l_suppkey % 4 AS text FROM lineitem WHERE l_returnflag <> 'N'),
@@ -181,6 +189,15 @@ _COUNTS = ", ".join(f"CASE WHEN p_partkey % {i + 3} = 1 THEN 1 ELSE 0 END AS {n}
 _HOLDS = ", ".join(f"p_partkey % {i + 4} <> 0{' OR p_partkey % 4 <> 0' if n == 'edge_preservation_ok' else ''} AS {n}" for i, n in enumerate((*C.QUALITY_FACTS, "valid", "bb_coverage_ok")))
 _GOOD = " + ".join([*(f"({w}) * {n}" for n, w in (C.QUALITY_RATES | C.QUALITY_COUNTS).items()), *(f"{w} * {n}::INT" for n, w in C.QUALITY_FACTS.items())])
 _FACT = ", ".join(f"CASE WHEN p_partkey % 13 = 12 OR p_partkey % {i + 5} = 0 THEN '{k}' END" for i, k in enumerate(C.GATE))
+_SLOTS = """r AS (SELECT l_orderkey AS f, CAST(l_linenumber - 1 AS BIGINT) AS sid, min(l_partkey) AS k, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+    z AS (SELECT f, sid, s % 2 = 0 AS p, CASE WHEN k % 3 = 0 THEN 'COND' WHEN k % 11 = 0 THEN 'BRANCH' ELSE 'BLOCK' END AS kind, CASE WHEN k % 5 = 0 THEN [] ELSE list_distinct([k % 3, k % 4]) END AS a, CASE WHEN k % 7 < 2 THEN [] ELSE [k % 2] END AS b FROM r),
+    x AS (SELECT * FROM z WHERE sid <> 0 AND NOT (p AND kind = 'BRANCH' AND len(a) = 0 AND len(b) = 0)), c AS (SELECT *, row_number() OVER (PARTITION BY f, p ORDER BY sid) AS n FROM x WHERE kind = 'COND'),
+    o AS (SELECT f, i.sid AS predicted, j.sid AS wanted FROM c i JOIN c j USING (f, n) WHERE i.p AND NOT j.p),
+    y AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.f = x.f AND x.sid = CASE WHEN x.p THEN predicted ELSE wanted END AND x.kind = 'COND')),
+    q AS (SELECT f, i.sid AS p, j.sid AS w, len(i.a) + len(j.a) > 0 AS has, coalesce(len(list_intersect(i.a, j.a)) / nullif(len(list_distinct(i.a || j.a)), 0), 1) AS ja, coalesce(len(list_intersect(i.b, j.b)) / nullif(len(list_distinct(i.b || j.b)), 0), 1) AS jb FROM y i JOIN y j USING (f, kind) WHERE i.p AND NOT j.p),
+    s AS (SELECT *, CASE WHEN has THEN greatest(ja, 0.5 * jb) ELSE jb END AS score FROM q), k AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM s WHERE score >= 0.4 WINDOW w AS (PARTITION BY f, p ORDER BY score DESC, w DESC)),
+    b AS (SELECT * FROM k WHERE n = 1), t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY f, w ORDER BY score DESC, p DESC) = 1),
+    m AS (SELECT f, predicted, wanted, CAST(1 AS DOUBLE) AS score, 'cond_order' AS method FROM o UNION ALL SELECT f, p, w, round(score, 4), 'bb_overlap' FROM t)"""
 ORACLES = {
     "candidate_gate": f"SELECT p_partkey, concat_ws(',', {_FACT}) = '' AS passed, concat_ws(',', {_FACT}) AS failed FROM part",
     "slot_policies": """WITH x AS (SELECT *, upper(coalesce(['COND', 'BLOCK', 'CASE', 'GOTO', 'UNSTRUCTURED_REGION', 'odd', NULL][p_partkey % 7 + 1], '')) AS k FROM part),
@@ -214,9 +231,9 @@ ORACLES = {
              s AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (x > 0.01) = count(*) AS hard, count(*) FILTER (x > 1.1) = 0 AS clean, count(*) FILTER (x > 0.05) / count(*) AS ssa, round(avg(0.88 + x / 5), 6) AS gr, count(*) FILTER (x > 0.2) / count(*) AS safe, count(*) FILTER (x > 0.1) / count(*) AS pool,
                           count(*) FILTER (x > 0.15) / count(*) AS ready, count(*) FILTER (x > 0.9) / count(*) AS fb, round(avg(o_custkey % 3), 6) AS gt, round(avg(x + 0.6), 6) AS cov, count(*) FILTER (u) AS sn, coalesce(count(*) FILTER (u AND x > 0.4) / nullif(count(*) FILTER (u), 0), 1) AS sw,
                           count(*) FILTER (x > 0.5) AS ln, coalesce(count(*) FILTER (x > 0.7) / nullif(count(*) FILTER (x > 0.5), 0), 1) AS la FROM o GROUP BY 1),
-             r AS (SELECT *, list_filter([CASE WHEN NOT hard THEN 'hard safety contract is not 100%' END, CASE WHEN NOT clean THEN 'false verified proxy is nonzero' END, CASE WHEN ssa < 0.95 THEN 'real SSA coverage is below 95%' END, CASE WHEN gr < 0.9 THEN 'condition grounding/provenance is below 90%' END,
-                   CASE WHEN safe < 0.5 THEN 'selected safe functions below 50%' END, CASE WHEN pool < 0.5 THEN 'candidate pool safe upper bound below 50%' END, CASE WHEN ready < 0.6 THEN 'decompile-ready proxy below 60%' END, CASE WHEN fb > 0.1 THEN 'fallback region function rate above 10%' END,
-                   CASE WHEN gt > 1 THEN 'mean goto count above 1' END, CASE WHEN cov < 0.8 THEN 'structured block coverage below 80%' END, CASE WHEN sn > 0 AND sw < 0.5 THEN 'switch-containing functions are not ready' END, CASE WHEN ln > 0 AND la < 0.5 THEN 'large functions are not ready' END], lambda v: v IS NOT NULL) AS w FROM s)
+             r AS (SELECT *, list_filter([CASE WHEN NOT hard THEN 'hard_contract' END, CASE WHEN NOT clean THEN 'false_verified' END, CASE WHEN ssa < 0.95 THEN 'ssa_coverage' END, CASE WHEN gr < 0.9 THEN 'condition_grounding' END,
+                   CASE WHEN safe < 0.5 THEN 'safe_selected' END, CASE WHEN pool < 0.5 THEN 'safe_pool' END, CASE WHEN ready < 0.6 THEN 'decompile_ready' END, CASE WHEN fb > 0.1 THEN 'fallback_regions' END,
+                   CASE WHEN gt > 1 THEN 'gotos' END, CASE WHEN cov < 0.8 THEN 'structured_coverage' END, CASE WHEN sn > 0 AND sw < 0.5 THEN 'switches' END, CASE WHEN ln > 0 AND la < 0.5 THEN 'large_functions' END], lambda v: v IS NOT NULL) AS w FROM s)
         SELECT o_custkey, CASE WHEN NOT (hard AND clean AND ssa >= 0.95 AND gr >= 0.9) THEN 'B_NOT_READY' WHEN safe >= 0.7 AND pool >= 0.8 AND ready >= 0.7 AND fb <= 0.1 AND gt <= 1 AND cov >= 0.8 AND sw >= 0.5 AND la >= 0.5 THEN 'B_READY_FOR_FULL_CD' WHEN pool >= 0.15 AND ready >= 0.4 THEN 'B_READY_FOR_LIMITED_CD' ELSE 'B_SAFE_ONLY' END AS label,
                len(w) AS n_reasons, coalesce(w[1], '') AS first_reason FROM r""",
     "token_file_audit": """WITH r AS (SELECT max(l_linestatus) AS file, min(l_suppkey) % 8 AS k, count(*) FILTER (l_returnflag <> 'A') > 0 AND coalesce(max(l_partkey) FILTER (l_returnflag <> 'A'), 0) < 1900 AS ok FROM lineitem GROUP BY l_orderkey)
@@ -240,6 +257,12 @@ ORACLES = {
              k AS (SELECT o_orderkey AS f, o_custkey % 9 <> 0 AS has, o_custkey % 4 = 0 AS third, o_orderstatus AS st, a.x AS a, b.x AS b, a.s IS NOT NULL AND a.x IS NULL AS ha, b.s IS NOT NULL AND b.x IS NULL AS hb FROM orders LEFT JOIN c a ON a.f = o_orderkey AND a.s = 1 LEFT JOIN c b ON b.f = o_orderkey AND b.s = 2),
              m AS (SELECT *, CASE WHEN has THEN (a IS NULL)::INT + (b IS NULL)::INT + third::INT + ha::INT + hb::INT ELSE 0 END AS n FROM k)
         SELECT f, CASE WHEN has THEN 'if (' || coalesce(a, '<FILL_COND:slot_1>') || ') { ' || coalesce(CASE WHEN b = '/* c */' OR b NOT IN ('z;', '{ }') THEN b || ';' ELSE b END, '<FILL_STMT:slot_2> ;') || ' } /* ' || st || ' */' || CASE WHEN third THEN '<FILL_STMT:slot_3>' ELSE '' END END AS rendered, has AND n = 0 AS ok, CAST(n AS BIGINT) AS n_missing FROM m""",
+    "matched_slots": f"WITH {_SLOTS} SELECT * FROM m",
+    "slot_audit": f"""WITH {_SLOTS}, u AS (SELECT f, count(*) AS n_matched, count(*) FILTER (method = 'cond_order') AS n_by_order, round(avg(score), 4) AS mean_score FROM m GROUP BY 1)
+        SELECT z.f, count(*) FILTER (p) AS n_predicted, count(*) FILTER (NOT p) AS n_wanted, coalesce(n_matched, 0) AS n_matched, coalesce(n_by_order, 0) AS n_by_order, mean_score,
+               (SELECT count(*) FROM x WHERE x.f = z.f AND x.p) - coalesce(n_matched, 0) AS n_left, (SELECT count(*) FROM x WHERE x.f = z.f AND NOT x.p) - coalesce(n_matched, 0) AS n_open,
+               (SELECT count(*) FROM b WHERE b.f = z.f AND score - second < 0.2) AS n_ambiguous
+        FROM z LEFT JOIN u USING (f) GROUP BY z.f, n_matched, n_by_order, mean_score""",
     "injected_candidates": f"WITH {_INJECT} SELECT f, slot, 'srcproj_' || substr(sha256(f || '|' || slot || '|' || text), 1, 14) AS candidate_id, text FROM r WHERE reason = 'injected'",
     "injection_reasons": f"WITH {_INJECT} SELECT reason, count(*) AS n FROM r GROUP BY 1",
     "proxy_blocks": """WITH r AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS b, min(l_partkey) AS first, min(l_suppkey) AS k FROM lineitem GROUP BY 1, 2), e AS (SELECT sample, b AS src, b + j AS dst FROM r, range(1, 3) t(j) WHERE j <= k % 3)

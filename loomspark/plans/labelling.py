@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions.placeholders import placeholders
 from loomspark.operators import labels as L
 
 from .tables import read
@@ -73,11 +72,7 @@ def matching_costs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", c.alias("c")).select("p_partkey", F.round("c.semantic_distance", 6).alias("distance"), "c.rewrite_cost", F.round("c.block_bonus", 6).alias("block_bonus"), "c.polarity", F.size("c.unavailable").alias("n_unavailable"))
 
 
-def identifier_placeholders(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "benchmark").select("item_id", F.array_join(placeholders(F.split("text", r"(?<=\.) ")), " ").alias("renamed"))
-
-
-QUERIES = {f.__name__: f for f in (lines_to_statement, pattern_refinement, label_confusion, label_repair, compatibility_penalty, compact_remap, matching_costs, identifier_placeholders)}
+QUERIES = {f.__name__: f for f in (lines_to_statement, pattern_refinement, label_confusion, label_repair, compatibility_penalty, compact_remap, matching_costs)}
 
 _BRIDGE = ", ".join(f"({L.ROLES.index(r)}, {L.STATEMENTS.index(s)})" for r, k in L.COMPATIBLE.items() for s in k)
 _REFINED = """r AS (SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS b, min(l_suppkey) AS k, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),

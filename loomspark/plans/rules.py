@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions import ctext as X
 from loomspark.functions import scores as N
 from loomspark.functions import text as T
 from loomspark.operators import evidence as V
@@ -192,25 +191,6 @@ def delimiter_balance(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.delimiter_balance(text).alias("x")).select("p_partkey", "x.*")
 
 
-# Statements with their canonical and alpha forms, worked out by hand.
-C_TEXTS = [
-    ("x = (int) y ;", "x=y", "v0=v1"), ("a=b; // c", "a=b", "v0=v1"), ("return ( (x + 1UL) );", "return x+1", "return v0+1"), ("if ( (p) != NULL )", "if(p!=0)", "if(v0!=0)"), ("foo ( (x) )", "foo((x))", "foo((v0))"), ("while(s -> len)", "while(s->len)", "while(v0->len)"),
-    ("((a) + (b))", "(a)+(b)", "(v0)+(v1)"), ("(a) + (b)", "a+(b)", "v0+(v1)"), ("MAX = true", "MAX=1", "MAX=1"), ("x", "x", "v0"), ("", "", ""), ("/* only */", "", ""), ("(unsigned char *) q . f", "q.f", "v0.v1"), ("i ++", "i++", "v0++"), ("return y+1", "return y+1", "return v0+1"), ("z", "z", "v0"),
-]
-
-
-def canonical_statements(spark: SparkSession, d: str) -> DataFrame:
-    k = (F.col("p_partkey") % len(C_TEXTS)).cast("int")
-    text = F.get(F.array(*[F.lit(t) for t, _, _ in C_TEXTS]), k)
-    return read(spark, d, "part").select("p_partkey", X.canonical_text(text).alias("canonical"), X.alpha_text(text).alias("alpha"))
-
-
-def symbolic_proofs(spark: SparkSession, d: str) -> DataFrame:
-    texts = F.array(*[F.lit(t) for t, _, _ in C_TEXTS])
-    pick = lambda k: F.get(texts, (k % len(C_TEXTS)).cast("int"))
-    return read(spark, d, "part").select("p_partkey", X.symbolic_proof(pick(F.col("p_partkey")), pick(F.col("p_size")), True).alias("proof"))
-
-
 def filtered_stream(spark: SparkSession, d: str) -> DataFrame:
     """Text lines through a stream that drops long ones, run until all that is there has passed."""
     source, out = _folder(spark, "stream-in"), _folder(spark, "stream-out")
@@ -313,12 +293,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         without_tier, inside_range, c_family, line_range_fits, enough_evidence, parsed_by_tree, strict_validity, training_references, within_cap, primary_file_lines, token_accuracy, flattened_pairs, source_line_lookup, probed_addresses,
-        first_root, preferred_catalogue, only_keys, jsonl_round_trip, jsonl_numbered, jsonl_fan_out, canonical_json, shard_manifest, reports, file_line_counts, opt_levels, delimiter_balance, canonical_statements, symbolic_proofs, filtered_stream, slot_types, safe_numbers, padded_operands, summed_counters, instance_verdicts, document_quality,
+        first_root, preferred_catalogue, only_keys, jsonl_round_trip, jsonl_numbered, jsonl_fan_out, canonical_json, shard_manifest, reports, file_line_counts, opt_levels, delimiter_balance, filtered_stream, slot_types, safe_numbers, padded_operands, summed_counters, instance_verdicts, document_quality,
         count_losses, spread_rounded, compound_regions, region_alignment, external_scores, label_evidence,
     )
 }
 
-_C = ", ".join(f"({k}, '{c}', '{a}')" for k, (_, c, a) in enumerate(C_TEXTS))
 _ALIAS = ", ".join(f"('{a}', '{b}')" for a, b in T.SLOT_TYPES.items())
 _NAMES = ", ".join(f"'{x}'" for x in [*T.SLOT_TYPES, "cond", " Fill_Goto ", "other", ""])
 _LEVELS = "['busybox_o2', 'x-O0', 'foo1', '-Os', 'a_O3.jsonl', 'gcc -O1 -g', 'o0-o2', '', 'to1']"
@@ -355,9 +334,6 @@ ORACLES = {
     # by piece: parentheses, brackets and braces that it adds
     "delimiter_balance": """WITH k AS (SELECT p_partkey, unnest([p_partkey % 8, p_partkey // 8 % 8, p_partkey // 64 % 8]) AS i FROM part)
         SELECT p_partkey, CAST(sum([0, 0, 0, 0, 0, -2, 0, 0][i + 1]) AS INTEGER) AS paren, CAST(sum([0, 0, 0, 0, 0, 0, 1, 0][i + 1]) AS INTEGER) AS bracket, CAST(sum([0, 1, 0, 0, 0, 0, 0, 0][i + 1]) AS INTEGER) AS brace FROM k GROUP BY 1""",
-    "canonical_statements": f"WITH t(k, canonical, alpha) AS (VALUES {_C}) SELECT p_partkey, canonical, alpha FROM part JOIN t ON k = p_partkey % {len(C_TEXTS)}",
-    "symbolic_proofs": f"""WITH t(k, c, a) AS (VALUES {_C}) SELECT p_partkey, CASE WHEN x.c <> '' AND x.c = y.c THEN 'canonical' WHEN x.c <> '' AND x.a = y.a AND regexp_matches(x.c, '[][()+*/%<>&|^!.-]|==|return ') AND regexp_matches(y.c, '[][()+*/%<>&|^!.-]|==|return ') THEN 'alpha' ELSE 'none' END AS proof
-        FROM part JOIN t x ON x.k = p_partkey % {len(C_TEXTS)} JOIN t y ON y.k = p_size % {len(C_TEXTS)}""",
     "filtered_stream": r"WITH l AS (SELECT doc_id, doc_id || ' ' || substr(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), 1, 400) AS value FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(value) AS n FROM l WHERE length(value) <= 300",
     "slot_types": f"WITH a(name, kind) AS (VALUES {_ALIAS}), n AS (SELECT p_partkey, upper(trim([{_NAMES}][p_partkey % {len(T.SLOT_TYPES) + 4} + 1])) AS name FROM part) SELECT p_partkey, coalesce(kind, n.name) AS type FROM n LEFT JOIN a USING (name)",
     "safe_numbers": "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('P', 'F') THEN -1 ELSE o_totalprice END AS safe, round(CASE WHEN o_orderstatus IN ('P', 'F') THEN 0 ELSE o_totalprice END / greatest(1, o_custkey % 3), 4) AS ratio, round(greatest(0, 1 - abs(o_custkey % 7 - o_orderkey % 5) / greatest(1, o_orderkey % 5)), 6) AS similarity FROM orders",

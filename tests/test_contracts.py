@@ -1,24 +1,41 @@
 """Slot matching by hand-worked cases."""
 
+import pytest
+
 from loomspark.operators import contracts as C
 
+SCHEMA = "f int, side string, sid bigint, kind string, primary array<bigint>, context array<bigint>"
+
+
+def matched(spark, predicted, wanted, threshold, gap):
+    """Matches, what is left of both sides, and what is ambiguous, of one function."""
+    rows = [(1, side, *s) for side, slots in (("p", predicted), ("w", wanted)) for s in slots]
+    matches, left = C.matched_slots(spark.createDataFrame(rows, SCHEMA), "f", threshold, gap)
+    left = left.collect()
+    of = lambda side: sorted(r.sid for r in left if r.side == side and r.left)
+    return sorted(tuple(r)[1:] for r in matches.collect()), of("p"), of("w"), sorted(r.sid for r in left if r.ambiguous)
+
 
-def test_slots_match_by_order_then_overlap():
-    predicted = [(0, "ROOT", [], []), (1, "COND", [], []), (2, "BLOCK", [1, 2], []), (3, "BLOCK", [9], []), (4, "BRANCH", [], []), (5, "COND", [7], [])]
-    wanted = [(1, "COND", [4], []), (2, "BLOCK", [1, 2, 3], []), (3, "BLOCK", [1, 2], []), (4, "BLOCK", [8], [])]
-    found, left, open_, unsure = C.match_slots(predicted, wanted, 0.6, 0.4)
+def test_slots_match_by_order_then_overlap(spark):
+    predicted = [(0, "ROOT", [], []), (1, "COND", [], []), (2, "BLOCK", [1, 2], []), (3, "BLOCK", [9], [8]), (4, "BRANCH", [], None), (5, "COND", [7], [])]
+    wanted = [(1, "COND", [4], []), (2, "BLOCK", [1, 2, 3], []), (3, "BLOCK", [1, 2, 2], []), (4, "BLOCK", [8], [7])]
+    found, left, open_, unsure = matched(spark, predicted, wanted, 0.6, 0.4)
     assert found == [(1, 1, 1.0, "cond_order"), (2, 3, 1.0, "bb_overlap")]
     assert left == [3, 5] and open_ == [2, 4] and unsure == [2]  # the second best of 2 has two thirds
-    assert C.match_slots(predicted, wanted, 0.6, 0.1)[3] == []
+    assert matched(spark, predicted, wanted, 0.6, 0.1)[3] == []
 
 
-def test_contexts_count_half_beside_primary_blocks():
+def test_contexts_count_half_beside_primary_blocks(spark):
     one = [(1, "BLOCK", [1], [5, 6])]
-    assert C.match_slots(one, [(2, "BLOCK", [2], [5, 6])], 0.5, 0.1)[0] == [(1, 2, 0.5, "bb_overlap")]
-    assert C.match_slots([(1, "BLOCK", [], [5, 6])], [(2, "BLOCK", [], [5, 6])], 0.9, 0.1)[0] == [(1, 2, 1.0, "bb_overlap")]
-    assert C.match_slots(one, [(2, "CASE", [1], [5, 6])], 0.0, 0.1)[0] == []
+    assert matched(spark, one, [(2, "BLOCK", [2], [5, 6])], 0.5, 0.1)[0] == [(1, 2, 0.5, "bb_overlap")]
+    assert matched(spark, [(1, "BLOCK", [], [5, 6])], [(2, "BLOCK", [], [5, 6])], 0.9, 0.1)[0] == [(1, 2, 1.0, "bb_overlap")]
+    assert matched(spark, [(1, "BLOCK", [], [])], [(2, "BLOCK", None, [])], 0.9, 0.1)[0] == [(1, 2, 1.0, "bb_overlap")]
+    assert matched(spark, [(1, "BLOCK", [0], [])], [(2, "BLOCK", [], [])], 0.6, 0.1)[0] == []
+    assert matched(spark, one, [(2, "CASE", [1], [5, 6])], 0.1, 0.1)[0] == []
+    with pytest.raises(ValueError):
+        matched(spark, one, one, 0.0, 0.1)
 
 
-def test_offers_of_one_wanted_slot_go_to_the_best():
+def test_offers_of_one_wanted_slot_go_to_the_best(spark):
     predicted = [(1, "BLOCK", [1], []), (2, "BLOCK", [1, 2], [])]
-    assert C.match_slots(predicted, [(9, "BLOCK", [1, 2], [])], 0.3, 0.0)[:2] == ([(2, 9, 1.0, "bb_overlap")], [1])
+    assert matched(spark, predicted, [(9, "BLOCK", [1, 2], [])], 0.3, 0.0)[:2] == ([(2, 9, 1.0, "bb_overlap")], [1])
