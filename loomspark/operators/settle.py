@@ -1,8 +1,9 @@
-"""Rows that must not be computed twice."""
+"""Rows that must not be computed twice, and tables of rounds."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder and read from there, so what depends on how its rows were dealt stays the same in every branch that reads it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df written once to the shared folder, by columns, and read from there, so what depends on how its rows were dealt stays the same in every branch that reads it."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["settled_at"] = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables made by `settled` that nothing will read again."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["settled_at"])
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
