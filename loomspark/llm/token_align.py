@@ -10,7 +10,7 @@ byte ranges overlap are a link. The links of the whole corpus fill a matrix of c
    block is read first, so a task holds one block and one slab's links at a time. A stripe of more than GROUP links is dealt to more salts, each with a copy of its block.
 3. The scores of a slab's documents, one array for each stripe, are added up slab by slab.
 
-Texts are encoded twice, once for the counts and once for the scores: that costs less than keeping all links between.
+Texts are encoded once: links are written (a document's equal ones once, by their stripe) with the counts of each task beside them, and read again for the scores.
 
 Both encoders begin a new token at a single space between other characters (for B this is checked on the vocabulary), so links and groups never reach over such a space. The words
 between are aligned once for each worker and looked up from then on; a table of words is bounded and begins anew when it is full.
@@ -45,6 +45,8 @@ GROUP, SALTS = 1 << 25, 16
 SLAB, SLAB_DOCS = 4 << 20, 1 << 15
 #: Words and links that a table holds before it begins anew, and the longest word that is looked up.
 MAX_WORDS, MAX_LINKS, MAX_LENGTH = 150_000, 2_000_000, 64
+#: New words that are encoded at a time.
+TOGETHER = 256
 _WORD_START = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = "▁"
 
@@ -77,6 +79,9 @@ class Pair:
         self.a_bytes = byte_tokens(a)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(_SPACE, " ").encode() for k, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes))
+        self.shown = [f"{k}{c}".encode() for k in range(max(len(self.a_bytes), len(self.b_bytes))) for c in ",|;"]
+        self.shown_sizes = np.array([len(t) for t in self.shown], np.int64)
         self.by_words = not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces)
         self.clear()
 
@@ -91,39 +96,54 @@ class Pair:
         return len(self.groups) > MAX_WORDS or len(self.links[0]) > MAX_LINKS
 
     def add(self, words: list[str]) -> list[int]:
-        """Align new words (each with a space before it); their numbers."""
-        first = len(self.groups)
-        for word, y in zip(words, self.b.encode(words, num_threads=1), strict=True):
-            x = np.frombuffer(self.a.encode(" " + word), "<u4").tolist()
-            a, b = [self.a_bytes[k] for k in x], [self.b_bytes[k] for k in y]
-            if b"".join(a) == b"".join(b) == (" " + word).encode():
-                self._aligned(x, y, list(map(len, a)), list(map(len, b)))
-            else:
-                self.groups.append(None)
-                self.sizes.extend((0, 0, 0, 0))
-        return list(range(first, len(self.groups)))
-
-    def _aligned(self, x: list[int], y: list[int], a: list[int], b: list[int]) -> None:
-        """The token that ends first gives way to the next, so each pair that stands side by side overlaps, and no other does."""
-        i = j = n = 0
+        """Align new words (each with a space before it); their numbers. Words without white space at an end are encoded many at a time, one behind the other."""
+        plain = [w for w in words if not (w[:1].isspace() or w[-1:].isspace())] if self.by_words else []
+        number = {}
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            if self._together(some):
+                number.update(zip(some, range(len(self.groups) - len(some), len(self.groups)), strict=True))
+        for w in words:
+            if w not in number:
+                number[w] = len(self.groups)
+                if not self._together([w]):
+                    self.groups.append(None)
+                    self.sizes.extend((0, 0, 0, 0))
+        return [number[w] for w in words]
+
+    def _together(self, words: list[str]) -> bool:
+        """Align words that stand one behind the other; nothing is done if the bytes of either side's tokens are not theirs."""
+        text = " " + " ".join(words)
+        raw = text.encode()
+        x, y = np.frombuffer(self.a.encode(text), "<u4").astype(np.int64), np.array(self.b.encode(text[1:]), np.int64)
+        if any(b"".join(map(t.__getitem__, v.tolist())) != raw for t, v in ((self.a_bytes, x), (self.b_bytes, y))):
+            return False
+        at, bt = np.cumsum(self.a_sizes[x]), np.cumsum(self.b_sizes[y])
+        # at each byte where a token ends: 1 for A, 2 for B, 3 for both; up to there one token of each side stands beside the other
+        mark = np.zeros(len(raw) + 1, np.uint8)
+        mark[at] = 1
+        mark[bt] |= 2
+        ends = np.flatnonzero(mark)
+        kind = mark[ends]
+        i, j = (np.cumsum(kind & bit != 0) - (kind & bit != 0) for bit in (1, 2))
         of_a, of_b = self.links
-        parts, start = [], (0, 0)
-        left, right = a[0], b[0]
-        while True:
-            of_a.append(x[i])
-            of_b.append(y[j])
-            n += 1
-            least = min(left, right)
-            left, right = left - least, right - least
-            i, j = i + (not left), j + (not right)
-            if not left and not right:
-                parts.append(",".join(map(str, x[start[0] : i])) + "|" + ",".join(map(str, y[start[1] : j])))
-                start = i, j
-                if i == len(x):
-                    break
-            left, right = left or a[i], right or b[j]
-        self.groups.append(";".join(parts).encode())
-        self.sizes.extend((len(x), len(y), len(parts), n))
+        of_a.frombytes(x[i].astype(np.uint32).tobytes())
+        of_b.frombytes(y[j].astype(np.uint32).tobytes())
+        stops = np.cumsum([len(w.encode()) + 1 for w in words])
+        group_ends = ends[kind == 3]
+        sizes = np.diff(np.stack([np.searchsorted(v, stops, "right") for v in (at, bt, group_ends, ends)]), axis=1, prepend=0)
+        self.sizes.frombytes(sizes.T.astype(np.int64).tobytes())
+        # the groups as text: A ids of a group, then its B ids, each with the mark that follows it
+        g, h = np.searchsorted(group_ends, at), np.searchsorted(group_ends, bt)
+        place_a = np.arange(len(x)) + np.searchsorted(h, g)
+        place_b = np.arange(len(y)) + np.searchsorted(g, h, "right")
+        shown = np.empty(len(x) + len(y), np.int64)
+        shown[place_a] = 3 * x + (mark[at] == 3)
+        shown[place_b] = 3 * y + 2 * (mark[bt] == 3)
+        whole = b"".join(map(self.shown.__getitem__, shown.tolist()))
+        cuts = np.cumsum(self.shown_sizes[shown])[np.cumsum(sizes[0] + sizes[1]) - 1].tolist()
+        self.groups.extend(whole[p : q - 1] for p, q in zip([0, *cuts[:-1]], cuts, strict=True))
+        return True
 
     def words(self, text: str) -> list[int]:
         """Numbers of the text's words; none, if it has no tokens."""
@@ -178,42 +198,6 @@ def _slabs(pair: Pair, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list
         yield ids, words
 
 
-def _counting(a: str, b: str, stripes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pair_of(a, b)
-        n_a = len(pair.a_bytes)
-        times = np.zeros(0, np.int64)
-
-        def taken() -> pa.RecordBatch:
-            sizes, begins, of_a, of_b = pair.tables()
-            weight = np.repeat(times, sizes[:, 3])
-            used = weight > 0
-            keys, where = np.unique(of_b[used] * n_a + of_a[used], return_inverse=True)
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, where, weight[used])
-            of_b, of_a = keys // n_a, keys % n_a
-            order = np.argsort(of_b % stripes, kind="stable")
-            stripe = (of_b % stripes)[order]
-            cells, total = ((of_b // stripes) * n_a + of_a)[order].astype(np.uint32), total[order]
-            found, edges = np.unique(stripe, return_index=True)
-            edges = [*edges.tolist(), len(stripe)]
-            runs = list(zip(edges[:-1], edges[1:], strict=True))
-            return pa.record_batch({"stripe": pa.array(found, pa.int32()), "cells": pa.array([cells[x:y].tobytes() for x, y in runs], pa.binary()), "counts": pa.array([total[x:y].tobytes() for x, y in runs], pa.binary())})
-
-        for _, words in _slabs(pair, batches):
-            grown = np.zeros(len(pair.groups), np.int64)
-            grown[: len(times)] = times
-            times = grown + np.bincount(np.fromiter(chain.from_iterable(words), np.int64), minlength=len(grown))
-            if pair.full:
-                yield taken()
-                pair.clear()
-                times = np.zeros(0, np.int64)
-        if len(times):
-            yield taken()
-
-    return count
-
-
 def _adding(keys: list[str], cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each run of equal keys the sum of its sparse blocks, by way of a dense one."""
 
@@ -239,12 +223,12 @@ def _adding(keys: list[str], cells: int) -> Callable[[Iterator[pa.RecordBatch]],
     return add
 
 
-def count_blocks(docs: DataFrame, a: str, b: str, stripes: int) -> DataFrame:
-    """(stripe, cells, counts, links): the matrix by stripes. A cell is row * A ids + column, the row of a B id is its quotient by `stripes`."""
+def count_blocks(counts: DataFrame, a: str, b: str, stripes: int) -> DataFrame:
+    """(stripe, cells, counts, links): the matrix by stripes, from counts of tasks (stripe, cells, counts). A cell is row * A ids + column, the row of a B id is its quotient by `stripes`."""
     cells = -(-_ids(b) // stripes) * len(byte_tokens(a))
     if cells >= 1 << 32:
         raise ValueError("more stripes are needed")
-    pairs = docs.mapInArrow(_counting(a, b, stripes), "stripe int, cells binary, counts binary").withColumn("salt", F.pmod(F.xxhash64("cells"), F.lit(SALTS)).cast("int"))
+    pairs = counts.withColumn("salt", F.pmod(F.xxhash64("cells"), F.lit(SALTS)).cast("int"))
     some = pairs.repartition("stripe", "salt").sortWithinPartitions("stripe", "salt").mapInArrow(_adding(["stripe", "salt"], cells), "stripe int, salt int, cells binary, counts binary, links bigint")
     whole = some.repartition("stripe").sortWithinPartitions("stripe").mapInArrow(_adding(["stripe"], cells), "stripe int, cells binary, counts binary, links bigint")
     return written(whole, "count-blocks")
@@ -257,7 +241,7 @@ def _ids(model: str) -> int:
 
 
 _LINKS = {
-    "stripe": "int", "salt": "int", "slab": "bigint", "kind": "int", "n_docs": "int", "n_links": "int", "docs": "binary", "rows": "binary", "cols": "binary", "times": "binary",
+    "stripe": "int", "slab": "bigint", "kind": "int", "n_docs": "int", "n_links": "int", "docs": "binary", "rows": "binary", "cols": "binary", "times": "binary",
     "ids": "array<bigint>", "sizes": "array<bigint>", "groups": "array<string>",
 }
 _SCORES = {"slab": "bigint", "best": "binary", "sums": "binary", "ids": "array<bigint>", "sizes": "array<bigint>", "groups": "array<string>"}
@@ -282,41 +266,70 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64)
 
 
-def _linking(a: str, b: str, stripes: int, salts: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each slab a row of kind 0 for its documents, in stripe -1, and one of kind 2 for its links of each stripe: how many each document has, their rows and columns, and how often each."""
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(pair: Pair, times: np.ndarray, stripes: int) -> list[tuple]:
+    """Rows of kind 3: of each stripe the id pairs of the table's words, cells in cols, and how many links they have, in times."""
+    sizes, _, of_a, of_b = pair.tables()
+    weight, n_a = np.repeat(times, sizes[:, 3]), len(pair.a_bytes)
+    used = weight > 0
+    keys, where = np.unique(of_b[used] * n_a + of_a[used], return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, where, weight[used])
+    of_b, of_a = np.divmod(keys, n_a)
+    order = np.argsort(of_b % stripes, kind="stable")
+    cells, total = ((of_b // stripes) * n_a + of_a)[order].astype(np.uint32), total[order]
+    found, edges = np.unique((of_b % stripes)[order], return_index=True)
+    edges = [*edges.tolist(), len(cells)]
+    return [(s, None, 3, 0, y - x, None, None, cells[x:y].tobytes(), total[x:y].tobytes(), None, None, None) for s, x, y in zip(found.tolist(), edges[:-1], edges[1:], strict=True)]
+
+
+def _linked(pair: Pair, slab: int, ids: list, words: list[list[int]], stripes: int) -> list[tuple]:
+    """A row of kind 0 for a slab's documents, in stripe -1, and one of kind 2 for its links of each stripe: how many each document has, their rows and columns, and how often each."""
+    sizes, begins, of_a, of_b = pair.tables()
+    flat = np.fromiter(chain.from_iterable(words), np.int64)
+    lengths = np.array([len(w) for w in words])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    of_docs = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(sizes[flat], axis=0)])[ends]
+    groups = [hashlib.sha256(b";".join([pair.groups[k] for k in w])).hexdigest() if w else "" for w in words]
+    rows: list[tuple] = [(-1, slab, 0, len(ids), 0, *[None] * 4, ids, np.diff(of_docs, axis=0).ravel().tolist(), groups)]
+    # each different word of a document once
+    keys, often = np.unique(np.repeat(np.arange(len(words)), lengths) * max(1, len(sizes)) + flat, return_counts=True)
+    doc, word = np.divmod(keys, max(1, len(sizes)))
+    n = sizes[word, 3]
+    at = np.repeat(begins[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    doc, often, stripe = np.repeat(doc, n), np.repeat(often, n), of_b[at] % stripes
+    order = np.argsort(stripe.astype(np.uint16), kind="stable")
+    doc, often, at = doc[order], often[order], at[order]
+    row, col = of_b[at] // stripes, of_a[at]
+    found, edges = np.unique(stripe[order], return_index=True)
+    for s, x, y in zip(found.tolist(), edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
+        docs = np.bincount(doc[x:y], minlength=len(words))
+        rows.append((s, slab, 2, len(ids), y - x, *(_packed(z) for z in (docs, row[x:y], col[x:y], often[x:y])), None, None, None))
+    return rows
+
+
+def _encoding(a: str, b: str, stripes: int, links: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents and links of slabs, and the counts of all links of a task (or of what it had when its table of words was full)."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pair, slab = pair_of(a, b), TaskContext.get().partitionId() << 32
+        times = np.zeros(0, np.int64)
         for ids, words in _slabs(pair, batches):
-            sizes, begins, of_a, of_b = pair.tables()
-            flat = np.fromiter(chain.from_iterable(words), np.int64)
-            lengths = np.array([len(w) for w in words])
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            of_docs = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(sizes[flat], axis=0)])[ends]
-            groups = [hashlib.sha256(b";".join([pair.groups[k] for k in w])).hexdigest() if w else "" for w in words]
-            salt = slab * 0x9E3779B97F4A7C15 % (1 << 64) >> 40
-            rows: list[tuple] = [(-1, salt, slab, 0, len(ids), 0, *[None] * 4, ids, np.diff(of_docs, axis=0).ravel().tolist(), groups)]
-            # each different word of a document once
-            keys, often = np.unique(np.repeat(np.arange(len(words)), lengths) * max(1, len(sizes)) + flat, return_counts=True)
-            doc, word = np.divmod(keys, max(1, len(sizes)))
-            n = sizes[word, 3]
-            at = np.repeat(begins[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            doc, often, stripe = np.repeat(doc, n), np.repeat(often, n), of_b[at] % stripes
-            order = np.argsort(stripe, kind="stable")
-            doc, often, at = doc[order], often[order], at[order]
-            row, col = of_b[at] // stripes, of_a[at]
-            found, edges = np.unique(stripe[order], return_index=True)
-            for s, x, y in zip(found.tolist(), edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
-                docs = np.bincount(doc[x:y], minlength=len(words))
-                rows.append((s, salt % salts[s], slab, 2, len(ids), y - x, *(_packed(z) for z in (docs, row[x:y], col[x:y], often[x:y])), None, None, None))
+            if links:
+                yield _batch(_linked(pair, slab, ids, words, stripes), _LINKS)
             slab += 1
+            grown = np.zeros(len(pair.groups), np.int64)
+            grown[: len(times)] = times
+            times = grown + np.bincount(np.fromiter(chain.from_iterable(words), np.int64), minlength=len(grown))
             if pair.full:
+                yield _batch(_counted(pair, times, stripes), _LINKS)
                 pair.clear()
-            yield _batch(rows, _LINKS)
+                times = np.zeros(0, np.int64)
+        if len(times):
+            yield _batch(_counted(pair, times, stripes), _LINKS)
 
-    return link
+    return encode
 
 
 def _scoring(cells: int, columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -327,7 +340,7 @@ def _scoring(cells: int, columns: int) -> Callable[[Iterator[pa.RecordBatch]], I
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                slab, kind, n_docs, n, *packed, ids, sizes, groups = (batch[c][k].as_py() for c in list(_LINKS)[2:])
+                slab, kind, n_docs, n, *packed, ids, sizes, groups = (batch[c][k].as_py() for c in list(_LINKS)[1:])
                 if kind == 1:
                     dense[used] = 0
                     used = np.frombuffer(packed[2], np.uint32).astype(np.int64)
@@ -375,18 +388,24 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None, stripes:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     columns = len(byte_tokens(a))
     cells = -(-_ids(b) // stripes) * columns
-    blocks = count_blocks(texts, a, b, stripes)
+    encoded = written(texts.mapInArrow(_encoding(a, b, stripes), _ddl(_LINKS)), "links")
+    blocks = count_blocks(_counts_of(encoded), a, b, stripes)
     salts = [1] * stripes
     for stripe, links in blocks.select("stripe", "links").collect():  # a row for each stripe
         salts[stripe] = -(-links // group) or 1
-    links = texts.mapInArrow(_linking(a, b, stripes, salts), _ddl(_LINKS))
-    copies = F.explode(F.sequence(F.lit(0), F.element_at(F.lit(salts), F.col("stripe") + 1) - 1))
-    read = blocks.select("stripe", copies.alias("salt"), F.lit(1).alias("kind"), F.col("cells").alias("cols"), F.col("counts").alias("times"))
-    dealt = links.unionByName(read, allowMissingColumns=True).repartition("stripe", "salt").sortWithinPartitions("stripe", "salt", "kind")
+    salts_of = F.element_at(F.lit(salts), F.col("stripe") + 1)
+    salt = F.when(F.col("stripe") < 0, F.xxhash64("slab")).otherwise(F.pmod(F.xxhash64("slab"), salts_of))
+    links = encoded.where("kind <> 3").withColumn("salt", salt)
+    read = blocks.select("stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts_of - 1).cast("bigint"))).alias("salt"), F.lit(1).alias("kind"), F.col("cells").alias("cols"), F.col("counts").alias("times"))
+    dealt = links.unionByName(read, allowMissingColumns=True).repartition("stripe", "salt").sortWithinPartitions("stripe", "salt", "kind").select(*_LINKS)
     scores = dealt.mapInArrow(_scoring(cells, columns), _ddl(_SCORES))
     return scores.repartition("slab").sortWithinPartitions("slab").mapInArrow(_summed, _ddl(_RESULT))
 
 
+def _counts_of(encoded: DataFrame) -> DataFrame:
+    return encoded.where("kind = 3").select("stripe", F.col("cols").alias("cells"), F.col("times").alias("counts"))
+
+
 def best_partners(docs: DataFrame, a: str | None = None, b: str | None = None, stripes: int = STRIPES) -> DataFrame:
     """b_id, a_id, count: of each B id with links the A ids of the highest count, ties included."""
     a, b = a or default_path(), b or default_pieces()
@@ -403,7 +422,8 @@ def best_partners(docs: DataFrame, a: str | None = None, b: str | None = None, s
 
     small_batches(docs.sparkSession, 250)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return count_blocks(texts, a, b, stripes).select("stripe", "cells", "counts").mapInArrow(best, "b_id bigint, a_id bigint, count bigint")
+    counts = _counts_of(texts.mapInArrow(_encoding(a, b, stripes, False), _ddl(_LINKS)))
+    return count_blocks(counts, a, b, stripes).select("stripe", "cells", "counts").mapInArrow(best, "b_id bigint, a_id bigint, count bigint")
 
 
 def token_groups(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:

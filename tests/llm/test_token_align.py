@@ -79,19 +79,26 @@ def test_partners_and_groups(spark, both, odd):
 
 
 def test_table_begins_anew(both, odd, monkeypatch):
-    """Small slabs and tables change nothing: in this process, without Spark."""
+    """Small slabs, tables and batches of words change nothing: in this process, without Spark."""
     import pyarrow as pa
+    import pyspark
 
-    monkeypatch.setattr(ta, "MAX_WORDS", 40)
-    monkeypatch.setattr(ta, "SLAB", 200)
+    class Context:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 5)
+
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    for name, value in (("MAX_WORDS", 40), ("SLAB", 200), ("TOGETHER", 3)):
+        monkeypatch.setattr(ta, name, value)
     a, b = public_tokenizers.path("byte_bpe_50k.json"), ta.default_pieces()
     batch = pa.record_batch({"doc_id": pa.array([i for i, _ in odd], pa.int64()), "text": [t for _, t in odd]})
     seen = Counter()
     columns = len(ta.byte_tokens(a))
-    for found in ta._counting(a, b, 128)(iter([batch])):
-        for stripe, cells, counts in zip(*(found[c].to_pylist() for c in ("stripe", "cells", "counts")), strict=True):
-            row, col = np.divmod(np.frombuffer(cells, np.uint32).astype(np.int64), columns)
-            seen.update({(x, y): n for x, y, n in zip(col.tolist(), (row * 128 + stripe).tolist(), np.frombuffer(counts, np.int64).tolist(), strict=True)})
+    for found in ta._encoding(a, b, 128)(iter([batch])):
+        for kind, stripe, cells, counts in zip(*(found[c].to_pylist() for c in ("kind", "stripe", "cols", "times")), strict=True):
+            if kind == 3:
+                row, col = np.divmod(np.frombuffer(cells, np.uint32).astype(np.int64), columns)
+                seen.update({(x, y): n for x, y, n in zip(col.tolist(), (row * 128 + stripe).tolist(), np.frombuffer(counts, np.int64).tolist(), strict=True)})
     assert seen == plain(odd, both)[2]
 
 
