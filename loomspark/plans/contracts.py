@@ -183,12 +183,22 @@ QUERIES = {
 _INJECT = """s AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS slot FROM lineitem), c AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS slot, 't' || l_suppkey % 4 AS text FROM lineitem WHERE l_returnflag <> 'N'),
     p AS (SELECT l_orderkey AS f, l_linenumber AS slot, 't' || l_partkey % 4 AS text FROM lineitem WHERE l_discount > 0.03 AND l_partkey % 7 <> 0 AND l_partkey % 5 >= 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey % 5 DESC, 't' || l_partkey % 4) = 1),
     r AS (SELECT s.f, s.slot, p.text, CASE WHEN p.text IS NULL THEN 'no_projection' WHEN c.text IS NOT NULL THEN 'text_exists' ELSE 'injected' END AS reason FROM s LEFT JOIN p USING (f, slot) LEFT JOIN c ON c.f = s.f AND c.slot = s.slot AND c.text = p.text)"""
+# what counts in a candidate's quality, with its weight, and what a gate asks for, written out by hand in the order in which the query makes them
+_RATE_WEIGHTS = [
+    ("structured_bb_ratio", "28"), ("structured_control_ratio", "6"), ("edge_semantic_ratio", "8"), ("edge_explicit_ratio", "3"), ("edge_interval_ratio", "4"), ("edge_linear_ratio", "1.5"), ("slot_pointer_acc", "10"), ("branch_header_cond_slot_coverage", "8"),
+    ("cond_pointer_acc", "5"), ("block_pointer_acc", "3"), ("goto_pointer_acc", "1"), ("condition_slot_grounded_rate", "7"), ("branch_provenance_coverage", "4"), ("condition_branch_metadata_rate", "3"), ("condition_ssa_available_rate", "2"),
+    ("real_condition_ssa_available_rate", "2"), ("if_cond_grounded_rate", "1"), ("loop_cond_grounded_rate", "1"), ("switch_cond_grounded_rate", "1"), ("condition_polarity_available_rate", "1.5"), ("slot_locality_score", "8"), ("edge_goto_ratio", "-5"),
+    ("edge_break_ratio", "-1.2"), ("edge_continue_ratio", "-0.8"), ("edge_early_exit_ratio", "-1"), ("edge_fallback_ratio", "-3"), ("edge_uncovered_ratio", "-20"), ("branch_header_cond_slot_gap", "-12"),
+]
+_COUNT_WEIGHTS = [("fallback_region_count", "-2.5"), ("goto_count", "-1.8"), ("break_count", "-0.35"), ("continue_count", "-0.2"), ("early_exit_count", "-0.45"), ("cleanup_exit_count", "-0.35"), ("empty_control_with_context_count", "-20"), ("empty_control_count", "-4"), ("body_bb_outside_control_count", "-3")]
+_FACT_WEIGHTS = [("strict_edge_preservation_ok", "2"), ("edge_preservation_ok", "1"), ("parse_success", "0.5"), ("slot_grounding_ok", "0.5")]
+_GATE = "validator_valid bb_coverage_ok edge_preservation_ok strict_edge_preservation_ok slot_grounding_ok parse_success fatal_error_zero slot_locality_ready empty_control_with_context_zero body_bb_outside_control_zero skeleton_slot_lowerer_success contract_consistency_pass".split()
 _DEFAULTS = {"slot_locality_score": "1", "branch_header_cond_slot_coverage": "1", "structured_bb_ratio": "(p_partkey % 11) / greatest(1, p_partkey % 12)", "branch_header_cond_slot_gap": "greatest(0, 1 - branch_header_cond_slot_coverage)"}
-_RATES = ", ".join(f"coalesce(CASE WHEN p_partkey % {i + 7} <> 0 THEN 1 - p_size / 500 END, {_DEFAULTS.get(n, '0')}) AS {n}" for i, n in enumerate(C.QUALITY_RATES))
-_COUNTS = ", ".join(f"CASE WHEN p_partkey % {i + 3} = 1 THEN 1 ELSE 0 END AS {n}" for i, n in enumerate(C.QUALITY_COUNTS))
-_HOLDS = ", ".join(f"p_partkey % {i + 4} <> 0{' OR p_partkey % 4 <> 0' if n == 'edge_preservation_ok' else ''} AS {n}" for i, n in enumerate((*C.QUALITY_FACTS, "valid", "bb_coverage_ok")))
-_GOOD = " + ".join([*(f"({w}) * {n}" for n, w in (C.QUALITY_RATES | C.QUALITY_COUNTS).items()), *(f"{w} * {n}::INT" for n, w in C.QUALITY_FACTS.items())])
-_FACT = ", ".join(f"CASE WHEN p_partkey % 13 = 12 OR p_partkey % {i + 5} = 0 THEN '{k}' END" for i, k in enumerate(C.GATE))
+_RATES = ", ".join(f"coalesce(CASE WHEN p_partkey % {i + 7} <> 0 THEN 1 - p_size / 500 END, {_DEFAULTS.get(n, '0')}) AS {n}" for i, (n, _) in enumerate(_RATE_WEIGHTS))
+_COUNTS = ", ".join(f"CASE WHEN p_partkey % {i + 3} = 1 THEN 1 ELSE 0 END AS {n}" for i, (n, _) in enumerate(_COUNT_WEIGHTS))
+_HOLDS = ", ".join(f"p_partkey % {i + 4} <> 0{' OR p_partkey % 4 <> 0' if n == 'edge_preservation_ok' else ''} AS {n}" for i, n in enumerate([*(n for n, _ in _FACT_WEIGHTS), "valid", "bb_coverage_ok"]))
+_GOOD = " + ".join([*(f"({w}) * {n}" for n, w in _RATE_WEIGHTS + _COUNT_WEIGHTS), *(f"{w} * {n}::INT" for n, w in _FACT_WEIGHTS)])
+_FACT = ", ".join(f"CASE WHEN p_partkey % 13 = 12 OR p_partkey % {i + 5} = 0 THEN '{k}' END" for i, k in enumerate(_GATE))
 _SLOTS = """r AS (SELECT l_orderkey AS f, CAST(l_linenumber - 1 AS BIGINT) AS sid, min(l_partkey) AS k, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
     z AS (SELECT f, sid, s % 2 = 0 AS p, CASE WHEN k % 3 = 0 THEN 'COND' WHEN k % 11 = 0 THEN 'BRANCH' ELSE 'BLOCK' END AS kind, CASE WHEN k % 5 = 0 THEN [] ELSE list_distinct([k % 3, k % 4]) END AS a, CASE WHEN k % 7 < 2 THEN [] ELSE [k % 2] END AS b FROM r),
     x AS (SELECT * FROM z WHERE sid <> 0 AND NOT (p AND kind = 'BRANCH' AND len(a) = 0 AND len(b) = 0)), c AS (SELECT *, row_number() OVER (PARTITION BY f, p ORDER BY sid) AS n FROM x WHERE kind = 'COND'),

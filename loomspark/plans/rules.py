@@ -194,7 +194,7 @@ def delimiter_balance(spark: SparkSession, d: str) -> DataFrame:
 def filtered_stream(spark: SparkSession, d: str) -> DataFrame:
     """Text lines through a stream that drops long ones, run until all that is there has passed."""
     source, out = _folder(spark, "stream-in"), _folder(spark, "stream-out")
-    jsonl.write_raw(read(spark, d, "documents").select(F.concat(F.col("doc_id"), F.lit(" "), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 400)).alias("raw")), source)
+    jsonl.write_raw(read(spark, d, "documents").select(F.concat(F.col("doc_id"), F.lit(" "), F.regexp_replace("text", r"\s+", " ")).alias("raw")), source)
     stream = curriculum.filtered_lines(spark, source, 300).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
     stream.awaitTermination()
     return spark.read.schema("value string").parquet(out).select(F.substring_index("value", " ", 1).cast("long").alias("doc_id"), F.length("value").cast("long").alias("n"))
@@ -298,8 +298,12 @@ QUERIES = {
     )
 }
 
-_ALIAS = ", ".join(f"('{a}', '{b}')" for a, b in T.SLOT_TYPES.items())
-_NAMES = ", ".join(f"'{x}'" for x in [*T.SLOT_TYPES, "cond", " Fill_Goto ", "other", ""])
+# names of slots with their types, in the order of the query's list, written out by hand
+_ALIAS = """('FILL_COND', 'COND'), ('COND_SLOT', 'COND'), ('CONDITION', 'COND'), ('SWITCH_DISPATCH', 'COND'), ('FILL_STMT', 'STMT'), ('STATEMENT', 'STMT'), ('FILL_BLOCK', 'BLOCK'), ('BLOCK_SLOT', 'BLOCK'), ('UNSTRUCTURED_REGION', 'BLOCK'), ('FILL_CASE', 'CASE_LABEL'),
+    ('CASE_SLOT', 'CASE_LABEL'), ('CASE', 'CASE_LABEL'), ('FILL_GOTO', 'EXIT'), ('GOTO_SLOT', 'EXIT'), ('GOTO', 'EXIT'), ('FILL_CLEANUP_EXIT', 'EXIT'), ('CLEANUP_EXIT_SLOT', 'EXIT'), ('CLEANUP_EXIT', 'EXIT'), ('FILL_BREAK', 'LOOP_EXIT'), ('BREAK_SLOT', 'LOOP_EXIT'),
+    ('BREAK', 'LOOP_EXIT'), ('FILL_CONTINUE', 'LOOP_EXIT'), ('CONTINUE_SLOT', 'LOOP_EXIT'), ('CONTINUE', 'LOOP_EXIT'), ('LOOP_CONTINUE', 'LOOP_EXIT'), ('FILL_EARLY_EXIT', 'RETURN'), ('EARLY_EXIT_SLOT', 'RETURN'), ('EARLY_EXIT', 'RETURN')"""
+_NAMES = """'FILL_COND', 'COND_SLOT', 'CONDITION', 'SWITCH_DISPATCH', 'FILL_STMT', 'STATEMENT', 'FILL_BLOCK', 'BLOCK_SLOT', 'UNSTRUCTURED_REGION', 'FILL_CASE', 'CASE_SLOT', 'CASE', 'FILL_GOTO', 'GOTO_SLOT', 'GOTO', 'FILL_CLEANUP_EXIT', 'CLEANUP_EXIT_SLOT', 'CLEANUP_EXIT',
+    'FILL_BREAK', 'BREAK_SLOT', 'BREAK', 'FILL_CONTINUE', 'CONTINUE_SLOT', 'CONTINUE', 'LOOP_CONTINUE', 'FILL_EARLY_EXIT', 'EARLY_EXIT_SLOT', 'EARLY_EXIT', 'cond', ' Fill_Goto ', 'other', ''"""
 _LEVELS = "['busybox_o2', 'x-O0', 'foo1', '-Os', 'a_O3.jsonl', 'gcc -O1 -g', 'o0-o2', '', 'to1']"
 # the level that each of these has, read by hand
 _FOUND = "['o2', 'o0', NULL, 'os', 'o3', 'o1', 'o0', NULL, NULL]"
@@ -334,8 +338,8 @@ ORACLES = {
     # by piece: parentheses, brackets and braces that it adds
     "delimiter_balance": """WITH k AS (SELECT p_partkey, unnest([p_partkey % 8, p_partkey // 8 % 8, p_partkey // 64 % 8]) AS i FROM part)
         SELECT p_partkey, CAST(sum([0, 0, 0, 0, 0, -2, 0, 0][i + 1]) AS INTEGER) AS paren, CAST(sum([0, 0, 0, 0, 0, 0, 1, 0][i + 1]) AS INTEGER) AS bracket, CAST(sum([0, 1, 0, 0, 0, 0, 0, 0][i + 1]) AS INTEGER) AS brace FROM k GROUP BY 1""",
-    "filtered_stream": r"WITH l AS (SELECT doc_id, doc_id || ' ' || substr(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), 1, 400) AS value FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(value) AS n FROM l WHERE length(value) <= 300",
-    "slot_types": f"WITH a(name, kind) AS (VALUES {_ALIAS}), n AS (SELECT p_partkey, upper(trim([{_NAMES}][p_partkey % {len(T.SLOT_TYPES) + 4} + 1])) AS name FROM part) SELECT p_partkey, coalesce(kind, n.name) AS type FROM n LEFT JOIN a USING (name)",
+    "filtered_stream": r"WITH l AS (SELECT doc_id, doc_id || ' ' || regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g') AS value FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(value) AS n FROM l WHERE length(value) <= 300",
+    "slot_types": f"WITH a(name, kind) AS (VALUES {_ALIAS}), n AS (SELECT p_partkey, upper(trim([{_NAMES}][p_partkey % 32 + 1])) AS name FROM part) SELECT p_partkey, coalesce(kind, n.name) AS type FROM n LEFT JOIN a USING (name)",
     "safe_numbers": "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('P', 'F') THEN -1 ELSE o_totalprice END AS safe, round(CASE WHEN o_orderstatus IN ('P', 'F') THEN 0 ELSE o_totalprice END / greatest(1, o_custkey % 3), 4) AS ratio, round(greatest(0, 1 - abs(o_custkey % 7 - o_orderkey % 5) / greatest(1, o_orderkey % 5)), 6) AS similarity FROM orders",
     "padded_operands": "SELECT l_orderkey, array_to_string((coalesce(list(l_linenumber ORDER BY l_linenumber) FILTER (l_returnflag <> 'R'), []) || [0, 0, 0])[1:3], ',') AS operands FROM lineitem GROUP BY 1",
     "summed_counters": "SELECT 'all' AS name, count(*) AS n FROM orders UNION ALL SELECT 'status_' || o_orderstatus, CAST(sum(o_custkey % 3) AS BIGINT) FROM orders GROUP BY 1",
