@@ -10,7 +10,8 @@ are looked up beside it.
 The stream is solved in stretches of STRETCH ids; all but the last sequences of a stretch are final, the rest goes to the next one. So
 memory is bounded by a stretch and one document, nothing is shuffled, and only a partition's last sequence may be left short.
 
-Cases: a null or empty text is the single id `end_id`. Special tokens' strings in a text are these tokens. Repeated rows and null ids are packed row by row. Extra columns are ignored. An
+Cases: a null or empty text is the single id `end_id`. Special tokens' strings in a text are these tokens. Repeated rows and null ids are packed row by row. A very long text is encoded whole and its stretch grows with it. Of cuts that cost the same the one whose sequence begins
+earliest is taken. Extra columns are ignored. An
 empty table has no sequences.
 """
 

@@ -7,7 +7,8 @@ documents. The scan has two levels (SUPER blocks each), so a file of any length
 report is written, and the scan's steps read that.
 
 Cases: an empty file or table has no documents; two separators in a row are an empty document; ids behind the last separator are one
-document that isn't closed. The separator's own string in a text is ordinary text, so only ends of documents are separators. A null or empty text is an empty document. Repeated rows are documents of their own. Ids over 65,535 don't fit and fail.
+document that isn't closed. The separator's own string in a text is ordinary text, so only ends of documents are separators. A null or empty text is an empty document. Repeated rows are documents of their own. A very long
+text or document is encoded as one value and stitched over as many blocks as it fills. Of ties any order gives the same rows; extra columns are ignored. Ids over 65,535 don't fit and fail.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ All of it is DataFrame functions. The payload of a frequent digest is reduced to
 digest are plain sort-merge joins that adaptive execution splits where a digest is frequent.
 
 Cases: a null html is the empty payload. A null url leaves its header out. Repeated rows with the smallest page_id are all responses; a null page_id
-sorts last and is a revisit wherever another page holds the payload. Control characters of urls are percent-coded. Very long payloads are one value. An empty table gives an
+sorts last and is a revisit wherever another page holds the payload. Carriage returns and line feeds of urls are percent-coded. Very long payloads are one value. An empty table gives an
 empty archive. Extra columns are ignored.
 """
 
