@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["curation", "sampling", "joining", "graphs", "ranking", "records", "labelling", "evidence", "rules", "contracts", "statements", "flow"]
+MODULES = ["curation", "sampling", "joining", "graphs", "ranking", "records", "labelling", "evidence", "rules", "contracts", "statements", "flow", "fills"]
 
 
 def _all(name: str) -> dict:
