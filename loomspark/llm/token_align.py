@@ -203,11 +203,14 @@ def _adding(keys: list[str], cells: int) -> Callable[[Iterator[pa.RecordBatch]],
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, last = np.zeros(cells, np.int64), None
+        touched: list[np.ndarray] = []
 
         def taken() -> pa.RecordBatch:
-            at = np.flatnonzero(dense)
+            # few cells are gathered from what was added, many by a look at the whole block
+            at = np.unique(np.concatenate(touched)) if sum(map(len, touched)) < cells // 8 else np.flatnonzero(dense)
+            touched.clear()
             values = {k: pa.array([v], pa.int32()) for k, v in zip(keys, last, strict=True)}
-            found = pa.record_batch({**values, "cells": pa.array([at.astype(np.uint32).tobytes()], pa.binary()), "counts": pa.array([dense[at].tobytes()], pa.binary()), "links": pa.array([int(dense.sum())], pa.int64())})
+            found = pa.record_batch({**values, "cells": pa.array([at.astype(np.uint32).tobytes()], pa.binary()), "counts": pa.array([dense[at].tobytes()], pa.binary()), "links": pa.array([int(dense[at].sum())], pa.int64())})
             dense[at] = 0
             return found
 
@@ -217,6 +220,8 @@ def _adding(keys: list[str], cells: int) -> Callable[[Iterator[pa.RecordBatch]],
                     yield taken()
                 last = key
                 np.add.at(dense, np.frombuffer(at, np.uint32), np.frombuffer(counts, np.int64))
+                if sum(map(len, touched)) < cells // 8:
+                    touched.append(np.frombuffer(at, np.uint32))
         if last is not None:
             yield taken()
 
