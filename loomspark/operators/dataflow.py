@@ -1,8 +1,8 @@
 """Dataflow of functions: liveness, reaching definitions, chains from definitions to uses, and what regions read, write and pass on.
 
 Blocks, edges and accesses are rows of all functions at once. A fact (a value, or a place that defines it) leaves a block along its edges and goes on from where it arrives unless that block
-defines the value. Rounds are semi-naive: only facts that arrived somewhere for the first time move on, joined with the edges; a round in which none did is the last. So the rounds are as many as
-the longest way that a fact has to go, whatever the number of functions.
+defines the value. A function of up to LARGEST rows is followed to its end where its rows meet, by a worklist over sets of facts, many functions in a batch: one shuffle, however far facts go. Larger ones go
+in semi-naive rounds: only facts that arrived somewhere for the first time move on, joined with the edges; a round in which none did is the last.
 
 Tables: edges (sample, src, dst); accesses (sample, block, ordinal, value, kind), kind `def` or `use`, where of one ordinal the uses come before the definitions; regions (sample, region, block), which may overlap.
 
@@ -12,21 +12,103 @@ A value that is used without any definition comes from outside the function. A f
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import in_batches, larger, whole
 from .settle import released, settled
 
+#: Edges, leaving facts and stops of a function that is followed in one place.
+LARGEST = 20_000
+
 
 def _plain(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns).na.drop().distinct()
 
 
+def _followed(what: list[int], block: list, dst: list, facts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a function's rows (what: 0 edge, 1 leaving fact, 2 stop) pairs of places: a row whose dst is a block, and one whose fact arrives there."""
+    out, at, bits, rows = defaultdict(list), {}, {}, []
+    leaving, of_value, stops = defaultdict(int), defaultdict(int), defaultdict(int)
+    for i, w in enumerate(what):
+        if w == 0:
+            out[block[i]].append(dst[i])
+            at[dst[i]] = i
+        elif w == 1:
+            k = bits.setdefault(facts[i], len(rows))
+            if k == len(rows):
+                rows.append(i)
+                of_value[facts[i][0]] |= 1 << k
+            leaving[block[i]] |= 1 << k
+    for i, w in enumerate(what):
+        if w == 2:
+            stops[block[i]] |= of_value.get(facts[i][0], 0)
+    found, todo = dict.fromkeys(at, 0), deque(leaving)
+    while todo:
+        b = todo.popleft()
+        moving = leaving.pop(b)
+        for d in out.get(b, ()):
+            new = moving & ~found[d]
+            found[d] |= new
+            on = new & ~stops.get(d, 0)
+            if on:
+                if d not in leaving:
+                    todo.append(d)
+                leaving[d] |= on
+    if not (at and rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    width = (len(rows) + 7) // 8
+    packed = np.frombuffer(b"".join(x.to_bytes(width, "little") for x in found.values()), np.uint8).reshape(-1, width)
+    b, k = np.nonzero(np.unpackbits(packed, axis=1, bitorder="little"))
+    return np.array(list(at.values()))[b], np.array(rows)[k]
+
+
+def _following(fact: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole(batches):
+            what, block, dst = (table[c].to_pylist() for c in ("what", "block", "dst"))
+            facts = list(zip(*(table[c].to_pylist() for c in fact), strict=True))
+            for a, z in pairwise(starts):
+                b, k = _followed(what[a:z], block[a:z], dst[a:z], facts[a:z])
+                if len(b):
+                    found = {"sample": table["sample"].take(b + a), "block": table["dst"].take(b + a), **{c: table[c].take(k + a) for c in fact}}
+                    yield from pa.table(found).to_batches(max_chunksize=100_000)
+
+    return run
+
+
 def arrived(leaving: DataFrame, edges: DataFrame, stops: DataFrame, fact: list[str]) -> tuple[DataFrame, int]:
-    """(sample, block, *fact) of all facts that arrive at blocks, as a table of the shared folder, and how many rounds it took.
+    """(sample, block, *fact) of all facts that arrive at blocks, as a table of the shared folder, and how many rounds functions of more than LARGEST rows took.
 
     leaving: (sample, block, *fact) of facts at the ends of the blocks where they begin; stops: (sample, block, value), where facts of that value, `fact[0]`, go no further.
     """
+    kinds = dict(leaving.dtypes)
+    null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    what = lambda k: F.lit(k).cast("tinyint").alias("what")
+    kept = lambda rows, *c: rows.select("sample", *c).na.drop()
+    ways = kept(edges, F.col("src").cast(kinds["block"]).alias("block"), F.col("dst").cast(kinds["block"]).alias("dst")).select("sample", what(0), "block", "dst", *map(null, fact))
+    begin = kept(leaving, "block", *fact).select("sample", what(1), "block", null("block").alias("dst"), *fact)
+    end = kept(stops, "block", fact[0]).select("sample", what(2), "block", null("block").alias("dst"), fact[0], *map(null, fact[1:]))
+    rows = settled(ways.unionByName(begin).unionByName(end))
+    large = settled(larger(rows, LARGEST))
+    some = not large.isEmpty()
+    out = settled(in_batches(rows.join(large, "sample", "left_anti") if some else rows, _following(fact), ", ".join(f"`{c}` {kinds[c]}" for c in ("sample", "block", *fact))))
+    rounds = 0
+    if some:
+        far = rows.join(large, "sample")
+        more, rounds = _in_rounds(far.where("what = 1"), far.where("what = 0").withColumnRenamed("block", "src"), far.where("what = 2"), fact)
+        out = out.unionByName(more)
+    released(rows, large)
+    return out, rounds
+
+
+def _in_rounds(leaving: DataFrame, edges: DataFrame, stops: DataFrame, fact: list[str]) -> tuple[DataFrame, int]:
     key = ["sample", "block", *fact]
     ways = settled(_plain(edges, "sample", "src", "dst"))
     stops = settled(_plain(stops, "sample", "block", fact[0]))
