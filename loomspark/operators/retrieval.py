@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .settle import settled
 
-#: Rows of a block; two blocks meet in a task at a time.
+#: Rows of a block; two blocks meet in a task at a time, a chunk of queries of one with all rows of the other.
 BLOCK = 2048
+CHUNK = 256
 
 
 def _product(k: int) -> Callable[[pa.Table], pa.Table]:
@@ -20,18 +21,30 @@ def _product(k: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         role = np.asarray(table["role"])
-        sides = [table.filter(pa.array(role == r)) for r in (0, 1)]
-        keys, groups = ([np.asarray(s[c]) for s in sides] for c in ("key", "g"))
-        if not len(keys[0]) or not len(keys[1]):
-            return pa.table({"key": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, y = (np.stack(s["v"].to_pylist()) for s in sides)
-        order = np.argsort(keys[1], kind="stable")
-        score = np.round((x @ y[order].T), 6)
-        score[groups[0][:, None] == groups[1][order][None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(score, best, 1)
-        ok = np.isfinite(value)
-        return pa.table({"key": np.repeat(keys[0], best.shape[1])[ok.ravel()], "other": keys[1][order][best][ok], "score": value[ok]})
+        code = np.asarray(table["g"].combine_chunks().dictionary_encode().indices.fill_null(-1))
+        keys, groups, vectors = [], [], []
+        for r in (0, 1):
+            side = table.filter(pa.array(role == r))
+            keys.append(np.asarray(side["key"]))
+            groups.append(code[role == r])
+            v = side["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+            vectors.append(v.reshape(len(keys[-1]), -1) if len(keys[-1]) else v)
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        n = len(keys[1])
+        for a in range(0, len(keys[0]) if n else 0, CHUNK):
+            score = vectors[0][a : a + CHUNK] @ vectors[1].T
+            if not np.isfinite(score.sum()):
+                score[~np.isfinite(score)] = -np.inf
+            score[groups[0][a : a + CHUNK, None] == groups[1][None, :]] = -np.inf
+            # what may be among the k best once scores are rounded; only these are rounded and sorted
+            least = np.partition(score, n - k, axis=1)[:, n - k] - 2e-6 if n > k else np.full(len(score), -np.inf)
+            q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            value, other = np.round(score[q, c], 6), keys[1][c]
+            order = np.lexsort((other, -value, q))
+            q, other, value = q[order], other[order], value[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            found.append((keys[0][a : a + CHUNK][q[first]], other[first], value[first]))
+        return pa.table(dict(zip(("key", "other", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
 
@@ -50,11 +63,12 @@ _FOUND = "key bigint, other bigint, score double"
 def hard_negatives(df: DataFrame, key: str, group: str, vector: str, k: int) -> DataFrame:
     """For every row the k rows of other groups with the largest inner product (ties: smaller key): (key, rank, other, score).
 
-    Exact: rows are dealt into blocks of about BLOCK by hash and every pair of blocks is one task's product, of which only k rows per query
+    Exact: rows are dealt by hash into blocks of about BLOCK, of large tables into two dozen up to four times that size, and every pair of blocks is one task's product, of which only k rows per query
     leave the task. The work is that of all scores, and every vector is copied to as many tasks as there are blocks; see `hard_negatives_indexed` for large banks.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    n = max(1, -(-rows.count() // BLOCK))
+    rows = df.select(F.col(key).alias("key"), F.col(group).alias("g"), F.col(vector).alias("v"))
+    size = rows.count()
+    n = max(1, -(-size // min(4 * BLOCK, max(BLOCK, size // 24))))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(n - 1))
     left = rows.withColumn("other_block", F.explode(every)).withColumn("role", F.lit(0))
