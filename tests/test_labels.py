@@ -61,3 +61,14 @@ def test_refinement_on_random_graphs(spark):
 
 def test_placeholders():
     assert rename(["int x = foo (a, b);", "return x + foo(c);", None]) == ["int var_0 = func_0 (var_1, var_2);", "return var_0 + func_0(var_3);", ""]
+
+
+def test_blocks_meet_their_statements_once(spark):
+    """Penalties by hand, also of types and roles that there are not; one aggregate of blocks and one join, whatever the number of roles and types."""
+    shares = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 1, 0.5), (1, 1, 4, 1.0), (1, 2, None, 1.0), (2, 0, 99, 1.0), (3, 0, 0, 1.0)], "sample int, b int, role int, p double")
+    statements = spark.createDataFrame([(1, 0, 0), (1, 1, 2), (1, 2, 4), (1, 3, None), (1, 4, 99), (2, 0, 0)], "sample int, s int, ast int")
+    found = L.type_penalty(shares, statements, spark, ["sample"])
+    want = {(1, 0, 0): 0.5, (1, 0, 1): 0.5, (1, 1, 2): 0.0}
+    assert {(r.sample, r.b, r.s): r.penalty for r in found.collect()} == {(1, b, s): want.get((1, b, s), 1.0) for b in range(3) for s in range(5)} | {(2, 0, 0): 1.0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("Join") == 1
