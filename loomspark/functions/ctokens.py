@@ -14,6 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.spread import parts, spread
+
+#: Characters of statements, and those that a row counts for itself, in one task.
+EACH, ROW = 400_000, 16
+
 # Constants and what they stand for; words of types and tags, and other words of the language.
 CONSTANTS = {"NULL": "0", "true": "1", "false": "0", "TRUE": "1", "FALSE": "0", "EXIT_SUCCESS": "0", "EXIT_FAILURE": "1"}
 TYPE_WORDS = ["_Bool", "bool", "char", "const", "double", "float", "int", "int8_t", "int16_t", "int32_t", "int64_t", "long", "short", "signed", "size_t", "ssize_t", "uint8_t", "uint16_t", "uint32_t", "uint64_t", "uintptr_t", "unsigned", "void", "volatile"]
@@ -153,8 +158,20 @@ def _joined(piece: Column, before: Column) -> Column:
     return F.concat(F.when(words | merged, " ").otherwise(""), piece)
 
 
+def _dealt(statements: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
+    """statements in parts of about as many characters each, before they are split: a token's row is many times as large as its text."""
+    weight = F.lit(ROW)
+    for t in texts:
+        weight = weight + F.coalesce(F.length(t), F.lit(0))
+    return spread(statements.select(*key, *texts), key, parts(statements, EACH, weight))
+
+
 def canonical_statements(statements: DataFrame, key: list[str], text: str) -> DataFrame:
     """key, canonical (the text in its plain form), alpha (with local names as v0, v1, ...) and shaped (whether it has an operator or `return`)."""
+    return _forms(_dealt(statements, key, [text]), key, text)
+
+
+def _forms(statements: DataFrame, key: list[str], text: str) -> DataFrame:
     rows = renamed(simplified(tokens(statements, key, text), key), key)
     w = _counted(key)
     alpha = F.coalesce(F.concat(F.lit("v"), F.col("local").cast("string")), "token")
@@ -169,8 +186,10 @@ def canonical_statements(statements: DataFrame, key: list[str], text: str) -> Da
 
 def symbolic_proofs(pairs: DataFrame, key: list[str], candidate: str, reference: str, allow_alpha: bool = False) -> DataFrame:
     """key and `proof`: how the two texts are equal, `canonical`, `alpha` (if allowed, and both have some structure) or `none`."""
-    side = lambda c, k: pairs.select(*key, F.lit(k).alias("_side"), F.col(c).alias("_text"))
-    both = canonical_statements(side(candidate, 0).unionByName(side(reference, 1)), [*key, "_side"], "_text")
+    side = lambda c, k: F.struct(F.lit(k).alias("_side"), F.col(c).alias("_text"))
+    # both texts of a pair stay in one part
+    sides = _dealt(pairs, key, [candidate, reference]).select(*key, F.inline(F.array(side(candidate, 0), side(reference, 1))))
+    both = _forms(sides, [*key, "_side"], "_text")
     of = lambda c, k: F.max(F.when(F.col("_side") == k, F.col(c)))
     two = both.groupBy(*key).agg(*(of(c, k).alias(f"{c}{k}") for c in ("canonical", "alpha", "shaped") for k in (0, 1)))
     alpha = F.lit(allow_alpha) & (F.col("canonical0") != "") & F.col("shaped0") & F.col("shaped1") & (F.col("alpha0") == F.col("alpha1"))
