@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .settle import settled
+from .spread import parts, spread
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: str, high: str, width: float) -> DataFrame:
@@ -44,12 +47,79 @@ def overlap_or_widened(left: DataFrame, right: DataFrame, on: list[str], low: st
 
 
 def jaccard_argmax(a: DataFrame, b: DataFrame, a_key: str, b_key: str, item: str, least: float) -> DataFrame:
-    """For each a its most similar b by the Jaccard of distinct items, `least` at least; of equals the smallest b.
+    """For each a its most similar b by the Jaccard of distinct items, `least` at least (over 0); of equals the smallest b.
+
+    From 0.5 on sets meet by their rare items. Below, the first items that two sets must share are nearly all of a set, so frequent items pair nearly all sets; there all of them are counted, in blocks.
+    """
+    x, y = (side.select(F.col(key).alias("_k"), item).where(F.col("_k").isNotNull() & F.col(item).isNotNull()).distinct() for side, key in ((a, a_key), (b, b_key)))
+    best = (_best_by_prefixes if least >= 0.5 else _best_in_blocks)(x, y, item, least).groupBy("_a").agg(F.max_by(F.struct("_b", "jaccard"), F.struct("jaccard", (-F.col("_b")).alias("k"))).alias("_x"))
+    return best.select(F.col("_a").alias(a_key), F.col("_x._b").alias(b_key), F.round("_x.jaccard", 6).alias("jaccard"))
+
+
+#: Sets of a block of a and items of all of them, and items of a slice of b.
+BLOCK_SETS, BLOCK_ITEMS, SLICE_ITEMS = 512, 65_536, 2_000_000
+
+
+def _best_in_blocks(x: DataFrame, y: DataFrame, item: str, least: float) -> DataFrame:
+    """(_a, _b, jaccard): of each a the best b of every slice of b. Blocks of a and slices of b are bounded, each two meet in one group, and the counts of a group are products of 0-1 matrices over a's items."""
+    x = settled(x)
+    numbers = settled(x.select(item).distinct().withColumn("_i", F.monotonically_increasing_id()))  # numbers stand for the items of a; of others only how many there are matters
+
+    def sets(side: DataFrame) -> DataFrame:
+        found = side.join(numbers, item, "left").groupBy("_k").agg(F.count("*").alias("_n"), F.collect_list("_i").alias("_s"))
+        return settled(found.where(F.size("_s") > 0))
+
+    xs, ys = sets(x), sets(y)
+    n_blocks = max(parts(xs, BLOCK_SETS), parts(xs, BLOCK_ITEMS, F.size("_s")))
+    n_slices = parts(ys, SLICE_ITEMS, F.size("_s"))
+    part = lambda n: F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    on = ["_block", "_slice"]
+    left = spread(xs.withColumn("_block", part(n_blocks)).withColumn("_slice", every(n_slices)), on, n_blocks * n_slices)
+    right = spread(ys.withColumn("_slice", part(n_slices)).withColumn("_block", every(n_blocks)), on, n_blocks * n_slices)
+    kinds = dict(xs.dtypes)["_k"], dict(ys.dtypes)["_k"]
+
+    def run(p: pa.Table, q: pa.Table) -> pa.Table:
+        return _best_of_block(p, q, least)
+
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, f"_a {kinds[0]}, _b {kinds[1]}, jaccard double")
+
+
+def _best_of_block(p: pa.Table, q: pa.Table, least: float) -> pa.Table:
+    """The best row of q for each row of p, where there is one; rows are _k, _n (size of the set) and _s (those of its items that are numbered)."""
+    q = q.sort_by("_k")  # the first of equals is the smallest
+    flat = lambda t: (t["_n"].to_numpy().astype("int64"), *(lambda s: (s.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(s)), s.value_lengths().to_numpy(zero_copy_only=False))))(t["_s"].combine_chunks()))
+    n, items, of = flat(p)
+    m, others, row = flat(q)
+    best, at = np.zeros(len(n)), np.full(len(n), -1)
+    if len(n) and len(m):
+        known, place = np.unique(items, return_inverse=True)
+        has = np.zeros((len(known), len(n)), "float32")
+        has[place, of] = 1
+        column = np.minimum(np.searchsorted(known, others), len(known) - 1)
+        row, column = row[known[column] == others], column[known[column] == others]
+        step = min(4096, max(1, 4_000_000 // len(known)))
+        for low in range(0, len(m), step):
+            size = m[low : low + step]
+            i, j = np.searchsorted(row, [low, low + step])
+            hit = np.zeros((len(size), len(known)), "float32")
+            hit[row[i:j] - low, column[i:j]] = 1
+            common = (hit @ has).astype("float64")
+            score = common / (size[:, None] + n[None, :] - common)
+            top = score.argmax(axis=0)
+            value = score[top, np.arange(len(n))]
+            at, best = np.where(value > best, top + low, at), np.maximum(value, best)
+    kept = np.flatnonzero((at >= 0) & (best >= least))
+    return pa.table({"_a": p["_k"].take(kept), "_b": q["_k"].take(at[kept]), "jaccard": best[kept]})
+
+
+def _best_by_prefixes(x: DataFrame, y: DataFrame, item: str, least: float) -> DataFrame:
+    """(_a, _b, jaccard) of all pairs of at least that similarity.
 
     Items are ordered by how many sets have them. Of n items in that order two sets of such a similarity share one of the first n - ceil(least * n) + 1 of both, so
     only these are joined, and the most common items of a set pair nobody; sizes must be within the same ratio. What remains is counted on the whole sets.
     """
-    x, y = (settled(side.select(F.col(key).alias("_k"), item).where(F.col(item).isNotNull()).distinct()) for side, key in ((a, a_key), (b, b_key)))
+    x, y = settled(x), settled(y)
     often = settled(x.unionByName(y).groupBy(item).agg(F.count("*").alias("_f")).withColumn("_i", F.monotonically_increasing_id()))  # numbers stand for items
 
     def sets(side: DataFrame) -> DataFrame:
@@ -65,9 +135,7 @@ def jaccard_argmax(a: DataFrame, b: DataFrame, a_key: str, b_key: str, item: str
     # the sets of a travel with the pairs, those of b are met where they lie
     both = pairs.join(xs.select(F.col("_k").alias("_a"), "_s"), "_a").join(ys.select(F.col("_k").alias("_b"), F.col("_s").alias("_t")), "_b")
     both = both.select("_a", "_b", F.size("_s").alias("_n"), F.size("_t").alias("_m"), F.size(F.array_intersect("_s", "_t")).alias("_i"))
-    both = both.withColumn("jaccard", F.col("_i") / (F.col("_n") + F.col("_m") - F.col("_i"))).where(F.col("jaccard") >= least)
-    best = both.groupBy("_a").agg(F.max_by(F.struct("_b", "jaccard"), F.struct("jaccard", (-F.col("_b")).alias("k"))).alias("_x"))
-    return best.select(F.col("_a").alias(a_key), F.col("_x._b").alias(b_key), F.round("_x.jaccard", 6).alias("jaccard"))
+    return both.select("_a", "_b", (F.col("_i") / (F.col("_n") + F.col("_m") - F.col("_i"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def cascade(left: DataFrame, right: DataFrame, keys: list[tuple[str, Column, Column]], left_id: str, right_id: str, compatible: Column | None = None) -> DataFrame:

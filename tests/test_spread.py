@@ -20,3 +20,22 @@ def test_proofs_in_parts(spark, monkeypatch):
     assert found.rdd.getNumPartitions() >= 6
     assert {(r["id"], r["proof"]) for r in found.collect()} == {(k, "alpha" if k % 2 else "canonical") for k in range(200)}
     assert ctokens.canonical_statements(pairs, ["id"], "a").rdd.getNumPartitions() >= 5
+
+
+def test_frequent_items_pair_in_blocks(spark, monkeypatch):
+    """Sets of frequent items in several blocks and slices, against brute force; no row for each pair that has an item in common is shuffled."""
+    import random
+
+    from loomspark.operators import joins
+
+    rng = random.Random(5)
+    sets = {side: {k: set(rng.sample(range(40), rng.randint(1, 25))) for k in range(n)} for side, n in (("a", 60), ("b", 90))}
+    sets["b"][90] = sets["b"][7]  # of equals the smaller one
+    frames = [spark.createDataFrame([(k, f"w{i}") for k, s in sets[side].items() for i in s] + [(0, None)], f"{side} bigint, w string") for side in "ab"]
+    for name, n in (("BLOCK_SETS", 16), ("SLICE_ITEMS", 200)):
+        monkeypatch.setattr(joins, name, n, raising=False)
+    for least in (0.1, 0.3, 0.6):
+        scores = {k: max((len(s & t) / len(s | t), -b) for b, t in sets["b"].items()) for k, s in sets["a"].items()}
+        found = joins.jaccard_argmax(*frames, "a", "b", "w", least)
+        assert {tuple(r) for r in found.collect()} == {(k, -b, round(j, 6)) for k, (j, b) in scores.items() if j >= least}
+        assert least > 0.5 or "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
