@@ -9,12 +9,12 @@ from loomspark.operators import align as L
 from loomspark.operators import joins as J
 from loomspark.operators.settle import settled
 
-from .tables import read
+from .tables import by_order, read
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     """Alignment cells out of line items: order, line, supplier's residue class, quantity and discount."""
-    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("b"), (F.col("l_suppkey") % 8).alias("s")).agg(F.sum("l_quantity").alias("m"), F.max(F.col("l_discount") * 10).alias("w"))
+    return by_order(spark, d).groupBy(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("b"), (F.col("l_suppkey") % 8).alias("s")).agg(F.sum("l_quantity").alias("m"), F.max(F.col("l_discount") * 10).alias("w"))
 
 
 def _blocks(cells: DataFrame) -> DataFrame:

@@ -39,3 +39,16 @@ def test_frequent_items_pair_in_blocks(spark, monkeypatch):
         found = joins.jaccard_argmax(*frames, "a", "b", "w", least)
         assert {tuple(r) for r in found.collect()} == {(k, -b, round(j, 6)) for k, (j, b) in scores.items() if j >= least}
         assert least > 0.5 or "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def _in_parts(spark, monkeypatch, name):
+    """Whether the query's rows over sf0.001 (6,000 line items) come in a part for each 500, as many as asked for."""
+    from loomspark import plans
+    from loomspark.plans import tables
+
+    monkeypatch.setattr(tables, "EACH", 500, raising=False)
+    return plans.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 12
+
+
+def test_expected_position_in_parts(spark, monkeypatch):
+    assert _in_parts(spark, monkeypatch, "expected_position")
