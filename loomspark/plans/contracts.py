@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import contracts as C
 
-from .tables import read
+from .tables import by_order, read
 
 TYPES = ["COND", "BLOCK", "CASE", "GOTO", "UNSTRUCTURED_REGION", "odd", None]
 
@@ -106,7 +106,7 @@ def quality_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_tasks(spark: SparkSession, d: str) -> DataFrame:
-    l = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("fill "), F.col("l_suppkey").cast("string")).alias("text")).distinct()  # noqa: E741
+    l = by_order(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("fill "), F.col("l_suppkey").cast("string")).alias("text")).distinct()  # noqa: E741
     return C.audit_tasks(l, ["l_orderkey", "l_partkey"], "text", [F.col("l_linenumber"), F.col("l_partkey"), F.col("text")]).select("l_orderkey", "l_linenumber", "task_id", F.col("candidate_rank").cast("long").alias("candidate_rank"), "target_text", "verdict")
 
 

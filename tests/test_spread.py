@@ -52,3 +52,17 @@ def _in_parts(spark, monkeypatch, name):
 
 def test_expected_position_in_parts(spark, monkeypatch):
     assert _in_parts(spark, monkeypatch, "expected_position")
+
+
+def test_audit_tasks_in_parts(spark, monkeypatch):
+    """Ranks are the same with slots above and below the bound, and small slots need no bounds."""
+    from loomspark.operators import contracts
+
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 7 + 1).alias("f"), F.col("id").alias("c"), F.concat(F.lit("t"), F.col("id") % 11).alias("text"))
+    ranked = lambda **k: {(r["f"], r["c"]): r["candidate_rank"] for r in contracts.audit_tasks(rows, ["f", "c"], "text", [F.col("c") % 50, F.col("c")], **k).collect()}
+    expected = {}
+    for f in range(8):
+        own = [c for c in range(300) if (0 if c < 200 else c % 7 + 1) == f]
+        expected |= {(f, c): k + 1 for k, c in enumerate(sorted(own, key=lambda c: (c % 50, c)))}
+    assert ranked() == expected and ranked(whole=100) == expected and ranked(whole=1) == expected
+    assert _in_parts(spark, monkeypatch, "audit_tasks")
