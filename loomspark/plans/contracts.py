@@ -58,8 +58,8 @@ def instance_checks(spark: SparkSession, d: str) -> DataFrame:
 def candidate_facts(spark: SparkSession, d: str) -> DataFrame:
     """Orders as candidates of four blocks, line items as slots."""
     k = F.col("l_partkey")
-    slots = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("c"), F.col("l_linenumber").alias("slot_id"), _pick(["COND", "BLOCK", "GOTO", "BREAK"], F.col("l_suppkey") % 4).alias("slot_type"), F.when(k % 9 != 0, F.array(k % 5, (k + 2) % 4)).otherwise(F.array().cast("array<bigint>")).alias("primary"), F.array(k % 4).alias("context"))
-    out = C.candidate_facts(slots, read(spark, d, "orders").select(F.col("o_orderkey").alias("c"), F.lit(4).alias("n_bb")), ["c"])
+    slots = by_order(spark, d).select(F.col("l_orderkey").alias("c"), F.col("l_linenumber").alias("slot_id"), _pick(["COND", "BLOCK", "GOTO", "BREAK"], F.col("l_suppkey") % 4).alias("slot_type"), F.when(k % 9 != 0, F.array(k % 5, (k + 2) % 4)).otherwise(F.array().cast("array<bigint>")).alias("primary"), F.array(k % 4).alias("context"))
+    out = C.candidate_facts(slots, by_order(spark, d, "orders").select(F.col("o_orderkey").alias("c"), F.lit(4).alias("n_bb")), ["c"])
     return out.select("c", "invalid_refs", F.col("missing_blocks").cast("long").alias("missing_blocks"), "duplicate_blocks", "grounded", "n_goto", "n_break", F.array_join("fatal", ",").alias("fatal"))
 
 

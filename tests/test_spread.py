@@ -66,3 +66,7 @@ def test_audit_tasks_in_parts(spark, monkeypatch):
         expected |= {(f, c): k + 1 for k, c in enumerate(sorted(own, key=lambda c: (c % 50, c)))}
     assert ranked() == expected and ranked(whole=100) == expected and ranked(whole=1) == expected
     assert _in_parts(spark, monkeypatch, "audit_tasks")
+
+
+def test_candidate_facts_in_parts(spark, monkeypatch):
+    assert _in_parts(spark, monkeypatch, "candidate_facts")
