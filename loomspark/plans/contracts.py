@@ -47,11 +47,11 @@ def spot_checks(spark: SparkSession, d: str) -> DataFrame:
 
 def instance_checks(spark: SparkSession, d: str) -> DataFrame:
     """Line items as instructions of an order's one block, a statement of six kinds."""
-    l, k = read(spark, d, "lineitem"), F.col("l_partkey")  # noqa: E741
+    l, k = by_order(spark, d), F.col("l_partkey")  # noqa: E741
     place = F.col("l_linenumber") * 100000 + k
     code = l.select(F.col("l_orderkey").alias("b"), place.alias("place"), _pick(["mov", "call", "cmp", "ret"], k % 4).alias("mnemonic"), F.when(k % 4 == 1, _pick(["foo@plt", "bar", "0x12", "foobar"], k % 3)).alias("call_target"), F.when(k % 4 == 2, F.array(k % 70, F.lit(1).cast("bigint"))).alias("immediates"))
     text = _pick(["foo(x);", "return bar(1);", "if (a != 65)", "x = 'A';", "}", " "], F.col("o_orderkey") % 6)
-    statements = read(spark, d, "orders").select(F.col("o_orderkey").alias("b"), _pick(["call", "return_statement", "compound_statement"], F.col("o_custkey") % 3).alias("type"), text.alias("text"))
+    statements = by_order(spark, d, "orders").select(F.col("o_orderkey").alias("b"), _pick(["call", "return_statement", "compound_statement"], F.col("o_custkey") % 3).alias("type"), text.alias("text"))
     return C.instance_checks(code, statements, ["b"])
 
 

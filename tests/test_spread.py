@@ -70,3 +70,7 @@ def test_audit_tasks_in_parts(spark, monkeypatch):
 
 def test_candidate_facts_in_parts(spark, monkeypatch):
     assert _in_parts(spark, monkeypatch, "candidate_facts")
+
+
+def test_instance_checks_in_parts(spark, monkeypatch):
+    assert _in_parts(spark, monkeypatch, "instance_checks")
