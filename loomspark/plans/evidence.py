@@ -9,7 +9,7 @@ from loomspark.operators import evidence as V
 from loomspark.operators import losses as M
 
 from .joining import _CELLS, _cells
-from .tables import read
+from .tables import by_order, read
 
 
 def _instructions(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def cfg_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("b"), (F.col("l_partkey") % 20).alias("line"), F.when(F.col("l_discount") > 0.02, F.col("l_discount") * 10).alias("c"))
+    return by_order(spark, d).select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("b"), (F.col("l_partkey") % 20).alias("line"), F.when(F.col("l_discount") > 0.02, F.col("l_discount") * 10).alias("c"))
 
 
 def soft_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def soft_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_violations(spark: SparkSession, d: str) -> DataFrame:
-    statements = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), (F.col("l_suppkey") % 8).alias("s")).agg(F.min(F.col("l_partkey") % 20).alias("start_line"), F.max(F.col("l_partkey") % 20).alias("end_line"))
+    statements = by_order(spark, d).groupBy(F.col("l_orderkey").alias("sample"), (F.col("l_suppkey") % 8).alias("s")).agg(F.min(F.col("l_partkey") % 20).alias("start_line"), F.max(F.col("l_partkey") % 20).alias("end_line"))
     return V.overlap_violations(_cells(spark, d), _lines(spark, d).select("sample", "b", "line"), statements, high=0.5)
 
 
