@@ -74,3 +74,11 @@ def test_candidate_facts_in_parts(spark, monkeypatch):
 
 def test_instance_checks_in_parts(spark, monkeypatch):
     assert _in_parts(spark, monkeypatch, "instance_checks")
+
+
+def test_functions_in_parts(spark, monkeypatch):
+    """Blocks of functions come in a part for each 500 of 6,000 rows, by function."""
+    from loomspark.plans import flow
+
+    monkeypatch.setattr(flow, "EACH", 500, raising=False)
+    assert flow.blocks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 12
