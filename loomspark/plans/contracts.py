@@ -121,7 +121,7 @@ def rendered_skeletons(spark: SparkSession, d: str) -> DataFrame:
 
 def _slots(spark: SparkSession, d: str) -> DataFrame:
     k, none = F.col("k"), F.array().cast("array<bigint>")
-    slots = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("f"), (F.col("l_linenumber") - 1).cast("long").alias("sid")).agg(F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"))
+    slots = by_order(spark, d).groupBy(F.col("l_orderkey").alias("f"), (F.col("l_linenumber") - 1).cast("long").alias("sid")).agg(F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"))
     kind = F.when(k % 3 == 0, "COND").when(k % 11 == 0, "BRANCH").otherwise("BLOCK")
     return slots.select("f", F.when(F.col("s") % 2 == 0, "p").otherwise("w").alias("side"), "sid", kind.alias("kind"), F.when(k % 5 == 0, none).otherwise(F.array(k % 3, k % 4)).alias("primary"), F.when(k % 7 < 2, none).otherwise(F.array(k % 2)).alias("context"))
 

@@ -82,3 +82,12 @@ def test_functions_in_parts(spark, monkeypatch):
 
     monkeypatch.setattr(flow, "EACH", 500, raising=False)
     assert flow.blocks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 12
+
+
+def test_matched_slots_in_parts(spark, monkeypatch):
+    """Slots are shuffled once, in parts of a fixed size, whatever their number; so are those of slot_audit."""
+    from loomspark import plans
+
+    for name in ("matched_slots", "slot_audit"):
+        assert _in_parts(spark, monkeypatch, name)
+        assert plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
