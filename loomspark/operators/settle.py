@@ -24,10 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder, by columns, and read from there, so what depends on how its rows were dealt stays the same in every branch that reads it."""
+    """df written once to the shared folder, by columns, and read from there, so what depends on how its rows were dealt stays the same in every branch that reads it.
+
+    Joins with it are sort-merge joins: as files its rows may take a fiftieth of what they take in a hash table, so Spark would take millions of them for small enough to pass through the driver.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
     out.__dict__["settled_at"] = path
     return out
 
