@@ -2,7 +2,8 @@
 
 Blocks, edges and accesses are rows of all functions at once. A fact (a value, or a place that defines it) leaves a block along its edges and goes on from where it arrives unless that block
 defines the value. A function of up to LARGEST rows is followed to its end where its rows meet, by a worklist over sets of facts, many functions in a batch: one shuffle, however far facts go. Larger ones go
-in semi-naive rounds: only facts that arrived somewhere for the first time move on, joined with the edges; a round in which none did is the last.
+in semi-naive rounds: only facts that arrived somewhere for the first time move on, joined with the edges; a round in which none did is the last. liveness and region_flow gather a function's rows as one row
+and make their results from it, so nothing between is shuffled or kept; tables that were dealt by function before, in equal parts, are not shuffled at all.
 
 Tables: edges (sample, src, dst); accesses (sample, block, ordinal, value, kind), kind `def` or `use`, where of one ordinal the uses come before the definitions; regions (sample, region, block), which may overlap.
 
@@ -14,10 +15,12 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,8 +150,128 @@ def _definitions(accesses: DataFrame) -> DataFrame:
     return _plain(accesses.where("kind = 'def'"), "sample", "block", "value")
 
 
+def _facts(accesses: DataFrame) -> DataFrame:
+    """(sample, block, value, flags): 1 used before any definition in the block, 2 defined, 4 the definition has a place, 8 used behind a definition."""
+    at = lambda kind: F.when(F.col("kind") == kind, F.col("ordinal"))
+    x = accesses.na.drop(subset=["sample", "block", "value"]).groupBy("sample", "block", "value").agg(F.min(at("def")).alias("_first"), F.min(at("use")).alias("_least"), F.max(at("use")).alias("_most"), F.max(F.col("kind") == "def").alias("_def"))
+    first = F.col("_first")
+    held = {1: F.col("_least").isNotNull() & (first.isNull() | (F.col("_least") <= first)), 2: F.col("_def"), 4: first.isNotNull(), 8: F.col("_most") > first}
+    flags = sum(F.when(c, k).otherwise(0) for k, c in held.items())
+    return x.select("sample", "block", "value", flags.cast("tinyint").alias("flags")).where("flags > 0")
+
+
+def _functions(accesses: DataFrame, edges: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """A row for each function: sample, facts, ways and areas (regions and their blocks), as arrays. Functions must be of bounded size."""
+    kind = dict(accesses.dtypes)["block"]
+    cast = lambda c: F.col(c).cast(kind).alias(c)
+    tables = {"facts": _facts(accesses).select("sample", F.struct("block", "value", "flags").alias("facts")), "ways": edges.na.drop(subset=["sample", "src", "dst"]).select("sample", F.struct(cast("src"), cast("dst")).alias("ways"))}
+    if regions is not None:
+        tables["areas"] = regions.na.drop(subset=["sample", "region", "block"]).select("sample", F.struct("region", cast("block")).alias("areas"))
+    kinds = {n: t.schema[n].dataType for n, t in tables.items()}
+    rows = reduce(DataFrame.unionByName, (t.select("sample", *(F.col(c) if c == n else F.lit(None).cast(k).alias(c) for c, k in kinds.items())) for n, t in tables.items()))
+    return rows.groupBy("sample").agg(*(F.collect_list(c).alias(c) for c in kinds))
+
+
+def _split(*tables: DataFrame) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The tables' rows of functions of up to LARGEST rows in all, and those of larger ones, if there are any."""
+    large = settled(larger(reduce(DataFrame.unionByName, (t.select("sample") for t in tables)).where("sample IS NOT NULL"), LARGEST))
+    if large.isEmpty():
+        released(large)
+        return list(tables), None
+    return [t.join(large, "sample", "left_anti") for t in tables], [t.join(large, "sample") for t in tables]
+
+
+def _numbers(*columns: pa.Array) -> tuple[list[list[int]], Callable[[list[int]], pa.Array]]:
+    """Numbers that stand for the values of columns of one type, in their order, and what gives the values of numbers."""
+    kind = columns[0].type
+    if pa.types.is_integer(kind):
+        return [c.to_numpy().tolist() for c in columns], lambda n: pa.array(np.array(n, np.int64)).cast(kind)
+    coded = pa.concat_arrays(columns).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    codes, ends = place[coded.indices.to_numpy()] if len(coded) else place, np.cumsum([0, *map(len, columns)])
+    return [codes[a:z].tolist() for a, z in pairwise(ends)], lambda n: coded.dictionary.take(order.take(pa.array(n, pa.int64())))
+
+
+def _parts(batch: pa.RecordBatch, *names: str) -> list[tuple[list[int], pa.StructArray]]:
+    """Of columns of arrays where each function's begin, and their parts."""
+    found = []
+    for n in names:
+        column = batch.column(n)
+        offsets = column.offsets.to_numpy()
+        found.append(((offsets - offsets[0]).tolist(), column.flatten()))
+    return found
+
+
+def _followed_back(facts: Iterator[tuple[int, int, int]], before: dict[int, list[int]]) -> tuple[dict, dict, dict, dict]:
+    """bits by value, and by block the sets of values that are used first, defined, and live at the end."""
+    bits, use, stop, out = {}, {}, {}, {}
+    for b, v, f in facts:
+        bit = 1 << bits.setdefault(v, len(bits))
+        if f & 1:
+            use[b] = use.get(b, 0) | bit
+        if f & 2:
+            stop[b] = stop.get(b, 0) | bit
+    todo, moving = sorted(use), use.copy()
+    while todo:
+        b = todo.pop()
+        new = moving.pop(b)
+        for a in before.get(b, ()):
+            held = out.get(a, 0)
+            more = new & ~held
+            if more:
+                out[a] = held | more
+                on = more & ~stop.get(a, 0)
+                if on:
+                    if a not in moving:
+                        todo.append(a)
+                    moving[a] = moving.get(a, 0) | on
+    return bits, use, stop, out
+
+
+def _living(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    word = (1 << 64) - 1
+    for batch in batches:
+        (fs, facts), (ws, ways) = _parts(batch, "facts", "ways")
+        (block, src, dst), of_block = _numbers(facts.field("block"), ways.field("src"), ways.field("dst"))
+        (value,), of_value = _numbers(facts.field("value"))
+        flags = facts.field("flags").to_pylist()
+        at, blocks, begin, end, base, values = [], [], [], [], [], []
+        for i in range(batch.num_rows):
+            a, z = fs[i], fs[i + 1]
+            before = defaultdict(list)
+            for x, y in zip(src[ws[i] : ws[i + 1]], dst[ws[i] : ws[i + 1]], strict=True):
+                before[y].append(x)
+            bits, use, stop, out = _followed_back(zip(block[a:z], value[a:z], flags[a:z], strict=True), before)
+            for b in use.keys() | out.keys():
+                o = out.get(b, 0)
+                n = use.get(b, 0) | o & ~stop.get(b, 0)
+                for k in range(0, len(bits), 64):
+                    at.append(i)
+                    blocks.append(b)
+                    begin.append(n >> k & word)
+                    end.append(o >> k & word)
+                    base.append(len(values) + k)
+            values += bits
+        if not at:
+            continue
+        live_in, live_out = np.array(begin, np.uint64), np.array(end, np.uint64)
+        r, k = np.nonzero(np.unpackbits((live_in | live_out).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        is_set = lambda x: pa.array((x[r] >> k.astype(np.uint64) & np.uint64(1)).astype(bool))  # noqa: B023, E731
+        columns = [batch.column("sample").take(pa.array(np.array(at)[r])), of_block(np.array(blocks)[r]), of_value(np.array(values)[np.array(base)[r] + k]), is_set(live_in), is_set(live_out)]
+        yield from pa.table(columns, ["sample", "block", "value", "live_in", "live_out"]).to_batches(max_chunksize=100_000)
+
+
 def liveness(accesses: DataFrame, edges: DataFrame) -> DataFrame:
     """(sample, block, value, live_in, live_out) of the values that are live at a block's beginning or end."""
+    kinds = dict(accesses.dtypes)
+    small, large = _split(accesses, edges)
+    found = _functions(*small).mapInArrow(_living, ", ".join(f"{c} {kinds[c]}" for c in ("sample", "block", "value")) + ", live_in boolean, live_out boolean")
+    return found if large is None else found.unionByName(_far_liveness(*large))
+
+
+def _far_liveness(accesses: DataFrame, edges: DataFrame) -> DataFrame:
     uses, defined = _plain(exposed_uses(accesses), "sample", "block", "value"), _definitions(accesses)
     back = edges.select("sample", F.col("dst").alias("src"), F.col("src").alias("dst"))
     out, _ = arrived(uses, back, defined, ["value"])

@@ -50,3 +50,23 @@ def test_functions_are_whole_across_batches(spark):
 
     found = {r.sample: r.n for r in batches.in_batches(rows, run, "sample bigint, n bigint").collect()}
     assert found == {r.sample: r["count"] for r in rows.groupBy("sample").count().collect()}
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_liveness_takes_no_further_shuffle(spark, tables):
+    accesses, edges = (t.repartition(5, "sample") for t in tables)
+    assert shuffles(D.liveness(accesses, edges)) == 2  # those of the two tables
+
+
+def test_liveness_of_many_values_and_other_types(spark):
+    n = 200  # values, more than a word has bits
+    accesses = spark.range(n).selectExpr("1 AS sample", "'b' || id % 3 AS block", "cast(0 as bigint) AS ordinal", "cast(id as double) AS value", "IF(id % 7 = 0, 'def', 'use') AS kind")
+    edges = spark.createDataFrame([(1, "b0", "b1"), (1, "b1", "b2"), (1, "b2", "b0"), (1, "b9", "b0")], "sample int, src string, dst string")
+    found = {(r.block, int(r.value)): (r.live_in, r.live_out) for r in D.liveness(accesses, edges).collect()}
+    used, defined = {(f"b{k % 3}", k) for k in range(n) if k % 7}, {(f"b{k % 3}", k) for k in range(0, n, 7)}
+    every = {k for _, k in used}
+    assert not any(k in every for _, k in defined)
+    assert found == {(b, k): (b != "b9", True) if b != "b9" else (True, True) for b in ("b0", "b1", "b2", "b9") for k in every}
