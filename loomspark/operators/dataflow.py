@@ -300,9 +300,107 @@ def def_use_chains(accesses: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(far.select("sample", "value", F.col("block").alias("use_block"), F.col("ordinal").alias("use_ordinal"), "def_block", "def_ordinal"))
 
 
+_SETS = ["live_in", "live_out", "internal_uses", "raw_defs", "raw_uses"]
+
+
+def _flow(facts: list[tuple[int, int, int]], after: dict[int, list[int]], areas: dict[int, set[int]]) -> Iterator[tuple[set[int], ...]]:
+    """Of each of a function's regions the sets of values in the order of _SETS."""
+    leaving, of_value, defines, stop, at, found, seen = {}, {}, [], {}, defaultdict(list), {}, {}
+    for b, v, f in facts:
+        at[b].append((v, f))
+        if f & 4:
+            bit = 1 << len(defines)
+            defines.append(v)
+            of_value[v] = of_value.get(v, 0) | bit
+            leaving[b] = leaving.get(b, 0) | bit
+    for b, v, f in facts:
+        if f & 2:
+            stop[b] = stop.get(b, 0) | of_value.get(v, 0)
+    todo, moving = sorted(leaving, reverse=True), leaving.copy()
+    while todo:
+        a = todo.pop()
+        new = moving.pop(a)
+        for b in after.get(a, ()):
+            held = found.get(b, 0)
+            more = new & ~held
+            if more:
+                found[b] = held | more
+                on = more & ~stop.get(b, 0)
+                if on:
+                    if b not in moving:
+                        todo.append(b)
+                    moving[b] = moving.get(b, 0) | on
+    for b, v, f in facts:  # the definitions that a block's uses see
+        if f & 1 and b in found:
+            seen[b] = seen.get(b, 0) | found[b] & of_value.get(v, 0)
+    for blocks in areas.values():
+        own, outside, sets = 0, 0, (set(), set(), set(), set(), set())
+        live_in, live_out, internal, defs, uses = sets
+        for b in blocks:
+            own |= leaving.get(b, 0)
+        for b, m in seen.items():
+            if b not in blocks:
+                outside |= m
+        outside &= own
+        while outside:
+            k = outside.bit_length() - 1
+            live_out.add(defines[k])
+            outside &= ~of_value[defines[k]]
+        for b in blocks:
+            arrived_here = found.get(b, 0)
+            for v, f in at.get(b, ()):
+                if f & 1:
+                    m = arrived_here & of_value.get(v, 0)
+                    if m & own:
+                        internal.add(v)
+                    if not m or m & ~own:
+                        live_in.add(v)
+                if f & 8:
+                    internal.add(v)
+                if f & 9:
+                    uses.add(v)
+                if f & 2:
+                    defs.add(v)
+        yield sets
+
+
+def _flowing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (fs, facts), (ws, ways), (rs, areas) = _parts(batch, "facts", "ways", "areas")
+        (block, src, dst, inside), _ = _numbers(facts.field("block"), ways.field("src"), ways.field("dst"), areas.field("block"))
+        (value,), of_value = _numbers(facts.field("value"))
+        (region,), of_region = _numbers(areas.field("region"))
+        flags = facts.field("flags").to_pylist()
+        at, regions, ends, values = [], [], [[0] for _ in _SETS], [[] for _ in _SETS]
+        for i in range(batch.num_rows):
+            a, z = fs[i], fs[i + 1]
+            after, own = defaultdict(list), defaultdict(set)
+            for x, y in zip(src[ws[i] : ws[i + 1]], dst[ws[i] : ws[i + 1]], strict=True):
+                after[x].append(y)
+            for r, b in zip(region[rs[i] : rs[i + 1]], inside[rs[i] : rs[i + 1]], strict=True):
+                own[r].add(b)
+            at += [i] * len(own)
+            regions += own
+            for sets in _flow(list(zip(block[a:z], value[a:z], flags[a:z], strict=True)), after, own):
+                for e, all_values, some in zip(ends, values, sets, strict=True):
+                    all_values += sorted(some)
+                    e.append(len(all_values))
+        columns = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), of_value(v)) for e, v in zip(ends, values, strict=True)]
+        yield from pa.table([batch.column("sample").take(pa.array(at, pa.int64())), of_region(regions), *columns], ["sample", "region", *_SETS]).to_batches(max_chunksize=10_000)
+
+
 def region_flow(accesses: DataFrame, edges: DataFrame, regions: DataFrame) -> DataFrame:
     """Per (sample, region) sorted arrays of values: live_in (used inside, from outside), live_out (defined inside, used outside), internal_defs (defined inside, used outside nowhere),
     internal_uses (used inside, from inside), raw_defs and raw_uses (all defined and used inside). Every region of `regions` has a row."""
+    kinds = dict(accesses.dtypes)
+    small, large = _split(accesses, edges, regions)
+    schema = f"sample {kinds['sample']}, region {dict(regions.dtypes)['region']}, " + ", ".join(f"{n} array<{kinds['value']}>" for n in _SETS)
+    found = _functions(*small).where(F.size("areas") > 0).mapInArrow(_flowing, schema)
+    found = found.withColumn("internal_defs", F.array_except("raw_defs", "live_out")).select("sample", "region", "live_in", "live_out", "internal_defs", "internal_uses", "raw_defs", "raw_uses")
+    return found if large is None else found.unionByName(_far_region_flow(*large))
+
+
+def _far_region_flow(accesses: DataFrame, edges: DataFrame, regions: DataFrame) -> DataFrame:
     regions = _plain(regions, "sample", "region", "block")
     chains = settled(def_use_chains(accesses, edges))
     inside = lambda c, name: regions.select("sample", "region", F.col("block").alias(c), F.lit(True).alias(name))

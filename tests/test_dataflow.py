@@ -70,3 +70,23 @@ def test_liveness_of_many_values_and_other_types(spark):
     every = {k for _, k in used}
     assert not any(k in every for _, k in defined)
     assert found == {(b, k): (b != "b9", True) if b != "b9" else (True, True) for b in ("b0", "b1", "b2", "b9") for k in every}
+
+
+@pytest.fixture(scope="module")
+def regions(spark):
+    rng = random.Random(4)
+    rows = [(f"g{k}", r, rng.randrange(25)) for k in range(30) for r in range(rng.randint(0, 4)) for _ in range(rng.randint(1, 9))]
+    return spark.createDataFrame([*rows, *rows[:5], ("only regions", 0, 0), ("g1", None, 0), ("g1", 0, None), (None, 0, 0)], "sample string, region int, block bigint").cache()
+
+
+@pytest.mark.parametrize("bound", [60, 0])
+def test_regions_same_as_joins(tables, regions, monkeypatch, bound):
+    ask = lambda: sorted(map(tuple, D.region_flow(*tables, regions).collect()), key=repr)
+    one_place = ask()
+    assert len(one_place) == regions.dropna().select("sample", "region").distinct().count() and all(any(r[k] for r in one_place) for k in range(2, 8))
+    monkeypatch.setattr(D, "LARGEST", bound)
+    assert one_place == ask()
+
+
+def test_region_flow_takes_no_further_shuffle(tables, regions):
+    assert shuffles(D.region_flow(*(t.repartition(5, "sample") for t in (*tables, regions)))) == 3  # those of the three tables
