@@ -16,34 +16,75 @@ BLOCK = 2048
 CHUNK = 256
 
 
+#: Parts of a block's rows whose best scores bound the k-th best of all from below.
+PARTS = 64
+#: Times k of a query's scores that are computed one by one; where more may be among the best, as of copies, the chunk is computed again.
+MANY = 16
+
+
+def _least(score: np.ndarray, k: int) -> np.ndarray:
+    """For each row of scores a bound that at least k of its scores reach, if there are as many."""
+    n, parts = score.shape[1], max(PARTS, 4 * k)
+    if n <= k:
+        return np.full(len(score), -np.inf)
+    if n >= 4 * parts:  # the best scores of k parts are k scores
+        score = score[:, : n // parts * parts].reshape(len(score), parts, n // parts).max(2)
+        n = parts
+    return np.partition(score, n - k, axis=1)[:, n - k]
+
+
 def _product(k: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a group's queries (role 0) and rows (role 1) the k best rows of other groups for each query."""
+    """Of a group's queries (role 0) and rows (role 1) the k best rows of other groups for each query.
+
+    Single precision says which scores may be among the best, by the most that it can be wrong; only these are computed in double precision. Where it can't hold the vectors, or says too little, all is computed in double precision.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         role = np.asarray(table["role"])
         code = np.asarray(table["g"].combine_chunks().dictionary_encode().indices.fill_null(-1))
         keys, groups, vectors = [], [], []
         for r in (0, 1):
-            side = table.filter(pa.array(role == r))
+            at = np.flatnonzero(role == r)
+            at = at[np.argsort(code[at], kind="stable")]  # what a query may not meet stands together
+            side = table.take(pa.array(at))
             keys.append(np.asarray(side["key"]))
-            groups.append(code[role == r])
+            groups.append(code[at])
             v = side["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
             vectors.append(v.reshape(len(keys[-1]), -1) if len(keys[-1]) else v)
         found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         n = len(keys[1])
-        for a in range(0, len(keys[0]) if n else 0, CHUNK):
-            score = vectors[0][a : a + CHUNK] @ vectors[1].T
-            if not np.isfinite(score.sum()):
-                score[~np.isfinite(score)] = -np.inf
-            score[groups[0][a : a + CHUNK, None] == groups[1][None, :]] = -np.inf
-            # what may be among the k best once scores are rounded; only these are rounded and sorted
-            least = np.partition(score, n - k, axis=1)[:, n - k] - 2e-6 if n > k else np.full(len(score), -np.inf)
-            q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-            value, other = np.round(score[q, c], 6), keys[1][c]
+        ways = []  # vectors by their precision, and by how much a query's scores may be wrong there
+        if len(keys[0]) and n:
+            with np.errstate(over="ignore", invalid="ignore"):
+                size = [np.sqrt((v * v).sum(1)) for v in vectors]
+                most = [x.max() for x in size]
+                if np.isfinite(most).all() and max(*most, most[0] * most[1]) < 1e30:
+                    ways.append(([v.astype(np.float32) for v in vectors], 2.0**-21 * (vectors[0].shape[1] + 8) * size[0] * most[1]))
+            ways.append((vectors, np.zeros(len(keys[0]))))
+        step = max(1, min(CHUNK, CHUNK * 4 * BLOCK // max(1, n)))
+        for a in range(0, len(keys[0]) if n else 0, step):
+            z = a + step
+            g, first, many = np.unique(groups[0][a:z], return_index=True, return_counts=True)
+            own = list(zip(first, first + many, np.searchsorted(groups[1], g), np.searchsorted(groups[1], g, "right"), strict=True))
+            for (x, y), wrong in ways:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = x[a:z] @ y.T
+                if not np.isfinite(score.sum()):
+                    score[~np.isfinite(score)] = -np.inf
+                for q0, q1, c0, c1 in own:
+                    score[q0:q1, c0:c1] = -np.inf
+                # what may be among the k best once scores are rounded; only these are rounded and sorted
+                least = (_least(score, k).astype(float) - wrong[a:z] - 2e-6).astype(score.dtype)
+                at = np.flatnonzero((score >= np.nextafter(least, score.dtype.type(-np.inf))[:, None]) & (score > -np.inf))
+                if len(at) <= MANY * k * len(score):
+                    break
+            q, c = np.divmod(at, n)
+            value = np.round(score[q, c] if x is vectors[0] else np.einsum("ij,ij->i", vectors[0][a + q], vectors[1][c]), 6)
+            other = keys[1][c]
             order = np.lexsort((other, -value, q))
             q, other, value = q[order], other[order], value[order]
             first = np.arange(len(q)) - np.searchsorted(q, q) < k
-            found.append((keys[0][a : a + CHUNK][q[first]], other[first], value[first]))
+            found.append((keys[0][a:z][q[first]], other[first], value[first]))
         return pa.table(dict(zip(("key", "other", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
@@ -63,12 +104,12 @@ _FOUND = "key bigint, other bigint, score double"
 def hard_negatives(df: DataFrame, key: str, group: str, vector: str, k: int) -> DataFrame:
     """For every row the k rows of other groups with the largest inner product (ties: smaller key): (key, rank, other, score).
 
-    Exact: rows are dealt by hash into blocks of about BLOCK, of large tables into two dozen up to four times that size, and every pair of blocks is one task's product, of which only k rows per query
+    Exact: rows are dealt by hash into blocks of about BLOCK, of large tables into a dozen up to sixteen times that size, and every pair of blocks is one task's product, of which only k rows per query
     leave the task. The work is that of all scores, and every vector is copied to as many tasks as there are blocks; see `hard_negatives_indexed` for large banks.
     """
     rows = df.select(F.col(key).alias("key"), F.col(group).alias("g"), F.col(vector).alias("v"))
     size = rows.count()
-    n = max(1, -(-size // min(4 * BLOCK, max(BLOCK, size // 24))))
+    n = max(1, -(-size // min(16 * BLOCK, max(BLOCK, size // 12))))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(n - 1))
     left = rows.withColumn("other_block", F.explode(every)).withColumn("role", F.lit(0))
@@ -162,21 +203,22 @@ def graph_contrast(df: DataFrame, batch: str, key: str, a: str, b: str, uid: str
         raise ValueError(f"unknown mode: {mode}")
     extra = [c for c in (negatives_b, negatives_a) if c]
 
-    def normed(v: list) -> np.ndarray:
-        x = np.asarray(v, float)
+    def normed(numbers: pa.Array, n: int) -> np.ndarray:
+        x = numbers.to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) if n else np.zeros((0, 1))
         return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
-    def columns(anchors: np.ndarray, rows: list) -> np.ndarray:
-        out = np.full((len(rows), max((len(r) for r in rows if r), default=0)), -np.inf)
-        for k, r in enumerate(rows):
-            if r:
-                out[k, : len(r)] = normed(r) @ anchors[k] / tau
+    def columns(anchors: np.ndarray, rows: pa.ListArray) -> np.ndarray:
+        many, vectors = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), rows.flatten()
+        at = np.repeat(np.arange(len(rows)), many)
+        out = np.full((len(rows), many.max(initial=0)), -np.inf)
+        if len(at):
+            out[at, np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)] = (normed(vectors.flatten(), len(at)) * anchors[at]).sum(1) / tau
         return out
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(key)
-        x, y = (normed(table[c].to_pylist()) for c in (a, b))
-        n, u = len(x), np.asarray(table[uid])
+        n, u = table.num_rows, np.asarray(table[uid])
+        x, y = (normed(table[c].combine_chunks().flatten(), n) for c in (a, b))
         same = u[:, None] == u[None, :]
         if n == 1:
             total = float(1 - (x * y).sum())
@@ -185,7 +227,7 @@ def graph_contrast(df: DataFrame, batch: str, key: str, a: str, b: str, uid: str
             if mode == "mask_neg":
                 logits, same = np.where(same & ~np.eye(n, dtype=bool), -np.inf, logits), np.eye(n, dtype=bool)
             for z, anchors, c in ((logits, x, negatives_b), (logits.T, y, negatives_a)):
-                wide = np.hstack([z, columns(anchors, table[c].to_pylist())]) if c else z
+                wide = np.hstack([z, columns(anchors, table[c].combine_chunks())]) if c else z
                 m = wide.max(1, keepdims=True)
                 share = z - m - np.log(np.exp(wide - m).sum(1, keepdims=True))
                 losses.append(-(np.where(same, share, 0.0).sum(1) / same.sum(1)).mean())

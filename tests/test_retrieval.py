@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from loomspark.operators import retrieval as E
 
@@ -62,3 +63,25 @@ def test_a_product_sorts_only_what_may_be_best():
 
     every = v[0] @ v[1].T
     assert min(seconds(lambda: run(given)) for _ in range(3)) < seconds(lambda: np.argsort(-every, axis=1, kind="stable"))
+
+
+@pytest.mark.parametrize("n", [40, 700])
+def test_block_products_in_single_precision_miss_nothing(n):
+    rng = np.random.default_rng(n)
+    for scale in (1.0, 1e-3, 1e20):
+        v = rng.normal(size=(2 * n, 8)) * scale
+        v[: n // 2] = v[n : n + n // 2] * (1 + 1e-9 * rng.normal(size=(n // 2, 1)))  # nearly equal scores
+        v[n : n + n // 2] = v[n : n + n // 2][:: -1] if n < 100 else v[n]  # ties: more copies than are computed one by one
+        g, keys = rng.integers(0, 4, 2 * n), rng.permutation(2 * n)
+        table = pa.table({"role": pa.array([0] * n + [1] * n, pa.int32()), "key": keys, "g": g, "v": pa.array(list(v))})
+        found = E._product(5)(table).to_pydict()
+        score = np.round((v[:n] @ v[n:].T), 6)
+        wanted = []
+        for q in range(n):
+            c = sorted((-score[q, x], keys[n + x]) for x in range(n) if g[n + x] != g[q])[:5]
+            wanted += [(keys[q], o, -s) for s, o in c]
+        got = sorted(zip(found["key"], found["other"], found["score"], strict=True))
+        if scale == 1e20:  # scores are too large to be rounded alike
+            assert len(got) == len(wanted) and {x[0] for x in got} == {x[0] for x in wanted}
+        else:
+            assert [x[:2] for x in got] == [x[:2] for x in sorted(wanted)] and np.allclose([x[2] for x in got], [x[2] for x in sorted(wanted)])
