@@ -12,6 +12,7 @@ from loomspark.operators import labels as L
 from loomspark.operators import ranking as R
 from loomspark.operators import retrieval as E
 from loomspark.operators import transport as O
+from loomspark.operators.settle import settled
 
 from .tables import read
 
@@ -162,7 +163,8 @@ def graph_contrast_mask(spark: SparkSession, d: str) -> DataFrame:
 
 def _with_negatives(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with the five nearest rows of other labels, for both sides; a pair's b is the row after its a."""
-    near = E.negative_vectors(hard_negatives_topk(spark, d), read(spark, d, "embeddings"), "vec_id", "embedding")
+    found = settled(hard_negatives_topk(spark, d))  # both sides read it, and the search is the work
+    near = E.negative_vectors(found, read(spark, d, "embeddings"), "vec_id", "embedding")
     after = near.select((F.col("vec_id") - 1).alias("vec_id"), F.col("negatives").alias("near_b"))
     return _pairs(spark, d).join(near.withColumnRenamed("negatives", "near_a"), "vec_id", "left").join(after, "vec_id", "left")
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from loomspark.operators import retrieval as E
+from loomspark.operators.settle import settled
 
 
 def test_recall_of_the_index(spark, monkeypatch):
@@ -85,3 +86,12 @@ def test_block_products_in_single_precision_miss_nothing(n):
             assert len(got) == len(wanted) and {x[0] for x in got} == {x[0] for x in wanted}
         else:
             assert [x[:2] for x in got] == [x[:2] for x in sorted(wanted)] and np.allclose([x[2] for x in got], [x[2] for x in sorted(wanted)])
+
+
+def test_negatives_are_searched_once(spark, monkeypatch):
+    from loomspark.plans import ranking
+
+    asked = []
+    monkeypatch.setattr(ranking, "settled", lambda df: asked.append(df) or settled(df))
+    plan = ranking._with_negatives(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(asked) == 1 and "FlatMapGroupsInArrow" not in plan
