@@ -172,9 +172,10 @@ def _functions(accesses: DataFrame, edges: DataFrame, regions: DataFrame | None
     return rows.groupBy("sample").agg(*(F.collect_list(c).alias(c) for c in kinds))
 
 
-def _split(*tables: DataFrame) -> tuple[list[DataFrame], list[DataFrame] | None]:
-    """The tables' rows of functions of up to LARGEST rows in all, and those of larger ones, if there are any."""
-    large = settled(larger(reduce(DataFrame.unionByName, (t.select("sample") for t in tables)).where("sample IS NOT NULL"), LARGEST))
+def _split(sizes: DataFrame | None, *tables: DataFrame) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The tables' rows of functions of up to LARGEST rows in all, and those of larger ones, if there are any. Without sizes the rows are counted, which makes the tables once more."""
+    over = larger(reduce(DataFrame.unionByName, (t.select("sample") for t in tables)), LARGEST) if sizes is None else sizes.where(F.col("n") > LARGEST).select("sample")
+    large = settled(over.where("sample IS NOT NULL"))
     if large.isEmpty():
         released(large)
         return list(tables), None
@@ -263,10 +264,13 @@ def _living(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table(columns, ["sample", "block", "value", "live_in", "live_out"]).to_batches(max_chunksize=100_000)
 
 
-def liveness(accesses: DataFrame, edges: DataFrame) -> DataFrame:
-    """(sample, block, value, live_in, live_out) of the values that are live at a block's beginning or end."""
+def liveness(accesses: DataFrame, edges: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(sample, block, value, live_in, live_out) of the values that are live at a block's beginning or end.
+
+    sizes: (sample, n), a row for each function and not less than its rows in all tables, if that is known without making them.
+    """
     kinds = dict(accesses.dtypes)
-    small, large = _split(accesses, edges)
+    small, large = _split(sizes, accesses, edges)
     found = _functions(*small).mapInArrow(_living, ", ".join(f"{c} {kinds[c]}" for c in ("sample", "block", "value")) + ", live_in boolean, live_out boolean")
     return found if large is None else found.unionByName(_far_liveness(*large))
 
@@ -389,11 +393,11 @@ def _flowing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table([batch.column("sample").take(pa.array(at, pa.int64())), of_region(regions), *columns], ["sample", "region", *_SETS]).to_batches(max_chunksize=10_000)
 
 
-def region_flow(accesses: DataFrame, edges: DataFrame, regions: DataFrame) -> DataFrame:
+def region_flow(accesses: DataFrame, edges: DataFrame, regions: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Per (sample, region) sorted arrays of values: live_in (used inside, from outside), live_out (defined inside, used outside), internal_defs (defined inside, used outside nowhere),
-    internal_uses (used inside, from inside), raw_defs and raw_uses (all defined and used inside). Every region of `regions` has a row."""
+    internal_uses (used inside, from inside), raw_defs and raw_uses (all defined and used inside). Every region of `regions` has a row. sizes as for liveness."""
     kinds = dict(accesses.dtypes)
-    small, large = _split(accesses, edges, regions)
+    small, large = _split(sizes, accesses, edges, regions)
     schema = f"sample {kinds['sample']}, region {dict(regions.dtypes)['region']}, " + ", ".join(f"{n} array<{kinds['value']}>" for n in _SETS)
     found = _functions(*small).where(F.size("areas") > 0).mapInArrow(_flowing, schema)
     found = found.withColumn("internal_defs", F.array_except("raw_defs", "live_out")).select("sample", "region", "live_in", "live_out", "internal_defs", "internal_uses", "raw_defs", "raw_uses")

@@ -90,3 +90,12 @@ def test_regions_same_as_joins(tables, regions, monkeypatch, bound):
 
 def test_region_flow_takes_no_further_shuffle(tables, regions):
     assert shuffles(D.region_flow(*(t.repartition(5, "sample") for t in (*tables, regions)))) == 3  # those of the three tables
+
+
+def test_known_sizes_spare_the_count(tables, regions, monkeypatch):
+    sizes = regions.select("sample").distinct().selectExpr("sample", "IF(sample < 'g2', 100000L, 1L) AS n")
+    ask = lambda *s: [sorted(map(tuple, f(*t, *s).collect()), key=repr) for f, t in ((D.liveness, tables), (D.region_flow, (*tables, regions)))]
+    counted = ask()
+    assert ask(sizes) == counted
+    monkeypatch.setattr(D, "larger", None)  # not asked where no function is large
+    assert ask(sizes.selectExpr("sample", "1L AS n")) == counted
